@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strikeflow.llm import lm_score
+from strikeflow.llm import lm_score, packing
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
