@@ -81,7 +81,7 @@ class Grams:
                 # the k-gram that ends at t: the (k-1)-gram that ends at t-1, then t
                 h = np.concatenate([h[:1], tb.chain(h[:-1], ids[1:])]) + np.uint64(k)
             at = np.flatnonzero(place >= k - 1)
-            keys, first, inverse = np.unique(h[at], return_index=True, return_inverse=True)
+            keys, first, inverse = tb.unique(h[at])
             index = np.full(len(ids), -1, np.int32)
             index[at] = inverse
             self.at.append(at)
@@ -144,7 +144,7 @@ def answer(key, table):
     for n in sorted(set(order)):
         own = [i for i, x in enumerate(order) if x == n]
         parts = [unpack_sorted(keys[i].as_py()) for i in own]
-        _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        _, _, inverse = tb.unique(np.concatenate(parts))
         total = np.bincount(inverse, np.concatenate([unpack(counts[i].as_py(), np.uint32) for i in own]))[inverse].astype(np.uint64)
         at = 0
         for i, part in zip(own, parts, strict=True):

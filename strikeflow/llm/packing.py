@@ -39,7 +39,7 @@ CAPACITY = 1024
 END_ID = 2
 #: Steps in which a length is covered at least, and the most steps in all.
 PARTS, STEPS = 4, 1200
-SLICE = 4 << 20
+SLICE = 8 << 20
 
 
 def vocabulary() -> str:
@@ -102,7 +102,7 @@ class Encoder:
         safe = np.flatnonzero(~alone)
         ids, begin, size = [], np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         if len(safe):
-            _, first, inverse = np.unique(tb.hash_spans(buf, starts[safe], ends[safe]), return_index=True, return_inverse=True)
+            _, first, inverse = tb.unique(tb.hash_spans(buf, starts[safe], ends[safe]))
             s, e = starts[safe[first]], ends[safe[first]]
             width = e - s
             take = np.arange(int(width.sum())) + np.repeat(s - np.cumsum(width) + width, width)

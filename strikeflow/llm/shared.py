@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -24,3 +26,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def sample(rows: DataFrame, limit: int, max_bytes: int = 1 << 16) -> pa.Table:
+    """To the driver: the rows (doc_id, text, label) with the limit smallest doc_id hashes, less those with a null label or texts over max_bytes. A bounded sample to fit a classifier on, spread over the whole table."""
+    rows = rows.select(F.col("doc_id"), F.col("text").cast("string"), F.col("label").cast("string")).where("label is not null")
+    last = rows.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    return rows.where((F.xxhash64("doc_id") <= F.lit(last)) & (F.octet_length("text") <= max_bytes)).toArrow()

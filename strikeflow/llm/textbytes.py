@@ -102,3 +102,14 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 def chain(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The hash of a sequence from that of its front and that of its last item."""
     return mix((left ^ (left >> np.uint64(29))) * _M1 + right)
+
+
+def unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the index of some occurrence of each, and the place of each key among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
