@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from strikeflow.llm import lm_score, packing
+from strikeflow.llm import language_id, lm_score, packing, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op7_language_id": language_id.op7_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
