@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from strikeflow.llm import language_id, lm_score, packing, toxicity
+from strikeflow.llm import language_id, lm_score, media, packing, pieces, pii, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_media_columns": media.op5_media_columns,
     "op7_language_id": language_id.op7_language_id,
+    "op9_pii": pii.op9_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
