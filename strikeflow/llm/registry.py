@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strikeflow.llm import language_id, lm_score, media, packing, pieces, pii, toxicity
+from strikeflow.llm import language_id, lm_score, media, packing, pieces, pii, simhash, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_media_columns": media.op5_media_columns,
     "op7_language_id": language_id.op7_language_id,
+    "op8_simhash_dedup": simhash.op8_simhash_dedup,
     "op9_pii": pii.op9_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
