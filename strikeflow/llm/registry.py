@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strikeflow.llm import language_id, lm_score, media, packing, pieces, pii, simhash, toxicity
+from strikeflow.llm import language_id, lm_score, media, packing, pieces, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
     "op9_pii": pii.op9_pii,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
