@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strikeflow.llm import language_id, lm_score, media, packing, pieces, pii, quality, simhash, toxicity
+from strikeflow.llm import language_id, line_dedup, lm_score, media, packing, pieces, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_media_columns": media.op5_media_columns,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_language_id": language_id.op7_language_id,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
     "op9_pii": pii.op9_pii,
