@@ -15,7 +15,9 @@ bucket; the answer is a count array in the same order. No row of these shuffles
 belongs to a word, so a word with a third of all tokens costs no more than
 others, and what is gathered is all n-grams of all documents.
 
-Hashes have 64 bits; two n-grams share one with probability 2**-64.
+Tokens have hashes of 64 bits. Those of longer n-grams have as many bits as the
+number of training tokens, and SPARE more: an n-gram shares its hash with another
+with a probability of about 2**-SPARE, however large the corpus.
 
 Results: null text scores as empty (its end token only). An empty table gives no
 rows. Repeated rows are scored each. A null doc_id is never held out. Other
@@ -39,6 +41,7 @@ ORDER = 3
 #: Prior counts of the backoff distribution, for orders 2 and 3.
 PRIOR = (100.0, 10.0)
 ADD = 0.1
+SPARE = 24
 GROUP_BYTES = 12 << 20
 BUCKET_BYTES = 6 << 20
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -72,7 +75,7 @@ def gather(table, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
 class Grams:
     """The distinct n-grams of one group, per order: sorted hashes, where each first ends, and the n-gram that ends at each token."""
 
-    def __init__(self, ids: np.ndarray, bounds: np.ndarray, order: int):
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray, order: int, bits: int = 64):
         place = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
         self.at, self.keys, self.first, self.index = [], [], [], []
         h = ids
@@ -81,7 +84,7 @@ class Grams:
                 # the k-gram that ends at t: the (k-1)-gram that ends at t-1, then t
                 h = np.concatenate([h[:1], tb.chain(h[:-1], ids[1:])]) + np.uint64(k)
             at = np.flatnonzero(place >= k - 1)
-            keys, first, inverse = tb.unique(h[at])
+            keys, first, inverse = tb.unique(h[at] >> np.uint64(64 - bits) if k > 1 else h[at])
             index = np.full(len(ids), -1, np.int32)
             index[at] = inverse
             self.at.append(at)
@@ -90,9 +93,9 @@ class Grams:
             self.index.append(index)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+def bucket_of(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
     """Ordered hashes in, bucket numbers in order out."""
-    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    return (((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -114,19 +117,19 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def ask(buckets: int, order: int):
+def ask(buckets: int, order: int, bits: int):
     """Rows (bucket, grp, n, keys, counts): the distinct n-grams of a group with their counts in its training documents."""
     schema = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(key, table):
         ids, bounds = gather(table)
         train = ~np.repeat(table.column("held_out").to_numpy(), np.diff(bounds))
-        grams = Grams(ids, bounds, order)
+        grams = Grams(ids, bounds, order, bits)
         rows = []
         for n in range(1, order + 1):
             at, keys, index = grams.at[n - 1], grams.keys[n - 1], grams.index[n - 1]
             counts = np.bincount(index[at][train[at]], minlength=len(keys)).astype(np.uint32)
-            own = bucket_of(keys, buckets)
+            own = bucket_of(keys, buckets, bits if n > 1 else 64)
             edge = np.searchsorted(own, np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edge)):
                 i, j = edge[b], edge[b + 1]
@@ -191,11 +194,11 @@ class Automaton:
         return out
 
 
-def reply(total: int, kinds: int, order: int, prior):
+def reply(total: int, kinds: int, order: int, prior, bits: int):
     def run(key, docs, answers):
         ids, bounds = gather(docs)
         n = docs.num_rows
-        grams = Grams(ids, bounds, order)
+        grams = Grams(ids, bounds, order, bits)
         rows = sorted(zip(answers.column("n").to_pylist(), answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True), key=lambda r: r[:2])
         counts = [np.concatenate([np.zeros(0, np.uint64), *(unpack(t, np.uint64) for m, _, t in rows if m == k)]).astype(np.float64) for k in range(1, order + 1)]
         known = counts[0][grams.index[0]]
@@ -243,10 +246,11 @@ def score(docs: DataFrame, held_out, *, order: int = ORDER, prior=PRIOR, group_b
     total, size, kinds = ((x or 0) for x in got)
     groups, buckets = max(shuffle, math.ceil(size / group_bytes)), max(shuffle, math.ceil(size / bucket_bytes))
     docs = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    run, schema = ask(buckets, order)
+    bits = min(64, max(40, total.bit_length() + SPARE))
+    run, schema = ask(buckets, order, bits)
     asked = docs.groupBy("grp").applyInArrow(run, schema)
     answers = asked.groupBy("bucket").applyInArrow(answer, "grp long, n int, bucket long, totals binary")
-    return docs.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(reply(total, kinds, order, prior), SCHEMA)
+    return docs.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(reply(total, kinds, order, prior, bits), SCHEMA)
 
 
 def held_out():
