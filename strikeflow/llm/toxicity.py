@@ -32,7 +32,7 @@ from strikeflow.llm import textbytes as tb
 SAMPLE, FEATURES = 8000, 4000
 PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.3
-STEPS, RATE, DECAY = 500, 0.05, 3e-4
+STEPS, RATE, DECAY = 800, 0.1, 1e-5
 SLOTS = 20
 
 _SPLIT = np.ones(256, bool)
@@ -90,19 +90,37 @@ class Model:
         self.table[slot[order]] = order + 1
 
     def _fit(self, texts, labels: np.ndarray) -> None:
-        found, at = [], 0
-        for part in tb.pieces(pa.table({"text": texts})):
-            h, where, doc, _, _ = features(part.column("text"))
-            found.append((h, where, doc, at))
-            at += part.num_rows
-        pairs = [tb.unique(h ^ (doc[where].astype(np.uint64) << np.uint64(40)))[1] for h, where, doc, _ in found]
-        kept = np.concatenate([h[i] for (h, _, _, _), i in zip(found, pairs, strict=True)])
-        owner = np.concatenate([doc[where[i]] + base for (_, where, doc, base), i in zip(found, pairs, strict=True)])
-        keys, _, index = tb.unique(kept)
-        toxic = np.bincount(index, labels[owner], len(keys))
-        clean = np.bincount(index, minlength=len(keys)) - toxic
+        table, bad = pa.table({"text": texts}), labels > 0
+
+        def parts():
+            """The features of a part of the rows at a time; they are computed again rather than kept."""
+            at = 0
+            for part in tb.pieces(table, size=tb.SLICE):
+                yield features(part.column("text")), at, part.num_rows
+                at += part.num_rows
+
+        def by_document(h, where, doc) -> tuple[np.ndarray, np.ndarray]:
+            """The distinct features of each document."""
+            first = tb.unique(h ^ (doc[where].astype(np.uint64) << np.uint64(40)))[1]
+            return h[first], doc[where[first]]
+
+        # what enough toxic documents hold, then how many others hold it
+        seen = [np.zeros(0, np.uint64)]
+        for (h, where, doc, _, _), at, _ in parts():
+            own = bad[doc[where] + at]
+            seen.append(by_document(h[own], where[own], doc)[0])
+        keys, _, index = tb.unique(np.concatenate(seen))
+        toxic = np.bincount(index, minlength=len(keys))
+        keys, toxic = keys[toxic >= 5], toxic[toxic >= 5]
+        if not len(keys):
+            return
+        clean = np.zeros(len(keys))
+        for (h, where, doc, _, _), at, _ in parts():
+            own = np.flatnonzero(~bad[doc[where] + at])
+            own = own[keys[np.searchsorted(keys, h[own]).clip(max=len(keys) - 1)] == h[own]]
+            clean += np.bincount(np.searchsorted(keys, by_document(h[own], where[own], doc)[0]), minlength=len(keys))
         ratio = np.log((toxic + 0.5) / labels.sum()) - np.log((clean + 0.5) / (len(labels) - labels.sum()))
-        good = np.flatnonzero((toxic >= 5) & (ratio > 1.6))
+        good = np.flatnonzero(ratio > 1.6)
         good = good[np.argsort(-(ratio * np.sqrt(toxic))[good], kind="stable")][:FEATURES]
         self.keys = np.sort(keys[good])
         if not len(self.keys):
@@ -110,7 +128,7 @@ class Model:
         # sentences with a feature, and for each document how many have none
         rows, cols, owner, bare = [], [], [], np.zeros(len(labels))
         n = 0
-        for h, where, doc, base in found:
+        for (h, where, doc, _, _), base, size in parts():
             i = np.searchsorted(self.keys, h).clip(max=len(self.keys) - 1)
             hit = np.flatnonzero(self.keys[i] == h)
             used, r = np.unique(where[hit], return_inverse=True)
@@ -118,7 +136,7 @@ class Model:
             cols.append(i[hit])
             owner.append(doc[used] + base)
             n += len(used)
-            bare += np.bincount(doc + base, minlength=len(labels)) - np.bincount(doc[used] + base, minlength=len(labels))
+            bare[base : base + size] += np.bincount(doc, minlength=size) - np.bincount(doc[used], minlength=size)
         rows, cols, owner = np.concatenate(rows), np.concatenate(cols), np.concatenate(owner)
         theta = np.concatenate([np.zeros(len(self.keys)), [-7.0]])
         first, second = np.zeros_like(theta), np.zeros_like(theta)
