@@ -199,8 +199,8 @@ def select_by_delta(chain: DataFrame, target: float, option_type: str, tolerance
     return out.select(*chain.columns)
 
 
-def legs(chain: DataFrame, wanted: dict[str, tuple[float, str]], tolerance: float | None = DELTA_TOLERANCE) -> DataFrame:
-    """(date, underlying, <name> struct...): nearest-delta rows of several targets in one pass; dates that lack one are left out."""
+def legs(chain: DataFrame, wanted: dict[str, tuple[float, str]], tolerance: float | None = DELTA_TOLERANCE, whole: bool = True) -> DataFrame:
+    """(date, underlying, <name> struct...): nearest-delta rows of several targets in one pass. Dates that lack one are left out, or with whole=False have null for it."""
     rest = ["expiry", "strike", "option_type", "settle", "bid", "ask", "delta", "iv", "dte"]
     picks, nulls = [], []
     for name, (target, kind) in wanted.items():
@@ -210,10 +210,12 @@ def legs(chain: DataFrame, wanted: dict[str, tuple[float, str]], tolerance: floa
         picks.append(F.min_by(F.struct(*rest), F.when(own & F.col("delta").isNotNull(), away)).alias(name))
         nulls.append(F.count_if(own & F.col("delta").isNull()).alias(f"{name}_nulls"))
     out = chain.groupBy("date").agg(F.first("underlying").alias("underlying"), *picks, *nulls)
-    ok = [F.col(n).isNotNull() & (F.col(f"{n}_nulls") == 0) for n in wanted]
+    ok = {n: F.col(n).isNotNull() & (F.col(f"{n}_nulls") == 0) for n in wanted}
     if tolerance is not None:
-        ok += [F.abs(F.col(n)["delta"] - t) <= tolerance for n, (t, _) in wanted.items()]
-    return out.where(reduce(lambda a, b: a & b, ok)).select("date", "underlying", *wanted)
+        ok = {n: ok[n] & (F.abs(F.col(n)["delta"] - t) <= tolerance) for n, (t, _) in wanted.items()}
+    if whole:
+        return out.where(reduce(lambda a, b: a & b, ok.values())).select("date", "underlying", *wanted)
+    return out.select("date", "underlying", *(F.when(ok[n], F.col(n)).alias(n) for n in wanted))
 
 
 def credits(sell: list[str], buy: list[str]) -> dict[str, Column]:
@@ -248,17 +250,16 @@ def skews(chain: DataFrame, delta: float = 0.25, dte: int = 45, threshold: float
 
 
 def verticals(chain: DataFrame, short: float = 0.25, wing: float = 0.10, dte: int = 45, threshold: float = 0.01, multiplier: int = 50) -> DataFrame:
-    """The two-leg spread that each date would open by its skew."""
+    """The two-leg spread that each date would open by its skew, in one pass over the chain."""
     own = filter_by_dte(chain, max(dte - DTE_BAND, 0), dte + DTE_BAND)
-    sides = skews(chain, short, dte, threshold)
-    out = []
-    for side, kind, sign in (("bull_put", "put", -1), ("bear_call", "call", 1)):
-        two = legs(own, {"short_leg": (sign * short, kind), "long_leg": (sign * wing, kind)})
-        two = two.where((F.col("long_leg.strike") - F.col("short_leg.strike")) * sign > 0)
-        two = two.withColumns(credits(["short_leg"], ["long_leg"]))
-        two = two.withColumn("max_defined_risk", (F.abs(F.col("long_leg.strike") - F.col("short_leg.strike")) - F.col("worst_credit")) * multiplier)
-        out.append(two.join(sides.where(F.col("side") == side), "date"))
-    return out[0].unionByName(out[1])
+    out = legs(own, {"sc": (short, "call"), "sp": (-short, "put"), "lc": (wing, "call"), "lp": (-wing, "put")}, whole=False)
+    skew = F.col("sp.iv") - F.col("sc.iv")
+    out = out.withColumn("skew", skew).withColumn("side", F.when(skew > threshold, "bull_put").when(skew < -threshold, "bear_call"))
+    put = F.col("side") == "bull_put"
+    out = out.where("side is not null").select("date", "underlying", F.when(put, F.col("sp")).otherwise(F.col("sc")).alias("short_leg"), F.when(put, F.col("lp")).otherwise(F.col("lc")).alias("long_leg"), "skew", "side")
+    out = out.where(F.when(F.col("side") == "bull_put", F.col("long_leg.strike") < F.col("short_leg.strike")).otherwise(F.col("long_leg.strike") > F.col("short_leg.strike")))
+    out = out.withColumns(credits(["short_leg"], ["long_leg"]))
+    return out.withColumn("max_defined_risk", (F.abs(F.col("long_leg.strike") - F.col("short_leg.strike")) - F.col("worst_credit")) * multiplier)
 
 
 def calendars(chain: DataFrame, front: DataFrame, offset: int = 30, step: int = 50, use_settle: bool = True) -> DataFrame:
