@@ -152,7 +152,8 @@ def dropped_lines(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_C
     lines = lines_of(docs, min_chars)
     classes = classes_of(lines)
     near = near_pairs(classes, edits).groupBy(F.col("later").alias("h")).agg(F.min("earlier").alias("earlier"))
-    told = classes.select("h", "first", "n").join(near, "h", "left").where("n > 1 or earlier is not null").select("h", "first", F.col("earlier").isNotNull().alias("near"))
+    told = classes.select("h", "first", "n").join(near, "h", "left").where("n > 1 or earlier is not null").select("h", "first", F.col("earlier").isNotNull().alias("near")).checkpoint()
+    # both sides of this join come straight from a shuffle, so that Spark can split a line that many documents share
     hit = lines.select("doc_id", "pos", "h").join(told, "h")
     return hit.where(F.col("near") | (F.struct("doc_id", "pos") != F.col("first"))).select("doc_id", "pos", "near").distinct()
 
