@@ -101,7 +101,7 @@ def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if not len(full):
         return out
     half = np.diff(bounds)[full]
-    step = 1 << 18
+    step = 1 << 16
     counts = np.zeros((len(full), 64), np.int64)
     edges = np.append(bounds[full], bounds[-1])
     at = 0
@@ -140,7 +140,7 @@ def fingerprints(column) -> np.ndarray:
 
 def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows in tb.pieces(batch, size=2 * tb.SLICE):
+        for rows in tb.pieces(batch, size=tb.SLICE):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(fingerprints(rows.column("text")).view(np.int64))], names=["doc_id", "fp"])
 
 
@@ -318,7 +318,8 @@ def dedup(docs: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
     prints = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(fingerprint_rows, "doc_id long, fp long").checkpoint()
     kinds = prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("own")).checkpoint()
     labels = components(kinds, near_links(kinds.select(F.col("node").alias("fp")), bucket))
-    named = kinds.join(labels, "node", "left").select(F.col("node").alias("fp"), F.coalesce("label", "own").alias("component_id"))
+    named = kinds.join(labels, "node", "left").select(F.col("node").alias("fp"), F.coalesce("label", "own").alias("component_id")).checkpoint()
+    # both sides of this join come straight from a shuffle, so that Spark can split a fingerprint that many copies share
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
