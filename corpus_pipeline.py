@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikeflow.llm import line_dedup, packing, pii, shared, simhash, toxicity
+from strikeflow.llm import textbytes as tb
 
 
 def _rewritten(docs: DataFrame, change, shipped) -> DataFrame:
@@ -26,11 +27,12 @@ def _rewritten(docs: DataFrame, change, shipped) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = shipped.value
         for batch in batches:
-            texts = [None if t is None else change(t, value) for t in batch.column("text").to_pylist()]
-            new = {"text": pa.array(texts, pa.string())}
-            if "n_chars" in batch.schema.names:
-                new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
+            for rows in tb.pieces(batch):
+                texts = [None if t is None else change(t, value) for t in rows.column("text").to_pylist()]
+                new = {"text": pa.array(texts, pa.string())}
+                if "n_chars" in rows.schema.names:
+                    new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], rows.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays([new.get(n, rows.column(n)) for n in rows.schema.names], names=rows.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -41,7 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in toxicity.tb.pieces(batch):
+            for rows in tb.pieces(batch, size=tb.SLICE):
                 score, *_ = model.value(rows.column("text"))
                 yield rows.filter(pa.array(score < toxicity.THRESHOLD))
 

@@ -39,7 +39,7 @@ CAPACITY = 1024
 END_ID = 2
 #: Steps in which a length is covered at least, and the most steps in all.
 PARTS, STEPS = 4, 1200
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 def vocabulary() -> str:
