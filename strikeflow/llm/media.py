@@ -244,7 +244,8 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     folder = f"{shared.checkpoint_dir(spark).rstrip('/')}/media-{uuid.uuid4().hex}"
-    media = store_documents(docs, folder).mapInArrow(read_back, READ).dropDuplicates(["digest"])
+    media = store_documents(docs, folder).mapInArrow(read_back, READ).dropDuplicates(["digest"]).checkpoint()
+    # the digest join's sides come straight from a shuffle, so that Spark can split a payload that many documents share
     pages = docs.mapInArrow(page_of, "doc_id long, html string")
     shown = resolve(interleave(pages, "doc_id"), media, "doc_id")
-    return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
