@@ -191,7 +191,7 @@ def marks_sql(mode: str) -> str:
         price, basis = price + " WHEN s IS NOT NULL THEN s", basis + " WHEN s IS NOT NULL THEN 'settle_fallback'"
     if mode == "surface":
         price, basis = price + " WHEN m IS NOT NULL THEN m WHEN s IS NOT NULL THEN s", basis + " WHEN m IS NOT NULL THEN 'surface_fallback' WHEN s IS NOT NULL THEN 'settle_3rd_fallback'"
-    return CH + f"SELECT date, expiry, strike, option_type, round(CASE {price} END, 6) AS mark, CASE {basis} END AS basis FROM (SELECT *, {MODEL} AS m, {SETTLED} AS s FROM chain)"
+    return CH + f"SELECT date, expiry, strike, option_type, round(CASE {price} END, 9) AS mark, CASE {basis} END AS basis FROM (SELECT *, {MODEL} AS m, {SETTLED} AS s FROM chain)"
 
 
 for _mode in ("strict", "settle", "surface"):
@@ -199,7 +199,7 @@ for _mode in ("strict", "settle", "surface"):
     @query(f"P09_mark_{_mode}", marks_sql(_mode))
     def _(s, d, mode=_mode):
         own = chain(s, d).withColumns({"model_price": F.expr(MODEL), "settle": F.expr(SETTLED)})
-        return ops.mark(own, mode).select(*KEY, F.round("mark", 6).alias("mark"), "basis")
+        return ops.mark(own, mode).select(*KEY, F.round("mark", 9).alias("mark"), "basis")
 
 
 MISSING = "(CAST(strike AS BIGINT) // 100 * 7919 + dte * 104729) % 10 < 3"
