@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeflow.llm import line_dedup, packing, pii, shared, simhash, toxicity
+from strikeflow.llm import line_dedup, near, packing, pii, shared, toxicity
 from strikeflow.llm import textbytes as tb
 
 
@@ -57,8 +57,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
-    keep = simhash.dedup(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    """One document of each component of near-duplicates: 5-word shingles, Jaccard similarity of 0.8 or more."""
+    keep = near.components(docs).groupBy("component").agg(F.min("doc_id").alias("__keep")).select("__keep")
     return docs.join(keep, F.col("doc_id").cast("long") == F.col("__keep"), "left_semi")
 
 
@@ -75,7 +75,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", dedup_lines),
-    ("simhash_dedup", dedup_near),
+    ("near_dedup", dedup_near),
     ("pii", redact_pii),
     ("best_fit_packing", pack),
 ]

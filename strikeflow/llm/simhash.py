@@ -116,10 +116,11 @@ def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(column) -> np.ndarray:
+def shingles(column, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, in order, and the bounds of each text's."""
     buf, offs = tb.to_bytes(column)
     if not len(buf):
-        return np.zeros(len(offs) - 1, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
     buf = tb.LOWER[buf]
     starts, ends, first = tb.spans(buf, offs)
     # words joined by single spaces
@@ -131,11 +132,15 @@ def fingerprints(column) -> np.ndarray:
     skip = np.cumsum(size) - size
     joined[place + np.repeat(begin - skip, size)] = buf[place + np.repeat(starts - skip, size)]
     count = np.diff(first)
-    shingles = np.where(count >= WORDS, count - WORDS + 1, (count > 0).astype(np.int64))
-    bounds = np.concatenate([[0], np.cumsum(shingles)])
-    head = np.arange(int(bounds[-1])) + np.repeat(first[:-1] - bounds[:-1], shingles)
-    tail = head + np.repeat(np.minimum(count, WORDS) - 1, shingles)
-    return majority(xxh64_spans(joined, begin[head], (begin + size)[tail]), bounds)
+    own = np.where(count >= words, count - words + 1, (count > 0).astype(np.int64))
+    bounds = np.concatenate([[0], np.cumsum(own)])
+    head = np.arange(int(bounds[-1])) + np.repeat(first[:-1] - bounds[:-1], own)
+    tail = head + np.repeat(np.minimum(count, words) - 1, own)
+    return xxh64_spans(joined, begin[head], (begin + size)[tail]), bounds
+
+
+def fingerprints(column) -> np.ndarray:
+    return majority(*shingles(column, WORDS))
 
 
 def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

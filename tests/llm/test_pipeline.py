@@ -44,3 +44,46 @@ def test_entry_works_without_the_subpackage(tmp_path):
             (tmp_path / "strikeflow" / p.name).symlink_to(p)
     said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(sum(n.startswith('op') for n in e.queries()), len(e.queries()) > 50)"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert said.stdout.split()[-2:] == ["0", "True"], said.stderr[-500:]
+
+
+def _jaccard(a, b, words=5):
+    sets = []
+    for text in (a, b):
+        w = text.lower().split()
+        sets.append({" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_stage_matches_brute_force(spark):
+    import random
+
+    import corpus_pipeline
+    from strikeflow.llm import near
+
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passage = [word() for _ in range(30)]
+    texts = []
+    for k in range(40):
+        base = [word() for _ in range(rng.randint(3, 120))] + (passage if k % 2 else [])
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 6)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+            base = copy if rng.random() < 0.5 else base
+    rng.shuffle(texts)
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and _jaccard(texts[i], texts[j]) >= 0.8:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i for i, x in enumerate(label) if i == x}
+    assert len(want) < len(texts) - 40
+    assert {r["doc_id"] for r in corpus_pipeline.dedup_near(spark, docs, SF).collect()} == want
+    # rare keys late as well: the order of shingles doesn't change the links
+    got = near.components(docs, hot=3).groupBy("component").agg({"doc_id": "min"}).collect()
+    assert {r[1] for r in got} == want
+    assert near.components(docs.limit(0)).count() == 0
