@@ -4,8 +4,8 @@ STAGES are applied in order, each to all that its predecessor kept: toxic
 documents go, repeated lines go, one document of each group of near-duplicates
 stays (the one with the smallest doc_id), personal data is replaced by its kind,
 and what remains is packed into sequences. All stages but the last return the
-columns of documents. A row without doc_id is no document and goes in the
-near-duplicate stage; no stage samples, caps or cuts texts.
+columns of documents. Of repeated rows one stays, and a row without doc_id stays
+where it is no near-duplicate; no stage samples, caps or cuts texts.
 """
 
 from __future__ import annotations
@@ -57,9 +57,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: 5-word shingles, Jaccard similarity of 0.8 or more."""
-    keep = near.components(docs).groupBy("component").agg(F.min("doc_id").alias("__keep")).select("__keep")
-    return docs.join(keep, F.col("doc_id").cast("long") == F.col("__keep"), "left_semi")
+    """One row of each component of near-duplicates (5-word shingles, Jaccard similarity of 0.8 or more): the smallest doc_id's, without doc_id only where none has one."""
+    id_, name = F.col("doc_id").cast("long"), ["__null", "__id", "__key"]
+    rows = near.components(docs).groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("__null"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("text_key").alias("__key"), F.col("n").alias("__n")))
+    keep = rows.groupBy("component").agg(best.alias("best")).select("best.*")
+    keyed = docs.withColumns({"__null": id_.isNull(), "__id": F.coalesce(id_, F.lit(0)), "__key": F.xxhash64(F.col("text").cast("string"))})
+    kept = keyed.join(keep, name)
+    # only repeated rows have to meet
+    out = kept.where("__n = 1").unionByName(kept.where("__n > 1").dropDuplicates(name))
+    return out.select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

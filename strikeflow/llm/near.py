@@ -57,7 +57,7 @@ def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(doc_id, text_key, node, size, keys): digests of the text and of its set, the set's size and prefix. hot: keys that come last, sorted."""
+    """(doc_id, text_key, node, size, keys): hashes of the text and of its set, the set's size and prefix. hot: keys that come last, sorted."""
     top, of = SIMILAR
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -73,10 +73,9 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     hashes = hashes[np.lexsort((hashes, last, owner))]
                 n = np.where(size > 0, size - (top * size + of - 1) // of + 1, 0)
                 keep = np.arange(len(hashes)) - bounds[:-1][owner] < n[owner]
-                text_key = [None if t is None else simhash.signed(xxhash.xxh64_intdigest(t)) for t in rows.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(text_key, pa.int64()), pa.array(node), pa.array(size), lists(hashes[keep], np.concatenate([[0], np.cumsum(n)]))], names=["doc_id", "text_key", "node", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), pa.array(node), pa.array(size), lists(hashes[keep], np.concatenate([[0], np.cumsum(n)]))], names=["doc_id", "text_key", "node", "size", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, node long, size long, keys array<long>")
+    return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_key long, node long, size long, keys array<long>")
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

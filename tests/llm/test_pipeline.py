@@ -87,3 +87,16 @@ def test_near_stage_matches_brute_force(spark):
     got = near.components(docs, hot=3).groupBy("component").agg({"doc_id": "min"}).collect()
     assert {r[1] for r in got} == want
     assert near.components(docs.limit(0)).count() == 0
+
+
+def test_near_stage_keeps_one_row_of_repeated_ones(spark):
+    import corpus_pipeline
+
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(40)) for c in "abcd")
+    rows = [(1, one), (1, one), (1, one), (2, one), (None, one), (3, two), (3, four), (None, three), (None, three + " end"), (5, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id int, text string, source string").repartition(3)
+    got = corpus_pipeline.dedup_near(spark, docs, SF)
+    assert got.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert {x for x in got if x[0] is not None} == {(1, one), (3, two), (3, four), (5, None)} and len(got) == 5
+    assert len([x for x in got if x[0] is None]) == 1 and [x[1] for x in got if x[0] is None][0] in (three, three + " end")
