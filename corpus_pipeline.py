@@ -51,9 +51,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier one has; those that lose all their lines go."""
+    """Documents without lines that an earlier one has; those that lose all their lines but blank ones go."""
     out = line_dedup.dedup(docs)
-    return out.where((F.col("n_dropped") == 0) | (F.col("text") != "")).select(*docs.columns)
+    return out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

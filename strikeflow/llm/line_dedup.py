@@ -1,8 +1,8 @@
 """Line de-duplication by a segment-partition edit join, in DataFrame functions only.
 
 A line is dropped if an earlier line of the table, in the order of doc_id and
-position, equals it or is within EDITS edits of it. Lines under MIN_CHARS
-characters are always kept: chance makes them equal.
+position, equals it, or if it has MIN_CHARS characters or more and is within EDITS
+edits of it. Blank lines are always kept.
 
 Equal lines form a class with its first occurrence. Each class's line is split
 into EDITS + 1 segments. If two lines are within EDITS edits, one segment of the
@@ -30,6 +30,8 @@ from strikeflow.llm import shared
 EDITS = 1
 MIN_CHARS = 40
 LETTERS = "entiaros"
+#: The most pairs whose hashes are broadcast.
+FEW = 1 << 19
 
 
 def let(value: Column, body) -> Column:
@@ -124,7 +126,8 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= min_chars).withColumn("h", F.xxhash64("line"))
+    """The lines of at least min_chars characters that aren't blank, with their hashes."""
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where((F.length("line") >= min_chars) & (F.btrim("line", F.lit(" \t\r\x0b\x0c")) != "")).withColumn("h", F.xxhash64("line"))
 
 
 def classes_of(lines: DataFrame) -> DataFrame:
@@ -132,34 +135,40 @@ def classes_of(lines: DataFrame) -> DataFrame:
     return lines.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.any_value("line").alias("line"))
 
 
-def near_pairs(classes: DataFrame, edits: int) -> DataFrame:
-    """(later, earlier): hashes of classes within edits of each other, by their first occurrence."""
-    c = classes.select("h", "line", F.length("line").alias("len"))
+def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
+    """(later, earlier): hashes of classes of lines within edits of each other, by their first occurrence."""
+    c = classes_of(lines).select("h", "line", F.length("line").alias("len"))
     base = c.select("h", letter_counts(F.col("line")).alias("letters"), "line", "len")
     index = base.select("h", "letters", F.explode(F.array(*index_keys(F.col("line"), F.col("len"), edits))).alias("key"))
     probe = base.select(F.col("h").alias("ph"), F.col("letters").alias("pletters"), F.explode(F.array(*probe_keys(F.col("line"), F.col("len"), edits))).alias("key"))
     met = index.join(probe, "key").where((F.col("h") != F.col("ph")) & (counts_apart(F.col("letters"), F.col("pletters")) <= 2 * edits))
     pairs = met.select(F.least("h", "ph").alias("a"), F.greatest("h", "ph").alias("b")).distinct().checkpoint()
+    met_ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    # lines that met none aren't shuffled again
+    classes = classes_of(lines.join(F.broadcast(met_ends) if pairs.count() <= FEW else met_ends, "h", "left_semi"))
     side = lambda name: classes.select(F.col("h").alias(name), F.col("first").alias(f"first_{name}"), F.col("line").alias(f"line_{name}"))
     told = pairs.join(side("a"), "a").join(side("b"), "b").where(within(F.col("line_a"), F.col("line_b"), edits))
     a_first = F.col("first_a") < F.col("first_b")
     return told.select(F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("later"), F.when(a_first, F.col("first_a")).otherwise(F.col("first_b")).alias("earlier"))
 
 
-def dropped_lines(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, pos, near): positions of the lines to drop; near: for want of an equal earlier line, one within edits."""
+def dropped_lines(docs: DataFrame, *, edits: int = EDITS, min_chars: int | None = None) -> DataFrame:
+    """(doc_id, pos, near): positions of the lines to drop; near: for want of an equal earlier line, one within edits.
+
+    Lines under min_chars are kept; without it only blank ones are, and MIN_CHARS bounds the edit join.
+    """
     shared.checkpoint_dir(docs.sparkSession)
-    lines = lines_of(docs, min_chars)
+    lines = lines_of(docs, 1 if min_chars is None else min_chars)
     classes = classes_of(lines)
-    near = near_pairs(classes, edits).groupBy(F.col("later").alias("h")).agg(F.min("earlier").alias("earlier"))
+    near = near_pairs(lines.where(F.length("line") >= MIN_CHARS) if min_chars is None else lines, edits).groupBy(F.col("later").alias("h")).agg(F.min("earlier").alias("earlier"))
     told = classes.select("h", "first", "n").join(near, "h", "left").where("n > 1 or earlier is not null").select("h", "first", F.col("earlier").isNotNull().alias("near")).checkpoint()
     # both sides of this join come straight from a shuffle, so that Spark can split a line that many documents share
     hit = lines.select("doc_id", "pos", "h").join(told, "h")
     return hit.where(F.col("near") | (F.struct("doc_id", "pos") != F.col("first"))).select("doc_id", "pos", "near").distinct()
 
 
-def dedup(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs (doc_id, text, ...) with the kept lines as text, and n_lines and n_dropped added."""
+def dedup(docs: DataFrame, *, edits: int = EDITS, min_chars: int | None = None) -> DataFrame:
+    """docs (doc_id, text, ...) with the kept lines as text, and n_lines and n_dropped added. min_chars as for dropped_lines."""
     drops = dropped_lines(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), edits=edits, min_chars=min_chars)
     per = drops.groupBy(F.col("doc_id").alias("__doc")).agg(F.sort_array(F.collect_list("pos")).alias("__drops"))
 

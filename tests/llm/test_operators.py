@@ -296,6 +296,14 @@ def test_line_dedup_of_odd_rows(docs, nothing):
     assert line_dedup.dedup(nothing).count() == 0
 
 
+def test_short_lines_are_compared_exactly(spark):
+    line = "a line of forty characters or more, to be compared"
+    texts = ["All rights reserved.\n\n \nx", "x\n\n \nAll rights reserved.\nAll rights reserved!", line + "\nAll rights reserved.", line[:-1] + "!\nend", "\n \nx"]
+    got = by_id(line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i]["text"] for i in range(5)] == [texts[0], "\n \nAll rights reserved!", line, "end", "\n "]
+    assert [got[i]["n_dropped"] for i in range(5)] == [0, 2, 1, 1, 1]
+
+
 # 7
 
 
