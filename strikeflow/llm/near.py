@@ -34,6 +34,8 @@ WORDS = 5
 SIMILAR = (4, 5)
 #: Keys of more sets than HOT come last in the order, the MOST most frequent at most; any choice gives the same links.
 HOT, MOST = 64, 1 << 16
+#: The most rows that are broadcast.
+FEW = 1 << 19
 
 
 def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
@@ -95,28 +97,38 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").where(F.when(likely, (top + of) * common >= top * (m + n)).otherwise(False)).select("u", "v")
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """rows (a checkpoint), to be broadcast where they are FEW at most."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """(key, node, size, low, high) for the keys of more than one set: the sets with the key, and the least and the greatest of them."""
+    keyed = rows.select("node", "size", F.explode("keys").alias("key"))
+    met = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").checkpoint()
+    return keyed.join(small(met), "key").distinct().checkpoint()
+
+
 def components(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     """(doc_id, text_key, component) of docs (doc_id, text): equal components are near-duplicates."""
     shared.checkpoint_dir(docs.sparkSession)
     top, of = SIMILAR
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    keyed_of = lambda rows: rows.groupBy("node").agg(F.any_value("size").alias("size"), F.any_value("keys").alias("keys")).select("node", "size", F.explode("keys").alias("key"))
     rows = prefixes(docs, np.empty(0, np.uint64)).checkpoint()
-    often = keyed_of(rows).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).orderBy(F.desc("n"), "key").limit(MOST).select("key").toArrow()
+    keyed = shared_keys(rows)
+    often = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).orderBy(F.desc("n"), "key").limit(MOST).select("key").toArrow()
     late = np.sort(often.column("key").to_numpy().astype(np.int64).view(np.uint64))
     if len(late):
         rows = prefixes(docs, late).checkpoint()
-    keyed = keyed_of(rows)
-    met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
-    keyed = keyed.join(met, "key").checkpoint()
-    nodes = keyed.select("node").distinct()
-    sets = docs.mapInArrow(whole_sets, "node long, items array<long>").join(nodes, "node", "left_semi").groupBy("node").agg(F.any_value("items").alias("items")).checkpoint()
+        keyed = shared_keys(rows)
+    nodes = keyed.select("node").distinct().checkpoint()
+    sets = docs.mapInArrow(whole_sets, "node long, items array<long>").join(small(nodes), "node", "left_semi").groupBy("node").agg(F.any_value("items").alias("items")).checkpoint()
     stars = keyed.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
     edges = verified(stars.select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).distinct(), sets).checkpoint()
     own = nodes.select("node", F.col("node").alias("own"))
     labels = simhash.components(own, edges)
-    # pairs of a key with one label need no comparison; stars compared all of a key with two sets
-    rest = keyed.where("n > 2").join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
+    # pairs of a key with one label need no comparison
+    rest = keyed.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
     mixed = rest.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first < last").select("key")
     rest = rest.join(mixed, "key")
     other = rest.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "label")))
