@@ -280,11 +280,16 @@ def calendars(chain: DataFrame, front: DataFrame, offset: int = 30, step: int =
     return out.withColumn("premium", premium)
 
 
+#: The most scenarios that are broadcast; more are joined without a hint.
+FEW_SCENARIOS = 1000
+
+
 def shock(chain: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Each row under each of a few scenarios (scenario, vol_shift, spot_shift): price, quotes at their old proportion to it, floored."""
+    """Each row under each scenario (scenario, vol_shift, spot_shift): price, quotes at their old proportion to it, floored."""
     from strikeflow.functions import bsm
 
-    both = chain.join(F.broadcast(scenarios.limit(1000)), how="cross").withColumns({"base_underlying": F.col("underlying"), "underlying": F.col("underlying") * (1 + F.col("spot_shift")), "iv": F.greatest(F.col("iv") + F.col("vol_shift"), F.lit(0.01))})
+    few = scenarios.limit(FEW_SCENARIOS + 1).count() <= FEW_SCENARIOS
+    both = chain.join(F.broadcast(scenarios) if few else scenarios, how="cross").withColumns({"base_underlying": F.col("underlying"), "underlying": F.col("underlying") * (1 + F.col("spot_shift")), "iv": F.greatest(F.col("iv") + F.col("vol_shift"), F.lit(0.01))})
     out = bsm.price(both, name="shocked")
     ratio = F.col("shocked") / F.nullif(F.col("settle"), F.lit(0.0))
     bid = F.greatest(F.col("bid") * ratio, F.lit(0.01))

@@ -204,3 +204,13 @@ def test_shard_stream(spark, tmp_path):
     events.ingest_shards(spark, src, to, spark.createDataFrame([], schema).schema, cp)
     assert sorted(r["v"] for r in spark.read.parquet(to).collect()) == [1, 2]
     assert spark.read.parquet(f"{to}-rejected").count() == 1
+
+
+def test_shock_prices_every_scenario(spark):
+    from strikeflow.operators.chain import shock
+    from strikeflow.plans import fixture
+
+    rows = fixture.chain(spark, "/root/testdata/sf0.001").orderBy("date", "expiry", "strike", "option_type").limit(2)
+    scenarios = spark.range(1200).selectExpr("cast(id as string) scenario", "id / 10000 vol_shift", "0.0D spot_shift")
+    assert shock(rows, scenarios).select("scenario").distinct().count() == 1200
+    assert shock(rows, scenarios).count() == 2400 and shock(rows, scenarios.limit(3)).count() == 6
