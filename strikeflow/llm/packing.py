@@ -5,9 +5,14 @@ the piece lengths are counted. The counts, CAPACITY numbers however many
 documents there are, define the linear program: use the fewest configurations
 (multisets of lengths that fit into a sequence) so that each length is covered
 as often as it occurs. Multiplicative weights solve it: a length's weight falls
-as it gets covered, and the configuration of the largest weight, found by
-knapsack dynamic programming, is used next. The solution is rounded down, and
-best-fit decreasing packs what remains of each length.
+as it gets covered, and the configurations of the largest weights, found by one
+knapsack dynamic program, are used next, each until it has covered one of its
+lengths. This goes on until every length is covered. Rounding gives each
+configuration that fills a sequence well its whole number of uses while there
+are pieces for them; each piece that is left over (a few hundred configurations'
+worth, whatever the number of documents) goes into the fullest configuration
+of what is left, by the same dynamic program over bounded numbers. All of
+this is on counts: neither time nor memory grows with the number of pieces.
 
 The plan gives each configuration slot a run of ranks: the pieces of this length
 with ranks from lo to hi go to consecutive sequences at a fixed offset. A piece
@@ -22,6 +27,7 @@ ignored.
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,8 +43,10 @@ from strikeflow.llm import textbytes as tb
 
 CAPACITY = 1024
 END_ID = 2
-#: Steps in which a length is covered at least, and the most steps in all.
-PARTS, STEPS = 4, 1200
+#: How fast weights fall; the loss of value up to which configurations are used at once; the part of a sequence that rounding wants filled.
+RATE, LOSS, FILLED = 1.5, 0.02, 15 / 16
+#: The relative gap between the sequences and the bound at which the program counts as solved, and the finest steps that are tried for it.
+GAP, FINEST = 0.01, 16
 SLICE = 4 << 20
 
 
@@ -125,12 +133,13 @@ class Encoder:
     @staticmethod
     def odd(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Documents that hold white space beyond ASCII, and so aren't cut."""
+        padded = np.concatenate([buf, np.zeros(2, np.uint8)])
         found = []
         for lead, rest in ((0xC2, (b"\x85", b"\xa0")), (0xE1, (b"\x9a\x80",)), (0xE2, (b"\x80", b"\x81\x9f")), (0xE3, (b"\x80\x80",))):
-            for i in np.flatnonzero(buf == lead):
-                if buf[i + 1 : i + 3].tobytes().startswith(rest):
-                    found.append(i)
-        return np.unique(np.searchsorted(offs, np.array(found, np.int64), "right") - 1)
+            at = np.flatnonzero(buf == lead)
+            for tail in rest:
+                found.append(at[np.logical_and.reduce([padded[at + 1 + k] == x for k, x in enumerate(tail)])])
+        return np.unique(np.searchsorted(offs, np.concatenate(found), "right") - 1)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -167,88 +176,133 @@ def cut_pieces(path: str, capacity: int, end_id: int):
     return run
 
 
-def knapsack(value: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths, in all at most capacity, with the largest sum of values."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(int(lengths[0]), capacity + 1):
-        k = fits[c]
-        sums = value[:k] + best[c - lengths[:k]]
+Config = tuple[tuple[int, int], ...]
+
+
+def knapsack(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """value: what a piece of each length from 0 on is worth (less than 0: there is none). The largest sum of values in each capacity, and the longest piece of that choice (0: a place stays free)."""
+    capacity = len(value) - 1
+    back = value[::-1].copy()
+    best, piece = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    for c in range(1, capacity + 1):
+        sums = back[capacity - c : capacity] + best[:c]
         i = int(sums.argmax())
-        best[c], last[c] = sums[i], i
-        if best[c - 1] >= sums[i]:
-            best[c], last[c] = best[c - 1], -1
-    found, c = Counter(), capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
+        if sums[i] > best[c - 1]:
+            best[c], piece[c] = sums[i], c - i
         else:
-            found[int(last[c])] += 1
-            c -= int(lengths[last[c]])
-    return found
+            best[c] = best[c - 1]
+    return best, piece
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, parts: int = PARTS, steps: int = STEPS) -> dict[tuple, float]:
-    """Configurations ((index of length, times), ...) and how often to use each, by multiplicative weights."""
-    covered, use = np.zeros(len(lengths)), Counter()
-    for _ in range(steps):
-        if (least := covered.min()) >= parts:
+def chosen(length: int, piece: np.ndarray) -> Counter:
+    """A piece of this length and the best choice for the rest of the capacity."""
+    own, c = Counter([length]), len(piece) - 1 - length
+    while c > 0:
+        if x := int(piece[c]):
+            own[x] += 1
+        c -= x or 1
+    return own
+
+
+def fractional(histogram: dict[int, int], capacity: int, parts: int = 1) -> tuple[dict[Config, float], float]:
+    """Configurations ((length, times), ...) and how often to use each, so that all lengths are covered exactly; and a lower bound of the uses, from the weights as a dual solution. A step covers no more than 1 / parts of a length."""
+    count = np.zeros(capacity + 1)
+    count[list(histogram)] = list(histogram.values())
+    lengths, some = np.arange(capacity + 1), count > 0
+    covered, use, bound = np.where(some, 0.0, 1.0), Counter(), 0.0
+    while (open_ := covered < 1 - 1e-9).any():
+        weight = np.where(open_, lengths / capacity * np.exp(RATE * (covered[open_].min() - covered)), -1.0)
+        best, piece = knapsack(weight)
+        bound = max(bound, float((weight * count)[open_].sum() / best[capacity]))
+        total = np.where(open_, weight + best[capacity - lengths], -1.0)
+        used = np.zeros(capacity + 1, bool)
+        # one dynamic program prices the best configuration with each length; those without a length in common don't wait for new weights
+        for x in np.argsort(-total, kind="stable").tolist():
+            if total[x] < (1 - LOSS) * best[capacity]:
+                break
+            if used[x]:
+                continue
+            config = chosen(x, piece)
+            index, times = np.array(list(config)), np.array(list(config.values()))
+            if used[index].any():
+                continue
+            step = float((np.minimum(1 - covered[index], 1 / parts) * count[index] / times).min())
+            use[tuple(sorted(config.items()))] += step
+            covered[index] += step * times / count[index]
+            used[index] = True
+    return dict(use), bound
+
+
+def fullest(left: Counter, room: int, lengths: list[int]) -> Counter:
+    """The choice of what is left with the largest sum that fits into room, long pieces first. lengths: those of left, ascending. Sets of sums are the bits of an integer."""
+    reach, mask, before = 1, (1 << room + 1) - 1, []
+    for x in lengths:
+        if x > room or reach >> room & 1:
             break
-        weight = lengths / capacity * np.exp(least - covered) * (covered < parts)
-        config = knapsack(weight, lengths, capacity)
-        index, times = np.array(list(config)), np.array(list(config.values()))
-        step = float((counts[index] / times).min())
-        use[tuple(sorted(config.items()))] += step
-        covered[index] += step * times / counts[index]
-    # covering in excess of what there is isn't used
-    return {k: v / parts for k, v in use.items()}
-
-
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing, each bin a list of lengths."""
-    bins: list[list[int]] = []
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    for x in sorted(lengths, reverse=True):
-        room = next((r for r in range(x, capacity + 1) if by_room[r]), None)
-        if room is None:
-            bins.append([])
-            room, b = capacity, len(bins) - 1
-        else:
-            b = by_room[room].pop()
-        bins[b].append(x)
-        by_room[room - x].append(b)
-    return bins
+        before.append((x, reach))
+        n, some = min(left[x], room // x), 1
+        while n > 0:
+            reach |= reach << x * min(some, n) & mask
+            n, some = n - some, 2 * some
+    own, c = Counter(), reach.bit_length() - 1
+    for x, others in reversed(before):
+        n = min(left[x], c // x)
+        while n and not others >> c - n * x & 1:
+            n -= 1
+        if n:
+            own[x] = n
+            c -= n * x
+    return own
+
+
+def rounded(histogram: dict[int, int], use: dict[Config, float], capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Configurations and whole numbers of uses that place each piece once; and how many of them come from use."""
+    left, out = Counter(histogram), []
+    for config, times in sorted(use.items(), key=lambda x: (-x[1], x[0])):
+        n = min(math.ceil(times - 1e-6), min(left[x] // k for x, k in config))
+        if n and sum(x * k for x, k in config) >= FILLED * capacity:
+            out.append((dict(config), n))
+            left.subtract({x: n * k for x, k in config})
+    own = len(out)
+    while lengths := sorted(x for x in left if left[x]):
+        lead = lengths[-1]
+        left[lead] -= 1
+        config = fullest(left, capacity - lead, lengths)
+        left[lead] += 1
+        config[lead] += 1
+        n = min(left[x] // k for x, k in config.items())
+        out.append((dict(config), n))
+        left.subtract({x: n * k for x, k in config.items()})
+    return out, own
+
+
+def solved(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], int, float]:
+    """Configurations with whole numbers of uses, how many of them come from the program, and the lower bound: with finer steps until the sequences are within GAP of the bound, or steps are 1 / FINEST."""
+    best, least, parts = None, 0.0, 1
+    while True:
+        use, bound = fractional(histogram, capacity, parts)
+        configs, own = rounded(histogram, use, capacity)
+        n, least = sum(k for _, k in configs), max(least, bound, sum(x * k for x, k in histogram.items()) / capacity)
+        best = min(best or (n, configs, own), (n, configs, own), key=lambda x: x[0])
+        if best[0] <= math.ceil(least - 1e-6) + GAP * least or parts >= FINEST:
+            return best[1], best[2], least
+        parts *= 2
 
 
 def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
     """Rows (length, lo, sequence, offset): pieces of this length with ranks from lo on go to sequences from this on, at this offset."""
-    runs, left, sequence = [], Counter(), 0
-    taken = Counter()
-
-    def put(config: list[int], times: int) -> None:
-        nonlocal sequence
+    configs = solved({x: n for x, n in histogram.items() if x < capacity}, capacity)[0]
+    if capacity in histogram:
+        configs.append(({capacity: 1}, histogram[capacity]))
+    runs, taken, sequence = [], Counter(), 0
+    for config, times in configs:
         at = 0
-        for x in config:
-            runs.append((x, taken[x], sequence, at))
-            taken[x] += times
-            at += x
+        for x in sorted(config, reverse=True):
+            for _ in range(config[x]):
+                runs.append((x, taken[x], sequence, at))
+                taken[x] += times
+                at += x
         sequence += times
-
-    lengths = np.array(sorted(x for x in histogram if x < capacity))
-    if capacity in histogram:
-        put([capacity], histogram[capacity])
-    if len(lengths):
-        counts = np.array([histogram[int(x)] for x in lengths], np.int64)
-        left = counts.copy()
-        for config, times in sorted(fractional(lengths, counts.astype(float), capacity).items(), key=lambda x: -x[1]):
-            index, each = np.array([i for i, _ in config]), np.array([t for _, t in config])
-            whole = min(int(times), int((left[index] // each).min()))
-            if whole:
-                put([int(lengths[i]) for i, t in sorted(config, reverse=True) for _ in range(t)], whole)
-                left[index] -= whole * each
-        rest = Counter(tuple(b) for b in best_fit([int(x) for x, n in zip(lengths, left, strict=True) for _ in range(n)], capacity))
-        for config, times in rest.items():
-            put(list(config), times)
     return np.array(sorted(runs), np.int64).reshape(-1, 4)
 
 
