@@ -134,7 +134,7 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 def identify(docs: DataFrame, held_out, *, limit: int = SAMPLE) -> DataFrame:
     """Languages of docs (doc_id, text, lang), learned from rows that aren't held out."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string").alias("label"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    rows = shared.sample(docs.where("not held_out and text is not null"), limit)
+    rows = shared.sample(docs.where("not held_out and text is not null"), limit, stratified=True)
     every = docs.select("doc_id", "text", "held_out")
     if not rows.num_rows or not any(rows.column("text").to_pylist()):
         return every.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))

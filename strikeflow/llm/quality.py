@@ -8,8 +8,8 @@ raises its worth on the other third; it is kept if it is right there often
 enough, its rows are taken away, and the next one is grown. The list becomes one
 ordered CASE expression.
 
-Learning takes the statistics of at most SAMPLE labelled documents to the driver,
-those with the smallest hashes of doc_id. Rules only reject; what no rule covers is
+Learning takes the statistics of about SAMPLE labelled documents to the driver,
+those with hashes under a threshold. Rules only reject; what no rule covers is
 kept.
 
 Results: a null text has no words and fails the base. A text of any length is
@@ -210,10 +210,11 @@ def cover(rows: Rows, names: list[str]) -> list[Rule]:
 def learn(stats: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> list[Rule]:
     names = list(feature_columns())
     labels = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    h = F.xxhash64("doc_id")
-    rows = stats.join(labels, "doc_id").select((F.col("quality") == 0).cast("int").alias("bad"), F.pmod(h, F.lit(3)).alias("fold"), h.alias("h"), *(c.alias(n) for n, c in feature_columns().items())).orderBy("h").limit(limit)
-    found = rows.collect()
-    return cover({k: np.array([r[k] for r in found], float) for k in ("bad", "fold", *names)}, names)
+    rows = stats.join(labels, "doc_id").withColumn("h", F.xxhash64(*stats.columns)).select((F.col("quality") == 0).cast("int").alias("bad"), F.pmod("h", F.lit(3)).alias("fold"), "h", *(c.alias(n) for n, c in feature_columns().items())).checkpoint()
+    # a threshold on the hash takes about limit rows, the same ones however they are partitioned; equal rows count once
+    least = min(1.0, limit / max(1, rows.count()))
+    found = rows.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < least).distinct().toArrow().sort_by("h")
+    return cover({k: found.column(k).to_numpy().astype(float) for k in ("bad", "fold", *names)}, names)
 
 
 def rejecting(rules: list[Rule]) -> Column:

@@ -28,8 +28,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def sample(rows: DataFrame, limit: int, max_bytes: int = 1 << 16) -> pa.Table:
-    """To the driver: the rows (doc_id, text, label) with the limit smallest doc_id hashes, less those with a null label or texts over max_bytes. A bounded sample to fit a classifier on, spread over the whole table."""
-    rows = rows.select(F.col("doc_id"), F.col("text").cast("string"), F.col("label").cast("string")).where("label is not null")
-    last = rows.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(limit).agg(F.max("h")).first()[0]
-    return rows.where((F.xxhash64("doc_id") <= F.lit(last)) & (F.octet_length("text") <= max_bytes)).toArrow()
+#: The most classes that a sample is spread over.
+CLASSES = 1000
+
+
+def sample(rows: DataFrame, limit: int, max_bytes: int = 128 << 20, *, stratified: bool = False) -> pa.Table:
+    """To the driver: about limit of the rows (doc_id, text, label), whole texts of about max_bytes in all.
+
+    A bounded sample to fit a classifier on, spread over the whole table: a row is taken
+    if a hash of its doc_id and text is under a threshold, so nothing is sorted, and
+    the same rows are taken however they are partitioned. Equal rows count once. Stratified,
+    each of the (CLASSES at most) labels has its own threshold, so that rare ones get an even share.
+    Rows with a null label are left out, and texts of over max_bytes / 16, which no sample of that size can hold
+    fairly. The table is ordered by the hash.
+    """
+    rows = rows.select(F.col("doc_id"), F.col("text").cast("string"), F.col("label").cast("string")).where("label is not null").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes // 16)
+    sizes = rows.groupBy(F.col("label") if stratified else F.lit("").alias("label")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")).orderBy("label").limit(CLASSES + 1).collect()
+    if len(sizes) > CLASSES:
+        raise ValueError(f"more than {CLASSES} classes")
+    share = shares([r["n"] for r in sizes], limit)
+    size = [max(1, r["bytes"]) * s for r, s in zip(sizes, share, strict=True)]
+    cut = [s * min(1.0, b / x) if x else s for s, x, b in zip(share, size, shares([int(x) for x in size], max_bytes, part=False), strict=True)]
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
+    least = F.lit(0.0)
+    for r, c in zip(sizes, cut, strict=True):
+        least = F.when(F.col("label") == r["label"], F.lit(c)).otherwise(least) if stratified else F.lit(c)
+    return rows.withColumn("h", h).where(F.col("h") < least).distinct().toArrow().sort_by("h")
+
+
+def shares(counts: list[int], limit: float, part: bool = True) -> list[float]:
+    """An even share of limit for each class, what small classes leave going to larger ones; part: as a part of each class's count."""
+    out, left = [0.0] * len(counts), float(limit)
+    order = sorted(range(len(counts)), key=counts.__getitem__)
+    for k, i in enumerate(order):
+        out[i] = min(float(counts[i]), left / (len(order) - k))
+        left -= out[i]
+    return [x / n if n else 0.0 for x, n in zip(out, counts, strict=True)] if part else out

@@ -311,7 +311,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         # the label of the node that the label comes from
         jump = step.select(F.col("node").alias("source"), F.col("low").alias("further")).join(home.withColumnRenamed("node", "source"), "source").select("at", "further")
         moved = step.join(jump, step.low == jump.at, "left").select("node", F.least("low", F.coalesce("further", "low")).alias("new"), "label").checkpoint()
-        changed = moved.where("new <> label").limit(1).count()
+        changed = moved.where("not (new <=> label)").limit(1).count()
         labels = moved.select("node", F.col("new").alias("label"))
         if not changed:
             return labels

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE = 1 << 20
 
@@ -21,7 +22,8 @@ LOWER[65:91] += 32
 
 _rng = np.random.default_rng(0x5EED)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = _rng.integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLACES = 1024
+_PLACE = _rng.integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 
@@ -81,9 +83,20 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each non-empty span; spans are ordered and don't overlap."""
+    """A 64-bit hash of each non-empty span; spans are ordered and don't overlap.
+
+    A span of up to PLACES bytes is a sum over its bytes of random odd numbers, one for
+    the byte times one for its place; a longer one is hashed by XXH64.
+    """
     out = np.empty(len(starts), np.uint64)
     lengths = ends - starts
+    long = np.flatnonzero(lengths > PLACES)
+    if len(long):
+        short = np.flatnonzero(lengths <= PLACES)
+        view = memoryview(np.ascontiguousarray(buf))
+        out[long] = [xxhash.xxh64_intdigest(view[a:b], 1) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        out[short] = hash_spans(buf, starts[short], ends[short])
+        return out
     total = np.cumsum(lengths)
     at = 0
     while at < len(starts):
@@ -93,7 +106,7 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         begin = np.cumsum(own) - own
         place = np.arange(int(own.sum())) - np.repeat(begin, own)
         value = _BYTE[buf[place + np.repeat(starts[at:to], own)]]
-        value *= _PLACE[place & 1023]
+        value *= _PLACE[place]
         out[at:to] = np.add.reduceat(value, begin)
         at = to
     return mix(out + lengths.astype(np.uint64) * _M2)
