@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def free(columns: list[str], name: str) -> str:
+    """name, followed by as many underscores as it takes to be none of columns (which Spark compares without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared one; it goes when the driver ends."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """rows, written as Parquet to the shared folder and read from there: like checkpoint(), but compressed and read by column."""
+    folder = scratch(rows.sparkSession, "rows")
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+#: The most rows that are broadcast; beyond it both sides of a join are shuffled.
+FEW = 1 << 19
+
+
+def small(rows: DataFrame, limit: int = FEW) -> DataFrame:
+    """rows (a checkpoint), to be broadcast where they are limit at most."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
 #: The most classes that a sample is spread over.
 CLASSES = 1000
 

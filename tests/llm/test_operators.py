@@ -341,6 +341,43 @@ def test_line_dedup_matches_brute_force(spark, edits):
         assert got[i]["n_dropped"] == 6 - len(kept) and got[i]["n_lines"] == 6
 
 
+@pytest.mark.parametrize("bucket", [2, 32])
+def test_lines_of_a_template(spark, bucket):
+    # lines that share most of their text, in crowded keys; some a character longer
+    rng = random.Random(3)
+    lines = [f"the quick brown fox number {rng.randrange(300):04d} jumps over {rng.choice(['a', 'the', 'th', 'thex'])} dog" for _ in range(300)]
+    lines += [x.replace("jumps", rng.choice(["jump", "jumpss", "humps"])) for x in lines[:60]] + ["日本語の行です。" * 6 + c for c in "あいうえおかきくけこ"]
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[5 * i : 5 * i + 5])) for i in range(len(lines) // 5)]
+    got = by_id(line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket))
+    seen = []
+    for i, text in rows:
+        kept = [line for k, line in enumerate(text.split("\n")) if not any(edit_distance(line, s) <= 1 for s in seen + text.split("\n")[:k])]
+        seen += text.split("\n")
+        assert got[i]["text"] == "\n".join(kept)
+
+
+def test_a_large_template_makes_few_rows(spark):
+    lines = spark.range(100_000).select(F.format_string("ticket %06d was opened by the night shift and closed by the day shift", "id").alias("line"))
+    classes = lines.select(F.xxhash64("line").alias("h"), F.struct(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tie"), F.monotonically_increasing_id().alias("pos")).alias("first"), "line").checkpoint()
+    n = line_dedup.candidates(classes, 1).count()
+    assert 300_000 < n < 3_000_000
+
+
+def test_rows_with_one_id_and_clashing_columns(spark):
+    same = "a line that stands in both of the rows that share an identifier"
+    rows = [(5, same + "\nonly here", 777, "x", 1), (5, "first of the other row\n" + same, 778, "y", 1), (6, same, 779, "z", 1), (5, same + "\nonly here", 777, "x", 1), (None, same, 1, "w", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_dropped string, __gone int")
+    out = line_dedup.dedup(d)
+    assert out.columns == [*d.columns, "n_lines_", "n_dropped_"]
+    got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"], r["n_lines_"], r["n_dropped_"]) for r in out.collect()), key=str)
+    kept = [x for x in got if x[0] == 5]
+    assert len(got) == 5 and (None, same, 1, "w", 1, 0) in got and (6, "", 779, "z", 1, 1) in got
+    # one of the two different texts keeps the line, and no other line is lost
+    assert sum(same in x[1] for x in kept if x[2] == 778) + any(same in x[1] for x in kept if x[2] == 777) == 1
+    assert all("first of the other row" in x[1] if x[2] == 778 else "only here" in x[1] for x in kept)
+
+
 def test_banded_distance(spark):
     rows = []
     for _ in range(300):
