@@ -1,20 +1,25 @@
-"""Near-duplicates by an exact set-similarity join on word shingles.
+"""SimHash near-duplicates at a similarity: the form of the operator that stages use.
 
 Two texts link if the Jaccard similarity of their sets of WORDS-word shingles is
-SIMILAR[0] / SIMILAR[1] or more; components are what links connect. No linked
-pair is lost: in any common order of shingles, two such sets share one of the
-first size - ceil(size * similarity) + 1 of either (prefix filter). The order is
-by hash, shingles that many texts share last, so that a passage in many texts
+SIMILAR[0] / SIMILAR[1] or more and their fingerprints differ in RADIUS bits at
+most, which holds for all but about one in 10,000 pairs at this similarity, and fewer above it.
+Components are what links connect. No link is lost: in any common order of shingles, two such sets share one of the
+first size - ceil(size * similarity) + 1 of either (prefix filter), so sets that
+share such a key meet in a bucket, where their fingerprints are compared bit-sliced
+(see simhash), and pairs within the radius are verified on whole sets.
+The order is by hash, but shingles that are frequent come last, so that a passage in many texts
 makes few candidates.
 
-Equal sets are merged first. Sets that share a prefix key meet. Each is first
-compared with the least and the greatest set of its keys, which connects most
-of a large group with few comparisons; then all pairs of a key that aren't yet
-connected are compared. Every link is verified on whole sets.
+Equal sets are merged first. A bucket of up to FEW sets leaves all its pairs, a larger
+one first a link from each set to its nearest, which connects most of a group
+of copies; later, pairs that aren't yet connected. Frequent keys are dealt out twice into buckets
+of a bounded size for the former, and into pairs of such buckets for the latter, so that no
+group of copies has to meet in one task.
 
 Results: a row for each row. A text of fewer words than a shingle is one
-shingle; texts without words equal each other. Hashes of 64 bits stand for
-shingles, sets and texts.
+shingle; texts without words equal each other. Repeated rows and rows without
+doc_id are compared like any other. Hashes of 64 bits stand for shingles, sets and texts.
+Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,10 +37,10 @@ from strikeflow.llm import textbytes as tb
 
 WORDS = 5
 SIMILAR = (4, 5)
-#: Keys of more sets than HOT come last in the order, the MOST most frequent at most; any choice gives the same links.
+RADIUS = 20
+FEW = 16
+#: Keys of more than HOT sets come last in the order, the MOST most frequent at most; any choice gives the same links.
 HOT, MOST = 64, 1 << 16
-#: The most rows that are broadcast.
-FEW = 1 << 19
 
 
 def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
@@ -54,86 +59,214 @@ def digests(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(view[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64).view(np.int64)
 
 
-def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
+def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(doc_id, text_key, node, size, keys): hashes of the text and of its set, the set's size and prefix. hot: keys that come last, sorted."""
+def prefix(hashes: np.ndarray, bounds: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefix keys of sets, the set of each, and whether it is one of late (sorted), which come last."""
     top, of = SIMILAR
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
+    size = np.diff(bounds)
+    owner = np.repeat(np.arange(len(size)), size)
+    last = late[np.minimum(np.searchsorted(late, hashes), len(late) - 1)] == hashes if len(late) else np.zeros(len(hashes), bool)
+    if last.any():
+        order = np.lexsort((hashes, last, owner))
+        hashes, last = hashes[order], last[order]
+    n = np.where(size > 0, size - (top * size + of - 1) // of + 1, 0)
+    keep = np.arange(len(hashes)) - bounds[:-1][owner] < n[owner]
+    return hashes[keep], owner[keep], last[keep]
+
+
+def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n): keys that a partition's distinct sets have in common, of those that come first by hash."""
+    seen, found = set(), [np.zeros(0, np.uint64)]
+    for batch in batches:
+        for rows in tb.pieces(batch, size=tb.SLICE):
+            hashes, bounds = shingle_sets(rows.column("text"))
+            keys, owner, _ = prefix(hashes, bounds, np.zeros(0, np.uint64))
+            new = unseen(digests(hashes, bounds), seen)
+            found.append(keys[new[owner]])
+    keys, counts = np.unique(np.concatenate(found), return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(keys[counts > 2].view(np.int64)), pa.array(counts[counts > 2])], names=["key", "n"])
+
+
+def unseen(nodes: np.ndarray, seen: set) -> np.ndarray:
+    """Which nodes are the first of their kind in a partition."""
+    out = np.zeros(len(nodes), bool)
+    for i, x in enumerate(nodes.tolist()):
+        if x not in seen:
+            seen.add(x)
+            out[i] = True
+    return out
+
+
+ROWS = "doc_id long, text_key long, node long, fp long, size long, keys array<long>, late array<long>"
+
+
+def set_rows(late: np.ndarray, spark):
+    """Hashes of each text and of its set, the set's fingerprint and size, and for the first of equal sets in a partition its prefix."""
+    sent = spark.sparkContext.broadcast(late)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = sent.value
+        seen: set = set()
         for batch in batches:
             for rows in tb.pieces(batch, size=tb.SLICE):
                 hashes, bounds = shingle_sets(rows.column("text"))
-                node, size = digests(hashes, bounds), np.diff(bounds)
-                owner = np.repeat(np.arange(len(size)), size)
-                if len(late):
-                    last = late[np.minimum(np.searchsorted(late, hashes), len(late) - 1)] == hashes
-                    hashes = hashes[np.lexsort((hashes, last, owner))]
-                n = np.where(size > 0, size - (top * size + of - 1) // of + 1, 0)
-                keep = np.arange(len(hashes)) - bounds[:-1][owner] < n[owner]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), pa.array(node), pa.array(size), lists(hashes[keep], np.concatenate([[0], np.cumsum(n)]))], names=["doc_id", "text_key", "node", "size", "keys"])
+                node, n = digests(hashes, bounds), rows.num_rows
+                keys, owner, last = prefix(hashes, bounds, sent.value)
+                new = unseen(node, seen)[owner]
+                own = [lists(keys[m], np.bincount(owner[m], minlength=n)) for m in (new & ~last, new & last)]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), pa.array(node), pa.array(simhash.majority(hashes, bounds).view(np.int64)), pa.array(np.diff(bounds)), *own], names=["doc_id", "text_key", "node", "fp", "size", "keys", "late"])
 
-    return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_key long, node long, size long, keys array<long>")
+    return run
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set = set()
     for batch in batches:
         for rows in tb.pieces(batch, size=tb.SLICE):
             hashes, bounds = shingle_sets(rows.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(digests(hashes, bounds)), lists(hashes, bounds)], names=["node", "items"])
+            node, size = digests(hashes, bounds), np.diff(bounds)
+            new = unseen(node, seen)
+            yield pa.RecordBatch.from_arrays([pa.array(node[new]), lists(hashes[np.repeat(new, size)], size[new])], names=["node", "items"])
+
+
+def sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    top, of = SIMILAR
+    return of * np.minimum(a, b) >= top * np.maximum(a, b)
+
+
+def bucket_pairs(node: np.ndarray, fp: np.ndarray, size: np.ndarray, label: np.ndarray | None, side: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of a large bucket: without labels, for each set the nearest one before it; with labels, all pairs that differ in label. Sets of the same side other than 2 aren't paired."""
+    out = []
+    stored, order = simhash.planes(fp), list(range(64))
+    for i in range(1, len(fp)):
+        near = simhash.within(int(fp[i]), stored[:, : (i + 63) // 64], order, RADIUS)
+        j = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[:i])
+        j = j[sized(size[j], size[i])]
+        if label is not None:
+            j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[i] == 2))]
+        elif len(j):
+            j = j[[np.bitwise_count(fp[j] ^ fp[i]).argmin()]]
+        if len(j):
+            out.append((node[j], np.full(len(j), node[i])))
+    return out
+
+
+def compared(rows: DataFrame, labelled: bool) -> DataFrame:
+    """(u, v) of the buckets of rows (key, part, node, fp, size, label, side); without labels, also (key, null) for a bucket of more than FEW sets."""
+    names = ["key", "part", "node", "fp", "size", "label", "side"]
+
+    def told(cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        group = np.cumsum(np.concatenate([[0], (cols["key"][1:] != cols["key"][:-1]) | (cols["part"][1:] != cols["part"][:-1])]))
+        # a set that several partitions hold counts once
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (cols["node"][1:] != cols["node"][:-1])])
+        group, cols = group[new], {k: v[new] for k, v in cols.items()}
+        node, fp, size, label, side = cols["node"], cols["fp"].view(np.uint64), cols["size"], cols["label"], cols["side"]
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        n = np.diff(np.append(start, len(group)))
+        little = np.repeat(n, n) <= FEW
+        pairs = []
+        for d in range(1, FEW):
+            i = np.flatnonzero((group[:-d] == group[d:]) & little[:-d]) if d < len(group) else np.zeros(0, np.int64)
+            if not len(i):
+                break
+            j = i + d
+            ok = (np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS) & sized(size[i], size[j])
+            if labelled:
+                ok &= (label[i] != label[j]) & ((side[i] != side[j]) | (side[i] == 2))
+            pairs.append((node[i[ok]], node[j[ok]]))
+        large = np.flatnonzero(n > FEW)
+        for k in large.tolist():
+            at = slice(start[k], start[k] + n[k])
+            pairs += bucket_pairs(node[at], fp[at], size[at], label[at] if labelled else None, side[at])
+        u, v = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in (0, 1))
+        # the same pair meets under many keys
+        u, v = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1) if len(u) else (u, v)
+        many = np.zeros(0, np.int64) if labelled else cols["key"][start[large]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, many])), pa.array(np.concatenate([v, np.zeros(len(many), np.int64)]), mask=np.arange(len(u) + len(many)) >= len(u))], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: [] for c in names}
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = {c: batch.column(c).to_numpy() for c in names}
+            # a bucket may go on in the next batch
+            other = np.flatnonzero((new["key"] != new["key"][-1]) | (new["part"] != new["part"][-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            same = rows and held["key"][-1][-1] == new["key"][0] and held["part"][-1][-1] == new["part"][0]
+            if cut or (rows and not same):
+                for c in names:
+                    held[c].append(new[c][:cut])
+                rows += cut
+                if rows:
+                    yield from told({c: np.concatenate(x) for c, x in held.items()})
+                held, rows = {c: [] for c in names}, 0
+            for c in names:
+                held[c].append(new[c][cut:])
+            rows += len(new["key"]) - cut
+        if rows:
+            yield from told({c: np.concatenate(x) for c, x in held.items()})
+
+    by = ["key", "part"]
+    return rows.select(*names).repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(run, "u long, v long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (u, v) whose sets are similar."""
     top, of = SIMILAR
     side = lambda name: sets.select(F.col("node").alias(name), F.col("items").alias(f"items_{name}"))
-    m, n = F.size("items_u"), F.size("items_v")
-    likely = of * F.least(m, n) >= top * F.greatest(m, n)
     common = F.size(F.array_intersect("items_u", "items_v"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").where(F.when(likely, (top + of) * common >= top * (m + n)).otherwise(False)).select("u", "v")
+    return pairs.join(side("u"), "u").join(side("v"), "v").where((top + of) * common >= top * (F.size("items_u") + F.size("items_v"))).select("u", "v")
 
 
-def small(rows: DataFrame) -> DataFrame:
-    """rows (a checkpoint), to be broadcast where they are FEW at most."""
-    return F.broadcast(rows) if rows.count() <= FEW else rows
+def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, items): the whole sets of the ends of pairs."""
+    ends = shared.small(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().checkpoint())
+    return shared.written(docs.mapInArrow(whole_sets, "node long, items array<long>").join(ends, "node", "left_semi").groupBy("node").agg(F.any_value("items").alias("items")))
 
 
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """(key, node, size, low, high) for the keys of more than one set: the sets with the key, and the least and the greatest of them."""
-    keyed = rows.select("node", "size", F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").checkpoint()
-    return keyed.join(small(met), "key").distinct().checkpoint()
-
-
-def components(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
+def components(docs: DataFrame, *, hot: int = HOT, bucket: int = simhash.BUCKET) -> DataFrame:
     """(doc_id, text_key, component) of docs (doc_id, text): equal components are near-duplicates."""
-    shared.checkpoint_dir(docs.sparkSession)
-    top, of = SIMILAR
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = prefixes(docs, np.empty(0, np.uint64)).checkpoint()
-    keyed = shared_keys(rows)
-    often = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).orderBy(F.desc("n"), "key").limit(MOST).select("key").toArrow()
+    spark = docs.sparkSession
+    shared.checkpoint_dir(spark)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.xxhash64("text"))
+    often = docs.mapInArrow(frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot).withColumn("digits", F.length(F.bin("n"))).checkpoint()
+    least, left = 64, MOST
+    for r in often.groupBy("digits").agg(F.count("*").alias("n")).orderBy(F.desc("digits")).collect():  # 64 rows at most
+        left -= r["n"]
+        least = r["digits"] if left >= 0 else least
+    often = often.where(F.col("digits") >= least).select("key").toArrow()
     late = np.sort(often.column("key").to_numpy().astype(np.int64).view(np.uint64))
-    if len(late):
-        rows = prefixes(docs, late).checkpoint()
-        keyed = shared_keys(rows)
-    nodes = keyed.select("node").distinct().checkpoint()
-    sets = docs.mapInArrow(whole_sets, "node long, items array<long>").join(small(nodes), "node", "left_semi").groupBy("node").agg(F.any_value("items").alias("items")).checkpoint()
-    stars = keyed.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-    edges = verified(stars.select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).distinct(), sets).checkpoint()
-    own = nodes.select("node", F.col("node").alias("own"))
-    labels = simhash.components(own, edges)
-    # pairs of a key with one label need no comparison
-    rest = keyed.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
-    mixed = rest.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first < last").select("key")
-    rest = rest.join(mixed, "key")
-    other = rest.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "label")))
-    pairs = rest.join(other, "key").where(F.col("label") < F.col("other_label")).where(of * F.least("size", "other_size") >= top * F.greatest("size", "other_size"))
-    more = verified(pairs.select(F.least("node", "other_node").alias("u"), F.greatest("node", "other_node").alias("v")).distinct(), sets).checkpoint()
-    labels = simhash.components(own, edges.unionAll(more))
-    named = rows.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
-    return rows.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "text_key", "component")
+    rows = shared.written(docs.mapInArrow(set_rows(late, spark), ROWS))
+    plain = [F.lit(0).cast("long").alias(c) for c in ("label", "side")]
+    keyed = rows.select("node", "fp", "size", F.explode("keys").alias("key"), F.lit(0).cast("long").alias("part"), *plain)
+    # frequent keys that are in a prefix even so: MOST at most
+    crowd = rows.select("node", "fp", "size", F.explode("late").alias("key")).distinct()
+    parts = F.ceil(F.col("n") / bucket).cast("long")
+    counts = crowd.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", parts.alias("parts"))
+    crowd = crowd.join(F.broadcast(counts), "key").checkpoint()
+    chunk = lambda seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts"))
+    # two ways to deal a key out connect its buckets with each other
+    twice = crowd.select("node", "fp", "size", "key", F.explode(F.when(F.col("parts") > 1, F.array(chunk(0), chunk(1) + F.col("parts"))).otherwise(F.array(F.lit(0).cast("long")))).alias("part"), *plain)
+    met = compared(keyed.unionByName(twice), False).distinct().checkpoint()
+    pairs, large = met.where("v is not null"), met.where("v is null").select(F.col("u").alias("key"))
+    edges = verified(pairs, sets_of(docs, pairs)).checkpoint()
+    if large.limit(1).count():
+        labels = shared.small(simhash.components(edges).checkpoint())
+        again = crowd.select("node", "fp", "size", "key", "parts").unionByName(keyed.join(shared.small(large), "key", "left_semi").select("node", "fp", "size", "key", F.lit(1).cast("long").alias("parts")).distinct())
+        again = again.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).checkpoint()
+        mixed = again.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first < last").select("key").checkpoint()
+        again = again.join(shared.small(mixed), "key", "left_semi")
+        # part (a, b) of a key holds its chunks a and b, as sides 0 and 1; part (a, a) chunk a alone, as side 2
+        own = chunk(0)
+        places = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.struct((F.least(own, x) * F.col("parts") + F.greatest(own, x)).alias("part"), F.when(x == own, 2).otherwise((own > x).cast("int")).cast("long").alias("side")))
+        more = compared(again.select("node", "fp", "size", "key", "label", F.explode(places).alias("p")).select("node", "fp", "size", "key", "label", "p.part", "p.side"), True).distinct()
+        more = more.join(pairs, ["u", "v"], "left_anti").checkpoint()
+        edges = edges.unionAll(verified(more, sets_of(docs, more)).checkpoint())
+    labels = simhash.components(edges)
+    # if shuffled, both sides of this join come straight from there, so that Spark can split a set that many copies share
+    return rows.select("doc_id", "text_key", "node").join(shared.small(labels.checkpoint()), "node", "left").select("doc_id", "text_key", F.coalesce("label", "node").alias("component"))

@@ -32,7 +32,6 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,27 +158,27 @@ def planes(values: np.ndarray) -> np.ndarray:
 
 
 def within(value: int, stored: np.ndarray, order: list[int], radius: int, block: int = 64) -> np.ndarray:
-    """A bit for each stored value that differs from value in radius bits at most; order: the planes to compare."""
-    n = stored.shape[1]
-    out = np.zeros(n, np.uint64)
+    """A bit for each stored value that differs from value in radius bits at most; order: the planes to compare.
+
+    The counters of 64 values are words, one for each binary digit, and start so that more than radius differences carry out of the last.
+    """
+    out = np.zeros(stored.shape[1], np.uint64)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for at in range(0, n, block):
+    digits = radius.bit_length()
+    start = (1 << digits) - 1 - radius
+    for at in range(0, stored.shape[1], block):
         part = stored[:, at : at + block]
-        one, two, over = (np.zeros(part.shape[1], np.uint64) for _ in range(3))
-        for p in order:
-            differs = part[p] ^ (full if value >> p & 1 else np.uint64(0))
-            carry = one & differs
-            one ^= differs
-            over |= two & carry
-            two ^= carry
-            if (over == full).all():
+        counts = [np.full(part.shape[1], full if start >> b & 1 else 0, np.uint64) for b in range(digits)]
+        over = np.zeros(part.shape[1], np.uint64)
+        for done, p in enumerate(order):
+            carry = part[p] ^ (full if value >> p & 1 else np.uint64(0))
+            for b in range(digits):
+                counts[b], carry = counts[b] ^ carry, counts[b] & carry
+            over |= carry
+            if done >= radius and (over == full).all():
                 break
         else:
-            far = over
-            for r in range(radius + 1, 4):
-                match = (one if r & 1 else ~one) & (two if r & 2 else ~two)
-                far = far | match
-            out[at : at + block] = ~far
+            out[at : at + block] = ~over
     return out
 
 
@@ -229,8 +228,8 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def probe_buckets(rows: DataFrame, key: list[str]) -> DataFrame:
-    """(u, v): spanning links of the buckets of rows (fp, mask, *key), of at most BUCKET fingerprints each."""
+def probe_buckets(rows: DataFrame) -> DataFrame:
+    """(u, v): spanning links of the buckets of rows (fp, mask, key), of at most BUCKET fingerprints each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -242,9 +241,7 @@ def probe_buckets(rows: DataFrame, key: list[str]) -> DataFrame:
                 out.extend(links(values, last[0]))
 
         for batch in batches:
-            masks, fps = batch.column("mask").to_pylist(), batch.column("fp").to_pylist()
-            keys = list(zip(masks, *(batch.column(k).to_pylist() for k in key), strict=True))
-            for k, fp in zip(keys, fps, strict=True):
+            for *k, fp in zip(*(batch.column(c).to_pylist() for c in ("mask", "key", "fp")), strict=True):
                 if k != last:
                     close()
                     held, last = [], k
@@ -255,63 +252,50 @@ def probe_buckets(rows: DataFrame, key: list[str]) -> DataFrame:
         close()
         yield _pairs(out)
 
-    by = ["mask", *key]
-    return rows.select("fp", *by).repartition(*by).sortWithinPartitions(*by, "fp").mapInArrow(run, "u long, v long")
+    return rows.select("fp", "mask", "key").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(run, "u long, v long")
 
 
 def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([signed(a) for a, _ in out], pa.int64()), pa.array([signed(b) for _, b in out], pa.int64())], names=["u", "v"])
 
 
-def deal(rows: DataFrame, masks: list[int], key: list[str]) -> DataFrame:
-    """Each row once for each mask, with the bits that the mask keeps as the next key."""
-    name = f"key{len(key)}"
-    own = F.array(*(F.struct(F.lit(signed(m)).alias("m"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for m in masks))
-    fixed = F.col("mask") if "mask" in rows.columns else F.lit(0)
-    return rows.select("fp", fixed.cast("long").alias("was"), *key, F.explode(own).alias("t")).select("fp", F.col("was").bitwiseOR(F.col("t.m")).alias("mask"), *key, F.col("t.k").alias(name))
+def deal(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
+    """Each of rows (fp, mask) once for each of the masks that its own leads to, with the bits that the new one keeps as key."""
+    led = rows.sparkSession.createDataFrame([(signed(m), signed(x)) for m, own in masks.items() for x in own], "mask long, next long")
+    return rows.join(F.broadcast(led), "mask").select("fp", F.col("next").alias("mask"), F.col("fp").bitwiseAND(F.col("next")).alias("key"))
 
 
 def near_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(u, v): links that connect what RADIUS connects, of distinct fingerprints (fp)."""
-    found, key = [], ["key0"]
-    rows = deal(prints, tables(list(range(64)), RADIUS, PARTS), [])
-    free_masks: list[tuple[DataFrame, list[str], int]] = [(rows, key, 0)]
-    while free_masks:
-        rows, key, level = free_masks.pop()
-        by = ["mask", *key]
-        sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").persist(StorageLevel.DISK_ONLY)
-        most = sizes.agg(F.max("n")).first()[0] or 0
-        rows = rows.join(sizes, by)
-        found.append(probe_buckets(rows.where(F.col("n") <= bucket) if most > bucket else rows, key))
-        if most > bucket:
-            large = rows.where(F.col("n") > bucket).drop("n")
-            for mask in [r[0] for r in sizes.where(F.col("n") > bucket).select("mask").distinct().collect()]:  # a few masks
-                free = [b for b in range(64) if not mask >> b & 1]
-                own = large.where(F.col("mask") == mask)
-                if len(free) <= 12:  # at most bucket values are left
-                    found.append(probe_buckets(own, key))
-                else:
-                    free_masks.append((deal(own, tables(free, RADIUS, PARTS), key), [*key, f"key{len(key)}"], level + 1))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionAll(x)
-    return out
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): for nodes (node, own) the least own that edges (u, v) lead to. Rounds grow with the logarithm of a component's width."""
-    both = edges.where("u <> v").select("u", "v").unionAll(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    touched = both.select(F.col("u").alias("node")).distinct()
-    labels = nodes.join(touched, "node", "left_semi").select("node", F.col("own").alias("label")).checkpoint()
-    # where a label lives: its own node
-    home = labels.select(F.col("label").alias("at"), "node")
+    rows = deal(prints.select("fp", F.lit(0).cast("long").alias("mask")), {0: tables(list(range(64)), RADIUS, PARTS)})
+    out = None
+    while True:
+        sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
+        rows = rows.join(sizes, ["mask", "key"]).checkpoint()
+        crowded = [r[0] & (1 << 64) - 1 for r in sizes.where(F.col("n") > bucket).select("mask").distinct().collect()]  # a few masks a level
+        free = {m: [b for b in range(64) if not m >> b & 1] for m in crowded}
+        last = [m for m in crowded if len(free[m]) <= 12]  # at most 4,096 values are left
+        large = (F.col("n") > bucket) & ~F.col("mask").isin([signed(m) for m in last])
+        found = probe_buckets(rows.where(~large))
+        out = found if out is None else out.unionAll(found)
+        masks = {m: [x | m for x in tables(free[m], RADIUS, PARTS)] for m in crowded if m not in last}
+        if not masks:
+            return out
+        rows = deal(rows.where(large).select("fp", "mask"), masks)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): for the nodes of edges (u, v) the least node that edges lead to. Rounds grow with the logarithm of a component's width."""
+    some = edges.where("u <> v")
+    both = some.select("u", "v").unionAll(some.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("label")).checkpoint()
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("seen")), "v").groupBy(F.col("u").alias("node")).agg(F.min("seen").alias("seen"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "seen").alias("low"))
-        # the label of the node that the label comes from
-        jump = step.select(F.col("node").alias("source"), F.col("low").alias("further")).join(home.withColumnRenamed("node", "source"), "source").select("at", "further")
-        moved = step.join(jump, step.low == jump.at, "left").select("node", F.least("low", F.coalesce("further", "low")).alias("new"), "label").checkpoint()
-        changed = moved.where("not (new <=> label)").limit(1).count()
+        # the label of the node that the label names
+        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("further"))
+        moved = step.join(jump, "low").select("node", F.least("low", "further").alias("new"), "label").checkpoint()
+        changed = moved.where("new <> label").limit(1).count()
         labels = moved.select("node", F.col("new").alias("label"))
         if not changed:
             return labels
@@ -321,9 +305,12 @@ def dedup(docs: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint and component of docs (doc_id, text)."""
     shared.checkpoint_dir(docs.sparkSession)
     prints = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(fingerprint_rows, "doc_id long, fp long").checkpoint()
-    kinds = prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("own")).checkpoint()
-    labels = components(kinds, near_links(kinds.select(F.col("node").alias("fp")), bucket))
-    named = kinds.join(labels, "node", "left").select(F.col("node").alias("fp"), F.coalesce("label", "own").alias("component_id")).checkpoint()
+    kinds = prints.groupBy("fp").agg(F.min("doc_id").alias("own")).checkpoint()
+    labels = components(near_links(kinds.select("fp"), bucket)).withColumnRenamed("node", "fp").checkpoint()
+    met = labels.join(kinds, "fp")
+    least = met.groupBy("label").agg(F.min("own").alias("least"))
+    linked = met.join(least, "label").select("fp", "least")
+    named = kinds.join(linked, "fp", "left").select("fp", F.coalesce("least", "own").alias("component_id")).checkpoint()
     # both sides of this join come straight from a shuffle, so that Spark can split a fingerprint that many copies share
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -487,10 +487,38 @@ def test_links_are_whole(spark, bucket):
     kinds = {}
     for d, x in prints.items():
         kinds.setdefault(x, d)
-    nodes = spark.createDataFrame([(simhash.signed(x), d) for x, d in kinds.items()], "node long, own long")
+    nodes = spark.createDataFrame([(simhash.signed(x),) for x in kinds], "fp long")
     shared.checkpoint_dir(spark)
-    got = {r["node"]: r["label"] for r in simhash.components(nodes, simhash.near_links(nodes.select(F.col("node").alias("fp")), bucket)).collect()}
-    assert all(got.get(simhash.signed(x), d) == want[d] for x, d in kinds.items())
+    got = {r["node"]: r["label"] for r in simhash.components(simhash.near_links(nodes, bucket)).collect()}
+    groups = collections.defaultdict(set)
+    for x, d in kinds.items():
+        groups[got.get(simhash.signed(x), simhash.signed(x))].add(want[d])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
+
+
+def test_components_of_rows_without_id(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(words[:-2]), " ".join(words[:-3])]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (7, "another text of one word more"), (7, texts[1] + " end"), (None, "alone here")]
+    got = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    prints = {i: brute_fingerprint(t) for i, (_, t) in enumerate(rows)}
+    group = brute_components(prints)
+    for r in got:
+        own = {i for i, p in prints.items() if f"{p:016x}" == r["fingerprint"]}
+        ids = [rows[j][0] for j in prints if group[j] in {group[i] for i in own} and rows[j][0] is not None]
+        assert r["component_id"] == min(ids, default=None)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 20])
+def test_bit_sliced_comparison(radius):
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    for k in range(200):
+        for b in rng.choice(64, k // 8, replace=False):
+            values[k] ^= np.uint64(1) << np.uint64(b) if k else np.uint64(0)
+        values[k] = values[0] ^ values[k] if k % 2 else values[k]
+    near = np.unpackbits(simhash.within(int(values[0]), simhash.planes(values), list(range(64)), radius).view(np.uint8), bitorder="little")[:300]
+    assert near.tolist() == [int(int(x ^ values[0]).bit_count() <= radius) for x in values]
 
 
 # 9
