@@ -4,13 +4,14 @@ STAGES are applied in order, each to all that its predecessor kept: toxic
 documents go, repeated lines go, one document of each group of near-duplicates
 stays (the one with the smallest doc_id), personal data is replaced by its kind,
 and what remains is packed into sequences. All stages but the last return the
-columns of documents. Of repeated rows one stays, and a row without doc_id stays
-where it is no near-duplicate; no stage samples, caps or cuts texts.
+columns of documents, whatever further ones there are, under any name. Of repeated rows one stays (as of any
+near-duplicates; ties in doc_id go to the smaller hash of the text), and a row without doc_id stays
+where it is no near-duplicate. A null text passes all stages as an empty one; of all texts without
+words one stays. An empty table gives no rows. No stage samples, caps or cuts texts.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,19 +54,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; those that lose all their lines but blank ones go."""
     out = line_dedup.dedup(docs)
-    return out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
+    dropped = F.col(shared.free(docs.columns, "n_dropped"))
+    return out.where((dropped == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-duplicates (5-word shingles, Jaccard similarity of 0.8 or more): the smallest doc_id's, without doc_id only where none has one."""
-    id_, name = F.col("doc_id").cast("long"), ["__null", "__id", "__key"]
-    rows = near.components(docs).groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("n"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("__null"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("text_key").alias("__key"), F.col("n").alias("__n")))
-    keep = rows.groupBy("component").agg(best.alias("best")).select("best.*")
-    keyed = docs.withColumns({"__null": id_.isNull(), "__id": F.coalesce(id_, F.lit(0)), "__key": F.xxhash64(F.col("text").cast("string"))})
-    kept = keyed.join(keep, name)
+    null, id_, key = (shared.free(docs.columns, f"__{x}") for x in ("null", "id", "key"))
+    rows = near.components(docs).groupBy("component", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key").agg(F.count("*").alias("n"))
+    keep = rows.groupBy("component").agg(F.min(F.struct("no_id", "id", "text_key", "n")).alias("best")).select(F.col("best.no_id").alias(null), F.col("best.id").alias(id_), F.col("best.text_key").alias(key), F.col("best.n").alias("n")).checkpoint()
+    keyed = docs.withColumns({null: F.col("doc_id").isNull(), id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), key: F.xxhash64(F.col("text").cast("string"))})
+    name = [null, id_, key]
+    one = keyed.join(shared.small(keep.where("n = 1").drop("n")), name, "left_semi")
     # only repeated rows have to meet
-    out = kept.where("__n = 1").unionByName(kept.where("__n > 1").dropDuplicates(name))
+    out = one.unionByName(keyed.join(shared.small(keep.where("n > 1").drop("n")), name, "left_semi").dropDuplicates(name))
     return out.select(*docs.columns)
 
 
@@ -82,7 +84,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", dedup_lines),
-    ("near_dedup", dedup_near),
+    ("simhash_dedup", dedup_near),
     ("pii", redact_pii),
     ("best_fit_packing", pack),
 ]
@@ -93,7 +95,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over the documents of sf_dir, each stage's result written and read again."""
-    folder = f"{shared.checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = shared.scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
