@@ -5,14 +5,14 @@ SIMILAR[0] / SIMILAR[1] or more and their fingerprints differ in RADIUS bits at
 most, which holds for all but about one in 10,000 pairs at this similarity, and fewer above it.
 Components are what links connect. No link is lost: in any common order of shingles, two such sets share one of the
 first size - ceil(size * similarity) + 1 of either (prefix filter), so sets that
-share such a key meet in a bucket, where their fingerprints are compared bit-sliced
+share such a key meet in a bucket, where their fingerprints are compared, in large buckets bit-sliced
 (see simhash), and pairs within the radius are verified on whole sets.
 The order is by hash, but shingles that are frequent come last, so that a passage in many texts
 makes few candidates.
 
 Equal sets are merged first. A bucket of up to FEW sets leaves all its pairs, a larger
-one first a link from each set to its nearest, which connects most of a group
-of copies; later, pairs that aren't yet connected. Frequent keys are dealt out twice into buckets
+one first a few links from each set, which connect most of a group
+of copies; later, all pairs that aren't yet connected. Frequent keys are dealt out twice into buckets
 of a bounded size for the former, and into pairs of such buckets for the latter, so that no
 group of copies has to meet in one task.
 
@@ -38,7 +38,8 @@ from strikeflow.llm import textbytes as tb
 WORDS = 5
 SIMILAR = (4, 5)
 RADIUS = 20
-FEW = 16
+#: Sets of a bucket up to which all pairs are taken at once, hubs of larger ones, and sets from which on they are stored as bit planes.
+FEW, HUBS, PLANES = 16, 8, 1024
 #: Keys of more than HOT sets come last in the order, the MOST most frequent at most; any choice gives the same links.
 HOT, MOST = 64, 1 << 16
 
@@ -137,20 +138,46 @@ def sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return of * np.minimum(a, b) >= top * np.maximum(a, b)
 
 
-def bucket_pairs(node: np.ndarray, fp: np.ndarray, size: np.ndarray, label: np.ndarray | None, side: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of a large bucket: without labels, for each set the nearest one before it; with labels, all pairs that differ in label. Sets of the same side other than 2 aren't paired."""
+def nearest(node: np.ndarray, fp: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of a large bucket, few links that connect most of it: each set with the nearest of HUBS sets spread over the bucket, and with its neighbour in the order of fingerprints."""
+    hubs = np.arange(HUBS) * len(node) // HUBS
+    away = np.bitwise_count(fp[:, None] ^ fp[None, hubs])
+    away = np.where(sized(size[:, None], size[None, hubs]) & (node[:, None] != node[None, hubs]), away, 65)
+    best = away.argmin(1)
+    own = np.flatnonzero(away[np.arange(len(node)), best] <= RADIUS)
+    order = np.argsort(fp, kind="stable")
+    left, right = order[:-1], order[1:]
+    ok = (np.bitwise_count(fp[left] ^ fp[right]) <= RADIUS) & sized(size[left], size[right])
+    return [(node[own], node[hubs[best[own]]]), (node[left[ok]], node[right[ok]])]
+
+
+def bucket_pairs(node: np.ndarray, fp: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of a large bucket, all pairs within the radius that differ in label. Sets of the same side other than 2 aren't paired.
+
+    Sets of the most frequent label needn't be compared with each other, so only the others are held against the bit planes.
+    """
     out = []
-    stored, order = simhash.planes(fp), list(range(64))
-    for i in range(1, len(fp)):
-        near = simhash.within(int(fp[i]), stored[:, : (i + 63) // 64], order, RADIUS)
-        j = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[:i])
-        j = j[sized(size[j], size[i])]
-        if label is not None:
-            j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[i] == 2))]
-        elif len(j):
-            j = j[[np.bitwise_count(fp[j] ^ fp[i]).argmin()]]
-        if len(j):
-            out.append((node[j], np.full(len(j), node[i])))
+    kinds, index, counts = np.unique(label, return_inverse=True, return_counts=True)
+    last = index == counts.argmax()
+    order = np.argsort(last, kind="stable")  # the most frequent label comes last
+    node, fp, size, label, side = (x[order] for x in (node, fp, size, label, side))
+    queries = len(fp) - int(last.sum())
+
+    def put(i: np.ndarray, j: np.ndarray) -> None:
+        ok = sized(size[j], size[i]) & (label[j] != label[i]) & ((side[j] != side[i]) | (side[i] == 2))
+        if ok.any():
+            out.append((node[j[ok]], node[i[ok]]))
+
+    if len(fp) <= PLANES:  # too few for bit planes to pay
+        i, j = np.nonzero(np.triu(np.bitwise_count(fp[:queries, None] ^ fp[None]) <= RADIUS, 1))
+        put(i, j)
+        return out
+    stored, every = simhash.planes(fp), list(range(64))
+    for i in range(queries):
+        near = simhash.within(int(fp[i]), stored[:, i // 64 :], every, RADIUS)
+        j = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")) + i // 64 * 64
+        j = j[(j > i) & (j < len(fp))]
+        put(np.full(len(j), i), j)
     return out
 
 
@@ -180,7 +207,7 @@ def compared(rows: DataFrame, labelled: bool) -> DataFrame:
         large = np.flatnonzero(n > FEW)
         for k in large.tolist():
             at = slice(start[k], start[k] + n[k])
-            pairs += bucket_pairs(node[at], fp[at], size[at], label[at] if labelled else None, side[at])
+            pairs += bucket_pairs(node[at], fp[at], size[at], label[at], side[at]) if labelled else nearest(node[at], fp[at], size[at])
         u, v = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in (0, 1))
         # the same pair meets under many keys
         u, v = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1) if len(u) else (u, v)
