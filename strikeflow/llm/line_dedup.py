@@ -45,8 +45,6 @@ MIN_CHARS = 40
 LETTERS = "entiaros"
 #: The most classes of a key that are paired.
 BUCKET = 32
-#: The most dropped positions that are broadcast.
-FEW_LINES = 1 << 20
 
 
 def let(value: Column, body) -> Column:
@@ -239,9 +237,7 @@ def dedup(docs: DataFrame, *, edits: int = EDITS, min_chars: int | None = None,
     n_lines, n_dropped = (shared.free(docs.columns, x) for x in ("n_lines", "n_dropped"))
     text = F.col("text").cast("string")
     drops = dropped_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), edits=edits, min_chars=min_chars, bucket=bucket)
-    per = drops.groupBy(F.col("doc_id").alias(doc), F.col("tie").alias(tie)).agg(F.sort_array(F.collect_list("pos")).alias(gone)).checkpoint()
-    if (per.agg(F.sum(F.size(gone) + 4)).first()[0] or 0) <= FEW_LINES:
-        per = F.broadcast(per)
+    per = drops.groupBy(F.col("doc_id").alias(doc), F.col("tie").alias(tie)).agg(F.sort_array(F.collect_list("pos")).alias(gone))
 
     def kept(lines: Column) -> Column:
         d = F.col(gone)
@@ -250,7 +246,7 @@ def dedup(docs: DataFrame, *, edits: int = EDITS, min_chars: int | None = None,
         end = lambda k: F.when(k < n, F.get(d, k)).otherwise(F.size(lines))
         return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), lambda k: F.slice(lines, begin(k) + 1, end(k) - begin(k)))), "\n")
 
-    joined = docs.join(per, (docs["doc_id"].cast("long") == per[doc]) & (F.xxhash64(docs["text"].cast("string")) == per[tie]), "left")
+    joined = docs.join(per.hint("merge"), (docs["doc_id"].cast("long") == per[doc]) & (F.xxhash64(docs["text"].cast("string")) == per[tie]), "left")  # texts are shuffled: what is dropped has no size bound
     new = F.when(F.col(gone).isNull(), text).otherwise(let(F.split(text, "\n"), kept))
     count = lambda x: F.coalesce(F.greatest(F.size(x), F.lit(0)), F.lit(0)).cast("long")
     out = joined.select(*((new if c == "text" else F.col(c)).alias(c) for c in docs.columns), count(F.split(text, "\n")).alias(n_lines), count(F.col(gone)).alias(n_dropped))
