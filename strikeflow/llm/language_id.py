@@ -1,16 +1,19 @@
 """Language identification by prediction by partial matching.
 
 Each language has a context tree of bytes up to DEPTH long. A node holds how
-often each symbol followed its context; escape method C with exclusion gives a
-symbol that the node hasn't seen its share of the parent's distribution. The
-statistics are frozen after training, so each node's distribution is computed
-once, sums to one, and a text's exact code length is a sum of table entries. The
-language with the shortest code wins.
-
-Symbols: ASCII is lower-cased; the SYMBOLS - 1 most frequent bytes of the
-training texts stand for themselves, all others share the last symbol.
-
-Training takes at most SAMPLE labelled rows (see shared.sample). Results: `und`
+often each byte followed its context; escape method C with exclusion gives a
+byte that the node hasn't seen its share of the parent's distribution, down to the uniform one over all 256 bytes. The
+statistics are frozen after training, so each node's distribution sums to one, and a text's exact code length is a
+sum of table entries. The language with the shortest code wins.
+
+A tree is stored sparsely: the code lengths of the bytes that each node has seen, and what an
+escape from the node costs, so a model's size is in proportion to the distinct sequences of its training
+text, for each language alone. Sequences that any language has seen at full depth have one row with the code lengths of all
+languages; others are looked up from node to node.
+
+ASCII is lower-cased; texts are taken to follow DEPTH line feeds.
+Training takes about SAMPLE labelled rows of about MAX_BYTES (see shared.sample), an even share for each language, so that rare languages
+are learned too. Results: `und`
 and score 0 for a null text, one without a letter, or when there is nothing to
 learn from. Ties go to the first language in order. Repeated rows are predicted
 each; other columns are ignored. A null doc_id isn't held out.
@@ -29,87 +32,109 @@ from pyspark.sql import functions as F
 from strikeflow.llm import shared
 from strikeflow.llm import textbytes as tb
 
-DEPTH, SYMBOLS = 3, 64
-SAMPLE = 3000
-START = 10  # texts are taken to follow line feeds
+DEPTH = 3
+SAMPLE, MAX_BYTES = 3000, 12 << 20
+START = 10
+SLOTS = 22
 LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[97:123] = True
 
 
-def symbols(buf: np.ndarray, offs: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all bytes, and the code of the DEPTH symbols before each."""
+def sequences(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """For each byte a number of the DEPTH bytes before it and itself, itself in the lowest 8 bits."""
     n = len(offs) - 1
-    padded = np.full(len(buf) + DEPTH * n, symbol[START], np.int32)
+    padded = np.full(len(buf) + DEPTH * n, START, np.uint32)
     at = np.arange(len(buf)) + np.repeat(DEPTH * np.arange(1, n + 1), np.diff(offs))
-    own = symbol[tb.LOWER[buf]].astype(np.int32)
-    padded[at] = own
-    code = np.zeros(len(buf), np.int32)
-    for k in range(DEPTH, 0, -1):
-        code = code * SYMBOLS + padded[at - k]
-    return own, code
+    padded[at] = tb.LOWER[buf]
+    code = np.zeros(len(buf), np.uint32)
+    for k in range(DEPTH, -1, -1):
+        code = code << np.uint32(8) | padded[at - k]
+    return code
+
+
+def found(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of sought would stand in sorted keys, and whether it does."""
+    i = np.searchsorted(keys, sought).clip(max=max(0, len(keys) - 1))
+    return i, keys[i] == sought if len(keys) else np.zeros(len(sought), bool)
+
+
+class Tree:
+    """seen[d]: sorted sequences of a context of d bytes and a byte, with the byte's probability; nodes[d]: contexts of d bytes, and the factor by which an escape scales the parent's probabilities."""
+
+    def __init__(self, codes: np.ndarray):
+        self.seen: list[tuple[np.ndarray, np.ndarray]] = []
+        self.nodes: list[tuple[np.ndarray, np.ndarray]] = []
+        full, times = np.unique(codes, return_counts=True)
+        for d in range(DEPTH + 1):
+            keys, index = np.unique(full & np.uint32((1 << 8 * (d + 1)) - 1), return_inverse=True)
+            counts = np.bincount(index, times, len(keys))
+            context, node = np.unique(keys >> np.uint32(8), return_inverse=True)
+            total, kinds = np.bincount(node, counts), np.bincount(node)
+            unseen = 1 - np.bincount(node, self.probability(d - 1, keys & np.uint32((1 << 8 * d) - 1)))
+            open_ = (kinds < 256) & (unseen > 1e-12)
+            scale = np.where(open_, kinds / (total + kinds) / np.where(open_, unseen, 1), 0)
+            self.seen.append((keys, counts / (total + np.where(open_, kinds, 0))[node]))
+            self.nodes.append((context, scale))
+
+    def probability(self, depth: int, keys: np.ndarray) -> np.ndarray:
+        """Of the last byte of each of keys after the depth bytes before it."""
+        if depth < 0:
+            return np.full(len(keys), 1 / 256)
+        i, hit = found(self.seen[depth][0], keys)
+        out = np.empty(len(keys))
+        out[hit] = self.seen[depth][1][i[hit]]
+        other = keys[~hit]
+        if len(other):
+            k, known = found(self.nodes[depth][0], other >> np.uint32(8))
+            out[~hit] = self.probability(depth - 1, other & np.uint32((1 << 8 * depth) - 1)) * np.where(known, self.nodes[depth][1][k], 1)
+        return out
 
 
 class Model:
-    """node: the tree node of each context code; bits[node * SYMBOLS + symbol, language]: code lengths."""
+    """A tree for each language; bits[i]: the code lengths, by language, of the last byte of sequence keys[i]; slot: where to look for a sequence."""
 
     def __init__(self, texts: pa.ChunkedArray, labels: list[str]):
         self.languages = sorted(set(labels))
         buf, offs = tb.to_bytes(texts)
-        frequent = np.argsort(-np.bincount(tb.LOWER[buf], minlength=256), kind="stable")[: SYMBOLS - 1]
-        self.symbol = np.full(256, SYMBOLS - 1, np.uint8)
-        self.symbol[frequent] = np.arange(len(frequent))
-        own, code = symbols(buf, offs, self.symbol)
-        language = np.repeat(np.searchsorted(self.languages, labels), np.diff(offs))
-        kinds = np.unique(code)
-        self.node = np.full(SYMBOLS**DEPTH, -1, np.int32)
-        self.bits = np.zeros((0, len(self.languages)), np.float32)
-        self.node[:] = 0
-        tables = []
-        parents = None
-        for depth in range(DEPTH + 1):
-            size = SYMBOLS**depth
-            nodes = np.arange(size) if depth < DEPTH else kinds
-            context = code % size
-            if depth == DEPTH:
-                context = np.searchsorted(kinds, context)
-            dists = np.zeros((len(nodes), SYMBOLS, len(self.languages)))
-            for k in range(len(self.languages)):
-                mine = language == k
-                counts = np.bincount(context[mine] * SYMBOLS + own[mine], minlength=len(nodes) * SYMBOLS).reshape(-1, SYMBOLS).astype(float)
-                below = np.full((len(nodes), SYMBOLS), 1 / SYMBOLS) if depth == 0 else parents[nodes % SYMBOLS ** (depth - 1), :, k]
-                dists[:, :, k] = escape(counts, below)
-            tables.append(dists)
-            parents = dists
-        self.node = (np.arange(SYMBOLS**DEPTH) % SYMBOLS ** (DEPTH - 1) + len(kinds)).astype(np.int32)
-        self.node[kinds] = np.arange(len(kinds))
-        self.bits = -np.log2(np.concatenate([tables[DEPTH], tables[DEPTH - 1]])).astype(np.float32).reshape(-1, len(self.languages))
+        codes = sequences(buf, offs)
+        owner = np.repeat(np.searchsorted(self.languages, labels), np.diff(offs))
+        self.trees = [Tree(codes[owner == k]) for k in range(len(self.languages))]
+        self.keys = np.unique(np.concatenate([t.seen[DEPTH][0] for t in self.trees]))
+        self.bits = self.lengths(self.keys).astype(np.float32)
+        self.slot: np.ndarray | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"slot": None}
+
+    def lengths(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.stack([-np.log2(t.probability(DEPTH, keys)) for t in self.trees], 1)
 
     def code_lengths(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits by text and language; bytes; whether the text has an ASCII letter."""
+        place = lambda codes: (codes * np.uint32(2654435761)) >> np.uint32(32 - SLOTS)
+        if self.slot is None:
+            self.slot = np.zeros(1 << SLOTS, np.int32)
+            self.slot[place(self.keys)] = np.arange(len(self.keys))
         buf, offs = tb.to_bytes(column)
         total = np.zeros((len(offs) - 1, len(self.languages)))
         letter = np.zeros(len(offs) - 1, bool)
         if len(buf):
-            own, code = symbols(buf, offs, self.symbol)
+            codes = sequences(buf, offs)
             full = np.flatnonzero(np.diff(offs))
-            index = self.node[code] * SYMBOLS + own
+            index = self.slot[place(codes)]
+            miss = np.flatnonzero(self.keys[index] != codes)
+            rare, where = np.unique(codes[miss], return_inverse=True)
+            own = self.lengths(rare)
             for k in range(len(self.languages)):
-                total[full, k] = np.add.reduceat(self.bits[:, k][index], offs[full], dtype=np.float64)
+                bits = self.bits[:, k][index]
+                bits[miss] = own[where, k]
+                total[full, k] = np.add.reduceat(bits, offs[full], dtype=np.float64)
             letter[full] = np.logical_or.reduceat(_ASCII_LETTER[tb.LOWER[buf]], offs[full])
         return total, np.diff(offs), letter
 
 
-def escape(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Distributions of nodes from their counts and those of their parents."""
-    total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-    unseen = np.where(counts > 0, 0, below)
-    rest = unseen.sum(1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        mixed = np.where(counts > 0, counts, kinds * unseen / rest) / (total + kinds)
-        return np.where(total == 0, below, np.where(rest <= 0, counts / total, mixed))
-
-
 def predict(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shipped.value
@@ -134,7 +159,7 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 def identify(docs: DataFrame, held_out, *, limit: int = SAMPLE) -> DataFrame:
     """Languages of docs (doc_id, text, lang), learned from rows that aren't held out."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string").alias("label"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    rows = shared.sample(docs.where("not held_out and text is not null"), limit, stratified=True)
+    rows = shared.sample(docs.where("not held_out and text is not null"), limit, MAX_BYTES, stratified=True)
     every = docs.select("doc_id", "text", "held_out")
     if not rows.num_rows or not any(rows.column("text").to_pylist()):
         return every.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))

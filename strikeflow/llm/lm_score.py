@@ -245,7 +245,7 @@ def score(docs: DataFrame, held_out, *, order: int = ORDER, prior=PRIOR, group_b
     got = docs.select("text", "held_out").mapInArrow(vocabulary(shuffle), "bucket long, tokens long, size long, keys binary").groupBy("bucket").applyInArrow(count_kinds, "tokens long, size long, kinds long").agg(*(F.sum(c).alias(c) for c in ("tokens", "size", "kinds"))).first()
     total, size, kinds = ((x or 0) for x in got)
     groups, buckets = max(shuffle, math.ceil(size / group_bytes)), max(shuffle, math.ceil(size / bucket_bytes))
-    docs = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    docs = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(groups)))
     bits = min(64, max(40, total.bit_length() + SPARE))
     run, schema = ask(buckets, order, bits)
     asked = docs.groupBy("grp").applyInArrow(run, schema)

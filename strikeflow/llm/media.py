@@ -6,8 +6,9 @@ a payload by its SHA-256 digest; `resolve` joins them to a media table, so that
 each payload is kept once however many pages show it, while positions and
 captions stay with the reference.
 
-The query makes a page of each document: a figure whose image is the document's
-payload and whose caption names the document. A payload is the text's UTF-8
+The query makes a page of each document: a run of text that names it, a figure whose image is the document's
+payload with a caption that gives its size, and a closing run. Its rows are the pages' media items, with
+their position, caption and the run of text before them. A payload is the text's UTF-8
 bytes, zero bytes up to a positive multiple of 64, stored as an 8-bit greyscale
 PNG image of 64 columns. The stored image is read back, and features are
 computed from its samples.
@@ -31,6 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strikeflow.llm import shared
+from strikeflow.llm import textbytes as tb
+
 WIDTH = 64
 SCHEME = "sha256:"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -116,15 +120,20 @@ def interleave(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([Sequence(x or "").result() for x in batch.column(1).to_pylist()], _ARROW)], names=[key, "items"])
+            for rows in tb.pieces(batch, "html"):
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([Sequence(x or "").result() for x in rows.column(1).to_pylist()], _ARROW)], names=[key, "items"])
 
     own = pages.select(F.col(key), F.col(html).cast("string").alias("html"))
     return own.mapInArrow(run, f"`{key}` {own.schema[0].dataType.simpleString()}, items array<{ITEM}>")
 
 
-def resolve(sequences: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row (key, position, kind, text, src, digest, caption, *media) for each item, payload values by digest."""
-    items = sequences.select(key, F.explode("items").alias("item")).select(key, "item.*")
+def resolve(sequences: DataFrame, media: DataFrame, key: str = "page_id", only_media: bool = False) -> DataFrame:
+    """One row (key, position, kind, text, src, digest, caption, *media) for each item, payload values by digest; only_media: for media items, with the run of text before as text."""
+    items = F.col("items")
+    if only_media:
+        before = lambda x: F.when(x["position"] > 0, F.get(items, x["position"] - 1)["text"])
+        items = F.transform(F.filter(items, lambda x: x["kind"] == "media"), lambda x: x.withField("text", before(x)))
+    items = sequences.select(key, F.explode(items).alias("item")).select(key, "item.*")
     return items.join(media, "digest", "left")
 
 
@@ -188,19 +197,15 @@ def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stored media of a partition, one row for each of its distinct texts."""
     seen: set[bytes] = set()
     for batch in batches:
-        rows, size = [], 0
-        for text in batch.column(0).to_pylist():
-            raw, digest = digest_of(text)
-            if (key := bytes.fromhex(digest)) in seen:
-                continue
-            seen.add(key)
-            rows.append((digest, len(raw), encode_png(payload_of(raw))))
-            size += len(rows[-1][2])
-            if size > 1 << 22:
+        for part in tb.pieces(batch):
+            rows = []
+            for text in part.column(0).to_pylist():
+                raw, digest = digest_of(text)
+                if (key := bytes.fromhex(digest)) not in seen:
+                    seen.add(key)
+                    rows.append((digest, len(raw), encode_png(payload_of(raw))))
+            if rows:
                 yield _batch(rows, STORE)
-                rows, size = [], 0
-        if rows:
-            yield _batch(rows, STORE)
 
 
 _TYPES = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
@@ -227,8 +232,12 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def page_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A page for each document, showing its payload."""
     for batch in batches:
-        pages = [f'<article><figure><img src="{SCHEME}{digest_of(t)[1]}"><figcaption>document {d}</figcaption></figure></article>' for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.string())], names=["doc_id", "html"])
+        for part in tb.pieces(batch):
+            pages = []
+            for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                raw, digest = digest_of(t)
+                pages.append(f'<article><h1>document {d}</h1><figure><img src="{SCHEME}{digest}"><figcaption>{len(raw)} bytes</figcaption></figure><p>end of document {d}</p></article>')
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pages, pa.string())], names=["doc_id", "html"])
 
 
 def store_documents(docs: DataFrame, folder: str) -> DataFrame:
@@ -238,14 +247,9 @@ def store_documents(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    from strikeflow.llm import shared
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    folder = f"{shared.checkpoint_dir(spark).rstrip('/')}/media-{uuid.uuid4().hex}"
-    media = store_documents(docs, folder).mapInArrow(read_back, READ).dropDuplicates(["digest"]).checkpoint()
+    media = store_documents(docs, shared.scratch(spark, "media")).mapInArrow(read_back, READ).dropDuplicates(["digest"]).checkpoint()
     # the digest join's sides come straight from a shuffle, so that Spark can split a payload that many documents share
     pages = docs.mapInArrow(page_of, "doc_id long, html string")
-    shown = resolve(interleave(pages, "doc_id"), media, "doc_id")
-    return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
+    shown = resolve(interleave(pages, "doc_id"), media, "doc_id", only_media=True)
+    return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", F.col("text").alias("text_before"))

@@ -8,15 +8,16 @@ best boundaries and types of a stretch together. Only words that hold a digit or
 an at sign can begin or end an entity, so the field runs over stretches of such
 words and their brackets; all other words are `other` in any labelling.
 
-Training maximises the likelihood of the base spans in the stretches of at most
-SAMPLE documents (see shared.sample). Digits that miss the checksum are examples
+Training maximises the likelihood of the base spans in the stretches of about
+SAMPLE documents (see shared.sample), MOST stretches at most, in the order of the sample. Digits that miss the checksum are examples
 of `other`. Stretches with an address or a phone number that fails its check are
 left out: the greedy pattern may have run into the words that follow, and the
-field finds the number inside. A span is added if its marginal odds
-against `other` exceed MARGIN and no base span overlaps it.
+field finds the number inside. Long stretches are cut between base spans. A span of the best labelling is added if its log odds
+against `other` for the same words exceed MARGIN and no base span overlaps it.
 
 Results: a null text is an empty one and has no spans. A stretch may have any
-length; time is linear in it. Repeated rows are searched each. Other columns are
+length; time is linear in it, and memory a few numbers a word: of the lattice only
+the last LONGEST columns are ever held. Repeated rows are searched each. Other columns are
 ignored. An empty table gives no rows. n_email to n_phone count base spans.
 """
 
@@ -24,7 +25,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections import defaultdict
+from itertools import accumulate
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +44,10 @@ LONGEST = 4
 SAMPLE = 5000
 ROUNDS, RATE, DECAY = 12, 0.3, 1e-4
 MARGIN = 2.0
+#: The most training stretches, and the words from which on one is cut.
+MOST, CUT = 6000, 40
+#: Segments of at most so many characters have their scores kept, so many of them.
+KEPT_CHARS, KEPT = 64, 1 << 14
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -94,23 +102,25 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     return sorted(found), failed
 
 
-def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of words that each hold a digit or an at sign."""
-    run: list[tuple[int, int]] = []
+Words = tuple[array, array]
+
+
+def stretches(text: str) -> Iterator[Words]:
+    """Starts and ends of the words of each run of words that hold a digit or an at sign."""
+    starts, ends = array("q"), array("q")
     at = 0
     while m := _HIT.search(text, at):
-        start, stop = m.start(), m.end()
+        start = m.start()
         while start > at and text[start - 1] not in " \t\n\x0b\x0c\r":
             start -= 1
-        w = _WORD.match(text, start)
-        stop = w.end()
-        if run and text[run[-1][1] : start].strip(" \t\n\x0b\x0c\r"):
-            yield run
-            run = []
-        run.append((start, stop))
-        at = stop
-    if run:
-        yield run
+        if ends and text[ends[-1] : start].strip(" \t\n\x0b\x0c\r"):
+            yield starts, ends
+            starts, ends = array("q"), array("q")
+        at = _WORD.match(text, start).end()
+        starts.append(start)
+        ends.append(at)
+    if starts:
+        yield starts, ends
 
 
 def core(text: str, start: int, end: int) -> tuple[int, int]:
@@ -118,11 +128,12 @@ def core(text: str, start: int, end: int) -> tuple[int, int]:
     return m.span() if m else (start, end)
 
 
+_ZEROS = {48 + d: "0" for d in range(1, 10)}
 _SHAPE = re.compile(r"([0-9]+)|([A-Za-zÀ-￿]+)")
 
 
 def shape(text: str) -> str:
-    return _SHAPE.sub(lambda m: f"d{min(m.end() - m.start(), 20)}" if m.group(1) else "a", text[:80])
+    return _SHAPE.sub(lambda m: f"d{min(m.end() - m.start(), 20)}" if m.group(1) else "a", text)
 
 
 def segment_features(text: str, start: int, end: int, words: int) -> list[str]:
@@ -149,6 +160,10 @@ class Field:
 
     def __init__(self):
         self.weights: dict[str, np.ndarray] = {}
+        self.kept: dict[tuple, tuple[float, int, float]] = {}
+
+    def __getstate__(self):
+        return {"weights": self.weights, "kept": {}}
 
     def score(self, names: list[str]) -> np.ndarray:
         total = np.zeros(OTHER + 1)
@@ -158,12 +173,12 @@ class Field:
                 total += w
         return total
 
-    def lattice(self, text: str, words: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[int, int, list[str]]]:
-        """Segments (i, j) of words: their trimmed span and features."""
+    def lattice(self, text: str, words: Words) -> dict[tuple[int, int], tuple[int, int, list[str]]]:
+        """Segments (i, j) of words: their trimmed span and features. For training, on stretches of a bounded length."""
         out = {}
-        for j in range(1, len(words) + 1):
+        for j in range(1, len(words[0]) + 1):
             for i in range(max(0, j - LONGEST), j):
-                start, end = core(text, words[i][0], words[j - 1][1])
+                start, end = core(text, words[0][i], words[1][j - 1])
                 out[i, j] = (start, end, segment_features(text, start, end, j - i))
         return out
 
@@ -211,54 +226,97 @@ class Field:
                         squares[name] += step * step
                         w += RATE * step / np.sqrt(squares[name])
 
-    def decode(self, text: str, words: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """Spans (start, kind, end) of the best labelling that beat `other` by MARGIN."""
-        n, lattice = len(words), self.lattice(text, words)
-        scores = self.scores(lattice)
-        best, back = np.full(n + 1, -np.inf), [(0, OTHER)] * (n + 1)
-        best[0] = 0
+    def segment(self, text: str, start: int, end: int, words: int) -> tuple[float, int, float]:
+        """The best score of a segment and its kind, and the score of `other`, which takes one word."""
+        start, end = core(text, start, end)
+        key = None
+        if end - start <= KEPT_CHARS:
+            body = text[start:end]
+            # all that features see of digits is how many there are, and a checksum
+            key = (body.translate(_ZEROS), words, text[max(0, start - 2) : start].translate(_ZEROS), 12 <= len(body) and luhn(only_digits(body)))
+            if key in self.kept:
+                return self.kept[key]
+        s = self.score(segment_features(text, start, end, words))
+        other = float(s[OTHER]) if words == 1 else -np.inf
+        s[OTHER] = other
+        kind = int(s.argmax())
+        found = float(s[kind]), kind, other
+        if key is not None:
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            self.kept[key] = found
+        return found
+
+    def best(self, text: str, words: Words) -> tuple[float, list[tuple[int, int, int, float]]]:
+        """The score of the best labelling, and its segments (i, j, kind, log odds against `other`) that aren't `other`."""
+        starts, ends = words
+        n = len(starts)
+        best, gain, other = array("d", [0.0]) * (n + 1), array("d", [0.0]) * (n + 1), array("d", [0.0]) * (n + 1)
+        size, kinds = bytearray(n + 1), bytearray(n + 1)
         for j in range(1, n + 1):
-            for i in range(max(0, j - LONGEST), j):
-                kind = int(scores[i, j].argmax())
-                if (x := best[i] + scores[i, j][kind]) > best[j]:
-                    best[j], back[j] = x, (i, kind)
+            top = -np.inf
+            for i in range(j - 1, max(0, j - LONGEST) - 1, -1):
+                score, kind, alone = self.segment(text, starts[i], ends[j - 1], j - i)
+                if i == j - 1:
+                    other[j] = other[i] + alone
+                if (x := best[i] + score) > top:
+                    top, size[j], kinds[j], gain[j] = x, j - i, kind, score
+            best[j] = top
         found, j = [], n
         while j:
-            i, kind = back[j]
-            if kind != OTHER and scores[i, j][kind] - sum(scores[k, k + 1][OTHER] for k in range(i, j)) > MARGIN:
-                start, end, _ = lattice[i, j]
-                found.append((start, kind, end))
+            i = j - size[j]
+            if kinds[j] != OTHER:
+                found.append((i, j, kinds[j], gain[j] - (other[j] - other[i])))
             j = i
-        return found[::-1]
+        return best[n], found[::-1]
+
+    def decode(self, text: str, words: Words) -> Iterator[tuple[int, int, int]]:
+        """Spans (start, kind, end) of the best labelling that beat `other` by MARGIN."""
+        for i, j, kind, odds in self.best(text, words)[1]:
+            if odds > MARGIN:
+                start, end = core(text, words[0][i], words[1][j - 1])
+                yield start, kind, end
 
 
 def examples(text: str, field: Field) -> Iterator[tuple[dict, int, set]]:
-    """Training stretches of a text, of 40 words at most."""
+    """Training stretches of a text, cut between base spans into CUT words or a few more."""
     spans, failed = base_spans(text)
-    for words in stretches(text):
-        low, high = words[0][0], words[-1][1]
-        if len(words) > 40 or any(a < high and b > low for a, b in failed):
-            continue
-        lattice = field.lattice(text, words)
-        gold, covered = set(), set()
-        inside = [s for s in spans if s[0] < high and s[2] > low]
-        for start, kind, end in inside:
-            for (i, j), (a, b, _) in lattice.items():
-                if (a, b) == (start, end) and not covered & set(range(i, j)):
-                    gold.add((i, j, kind))
-                    covered |= set(range(i, j))
-                    break
-            else:
+    for starts, ends in stretches(text):
+        at = 0
+        while at < len(starts):
+            to = min(len(starts), at + CUT)
+            while to < len(starts) and to < at + 2 * CUT and any(a < ends[to - 1] and b > starts[to] for a, _, b in spans):
+                to += 1
+            yield from example(text, (starts[at:to], ends[at:to]), spans, failed, field)
+            at = to
+
+
+def example(text: str, words: Words, spans: list, failed: list, field: Field) -> Iterator[tuple[dict, int, set]]:
+    low, high = words[0][0], words[1][-1]
+    if any(a < high and b > low for a, b in failed):
+        return
+    lattice = field.lattice(text, words)
+    gold, covered = set(), set()
+    for start, kind, end in (s for s in spans if s[0] < high and s[2] > low):
+        for (i, j), (a, b, _) in lattice.items():
+            if (a, b) == (start, end) and not covered & set(range(i, j)):
+                gold.add((i, j, kind))
+                covered |= set(range(i, j))
                 break
         else:
-            yield lattice, len(words), gold | {(i, i + 1, OTHER) for i in range(len(words)) if i not in covered}
+            return
+    n = len(words[0])
+    yield lattice, n, gold | {(i, i + 1, OTHER) for i in range(n) if i not in covered}
 
 
-def train(texts: list[str], most: int = 6000) -> Field:
+def train(texts: list[str], most: int = MOST) -> Field:
     field, found = Field(), []
     for text in texts:
         if text and _ANY.search(text):
-            found += examples(text, field)
+            for x in examples(text, field):
+                found.append(x)
+                if len(found) >= most:
+                    break
         if len(found) >= most:
             break
     if any(kind != OTHER for _, _, gold in found for _, _, kind in gold):
@@ -271,10 +329,13 @@ def find(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tupl
     base, _ = base_spans(text)
     if not field.weights or not _ANY.search(text):
         return base, base
+    starts = [a for a, _, _ in base]
+    reach = list(accumulate((b for _, _, b in base), max))
     added = []
     for words in stretches(text):
         for start, kind, end in field.decode(text, words):
-            if not any(a < end and b > start for a, _, b in base):
+            before = bisect_left(starts, end)  # base spans that begin before this one ends
+            if not before or reach[before - 1] <= start:
                 added.append((start, kind, end))
     return base, sorted(base + added)
 
@@ -300,7 +361,7 @@ def search(shipped):
         field: Field = shipped.value
         for batch in batches:
             rows = []
-            for text in batch.column("text"):
+            for text in batch.column("text"):  # one at a time
                 text = text.as_py() or ""
                 base, spans = find(text, field)
                 counts = [sum(k == kind for _, k, _ in base) for kind in range(len(KINDS))]

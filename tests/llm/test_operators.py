@@ -280,17 +280,46 @@ def test_png_round_trip():
         media.decode_png(b"GIF89a")
 
 
+def naive_feature(payload):
+    """Size, mean, deviation and 8 x 8 average hash with plain loops."""
+    h = len(payload) // 64
+    mean = sum(payload) / len(payload)
+    dev = math.sqrt(sum((x - mean) ** 2 for x in payload) / len(payload))
+    edges = [int(k * h / 8) for k in range(9)]
+    blocks = []
+    for r in range(8):
+        for c in range(8):
+            own = [payload[64 * y + x] for y in range(edges[r], edges[r + 1]) for x in range(8 * c, 8 * c + 8)]
+            blocks.append(sum(own) / max(edges[r + 1] - edges[r], 1))
+    bits = "".join("1" if x > sum(blocks) / 64 else "0" for x in blocks)
+    return f"64x{h} mean={mean:.4f} dev={dev:.4f} hash={int(bits, 2):016x}"
+
+
 def test_media(spark, docs, tmp_path):
-    stored = media.store_documents(docs, str(tmp_path / "m"))
-    told = stored.mapInArrow(media.read_back, media.READ).dropDuplicates(["digest"])
-    pages = docs.select("doc_id", "text").mapInArrow(media.page_of, "doc_id long, html string")
-    rows = media.resolve(media.interleave(pages, "doc_id"), told, "doc_id").collect()
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = media.op5_media_columns(spark, str(tmp_path)).collect()
     assert len(rows) == docs.count()
     for r in rows:
         if r["doc_id"] is not None:
             raw = (TEXTS[r["doc_id"]] or "").encode()
             payload = media.payload_of(raw)
+            stored = media.encode_png(payload)
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+            assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(stored), hashlib.sha256(stored).hexdigest(), naive_feature(payload))
+            assert (r["position"], r["caption"], r["text_before"]) == (1, f"{len(raw)} bytes", f"document {r['doc_id']}")
+
+
+def test_pages_keep_their_text(spark):
+    import html
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r["items"] for r in media.interleave(pages).collect()}
+    assert len(got) == pages.count()
+    for r in pages.collect():
+        body = re.sub(r"(?s)<(script|style|head)\b.*?</\1>|<!--.*?-->|<!DOCTYPE[^>]*>", "", r["html"] or "")
+        want = html.unescape(re.sub(r"<[^>]*>", " ", body)).split()
+        text = " ".join(i["text"] for i in got[r["page_id"]] if i["kind"] == "text").split()
+        assert "".join(text) == "".join(want) and [i["position"] for i in got[r["page_id"]]] == list(range(len(got[r["page_id"]])))
 
 
 def test_interleaving_keeps_order():
@@ -424,10 +453,48 @@ def test_language(spark, docs, nothing):
     assert {r["lang_pred"] for r in language_id.identify(d.withColumn("lang", F.lit(None)), held).collect()} == {"und"}
 
 
+class Partial:
+    """Prediction by partial matching with dictionaries, escape method C with exclusion."""
+
+    def __init__(self, texts):
+        self.counts = collections.defaultdict(collections.Counter)
+        for t in texts:
+            t = b"\n" * language_id.DEPTH + t
+            for i in range(language_id.DEPTH, len(t)):
+                for d in range(language_id.DEPTH + 1):
+                    self.counts[t[i - d : i]][t[i]] += 1
+
+    def probability(self, context, byte):
+        below = self.probability(context[1:], byte) if context else 1 / 256
+        seen = self.counts.get(context)
+        if not seen:
+            return below
+        total, kinds = sum(seen.values()), len(seen)
+        if byte in seen:
+            return seen[byte] / (total + kinds)
+        return kinds / (total + kinds) * below / (1 - sum(self.probability(context[1:], b) if context else 1 / 256 for b in seen))
+
+    def bits(self, text):
+        text = b"\n" * language_id.DEPTH + text
+        return -sum(math.log2(self.probability(text[i - language_id.DEPTH : i], text[i])) for i in range(language_id.DEPTH, len(text)))
+
+
+def test_code_lengths_match_brute_force():
+    texts = {"x": ["abracadabra banana", "the cat sat"], "y": ["décor à la carte", "日本語"]}
+    m = language_id.Model(pa.chunked_array([[t for v in texts.values() for t in v]]), [k for k, v in texts.items() for _ in v])
+    new = ["the abracat", "", "日本 décor", "zzz 😀", "Abracadabra"]
+    bits, size, letter = m.code_lengths(pa.array(new))
+    for k, (_, known) in enumerate(texts.items()):
+        p = Partial([t.lower().encode() for t in known])
+        assert [round(x, 2) for x in bits[:, k]] == [round(p.bits(t.lower().encode()), 2) for t in new]
+    assert size.tolist() == [len(t.encode()) for t in new] and letter.tolist() == [True, False, True, True, True]
+
+
 def test_code_lengths_are_of_distributions():
-    m = language_id.Model(pa.chunked_array([["abracadabra banana", "the cat sat"]]), ["x", "y"])
-    sums = np.exp2(-m.bits.reshape(-1, language_id.SYMBOLS, 2).astype(float)).sum(1)
-    assert np.abs(sums - 1).max() < 1e-4
+    m = language_id.Model(pa.chunked_array([["abracadabra banana", "the cat sat", "\xff".encode().decode() + "é"]]), ["x", "y", "y"])
+    for context in (b"bra", b"the", b"zzz", b"at ", b"\n\n\n", bytes([3, 200, 255])):
+        keys = np.arange(256, dtype=np.uint32) + np.uint32(int.from_bytes(context, "big") << 8)
+        assert np.abs(np.exp2(-m.lengths(keys)).sum(0) - 1).max() < 1e-9
 
 
 # 8
@@ -560,6 +627,50 @@ def test_field_prefers_whole_spans(spark, docs, nothing):
     assert pii.detect(nothing).count() == 0
 
 
+def segmentations(n):
+    if n == 0:
+        yield []
+    for k in range(1, min(n, pii.LONGEST) + 1):
+        for rest in segmentations(n - k):
+            for kind in range(pii.OTHER + (k == 1)):
+                yield [*rest, (n - k, n, kind)]
+
+
+def test_field_against_enumerated_labellings():
+    rng = random.Random(12)
+    texts = [f"call +1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)} or mail a{i}@b{i}.example.com, at 10.0.{i % 256}.1 and 12 apples" for i in range(60)]
+    field = pii.train(texts)
+    for text in ["+1 (212) 555-1234 10.20.30.40", "12 4111 1111 1111 1111", "a@b.example.com +44 20 7946 0000", "1 2 3 4 5"]:
+        (words,) = pii.stretches(text)
+        n = len(words[0])
+        lattice = field.lattice(text, words)
+        scores = field.scores(lattice)
+        totals = {tuple(x): sum(scores[i, j][kind] for i, j, kind in x) for x in segmentations(n)}
+        ahead, behind = field.sums(n, scores)
+        assert ahead[n] == pytest.approx(np.logaddexp.reduce(list(totals.values()))) == behind[0]
+        top = max(totals, key=totals.get)
+        best, found = field.best(text, words)
+        assert best == pytest.approx(totals[top])
+        assert [x[:3] for x in found] == [x for x in top if x[2] != pii.OTHER]
+        for i, j, kind, odds in found:
+            assert odds == pytest.approx(scores[i, j][kind] - sum(scores[k, k + 1][pii.OTHER] for k in range(i, j)))
+
+
+def test_a_long_table_of_numbers():
+    import time
+    import tracemalloc
+
+    field = pii.train([f"word +1 (212) 555-{i:04d} word a{i}@mail.example.com, 10.0.{i % 256}.1" for i in range(100)])
+    rng = random.Random(1)
+    text = " ".join(str(rng.randrange(10**6)) for _ in range(100_000)) + " mail me@a.example.com"
+    began = time.perf_counter()
+    tracemalloc.start()
+    base, spans = pii.find(text, field)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(base) >= 1 and most < 60e6 and time.perf_counter() - began < 120
+
+
 # 10
 
 
