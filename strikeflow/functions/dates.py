@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ISO = re.compile(r"\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])")
+
 
 def third_wednesday(first_of_month: Column) -> Column:
     return F.date_add(F.next_day(F.date_sub(first_of_month, 1), "WED"), 14)
 
 
-def rolled(df: DataFrame, day: str, holidays: DataFrame, name: str = "expiry", longest: int = 14) -> DataFrame:
-    """Moves day on to the next one that is neither a weekend nor in holidays (date), over at most longest days."""
-    off = holidays.select(F.col("date").alias("off")).distinct()
-    days = df.select(day).distinct().withColumn("try", F.explode(F.sequence(F.col(day), F.date_add(F.col(day), longest))))
-    free = days.join(F.broadcast(off), days["try"] == off["off"], "left_anti").where(F.dayofweek("try").between(2, 6))
-    return df.join(free.groupBy(day).agg(F.min("try").alias(name)), day)
+def rolled(df: DataFrame, day: str, holidays: DataFrame, name: str = "expiry") -> DataFrame:
+    """Moves day on to the next one that is neither a weekend nor in holidays (date); a null day stays null. Only days off are looked up."""
+    off = holidays.select(F.col("date").alias("try")).where("try is not null").distinct()
+    weekday = F.dayofweek("try").between(2, 6)
+    days = df.select(day).where(F.col(day).isNotNull()).distinct()
+    closed = off.where(weekday).unionByName(days.select(F.col(day).alias("try")).where(~weekday)).distinct().join(days, F.col("try") == F.col(day)).select(day)
+    # of any run of days off, two in seven and two more at most are weekends
+    longest = off.count() * 7 // 5 + 4
+    tries = closed.withColumn("try", F.explode(F.sequence(F.col(day), F.date_add(F.col(day), longest))))
+    free = tries.where(weekday).join(off, "try", "left_anti").groupBy(day).agg(F.min("try").alias("__free"))
+    return df.join(free, day, "left").withColumn(name, F.coalesce("__free", F.col(day))).drop("__free")
 
 
 def contract_id(expiry: str = "expiry", option_type: str = "option_type", strike: str = "strike", root: str = "TXO") -> Column:
@@ -37,7 +46,7 @@ def parse_contract(name: str = "contract", root: str = "TXO") -> dict[str, Colum
 
 def compact_date(number: Column) -> Column:
     """A number like 20240117.0 as a date; null if it isn't one."""
-    return F.try_to_timestamp(number.cast("long").cast("string"), F.lit("yyyyMMdd")).cast("date")
+    return F.try_to_timestamp(number.try_cast("long").cast("string"), F.lit("yyyyMMdd")).cast("date")
 
 
 def is_iso_date(text: Column) -> Column:

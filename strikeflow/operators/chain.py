@@ -67,7 +67,7 @@ def finite(c: str) -> Column:
 
 def mark(df: DataFrame, mode: str = "strict", on_missing: str = "null") -> DataFrame:
     """mark and its basis. Modes: strict (mid only), settle, surface (model price, then settle)."""
-    mid = (F.col("bid") + F.col("ask")) / 2
+    mid = (finite("bid") + finite("ask")) / 2
     settle = finite("settle")
     price, basis = F.when(mid.isNotNull(), mid), F.when(mid.isNotNull(), F.lit("mid"))
     if mode == "settle":

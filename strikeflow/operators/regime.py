@@ -11,6 +11,8 @@ from strikeflow.constants import TRADING_DAYS
 
 VOL_DAYS, RANK_DAYS, THRESHOLD = 30, 252, 0.30
 HMM_DAYS, HMM_STEPS, HMM_LEAST_STEPS, HMM_MISSING = 504, 500, 5, 0.10
+#: The gain in log likelihood under which fitting ends, and the least variance of a state.
+HMM_GAIN, LEAST_VARIANCE = 1e-3, 1e-12
 
 
 def log_returns(spot: DataFrame, value: str = "underlying") -> DataFrame:
@@ -34,91 +36,112 @@ def vol_percentile_gate(returns: DataFrame, days: int = VOL_DAYS, rank_days: int
     return out.select("date", F.lit("vol_percentile").alias("gate"), F.coalesce(enough & (F.col("vol") >= F.col("bar")), F.lit(False)).alias("active"), "vol", "bar")
 
 
-def _log_normal(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
-    return -0.5 * (np.log(2 * np.pi * var) + (x[:, None] - mean) ** 2 / var)
+def fit_hmm(x: np.ndarray, steps: int = HMM_STEPS, tol: float = HMM_GAIN) -> tuple[dict, np.ndarray]:
+    """Two Gaussian states by expectation and maximisation in scaled form, of each row of x, all rows a step at a time.
 
-
-def fit_hmm(x: np.ndarray, steps: int = HMM_STEPS, tol: float = 1e-2) -> tuple[dict, int]:
-    """Two Gaussian states by expectation and maximisation in scaled form; parameters and the number of steps."""
-    low = np.abs(x - np.median(x)) <= np.quantile(np.abs(x - np.median(x)), 0.5)
-    mean = np.array([x[low].mean(), x[~low].mean() if (~low).any() else x.mean()])
-    var = np.maximum(np.array([x[low].var(), x[~low].var() if (~low).any() else x.var()]), 1e-12)
-    start, move, last = np.array([0.5, 0.5]), np.array([[0.95, 0.05], [0.05, 0.95]]), -np.inf
-    n = len(x)
+    Parameters (mean, var, start: rows x 2; move: rows x 2 x 2) and each row's number of steps. A row stops once a step gains less than tol.
+    """
+    rows, n = x.shape
+    away = np.abs(x - np.median(x, 1, keepdims=True))
+    low = away <= np.median(away, 1, keepdims=True)
+    high = np.where(low.all(1, keepdims=True), True, ~low)
+    m = {"mean": np.stack([_mean(x, low), _mean(x, high)], 1), "start": np.full((rows, 2), 0.5), "move": np.tile([[0.95, 0.05], [0.05, 0.95]], (rows, 1, 1))}
+    m["var"] = np.maximum(np.stack([_mean((x - m["mean"][:, [0]]) ** 2, low), _mean((x - m["mean"][:, [1]]) ** 2, high)], 1), LEAST_VARIANCE)
+    taken, last, open_ = np.zeros(rows, int), np.full(rows, -np.inf), np.arange(rows)
     for step in range(1, steps + 1):
-        logs = _log_normal(x, mean, var)
-        top = logs.max(1)
-        p = np.exp(logs - top[:, None])
-        ahead, scale, behind = np.empty((n, 2)), np.empty(n), np.ones((n, 2))
-        a = start * p[0]
-        for i in range(n):
-            if i:
-                a = (ahead[i - 1] @ move) * p[i]
-            scale[i] = a.sum()
-            ahead[i] = a / scale[i]
-        for i in range(n - 2, -1, -1):
-            behind[i] = move @ (p[i + 1] * behind[i + 1]) / scale[i + 1]
-        total = float((np.log(scale) + top).sum())
-        own = ahead * behind
-        own /= own.sum(1, keepdims=True)
-        pair = np.einsum("ti,ij,tj->ij", ahead[:-1], move, p[1:] * behind[1:] / scale[1:, None])
-        start, move = own[0], pair / pair.sum(1, keepdims=True)
-        weight = own.sum(0)
-        mean = (own * x[:, None]).sum(0) / weight
-        var = np.maximum((own * (x[:, None] - mean) ** 2).sum(0) / weight, 1e-12)
-        if total - last < tol:
+        own = {k: v[open_] for k, v in m.items()}
+        new, total = _step(x[open_], own)
+        for k, v in new.items():
+            m[k][open_] = v
+        taken[open_] = step
+        # as a step of a row that isn't finite gains nothing, it stops
+        more = total - last[open_] >= tol
+        last[open_] = total
+        open_ = open_[more]
+        if not len(open_):
             break
-        last = total
-    return {"mean": mean, "var": var, "start": start, "move": move}, step
-
-
-def viterbi(x: np.ndarray, m: dict) -> np.ndarray:
-    logs = _log_normal(x, m["mean"], m["var"])
+    return m, taken
+
+
+def _mean(x: np.ndarray, where: np.ndarray) -> np.ndarray:
+    return np.where(where, x, 0).sum(1) / np.maximum(where.sum(1), 1)
+
+
+def _densities(x: np.ndarray, m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Of each time, state and row, over the largest of the two states; and the logarithm of that one."""
+    logs = -0.5 * (np.log(2 * np.pi * m["var"].T)[None] + (x.T[:, None] - m["mean"].T[None]) ** 2 / m["var"].T[None])
+    top = logs.max(1)
+    return np.exp(logs - top[:, None]), top
+
+
+def _step(x: np.ndarray, m: dict) -> tuple[dict, np.ndarray]:
+    n, move = x.shape[1], m["move"]
+    (stay0, go0), (go1, stay1) = ((move[:, i, 0], move[:, i, 1]) for i in (0, 1))
+    p, top = _densities(x, m)
+    ahead, behind, scale = np.empty_like(p), np.ones_like(p), np.empty_like(top)
+    a, b = m["start"][:, 0] * p[0, 0], m["start"][:, 1] * p[0, 1]
+    for i in range(n):
+        if i:
+            a, b = (a * stay0 + b * go1) * p[i, 0], (a * go0 + b * stay1) * p[i, 1]
+        scale[i] = a + b
+        a, b = a / scale[i], b / scale[i]
+        ahead[i, 0], ahead[i, 1] = a, b
+    for i in range(n - 2, -1, -1):
+        c, d = p[i + 1, 0] * behind[i + 1, 0] / scale[i + 1], p[i + 1, 1] * behind[i + 1, 1] / scale[i + 1]
+        behind[i, 0], behind[i, 1] = stay0 * c + go0 * d, go1 * c + stay1 * d
+    own = ahead * behind
+    own /= own.sum(1, keepdims=True)
+    pair = np.einsum("tir,rij,tjr->rij", ahead[:-1], move, p[1:] * behind[1:] / scale[1:, None], optimize=True)
+    weight = own.sum(0)
+    mean = (own * x.T[:, None]).sum(0) / weight
+    var = np.maximum((own * (x.T[:, None] - mean[None]) ** 2).sum(0) / weight, LEAST_VARIANCE)
+    return {"start": own[0].T, "move": pair / pair.sum(2, keepdims=True), "mean": mean.T, "var": var.T}, (np.log(scale) + top).sum(0)
+
+
+def last_state(x: np.ndarray, m: dict) -> np.ndarray:
+    """Where the most likely path of each row ends."""
+    p, _ = _densities(x, m)
     with np.errstate(divide="ignore"):
-        move, best = np.log(m["move"]), np.log(m["start"]) + logs[0]
-    back = np.zeros((len(x), 2), int)
-    for i in range(1, len(x)):
-        total = best[:, None] + move
-        back[i] = total.argmax(0)
-        best = total.max(0) + logs[i]
-    path = np.empty(len(x), int)
-    path[-1] = best.argmax()
-    for i in range(len(x) - 1, 0, -1):
-        path[i - 1] = back[i][path[i]]
-    return path
-
-
-def high_vol_today(history: np.ndarray, least: int = HMM_DAYS) -> bool:
-    """Closed with too short or patchy a history, too few steps, or a failed fit."""
-    if len(history) < least:
-        return False
-    x = history[-least:]
-    good = np.isfinite(x)
-    if (~good).mean() > HMM_MISSING:
-        return False
-    x = x[good]
-    if x.std() == 0:
-        return False
-    try:
-        with np.errstate(all="raise", under="ignore", divide="ignore"):
-            m, steps = fit_hmm(x, tol=1e-4)
-    except FloatingPointError:
-        return False
-    return steps >= HMM_LEAST_STEPS and int(viterbi(x, m)[-1]) == int(m["var"].argmax())
+        logs, move, best = np.log(p), np.log(m["move"]), np.log(m["start"].T) + np.log(p[0])
+    for i in range(1, len(p)):
+        best = np.stack([np.maximum(best[0] + move[:, 0, k], best[1] + move[:, 1, k]) for k in (0, 1)]) + logs[i]
+    return best.argmax(0)
+
+
+def high_vol_today(windows: list[np.ndarray], least: int = HMM_DAYS) -> np.ndarray:
+    """Of each history: whether its last least returns end in the state of higher variance. Closed (False) with too short or patchy a history, too few steps, or a failed fit."""
+    out = np.zeros(len(windows), bool)
+    by_length: dict[int, list[int]] = {}
+    kept = {}
+    for i, history in enumerate(windows):
+        x = np.asarray(history, float)[-least:]
+        good = x[np.isfinite(x)]
+        if len(history) >= least and len(good) >= least * (1 - HMM_MISSING) and good.std() > 0:
+            kept[i] = good
+            by_length.setdefault(len(good), []).append(i)
+    for rows in by_length.values():
+        x = np.stack([kept[i] for i in rows])
+        with np.errstate(all="ignore"):
+            m, steps = fit_hmm(x)
+            state = last_state(x, m)
+        whole = np.isfinite(m["var"]).all(1) & np.isfinite(m["move"]).all((1, 2))
+        out[rows] = whole & (steps >= HMM_LEAST_STEPS) & (state == m["var"].argmax(1))
+    return out
 
 
 def hmm_gate(returns: DataFrame, dates: DataFrame | None = None, days: int = HMM_DAYS) -> DataFrame:
-    """Active on dates whose most likely path ends in the state of higher variance. Each date's window is one row; rows are fitted in parallel."""
+    """Active on dates whose most likely path ends in the state of higher variance. Each date's window is one row; a task fits all rows of a batch together."""
     w = Window.orderBy("date").rowsBetween(-(days - 1), 0)
-    rows = returns.select("date", F.collect_list("ret").over(w).alias("history"))
+    # in a structure, so that a missing return keeps its place
+    rows = returns.select("date", F.collect_list(F.struct("ret")).over(w)["ret"].alias("history"))
     if dates is not None:
         rows = rows.join(dates.select("date").distinct(), "date", "left_semi")
 
     @F.pandas_udf("boolean")
     def active(history: pd.Series) -> pd.Series:
-        return history.map(lambda h: bool(high_vol_today(np.asarray(h, float), days)))
+        return pd.Series(high_vol_today([np.array([np.nan if v is None else v for v in h], float) for h in history], days))
 
-    spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism * 4, "date")
+    spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "date")
     return spread.select("date", F.lit("hmm").alias("gate"), active("history").alias("active"))
 
 

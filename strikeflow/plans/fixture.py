@@ -13,20 +13,19 @@ from strikeflow.constants import DIVIDEND, RISK_FREE
 from strikeflow.functions import bsm, dates
 from strikeflow.functions import expressions as x
 
-START, END = "1997-01-01", "1997-07-01"
 STRIKES = 20
 
 
-def spot(spark: SparkSession, sf_dir: str, start: str = START, end: str = END) -> DataFrame:
-    """(date, underlying)"""
+def spot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, underlying) of all dates of orders."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     day = F.col("o_orderdate").cast("date")
-    return orders.where((day >= F.lit(start).cast("date")) & (day < F.lit(end).cast("date"))).groupBy(day.alias("date")).agg(F.round(17000 + (F.avg("o_totalprice") - 250000) / 1000, 9).alias("underlying"))
+    return orders.where("o_orderdate is not null").groupBy(day.alias("date")).agg(F.round(17000 + (F.avg("o_totalprice") - 250000) / 1000, 9).alias("underlying"))
 
 
-def chain(spark: SparkSession, sf_dir: str, start: str = START, end: str = END) -> DataFrame:
+def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, expiry, strike, option_type, settle, close, bid, ask, volume, open_interest, underlying, dte, iv, delta"""
-    days = spot(spark, sf_dir, start, end)
+    days = spot(spark, sf_dir)
     out = days.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("expiry", dates.third_wednesday(F.add_months(F.trunc("date", "month"), F.col("m")))).withColumn("dte", F.datediff("expiry", "date")).where(F.col("dte").between(1, 90))
     out = out.withColumn("i", F.explode(F.sequence(F.lit(-STRIKES), F.lit(STRIKES)))).withColumn("strike", (17000 + 100 * F.col("i")).cast("double")).withColumn("option_type", F.explode(F.array(F.lit("call"), F.lit("put"))))
     k = F.log(F.col("strike") / F.col("underlying"))
@@ -45,9 +44,9 @@ def chain(spark: SparkSession, sf_dir: str, start: str = START, end: str = END)
     )
 
 
-SPOT_SQL = f"""spot AS (
+SPOT_SQL = """spot AS (
   SELECT CAST(o_orderdate AS DATE) AS date, round(17000 + (avg(o_totalprice) - 250000) / 1000, 9) AS underlying
-  FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '{START}' AND CAST(o_orderdate AS DATE) < DATE '{END}' GROUP BY 1)"""
+  FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1)"""
 
 
 def _chain_sql() -> str:
@@ -64,7 +63,7 @@ vols AS (SELECT *, CAST(dte AS DOUBLE)/{x.num(365)} AS t, round(0.18 - 0.30 * ln
 ds AS (SELECT *, {x.d1("underlying", "strike", "t", r, q, "iv")} AS d1 FROM vols),
 dds AS (SELECT *, {x.d2("d1", "t", "iv")} AS d2 FROM ds),
 priced AS (SELECT *, round({price}, 6) AS settle, round({x.delta("t", q, "option_type", "d1")}, 8) AS delta FROM dds),
-chain AS (
+chain AS MATERIALIZED (
   SELECT date, expiry, strike, option_type, settle,
     CASE WHEN ((i % 11) + 11) % 11 <> 5 THEN settle END AS close,
     CASE WHEN (CAST(strike/100 AS INTEGER) + dte) % 5 <> 0 THEN round(settle * 0.98, 9) END AS bid,

@@ -1,6 +1,6 @@
 """The registered queries of the engine's operators, each with the SQL that checks it.
 
-Every query runs over its whole tables. Names start with the operator's
+Every query runs over its whole tables: the chain is derived from all dates of orders. Names start with the operator's
 identifier in the inventory.
 """
 
@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +16,8 @@ from strikeflow.constants import DIVIDEND, RISK_FREE
 from strikeflow.functions import bsm, dates
 from strikeflow.functions import expressions as x
 from strikeflow.operators import chain as ops
+from strikeflow.operators import feasibility as fs
+from strikeflow.operators import results as rs
 from strikeflow.operators import statistics as st
 from strikeflow.operators.regime import log_returns, realised_vol, vol_percentile_gate
 from strikeflow.plans import fixture
@@ -274,12 +275,13 @@ def legs_sql(wanted: dict, low: int, high: int, tolerance: float = 0.05) -> str:
     return ", " + ", ".join(parts)
 
 
-@query("J06_leg_lookup", CH + legs_sql({"c": (0.16, "call")}, 23, 37) + ", first AS (SELECT * FROM c ORDER BY date LIMIT 1) SELECT q.date, q.expiry, q.strike, q.option_type, q.bid, q.ask, q.settle FROM chain q, first f WHERE q.expiry = f.expiry AND q.strike = f.strike AND q.option_type = f.option_type AND q.date >= f.date")
+@query("J06_leg_lookup", CH + legs_sql({"c": (0.16, "call")}, 23, 37) + ", days AS MATERIALIZED (SELECT DISTINCT date FROM chain), held AS MATERIALIZED (SELECT c.date AS opened, days.date, c.expiry, c.strike, c.option_type FROM c JOIN days ON days.date >= c.date AND days.date < c.expiry) SELECT h.opened, h.date, h.expiry, h.strike, h.option_type, q.bid, q.ask, q.settle FROM held h LEFT JOIN chain q ON q.date = h.date AND q.expiry = h.expiry AND q.strike = h.strike AND q.option_type = h.option_type")
 def _(s, d):
     own = chain(s, d)
-    leg = ops.select_by_delta(ops.filter_by_dte(own, 23, 37), 0.16, "call", 0.05).orderBy("date").limit(1)
-    days = own.select("date").distinct().join(leg.select(F.col("date").alias("opened"), "expiry", "strike", "option_type"), (F.col("date") >= F.col("opened")) & (F.col("date") < F.col("expiry"))).drop("opened")
-    return ops.lookup(days, own, ["bid", "ask", "settle"]).select(*KEY, "bid", "ask", "settle")
+    leg = ops.select_by_delta(ops.filter_by_dte(own, 23, 37), 0.16, "call", 0.05).select(F.col("date").alias("opened"), "expiry", "strike", "option_type")
+    # the days of each leg by an equi-join on date
+    held = leg.withColumn("date", F.explode(F.sequence("opened", F.date_sub("expiry", 1)))).join(own.select("date").distinct(), "date", "left_semi")
+    return ops.lookup(held, own, ["bid", "ask", "settle"]).select("opened", *KEY, "bid", "ask", "settle")
 
 
 PAIRS = "pairs AS (SELECT date, expiry, strike, max(underlying) AS underlying, max(CASE WHEN option_type = 'call' THEN coalesce((bid + ask) / 2, close) END) AS c, max(CASE WHEN option_type = 'put' THEN coalesce((bid + ask) / 2, close) END) AS p FROM chain GROUP BY 1, 2, 3)"
@@ -372,21 +374,9 @@ def _(s, d):
     return rounded(smiles(chain(s, d)).groupBy("date", "expiry").agg(F.first("forward").alias("forward"), F.count("*").alias("n")), "forward", places=9)
 
 
-@query("A04_model_breakdown", "SELECT p_brand AS model_type, count(*) AS n, count(*) FILTER (p_size > 10) AS n_converged, round(median(p_retailprice), 4) AS median_rmse, round(avg(CASE WHEN p_size > 10 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM part GROUP BY 1")
+@query("A06_fill_rates", CH + f"SELECT round(avg(CASE WHEN bid IS NOT NULL AND ask IS NOT NULL THEN 1.0 ELSE 0.0 END), 9) AS quoted, round(count(iv) / count(*), 9) AS with_iv, round(count({MODEL}) / count(*), 9) AS with_model, round(count(*) FILTER ((bid IS NULL OR ask IS NULL) AND {MODEL} IS NOT NULL) / count(*) FILTER (bid IS NULL OR ask IS NULL), 9) AS filled FROM chain")
 def _(s, d):
-    ok = F.col("p_size") > 10
-    return table(s, d, "part").groupBy(F.col("p_brand").alias("model_type")).agg(F.count("*").alias("n"), F.count_if(ok).alias("n_converged"), F.round(F.median("p_retailprice"), 4).alias("median_rmse"), F.round(F.avg(ok.cast("double")), 6).alias("rate"))
-
-
-@query("A05_converged_median", "SELECT round(median(p_retailprice) FILTER (p_size > 10), 4) AS median_rmse FROM part")
-def _(s, d):
-    return table(s, d, "part").where("p_size > 10").agg(F.round(F.median("p_retailprice"), 4).alias("median_rmse"))
-
-
-@query("A06_fill_rates", CH + f"SELECT round(avg(CASE WHEN bid IS NOT NULL AND ask IS NOT NULL THEN 1.0 ELSE 0.0 END), 9) AS quoted, round(count(*) FILTER ((bid IS NULL OR ask IS NULL) AND {MODEL} IS NOT NULL) / count(*) FILTER (bid IS NULL OR ask IS NULL), 9) AS filled FROM chain")
-def _(s, d):
-    lacking = F.col("bid").isNull() | F.col("ask").isNull()
-    return chain(s, d).withColumn("m", F.expr(MODEL)).agg(F.round(F.avg((~lacking).cast("double")), 9).alias("quoted"), F.round(F.count_if(lacking & F.col("m").isNotNull()) / F.count_if(lacking), 9).alias("filled"))
+    return rounded(rs.fill_rates(chain(s, d).withColumn("model_price", F.expr(MODEL))), "quoted", "with_iv", "with_model", "filled", places=9)
 
 
 @query("A07_coverage_gate", CH + f", t AS (SELECT bid IS NULL OR ask IS NULL AS lacks, {MODEL} AS m, {SETTLED} AS s FROM chain) SELECT count(*) AS n, count(*) FILTER (lacks AND m IS NULL) AS n_danger, count(*) FILTER (lacks AND m IS NULL AND s IS NULL) AS n_unmarkable, count(*) FILTER (lacks AND m IS NULL AND s IS NOT NULL) AS n_third, round(count(m) / count(*), 9) AS coverage, count(m) / count(*) >= 0.95 AS passed FROM t")
@@ -396,10 +386,9 @@ def _(s, d):
     return rounded(coverage(chain(s, d).withColumns({"model_price": F.expr(MODEL), "settle": F.expr(SETTLED)})), "coverage", places=9)
 
 
-@query("A08_expiries_per_day", CH + ", n AS (SELECT date, count(DISTINCT expiry) AS n FROM chain WHERE dte BETWEEN 21 AND 63 GROUP BY 1) SELECT round(avg(n), 6) AS mean_n, median(n) AS median_n, quantile_cont(n, 0.1) AS p10, quantile_cont(n, 0.9) AS p90, max(n) AS max_n, round(avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END), 6) AS share_2 FROM n")
+@query("A08_expiries_per_day", CH + ", n AS (SELECT date, count(DISTINCT expiry) AS n FROM chain WHERE dte BETWEEN 21 AND 63 GROUP BY 1) SELECT round(avg(n), 6) AS mean_n, median(n) AS median_n, quantile_cont(n, 0.1) AS p10, quantile_cont(n, 0.9) AS p90, max(n) AS max_n, " + ", ".join(f"round(avg(CASE WHEN n >= {k} THEN 1.0 ELSE 0.0 END), 6) AS share_{k}" for k in (2, 3, 4, 5)) + " FROM n")
 def _(s, d):
-    n = ops.filter_by_dte(chain(s, d), 21, 63).groupBy("date").agg(F.countDistinct("expiry").alias("n"))
-    return n.agg(F.round(F.avg("n"), 6).alias("mean_n"), F.median("n").alias("median_n"), F.percentile("n", F.lit(0.1)).alias("p10"), F.percentile("n", F.lit(0.9)).alias("p90"), F.max("n").alias("max_n"), F.round(F.avg((F.col("n") >= 2).cast("double")), 6).alias("share_2"))
+    return rounded(fs.expiries_per_day(chain(s, d)), "mean_n", *(f"share_{k}" for k in (2, 3, 4, 5)))
 
 
 @query("A09_short_dated_density", CH + "SELECT date, round(count(DISTINCT CASE WHEN dte <= 14 THEN expiry END) / count(DISTINCT expiry), 9) AS density FROM chain GROUP BY 1")
@@ -442,14 +431,6 @@ def _(s, d):
     return one.groupBy("strike").pivot("option_type", ["call", "put"]).agg(F.first("settle"))
 
 
-@query("A16_premium_ratio_distribution", CH + legs_sql(CONDOR_LEGS, 23, 37) + ", r AS (SELECT (sc.settle + sp.settle - lc.settle - lp.settle) / (sc.settle + sp.settle) AS ratio FROM short_call sc JOIN long_call lc USING (date) JOIN short_put sp USING (date) JOIN long_put lp USING (date)) SELECT count(*) AS n, round(median(ratio), 6) AS median_ratio, round(avg(ratio), 6) AS mean_ratio, round(quantile_cont(ratio, 0.1), 6) AS p10, round(quantile_cont(ratio, 0.9), 6) AS p90 FROM r")
-def _(s, d):
-    own = ops.legs(ops.filter_by_dte(chain(s, d), 23, 37), CONDOR_LEGS)
-    short = F.col("short_call.settle") + F.col("short_put.settle")
-    r = own.select(((short - F.col("long_call.settle") - F.col("long_put.settle")) / short).alias("ratio"))
-    return rounded(r.agg(F.count("*").alias("n"), F.median("ratio").alias("median_ratio"), F.avg("ratio").alias("mean_ratio"), F.percentile("ratio", F.lit(0.1)).alias("p10"), F.percentile("ratio", F.lit(0.9)).alias("p90")), "median_ratio", "mean_ratio", "p10", "p90")
-
-
 SVI = {"a": "(0.01 + 0.0001 * dte)", "b": "0.1", "rho": "(-0.4)", "m": "0.02", "sigma": "0.1"}
 SVI_W = x.svi("k", *(SVI[n] for n in ("a", "b", "rho", "m", "sigma")))
 SVI_1 = x.svi_first("k", SVI["b"], SVI["rho"], SVI["m"], SVI["sigma"])
@@ -531,11 +512,11 @@ def _(s, d):
     return rounded(log_returns(fixture.spot(s, d)), "ret", places=9)
 
 
-WIDE = f"WITH {fixture.SPOT_SQL.replace(fixture.START, '1995-01-01').replace(fixture.END, '2001-09-01')}, returns AS (SELECT date, r AS ret FROM (SELECT date, ln(underlying / lag(underlying) OVER (ORDER BY date)) AS r FROM spot) WHERE r IS NOT NULL), vols AS (SELECT date, row_number() OVER (ORDER BY date) AS n, CASE WHEN count(*) OVER f = 30 THEN stddev_samp(ret) OVER f * sqrt(252) END AS vol FROM returns WINDOW f AS (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)), bars AS (SELECT *, quantile_cont(vol, 0.3) OVER (ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS bar FROM vols)"
+WIDE = f"WITH {fixture.SPOT_SQL}, returns AS (SELECT date, r AS ret FROM (SELECT date, ln(underlying / lag(underlying) OVER (ORDER BY date)) AS r FROM spot) WHERE r IS NOT NULL), vols AS (SELECT date, row_number() OVER (ORDER BY date) AS n, CASE WHEN count(*) OVER f = 30 THEN stddev_samp(ret) OVER f * sqrt(252) END AS vol FROM returns WINDOW f AS (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)), bars AS (SELECT *, quantile_cont(vol, 0.3) OVER (ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS bar FROM vols)"
 
 
 def wide_returns(s, d):
-    return log_returns(fixture.spot(s, d, "1995-01-01", "2001-09-01"))
+    return log_returns(fixture.spot(s, d))
 
 
 @query("W06_rolling_volatility", WIDE + " SELECT date, round(vol, 8) AS vol FROM vols")
@@ -606,14 +587,12 @@ def _(s, d):
 # sets
 
 
-@query("U01_union_of_shards", CH + "SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS n FROM chain GROUP BY 1")
+@query("U01_union_of_shards", CH + "SELECT month(date) AS month, count(*) AS n FROM chain GROUP BY 1")
 def _(s, d):
-    own = chain(s, d)
-    out = None
-    for m in range(1, 7):
-        shard = own.where(F.month("date") == m)
-        out = shard if out is None else out.unionByName(shard)
-    return out.groupBy(F.trunc("date", "month").alias("month")).agg(F.count("*").alias("n"))
+    from strikeflow.sources import shards
+
+    own = chain(s, d).withColumn("month", F.month("date"))
+    return shards.union([own.where(F.col("month") == m) for m in range(1, 13)]).groupBy("month").agg(F.count("*").alias("n"))
 
 
 @query("U03_strike_intersection", CH + "SELECT date, expiry, count(*) AS n FROM (SELECT date, expiry, strike FROM chain WHERE option_type = 'call' AND bid IS NOT NULL INTERSECT SELECT date, expiry, strike FROM chain WHERE option_type = 'put' AND close IS NOT NULL) GROUP BY 1, 2")
@@ -701,12 +680,17 @@ def _(s, d):
 BOUND = f"greatest(CASE WHEN option_type = 'call' THEN 1 ELSE -1 END * (underlying * exp(-{_Q} * dte / 365) - strike * exp(-{x.num(RISK_FREE)} * dte / 365)), 0)"
 
 
-@query("M03_M05_implied_volatility", CH + f"SELECT date, expiry, strike, option_type, {PICKED} AS iv_source, true AS recovered FROM chain WHERE settle - {BOUND} > 0.05")
+EASY = f"settle - {BOUND} > 0.05"
+
+
+@query("M03_M05_implied_volatility", CH + f"SELECT date, expiry, strike, option_type, CASE WHEN {EASY} THEN {PICKED} END AS iv_source, CASE WHEN {EASY} THEN true END AS recovered, true AS sound FROM chain")
 def _(s, d):
     from strikeflow.operators.implied_vol import add_iv
 
-    own = chain(s, d).where(F.col("settle") - F.expr(BOUND) > 0.05).withColumnRenamed("iv", "true_iv")
-    return add_iv(own).select(*KEY, "iv_source", (F.abs(F.col("iv") - F.col("true_iv")) < 1e-3).alias("recovered"))
+    # where next to no time value is left, a price says nothing about volatility: there only what the solver says of itself is checked
+    own = add_iv(chain(s, d).withColumnRenamed("iv", "true_iv")).withColumn("easy", F.expr(EASY))
+    sound = F.col("iv_source").isin("mid", "settle") == F.coalesce(F.col("iv") > 0, F.lit(False))
+    return own.select(*KEY, F.when(F.col("easy"), F.col("iv_source")).alias("iv_source"), F.when(F.col("easy"), F.coalesce(F.abs(F.col("iv") - F.col("true_iv")) < 1e-3, F.lit(False))).alias("recovered"), sound.alias("sound"))
 
 
 @query("M07_implied_yield", CH + f", {PAIRS}, {ATM}, q AS (SELECT date, c, p, -ln((c - p + strike * exp(-0.015 * (expiry - date) / 365.0)) / underlying) / ((expiry - date) / 365.0) AS q FROM atm) SELECT date, round(q, 7) AS q_pit, CASE WHEN q IS NULL THEN 'solve_failed' ELSE 'pcp' END AS q_pit_source, CASE WHEN c IS NULL OR p IS NULL THEN 'missing_quote' WHEN q IS NULL THEN 'pcp_invalid' WHEN q < 0 THEN 'negative_q' WHEN q > 0.15 THEN 'out_of_range' ELSE 'ok' END AS q_pit_audit_flags FROM q")
@@ -751,6 +735,24 @@ def records(s, d):
     return own.select("date", "expiry", kind.alias("model_type"), F.lit(True).alias("converged"), F.lit(41).cast("long").alias("n_points"), F.lit(0.001).alias("in_sample_rmse"), "forward", (F.col("dte").cast("double") / 365).alias("t"), params.alias("params"))
 
 
+CONVERGED, RMSE = "(day(date) % 5 <> 1)", "(dte * 0.00001 + month(date) * 0.0001)"
+
+
+def mixed_records(s, d):
+    """Made-up records with errors of their own, some not converged."""
+    return records(s, d).withColumns({"converged": F.day("date") % 5 != 1, "in_sample_rmse": F.datediff("expiry", "date") * F.lit(0.00001) + F.month("date") * F.lit(0.0001)})
+
+
+@query("A04_model_breakdown", CH + f", rec AS ({RECORDS}) SELECT model_type, count(*) AS n, count(*) FILTER (converged) AS n_converged, round(median(rmse), 9) AS median_rmse, round(avg(CASE WHEN converged THEN 1.0 ELSE 0.0 END), 6) AS rate FROM (SELECT model_type, {CONVERGED} AS converged, {RMSE} AS rmse FROM rec) GROUP BY 1")
+def _(s, d):
+    return rounded(rs.model_breakdown(mixed_records(s, d)), "rate").withColumn("median_rmse", F.round("median_rmse", 9))
+
+
+@query("A05_converged_median", CH + f", rec AS ({RECORDS}) SELECT round(median({RMSE}), 9) AS median_rmse, count(*) AS n FROM rec WHERE {CONVERGED}")
+def _(s, d):
+    return rounded(rs.converged_error(mixed_records(s, d)), "median_rmse", places=9)
+
+
 _SVI_IV = f"sqrt({x.svi('k', x.num(0.001), x.num(0.02), x.num(-0.4), x.num(0.02), x.num(0.1))}/t0)"
 _SABR_IV = x.sabr("underlying", "(underlying*exp(k))", "t0", x.num(0.18), x.num(-0.35), x.num(0.9))
 
@@ -762,14 +764,20 @@ def _(s, d):
     return rounded(add_model_price(chain(s, d), records(s, d)).select(*KEY, "model_price"), "model_price", places=5)
 
 
-@query("M16_record_validation", CH + f", rec AS ({RECORDS}) SELECT model_type, CASE WHEN day(date) % 4 = 0 THEN 'outside the domain' END AS problem, count(*) AS n FROM rec WHERE model_type <> 'poly' GROUP BY 1, 2")
+FAULTS = {1: "negative point count", 2: "converged without error", 3: "wrong parameters", 4: "expiry before date", 5: "unknown model", 6: "no positive time or forward", 7: "parameters without convergence"}
+_FAULT = " ".join(f"WHEN {k} THEN '{v}'" for k, v in FAULTS.items())
+
+
+@query("M16_record_validation", CH + f", rec AS ({RECORDS}) SELECT model_type, CASE day(date) // 2 % 9 {_FAULT} WHEN 8 THEN CASE WHEN model_type <> 'poly' THEN 'outside the domain' END END AS problem, count(*) AS n FROM rec GROUP BY 1, 2")
 def _(s, d):
     from strikeflow.operators.surface import record_problem
 
-    own = records(s, d).where("model_type <> 'poly'")
-    spoiled = F.transform_values("params", lambda k, v: F.when(k == "rho", F.lit(1.5)).otherwise(v))
-    own = own.withColumn("params", F.when(F.day("date") % 4 == 0, spoiled).otherwise(F.col("params")))
-    return own.groupBy("model_type", record_problem().alias("problem")).agg(F.count("*").alias("n"))
+    own = records(s, d).withColumns({"kind": F.col("model_type"), "fault": (F.day("date") / 2).cast("int") % 9})
+    at = lambda k, bad, c: F.when(F.col("fault") == k, bad).otherwise(F.col(c))
+    spoiled = F.transform_values("params", lambda k, v: F.when((k == "rho") & (F.col("fault") == 8), F.lit(1.5)).otherwise(v))
+    spoiled = F.when(F.col("fault") == 3, F.map_filter(spoiled, lambda k, _: ~k.isin("a", "alpha", "c0"))).otherwise(spoiled)
+    own = own.withColumns({"n_points": at(1, F.lit(-1).cast("long"), "n_points"), "in_sample_rmse": at(2, F.lit(None), "in_sample_rmse"), "params": spoiled, "expiry": at(4, F.date_sub("date", 1), "expiry"), "model_type": at(5, F.lit("spline"), "model_type"), "t": at(6, F.lit(0.0), "t"), "converged": at(7, F.lit(False), "converged")})
+    return own.groupBy(F.col("kind").alias("model_type"), record_problem().alias("problem")).agg(F.count("*").alias("n"))
 
 
 @query("M19_intrinsic", CH + "SELECT date, expiry, strike, option_type, round(CASE WHEN option_type = 'call' THEN greatest(underlying - strike, 0) ELSE greatest(strike - underlying, 0) END, 9) AS payoff FROM chain")
@@ -818,9 +826,12 @@ def _(s, d):
     return rounded(ops.skews(chain(s, d), 0.25, 45), "skew", places=7)
 
 
-@query("X06_vertical", CH + SKEW + legs_sql({"ss": (-0.25, "put"), "ll": (-0.10, "put")}, 38, 52) + " SELECT date, side, ss.strike AS short_strike, ll.strike AS long_strike, round(ss.settle - ll.settle, 6) AS settle_credit, round(ss.bid - ll.ask, 6) AS worst_credit FROM sd JOIN ss USING (date) JOIN ll USING (date) WHERE side = 'bull_put' AND ll.strike < ss.strike")
+_SPREAD = "SELECT date, side, {a}.strike AS short_strike, {b}.strike AS long_strike, round({a}.settle - {b}.settle, 6) AS settle_credit, round({a}.bid - {b}.ask, 6) AS worst_credit FROM sd JOIN {a} USING (date) JOIN {b} USING (date) WHERE side = '{side}' AND {b}.strike {than} {a}.strike"
+
+
+@query("X06_vertical", CH + SKEW + legs_sql({"ss": (-0.25, "put"), "ll": (-0.10, "put"), "cs": (0.25, "call"), "cl": (0.10, "call")}, 38, 52) + " " + _SPREAD.format(a="ss", b="ll", side="bull_put", than="<") + " UNION ALL " + _SPREAD.format(a="cs", b="cl", side="bear_call", than=">"))
 def _(s, d):
-    v = ops.verticals(chain(s, d), 0.25, 0.10, 45).where("side = 'bull_put'")
+    v = ops.verticals(chain(s, d), 0.25, 0.10, 45)
     return v.select("date", "side", F.col("short_leg.strike").alias("short_strike"), F.col("long_leg.strike").alias("long_strike"), F.round("settle_credit", 6).alias("settle_credit"), F.round("worst_credit", 6).alias("worst_credit"))
 
 
@@ -838,12 +849,13 @@ def _(s, d):
     return rounded(ops.calendars(own, front, 30, 100).select("date", "front_expiry", "back_expiry", "strike", "premium"), "premium")
 
 
-@query("R01_risk_limits", CH + legs_sql(CONDOR_LEGS, 23, 37) + ", m AS (SELECT date, (greatest(lc.strike - sc.strike, sp.strike - lp.strike) - (sc.bid + sp.bid - lc.ask - lp.ask)) * 50 AS r" + CONDOR_JOIN + ") SELECT date, CASE WHEN r > 30000 THEN 'max_loss_per_trade' WHEN r + 10000 > 35000 THEN 'max_capital_at_risk' END AS problem FROM m")
+@query("R01_risk_limits", CH + legs_sql(CONDOR_LEGS, 23, 37) + ", m AS (SELECT date, (greatest(lc.strike - sc.strike, sp.strike - lp.strike) - (sc.bid + sp.bid - lc.ask - lp.ask)) * 50 AS r, day(date) % 4 AS n_open, (day(date) - 15) * 20000.0 AS pnl" + CONDOR_JOIN + ") SELECT date, CASE WHEN r > 30000 THEN 'max_loss_per_trade' WHEN r + 10000 > 35000 THEN 'max_capital_at_risk' WHEN n_open >= 3 THEN 'max_concurrent_positions' WHEN pnl <= -200000 THEN 'portfolio_loss_cap' END AS problem FROM m")
 def _(s, d):
     from strikeflow.operators.monitor import risk_problem
 
     c = ops.iron_condors(chain(s, d), 0.16, 0.08, 30)
-    return c.select("date", risk_problem(F.col("max_defined_risk"), max_loss=30000.0, at_risk=F.lit(10000.0), max_at_risk=35000.0).alias("problem"))
+    day = F.day("date")
+    return c.select("date", risk_problem(F.col("max_defined_risk"), max_loss=30000.0, at_risk=F.lit(10000.0), max_at_risk=35000.0, n_open=day % 4, max_open=3, pnl=(day - 15) * 20000.0, loss_cap=200000.0).alias("problem"))
 
 
 @query("K01_stress_pnl", CH + legs_sql(CONDOR_LEGS, 23, 37) + f""", l AS (SELECT date, expiry, strike, option_type, dte, underlying, iv, settle, -1 AS qty FROM short_call UNION ALL SELECT date, expiry, strike, option_type, dte, underlying, iv, settle, 1 FROM long_call UNION ALL SELECT date, expiry, strike, option_type, dte, underlying, iv, settle, -1 FROM short_put UNION ALL SELECT date, expiry, strike, option_type, dte, underlying, iv, settle, 1 FROM long_put),
@@ -857,10 +869,36 @@ def _(s, d):
     return rounded(stress(own, ops.iron_condors(own, 0.16, 0.08, 30), s.createDataFrame(SHOCKS, "scenario string, vol_shift double, spot_shift double")).select("date", "scenario", "pnl"), "pnl", places=2)
 
 
-@query("K04_decision_ladder", CH + ", n AS (SELECT avg(k) AS m FROM (SELECT count(DISTINCT expiry) AS k FROM chain WHERE dte BETWEEN 21 AND 63 GROUP BY date)) SELECT CASE WHEN m >= 3 THEN 'go' WHEN m >= 1.5 THEN 'go_with_limits' ELSE 'no_go' END AS decision FROM n")
+RATIOS = ", f AS (SELECT date, min(expiry) AS expiry FROM chain WHERE dte BETWEEN 25 AND 35 GROUP BY 1), fc AS (SELECT c.* FROM chain c JOIN f ON c.date = f.date AND c.expiry = f.expiry), sp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(delta - (-0.16)), strike) AS rn FROM fc WHERE option_type = 'put') WHERE rn = 1), wp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(delta - (-0.08)), strike) AS rn FROM fc WHERE option_type = 'put') WHERE rn = 1), sc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(delta - (0.16)), strike) AS rn FROM fc WHERE option_type = 'call') WHERE rn = 1), wc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(delta - (0.08)), strike) AS rn FROM fc WHERE option_type = 'call') WHERE rn = 1), cr AS (SELECT sp.date, sp.settle - wp.settle + sc.settle - wc.settle AS credit FROM sp JOIN wp ON sp.date = wp.date JOIN sc ON sp.date = sc.date JOIN wc ON sp.date = wc.date), atm AS (SELECT date, strike FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(strike - underlying), strike) AS rn FROM fc) WHERE rn = 1), nr AS (SELECT fc.date, max(CASE WHEN option_type = 'call' THEN settle END) AS call, max(CASE WHEN option_type = 'put' THEN settle END) AS put FROM fc JOIN atm ON fc.date = atm.date AND fc.strike = atm.strike GROUP BY 1), l AS (SELECT date, min(expiry) AS expiry FROM chain WHERE dte BETWEEN 55 AND 65 AND option_type = 'call' GROUP BY 1), bk AS (SELECT c.date, c.settle AS back FROM chain c JOIN l ON c.date = l.date AND c.expiry = l.expiry JOIN atm ON c.date = atm.date AND c.strike = atm.strike WHERE c.option_type = 'call'), ra AS (SELECT cr.date, credit, CASE WHEN call + put > 0 THEN (call + put) / credit END AS straddle_ratio, CASE WHEN back - call > 0 THEN (back - call) / credit END AS calendar_ratio FROM cr JOIN nr ON cr.date = nr.date LEFT JOIN bk ON cr.date = bk.date WHERE credit > 0)"
+
+
+@query("K03_premium_ratios", CH + RATIOS + " SELECT date, round(credit, 6) AS credit, round(straddle_ratio, 6) AS straddle_ratio, round(calendar_ratio, 6) AS calendar_ratio FROM ra")
 def _(s, d):
-    n = ops.filter_by_dte(chain(s, d), 21, 63).groupBy("date").agg(F.countDistinct("expiry").alias("k")).agg(F.avg("k").alias("m"))
-    return n.select(F.when(F.col("m") >= 3, "go").when(F.col("m") >= 1.5, "go_with_limits").otherwise("no_go").alias("decision"))
+    return rounded(fs.premium_ratios(chain(s, d)), "credit", "straddle_ratio", "calendar_ratio")
+
+
+_DIST = ", ".join(f"round({f}, 6) AS {n}" for n, f in (("median", "median(r)"), ("mean", "avg(r)"), ("p10", "quantile_cont(r, 0.1)"), ("p90", "quantile_cont(r, 0.9)")))
+
+
+@query("A16_premium_ratio_distribution", CH + RATIOS + f" SELECT mode, count(r) AS n, {_DIST} FROM (SELECT 'calendar' AS mode, calendar_ratio AS r FROM ra UNION ALL SELECT 'straddle', straddle_ratio FROM ra) GROUP BY 1")
+def _(s, d):
+    return rounded(fs.ratio_distribution(fs.premium_ratios(chain(s, d))), "median", "mean", "p10", "p90")
+
+
+@query("K02_stress_entries", CH + legs_sql(CONDOR_LEGS, 21, 45, 99.0) + f" SELECT date, sc.strike AS short_call, lc.strike AS long_call, sp.strike AS short_put, lp.strike AS long_put, round((sc.bid + sc.ask) / 2 + (sp.bid + sp.ask) / 2 - (lc.bid + lc.ask) / 2 - (lp.bid + lp.ask) / 2, 6) AS mid_credit, round((greatest(lc.strike - sc.strike, sp.strike - lp.strike) - (sc.bid + sp.bid - lc.ask - lp.ask)) * 50, 4) AS max_defined_risk FROM short_call sc JOIN long_call lc USING (date) JOIN short_put sp USING (date) JOIN long_put lp USING (date)")
+def _(s, d):
+    e = fs.stress_entries(chain(s, d))
+    return e.select("date", *(F.col(n)["strike"].alias(n) for n in CONDOR_LEGS), F.round("mid_credit", 6).alias("mid_credit"), F.round("max_defined_risk", 4).alias("max_defined_risk"))
+
+
+@query("K04_decision_ladder", CH + RATIOS + f", n AS (SELECT count(DISTINCT expiry) AS k FROM chain WHERE dte BETWEEN 21 AND 63 GROUP BY date), v AS (SELECT (SELECT avg(k) FROM n) AS m, (SELECT quantile_cont(k, 0.1) FROM n) AS p, (SELECT median(calendar_ratio) FROM ra) AS c, (SELECT median(straddle_ratio) FROM ra) AS st, (SELECT count({MODEL}) / count(*) FROM chain) AS cov), w AS (SELECT unnest(['as it is', 'covered']) AS scale, unnest([1.0, 1.5]) AS f) SELECT scale, CASE WHEN m < 1 OR cov * f < 0.95 OR (c > 5 AND st > 5) THEN 'no_go' WHEN m >= 4 AND p >= 3 AND (c < 2 OR st < 2) THEN 'go_5' WHEN m >= 4 AND p >= 3 THEN 'go_5_dear' WHEN m >= 3 AND p >= 2 THEN 'go_3' ELSE 'go_1' END AS verdict FROM v, w")
+def _(s, d):
+    from strikeflow.operators.monitor import coverage
+
+    own = chain(s, d).withColumn("model_price", F.expr(MODEL))
+    expiries, ratios, covered = fs.expiries_per_day(own), fs.ratio_distribution(fs.premium_ratios(own)), coverage(own)
+    out = [fs.decision(expiries, ratios, covered.withColumn("coverage", F.col("coverage") * f)).select(F.lit(n).alias("scale"), "verdict") for n, f in (("as it is", 1.0), ("covered", 1.5))]
+    return out[0].unionByName(out[1])
 
 
 # statistics
@@ -889,7 +927,7 @@ def _(s, d):
 
 @query("Q03_Q04_resampling")
 def _(s, d):
-    return st.resampled(pnl(s, d), ["scenario"], n_iter=500)
+    return st.resampled(pnl(s, d), ["scenario"])
 
 
 # fitted and stateful operators: checked by tests on known cases
@@ -899,7 +937,7 @@ def _(s, d):
 def _(s, d):
     from strikeflow.operators.surface import fit_surface
 
-    return fit_surface(ops.date_window(chain(s, d), "1997-01-01", "1997-06-30"))
+    return fit_surface(chain(s, d))
 
 
 @query("P10_enrich_pipeline")
@@ -914,16 +952,18 @@ def _(s, d):
 def _(s, d):
     from strikeflow.operators.regime import hmm_gate
 
-    return hmm_gate(wide_returns(s, d), fixture.spot(s, d, "1997-06-01", "1997-07-01"))
+    return hmm_gate(wide_returns(s, d))
 
 
 def simulated(s, d, todo=None):
+    """The published windows over all dates and all scenarios, both regime gates included."""
+    from strikeflow.plans import runs
     from strikeflow.plans import simulation as sim
+    from strikeflow.session import checkpoint_dir
 
-    own = chain(s, d).persist(StorageLevel.DISK_ONLY)
-    gates = vol_percentile_gate(wide_returns(s, d))
-    todo = todo or [v for v in sim.scenarios() if v.gate != "hmm"]
-    return sim.walk_forward(s, own, todo, sim.fold_windows(own.select("date"), 63, 21, 21), gates)
+    checkpoint_dir(s)
+    own = chain(s, d).checkpoint()
+    return sim.walk_forward(s, own, todo or sim.scenarios(), sim.fold_windows(own.select("date"), 252, 63, 63), runs.gates(fixture.spot(s, d)))
 
 
 @query("B01_B10_walk_forward")
@@ -940,7 +980,36 @@ def _(s, d):
 def _(s, d):
     from strikeflow.plans import simulation as sim
 
-    return simulated(s, d, [v for v in sim.hedged_scenarios() if v.gate != "hmm"])
+    return simulated(s, d, sim.hedged_scenarios())
+
+
+@query("K12_hedge_failures")
+def _(s, d):
+    from strikeflow.plans import simulation as sim
+
+    return rs.hedge_failures(simulated(s, d, sim.hedged_scenarios()))
+
+
+@query("A12_A21_run_totals")
+def _(s, d):
+    own = simulated(s, d).checkpoint()
+    return rs.scenario_totals(own).join(rs.rejected(own).groupBy("scenario").agg(F.sum("n").alias("n_rejected")), "scenario", "left")
+
+
+@query("K05_mark_policies")
+def _(s, d):
+    from strikeflow.plans import runs
+    from strikeflow.session import checkpoint_dir
+
+    checkpoint_dir(s)
+    return runs.mark_policies(s, chain(s, d).withColumn("model_price", F.expr(MODEL)).checkpoint())
+
+
+@query("K11_scorecard")
+def _(s, d):
+    own = simulated(s, d).checkpoint()
+    days = own.where("kind = 'day'").select("scenario", "date", F.col("daily_pnl").alias("pnl"))
+    return rs.scorecard(st.scenario_summary(own, 1_000_000.0), st.resampled(days, ["scenario"]))
 
 
 # sources and streams
@@ -976,3 +1045,30 @@ def _(s, d):
     from strikeflow.streaming.events import daily_totals
 
     return daily_totals(s, d)
+
+
+@query("S10_S11_record_round_trip", CH + f", rec AS ({RECORDS}) SELECT date, expiry, model_type, round(CASE model_type WHEN 'svi' THEN 0.001 WHEN 'sabr' THEN 0.18 ELSE 0.18 END, 6) AS first_parameter, true AS cached FROM rec WHERE date BETWEEN DATE '1997-02-01' AND DATE '1997-12-31'")
+def _(s, d):
+    from strikeflow.sources import records as store
+    from strikeflow.sources import shards
+
+    folder = shards.scratch(s, "records")
+    store.save_all(records(s, d), folder)
+    first = F.coalesce(*(F.col("params")[k] for k in ("a", "alpha", "c0")))
+    cached = store.cached_dates(s, folder).withColumn("cached", F.lit(True))
+    return store.load(s, folder, "1997-02-01", "1997-12-31").join(cached, "date", "left").select("date", "expiry", "model_type", F.round(first, 6).alias("first_parameter"), "cached")
+
+
+@query("S18_inspect", CH + "SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(DISTINCT date) AS n_dates, count(*) AS n, min(date) AS first, max(date) AS last, round(count(*) FILTER (abs(strike / underlying - 1) <= 0.08 AND bid IS NOT NULL AND ask IS NOT NULL) / count(*) FILTER (abs(strike / underlying - 1) <= 0.08), 9) AS quoted_near FROM chain GROUP BY 1")
+def _(s, d):
+    from strikeflow.sources import reports
+
+    return rounded(reports.inspect(chain(s, d)), "quoted_near", places=9)
+
+
+@query("R03_R04_checks", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity <= 10 THEN 'qty' WHEN l_returnflag = 'R' THEN 'option_type' WHEN l_linestatus = 'F' THEN 'side' WHEN l_discount > 0.05 THEN 'commission' WHEN l_tax > 0.05 THEN 'tax' END AS problem, count(*) AS n FROM lineitem GROUP BY ALL")
+def _(s, d):
+    from strikeflow.functions import checks
+
+    own = table(s, d, "lineitem").withColumns({"qty": F.col("l_quantity") - 10, "option_type": F.when(F.col("l_returnflag") == "R", "other").otherwise("call"), "side": F.when(F.col("l_linestatus") == "F", "hold").otherwise("buy"), "commission": 0.05 - F.col("l_discount"), "tax": 0.05 - F.col("l_tax")})
+    return own.groupBy("l_orderkey", "l_linenumber", "l_partkey", checks.problem("fill").alias("problem")).agg(F.count("*").alias("n"))

@@ -4,13 +4,19 @@ Everything that can be decided for all days at once is: candidate legs, quotes,
 marks and gates are DataFrame queries. What depends on the position held, open,
 close, adjust and cash, runs day by day in one group for each scenario and fold,
 which gets only the quotes of contracts that some candidate of the fold holds.
+
+A strategy is a Strategy: a query that finds each date's candidate legs, and two
+functions that the state machine asks. A fill model is a function of a quote and a side. walk_forward
+takes further ones by name, and a factory that sets a fold's scenario from its training returns.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +61,12 @@ class Scenario:
             raise ValueError("exit must come after entry and before expiry")
         if self.capital <= 0:
             raise ValueError("capital must be positive")
+        if self.max_loss <= 0 or self.max_capital_at_risk <= 0 or self.max_positions <= 0:
+            raise ValueError("risk limits must be positive")
+        if self.stop_loss < 0 or not 0 < self.loss_cap <= 1:
+            raise ValueError("the stop must not be negative, and the loss cap must be a share of the capital")
+        if self.mark_policy not in ("strict", "settle", "surface"):
+            raise ValueError(f"unknown mark policy {self.mark_policy!r}")
 
 
 #: The parameter sets of the published runs.
@@ -97,6 +109,31 @@ class Position:
     realised: float = 0.0
     adjusted: bool = False
 
+    def __post_init__(self):
+        if not self.legs:
+            raise ValueError("a position needs a leg")
+
+
+Fill = Callable[[dict, str], float | None]
+
+
+def _mid(quote: dict) -> float | None:
+    return None if quote["bid"] is None or quote["ask"] is None else (quote["bid"] + quote["ask"]) / 2
+
+
+def _slipped(quote: dict, side: str) -> float | None:
+    mid = _mid(quote)
+    return mid if mid is None else mid * (1 - 10 / 1e4 if side == "sell" else 1 + 10 / 1e4)
+
+
+#: The price of a side before retail costs, None where it isn't executable.
+FILLS: dict[str, Fill] = {
+    "settle": lambda q, side: q["settle"],
+    "worst": lambda q, side: q["bid"] if side == "sell" else q["ask"],
+    "mid": lambda q, side: _mid(q),
+    "slippage": _slipped,
+}
+
 
 class Unmarkable(ValueError):
     pass
@@ -108,19 +145,18 @@ class Book:
     cash: float = 0.0
     realised: float = 0.0
     positions: list[Position] = field(default_factory=list)
-    rejects: list[tuple] = field(default_factory=list)
+    fills: dict[str, Fill] = field(default_factory=lambda: FILLS)
+
+    def open_positions(self) -> list[Position]:
+        return [p for p in self.positions if p.closed is None]
+
+    def snapshot(self, unrealised: float = 0.0) -> dict:
+        """What a strategy may see: cash, results and the open positions only."""
+        return {"cash": self.cash, "realised": self.realised, "unrealised": unrealised, "capital": self.s.capital, "positions": self.open_positions()}
 
     def fill(self, quote: dict, side: str, qty: int) -> tuple[float, float] | None:
         """Price and cost, or None where the side isn't executable."""
-        bid, ask, settle = quote["bid"], quote["ask"], quote["settle"]
-        if self.s.fill == "settle":
-            raw = settle
-        elif self.s.fill == "worst":
-            raw = bid if side == "sell" else ask
-        else:
-            raw = None if bid is None or ask is None else (bid + ask) / 2
-            if raw is not None and self.s.fill == "slippage":
-                raw *= 1 - 10 / 1e4 if side == "sell" else 1 + 10 / 1e4
+        raw = self.fills[self.s.fill](quote, side)
         if raw is None:
             return None
         price = raw * (1 - self.s.slip_bps / 1e4 if side == "sell" else 1 + self.s.slip_bps / 1e4)
@@ -180,36 +216,41 @@ class Book:
                 total += leg.qty * (value - leg.entry_price) * MULTIPLIER
         return total
 
-    def wants_close(self, p: Position, day, quotes: dict) -> bool:
-        legs = p.legs if self.s.strategy != "vertical" else p.legs[:1]
-        if min((leg.expiry - day).days for leg in legs) <= self.s.exit_dte:
-            return True
-        now = 0.0
-        for leg in p.legs:
-            q = quotes.get(leg.key)
-            if q is None or q["bid"] is None or q["ask"] is None:
-                return False
-            now -= leg.qty * (q["bid"] + q["ask"]) / 2
-        gained = p.entry_credit - now
-        if gained >= p.entry_credit * self.s.profit_target:
-            return True
-        return self.s.strategy != "vertical" and self.s.stop_loss > 0 and gained <= -p.entry_credit * self.s.stop_loss
-
-    def breached(self, p: Position, spot: float) -> str | None:
-        """The side whose short strike the underlying has reached; calls first, once for each position."""
-        if self.s.strategy != "condor" or p.adjusted:
-            return None
-        for kind in ("call", "put"):
-            for leg in p.legs:
-                if leg.kind == kind and leg.qty < 0 and (spot >= leg.strike if kind == "call" else spot <= leg.strike):
-                    return kind
-        return None
-
     def risk_problem(self, max_risk: float, unrealised: float) -> str | None:
-        own = [p for p in self.positions if p.closed is None]
+        own = self.open_positions()
         return check_risk(self.s, len(own), sum(p.max_risk for p in own), self.realised + unrealised, max_risk)
 
 
+def should_close(book: Book, p: Position, day, quotes: dict) -> bool:
+    """Near expiry, or once the mids show the profit target or the stop; without all mids, at opening or now, only time counts."""
+    vertical = book.s.strategy == "vertical"
+    if min((leg.expiry - day).days for leg in (p.legs[:1] if vertical else p.legs)) <= book.s.exit_dte:
+        return True
+    if vertical and p.entry_credit <= 0:
+        return False
+    now = 0.0
+    for leg in p.legs:
+        mid = _mid(quotes[leg.key]) if leg.key in quotes else None
+        if mid is None:
+            return False
+        now -= leg.qty * mid
+    gained = p.entry_credit - now
+    if gained >= p.entry_credit * book.s.profit_target:
+        return True
+    return not vertical and book.s.stop_loss > 0 and gained <= -p.entry_credit * book.s.stop_loss
+
+
+def breached(book: Book, p: Position, spot: float) -> str | None:
+    """The side whose short strike the underlying has reached; calls first, once for each position."""
+    if p.adjusted:
+        return None
+    for kind in ("call", "put"):
+        for leg in p.legs:
+            if leg.kind == kind and leg.qty < 0 and (spot >= leg.strike if kind == "call" else spot <= leg.strike):
+                return kind
+    return None
+
+
 def check_risk(s: Scenario, n_open: int, at_risk: float, pnl: float, new_risk: float) -> str | None:
     """The first limit that opening would break."""
     if new_risk > s.max_loss:
@@ -231,33 +272,37 @@ def none_if_nan(v):
     return None if v is None or v != v else v
 
 
-def simulate(s: Scenario, fold: int, rows: pd.DataFrame) -> pd.DataFrame:
-    """Day, trade, reject and error rows of one scenario and fold. rows: quotes (row = 'q') and candidate legs (row = 'c') of all days."""
-    book, out, before = Book(s, cash=s.capital), [], 0.0
+def simulate(s: Scenario, fold: int, rows: pd.DataFrame, strategy: Strategy | None = None, fills: dict[str, Fill] | None = None) -> pd.DataFrame:
+    """Day, trade, reject and error rows of one scenario and fold. rows: quotes (row = 'q') and candidate legs (row = 'c') of all days; note: why legs are missing from a candidate."""
+    strategy = strategy or STRATEGIES[s.strategy]
+    book, out, before = Book(s, cash=s.capital, fills=fills or FILLS), [], 0.0
 
     def emit(kind: str, **values) -> None:
         out.append({"scenario": s.name, "fold_index": fold, "kind": kind, **values})
 
     try:
         for day, today in rows.sort_values("date", kind="stable").groupby("date", sort=True):
-            quotes, legs, risk = {}, [], 0.0
+            quotes, legs, risk, note = {}, [], 0.0, None
             spot, active = float(today["underlying"].iloc[0]), bool(today["active"].iloc[0])
             for r in today.itertuples(index=False):
+                if r.row == "d":
+                    continue
                 if r.row == "q":
                     quotes.setdefault((r.expiry, r.strike, r.option_type), {"bid": none_if_nan(r.bid), "ask": none_if_nan(r.ask), "settle": none_if_nan(r.settle), "model_price": none_if_nan(r.model_price)})
                 else:
                     legs.append((int(r.leg), (r.expiry, r.strike, r.option_type), int(r.qty)))
                     risk = float(none_if_nan(r.max_risk) or 0.0)
+                    note = none_if_nan(getattr(r, "note", None))
             audit: dict = {}
             for p in book.positions:
-                if p.closed is None and book.wants_close(p, day, quotes):
+                if p.closed is None and strategy.should_close(book, p, day, quotes):
                     if book.settle_legs(p, p.legs, day, quotes, spot):
                         p.closed = day
                         emit("trade", date=day, open_date=p.opened, realised_pnl=p.realised, n_legs=len(p.legs), adjusted=p.adjusted)
                     else:
                         emit("reject", date=day, path="close", reason="not_executable")
             for p in book.positions:
-                side = book.breached(p, spot) if p.closed is None else None
+                side = strategy.should_adjust(book, p, spot) if p.closed is None and strategy.should_adjust else None
                 if side:
                     gone = [leg for leg in p.legs if leg.kind == side]
                     if book.settle_legs(p, gone, day, quotes, spot):
@@ -271,18 +316,20 @@ def simulate(s: Scenario, fold: int, rows: pd.DataFrame) -> pd.DataFrame:
             unrealised = book.unrealised(day, quotes, spot, audit)
             if legs and active and all(p.closed is not None for p in book.positions):
                 legs.sort()
-                fills = [(key, qty, book.fill(quotes[key], "sell" if qty < 0 else "buy", abs(qty)) if key in quotes else None) for _, key, qty in legs]
+                if note:
+                    emit("reject", date=day, path="hedge_attach", reason=note)
+                filled = [(key, qty, book.fill(quotes[key], "sell" if qty < 0 else "buy", abs(qty)) if key in quotes else None) for _, key, qty in legs]
                 problem = book.risk_problem(risk, unrealised)
-                if any(f is None for _, _, f in fills):
+                if any(f is None for _, _, f in filled):
                     emit("reject", date=day, path="open", reason="not_executable")
                 elif problem:
                     emit("reject", date=day, path="open", reason=problem)
                 else:
-                    own = [Leg(*key, qty, day, f[0]) for key, qty, f in fills]
-                    mids = [(quotes[leg.key]["bid"], quotes[leg.key]["ask"], leg) for leg in own]
-                    credit = -sum(leg.qty * (b + a) / 2 for b, a, leg in mids) if all(b is not None and a is not None for b, a, _ in mids) else -sum(leg.qty * leg.entry_price for leg in own)
-                    p = Position(own, day, credit, risk)
-                    cost = sum(f[1] for _, _, f in fills)
+                    own = [Leg(*key, qty, day, f[0]) for key, qty, f in filled]
+                    # the credit is that of the legs without their hedge; unknown if one of them has no mid
+                    mids = [(_mid(quotes[leg.key]), leg.qty) for leg in own[: strategy.credit_legs]]
+                    p = Position(own, day, math.nan if any(m is None for m, _ in mids) else -sum(q * m for m, q in mids), risk)
+                    cost = sum(f[1] for _, _, f in filled)
                     book.cash += -sum(leg.qty * leg.entry_price for leg in own) * MULTIPLIER - cost
                     book.realised -= cost
                     p.realised -= cost
@@ -297,25 +344,53 @@ def simulate(s: Scenario, fold: int, rows: pd.DataFrame) -> pd.DataFrame:
     return frame.where(frame.notna(), None)
 
 
-def candidates(chain: DataFrame, s: Scenario) -> DataFrame:
-    """(date, leg, expiry, strike, option_type, qty, max_risk): the legs that each date would open."""
-    if s.strategy == "vertical":
-        found = ops.verticals(chain, s.short_delta, s.wing_delta, s.target_dte)
-        names, risk = {"short_leg": -1, "long_leg": 1}, "max_defined_risk"
-    else:
-        found = ops.iron_condors(chain, s.short_delta, s.wing_delta, s.target_dte)
-        names, risk = {"short_call": -1, "long_call": 1, "short_put": -1, "long_put": 1}, "max_defined_risk"
-    structs = F.array(*(F.struct(F.lit(i).alias("leg"), F.col(n)["expiry"].alias("expiry"), F.col(n)["strike"].alias("strike"), F.col(n)["option_type"].alias("option_type"), F.lit(q).alias("qty"), F.col(n)["bid"].alias("bid"), F.col(n)["ask"].alias("ask")) for i, (n, q) in enumerate(names.items())))
-    out = found.select("date", F.explode(structs).alias("l"), F.col(risk).alias("max_risk")).select("date", "l.*", "max_risk")
-    if s.strategy == "hedged_condor":
-        front = found.select("date", F.col("short_call")["expiry"].alias("front_expiry"))
-        hedge = ops.calendars(chain, front)
-        if s.gated:  # appended only if both of its legs can be executed
-            hedge = hedge.where(F.col("front_bid").isNotNull() & F.col("back_ask").isNotNull())
-        two = F.array(*(F.struct(F.lit(4 + i).alias("leg"), F.col(f"{n}_expiry").alias("expiry"), F.col("strike"), F.lit("call").alias("option_type"), F.lit(q).alias("qty"), F.col(f"{n}_bid").alias("bid"), F.col(f"{n}_ask").alias("ask")) for i, (n, q) in enumerate((("front", -1), ("back", 1)))))
-        own = hedge.select("date", F.explode(two).alias("l")).select("date", "l.*").join(found.select("date", F.col(risk).alias("max_risk")), "date")
-        out = out.unionByName(own)
-    return out
+def _leg_rows(found: DataFrame, legs: list[tuple[str, int]], more: list) -> DataFrame:
+    structs = F.array(*(F.struct(F.lit(i).alias("leg"), *(F.col(n)[c].alias(c) for c in ("expiry", "strike", "option_type")), F.lit(q).alias("qty"), F.col(n)["bid"].alias("bid"), F.col(n)["ask"].alias("ask")) for i, (n, q) in enumerate(legs)))
+    return found.select("date", F.explode(structs).alias("l"), *more).select("date", "l.*", "max_risk", "note")
+
+
+CONDOR_LEGS = [("short_call", -1), ("long_call", 1), ("short_put", -1), ("long_put", 1)]
+
+
+def condor_candidates(chain: DataFrame, s: Scenario) -> DataFrame:
+    found = ops.iron_condors(chain, s.short_delta, s.wing_delta, s.target_dte)
+    return _leg_rows(found, CONDOR_LEGS, [F.col("max_defined_risk").alias("max_risk"), F.lit(None).cast("string").alias("note")])
+
+
+def vertical_candidates(chain: DataFrame, s: Scenario) -> DataFrame:
+    found = ops.verticals(chain, s.short_delta, s.wing_delta, s.target_dte)
+    return _leg_rows(found, [("short_leg", -1), ("long_leg", 1)], [F.col("max_defined_risk").alias("max_risk"), F.lit(None).cast("string").alias("note")])
+
+
+def hedged_candidates(chain: DataFrame, s: Scenario) -> DataFrame:
+    """A condor with a calendar at the money where one can be built and, if gated, executed; else the condor alone, with the reason."""
+    found = ops.iron_condors(chain, s.short_delta, s.wing_delta, s.target_dte)
+    hedge = ops.calendars(chain, found.select("date", F.col("short_call")["expiry"].alias("front_expiry")))
+    leg = lambda n: F.struct(F.col(f"{n}_expiry").alias("expiry"), F.col("strike").alias("strike"), F.lit("call").alias("option_type"), F.col(f"{n}_bid").alias("bid"), F.col(f"{n}_ask").alias("ask"))
+    both = found.join(hedge.select("date", leg("front").alias("front"), leg("back").alias("back")), "date", "left")
+    note = F.when(F.col("front").isNull(), "hedge_build_fail")
+    if s.gated:
+        note = note.when(F.col("front")["bid"].isNull(), "hedge_gate_fail: sell front").when(F.col("back")["ask"].isNull(), "hedge_gate_fail: buy back")
+    more = [F.col("max_defined_risk").alias("max_risk"), note.alias("note")]
+    rows = _leg_rows(both, [*CONDOR_LEGS, ("front", -1), ("back", 1)], more)
+    return rows.where("leg < 4 or note is null")
+
+
+@dataclass(frozen=True)
+class Strategy:
+    """candidates(chain, scenario) -> (date, leg, expiry, strike, option_type, qty, bid, ask, max_risk, note): the legs that each date would open.
+
+    should_close(book, position, day, quotes) and should_adjust(book, position, spot), which names the side to close, run on the worker.
+    The first credit_legs legs make the entry credit.
+    """
+
+    candidates: Callable[[DataFrame, Scenario], DataFrame]
+    should_close: Callable[[Book, Position, object, dict], bool] = should_close
+    should_adjust: Callable[[Book, Position, float], str | None] | None = None
+    credit_legs: int | None = None
+
+
+STRATEGIES = {"condor": Strategy(condor_candidates, should_adjust=breached), "vertical": Strategy(vertical_candidates), "hedged_condor": Strategy(hedged_candidates, credit_legs=4)}
 
 
 def fold_windows(dates: DataFrame, train: int, test: int, step: int, expanding: bool = False) -> DataFrame:
@@ -334,11 +409,17 @@ def fold_windows(dates: DataFrame, train: int, test: int, step: int, expanding:
     return out.select("fold_index", *ends)
 
 
-def walk_forward(spark: SparkSession, chain: DataFrame, todo: list[Scenario], folds: DataFrame, gates: DataFrame | None = None) -> DataFrame:
-    """All scenarios over the test windows of all folds: rows as OUT. An error ends a group and is a row of it."""
+def walk_forward(spark: SparkSession, chain: DataFrame, todo: list[Scenario], folds: DataFrame, gates: DataFrame | None = None, *, strategies: dict[str, Strategy] | None = None, fills: dict[str, Fill] | None = None, factory: Callable[[Scenario, np.ndarray], Scenario] | None = None, returns: DataFrame | None = None) -> DataFrame:
+    """All scenarios over the test windows of all folds: rows as OUT. An error ends a group and is a row of it.
+
+    factory(scenario, training returns) makes a fold's own scenario from the returns (date, ret) of its training window;
+    it may change what the state machine reads, while candidates are those of the given scenario.
+    """
     by_name = {s.name: s for s in todo}
     if len(by_name) != len(todo):
         raise ValueError("scenario names must differ")
+    kinds = STRATEGIES | (strategies or {})
+    prices = FILLS | (fills or {})
     chain = chain if "model_price" in chain.columns else chain.withColumn("model_price", F.lit(None).cast("double"))
     windows = folds.select("fold_index", "test_start", "test_end")
     # one row for each date of a fold
@@ -347,24 +428,43 @@ def walk_forward(spark: SparkSession, chain: DataFrame, todo: list[Scenario], fo
     seen: dict[tuple, DataFrame] = {}
     for s in todo:
         kind = (s.strategy, s.short_delta, s.wing_delta, s.target_dte, s.gated)
-        seen.setdefault(kind, candidates(chain, s))
+        # each kind's candidates are found once, whatever the scenarios and folds that use them
+        if kind not in seen:
+            seen[kind] = kinds[s.strategy].candidates(chain, s).checkpoint()
         own = seen[kind].withColumn("scenario", F.lit(s.name)).withColumn("gate", F.lit(s.gate))
         legs = own if legs is None else legs.unionByName(own)
-    legs = legs.join(days, "date")
+    legs = legs.join(days, "date").checkpoint()
     key = ["expiry", "strike", "option_type"]
+    contracts = legs.select(*key).distinct()
+    # a contract's quotes are read once and then given to the folds that may hold it
+    quoted = chain.join(contracts, key, "left_semi").select("date", *key, "bid", "ask", "settle", "model_price")
     held = legs.select("scenario", "gate", "fold_index", *key).distinct()
-    quotes = held.join(chain.select("date", *key, "bid", "ask", "settle", "model_price"), key).join(days, ["fold_index", "date"])
-    quotes = quotes.withColumns({"row": F.lit("q"), "leg": F.lit(None).cast("int"), "qty": F.lit(None).cast("int"), "max_risk": F.lit(None).cast("double")})
-    columns = ["scenario", "gate", "fold_index", "date", "underlying", "row", "leg", *key, "qty", "bid", "ask", "settle", "model_price", "max_risk"]
-    rows = quotes.select(*columns).unionByName(legs.withColumns({"row": F.lit("c"), "settle": F.lit(None).cast("double"), "model_price": F.lit(None).cast("double")}).select(*columns))
+    quotes = held.join(quoted, key).join(days, ["fold_index", "date"])
+    quotes = quotes.withColumns({"row": F.lit("q"), "leg": F.lit(None).cast("int"), "qty": F.lit(None).cast("int"), "max_risk": F.lit(None).cast("double"), "note": F.lit(None).cast("string")})
+    columns = ["scenario", "gate", "fold_index", "date", "underlying", "row", "leg", *key, "qty", "bid", "ask", "settle", "model_price", "max_risk", "note"]
+    # a day without a candidate or a quote of a held contract is a day of the fold, too, for every scenario (a few rows)
+    names = spark.createDataFrame([(s.name, s.gate) for s in todo], "scenario string, gate string")
+    empty = days.join(F.broadcast(names), how="cross").withColumns({"row": F.lit("d")} | {c: F.lit(None).cast(quotes.schema[c].dataType) for c in columns if c not in ("scenario", "gate", "fold_index", "date", "underlying", "row")})
+    rows = quotes.select(*columns).unionByName(legs.withColumns({"row": F.lit("c"), "settle": F.lit(None).cast("double"), "model_price": F.lit(None).cast("double")}).select(*columns)).unionByName(empty.select(*columns))
     if gates is not None:
         rows = rows.join(gates.select("date", "gate", "active"), ["date", "gate"], "left")
         rows = rows.withColumn("active", F.coalesce("active", F.col("gate") == "none"))
     else:
         rows = rows.withColumn("active", F.col("gate") == "none")
-
-    def run(key_, pdf: pd.DataFrame) -> pd.DataFrame:
-        return simulate(by_name[key_[0]], int(key_[1]), pdf)
+    if factory is not None:
+        if returns is None:
+            raise ValueError("a factory needs returns")
+        past = returns.join(folds.select("fold_index", "train_start", "train_end"), F.col("date").between(F.col("train_start"), F.col("train_end")))
+        past = past.groupBy("fold_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "ret"))), lambda r: r["ret"]).alias("train"))
+        first = rows.groupBy("scenario", "fold_index").agg(F.min("date").alias("date")).join(past, "fold_index", "left")
+        rows = rows.join(first.withColumn("row", F.lit("d")), ["scenario", "fold_index", "date", "row"], "left")
+
+    def run(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        s = by_name[key_[0]]
+        if factory is not None:
+            found = pdf["train"].dropna()
+            s = factory(s, np.array([], float) if found.empty else np.asarray(found.iloc[0], float))
+        return simulate(s, int(key_[1]), pdf, kinds[s.strategy], prices)
 
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartition(tasks, "scenario", "fold_index").groupBy("scenario", "fold_index").applyInPandas(run, OUT)

@@ -1,7 +1,11 @@
-"""A session with the settings that results depend on."""
+"""A session with the settings that results depend on, and its shared folder."""
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +15,24 @@ def session(app: str = "strikeflow", master: str | None = None, **conf: str) ->
         builder = builder.master(master)
     settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.ansi.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
     return builder.config(map=settings | conf).getOrCreate()
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only on a single machine where none is named."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared one; it goes when the driver ends."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder

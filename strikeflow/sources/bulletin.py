@@ -97,11 +97,14 @@ def parse(spark: SparkSession, path: str) -> DataFrame:
     """Raw rows of plain files of one layout."""
     schema = ", ".join(f"f{i} string" for i in range(WIDTH))
     fields = spark.read.schema(schema).option("encoding", "iso-8859-1").option("escape", "\u0000").option("mode", "PERMISSIVE").csv(path)
-    first = fields.limit(1).collect()
-    if not first:
-        raise ValueError("no header")
-    _, names = version_of(decoded(list(first[0])))
-    title = as_read(next(k for k, v in COLUMNS.items() if v == names[0]))
+    title = as_read(next(iter(COLUMNS)))
+    headers = fields.where(F.trim("f0") == title).distinct().limit(2).collect()
+    if len(headers) != 1:
+        first = fields.limit(1).collect()
+        if not headers and first:
+            version_of(decoded(list(first[0])))  # says what is wrong with it
+        raise ValueError(f"{len(headers) or 'no'} layouts in one set of files")
+    names = version_of(decoded(list(headers[0])))[1]
     return typed(fields.where(F.coalesce(F.trim("f0") != title, F.lit(True))), names)
 
 

@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VIEW = ("date", "expiry", "strike", "option_type", "settle", "close", "bid", "ask", "volume", "open_interest")
-
+from strikeflow.session import scratch  # noqa: F401
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder, under the shared one where the cluster names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strikeflow")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+VIEW = ("date", "expiry", "strike", "option_type", "settle", "close", "bid", "ask", "volume", "open_interest")
 
 
 def check_columns(df: DataFrame, wanted) -> None:
@@ -38,16 +31,25 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
-def load(spark: SparkSession, folder: str, start, end, columns: list[str] | None = None) -> DataFrame:
-    """Dates from start to end; years and days outside aren't listed or read."""
+def load(spark: SparkSession, folder: str, start, end, columns: list[str] | None = None, versions=None) -> DataFrame:
+    """Dates from start to end; years and days outside aren't listed or read.
+
+    versions: known column sets. The files' footers are read, and their columns together must be one of these sets: files of
+    an older version next to newer ones are refused where the newer ones have more columns, unless all known sets allow it.
+    """
     lo, hi = F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")
-    df = read(spark, folder).where(F.col("year").between(F.year(lo), F.year(hi)) & F.col("day").cast("date").between(lo, hi)).drop("year", "day")
+    df = spark.read.option("mergeSchema", versions is not None).parquet(folder)
+    if versions is not None:
+        have = set(df.columns) - {"year", "day"}
+        if have not in [set(v) for v in versions]:
+            raise ValueError(f"files of several layouts, or of none: {sorted(have)}")
+    df = df.where(F.col("year").between(F.year(lo), F.year(hi)) & F.col("day").cast("date").between(lo, hi)).drop("year", "day")
     return df.select(*columns) if columns else df
 
 
 def dates(spark: SparkSession, folder: str) -> DataFrame:
-    """Cached dates, from folder names alone."""
-    return read(spark, folder).select(F.col("day").cast("date").alias("date")).distinct()
+    """Cached dates, from folder names alone; names that aren't dates are skipped."""
+    return read(spark, folder).select(F.col("day").cast("string").try_cast("date").alias("date")).where("date is not null").distinct()
 
 
 def is_cached(spark: SparkSession, folder: str, date) -> bool:
@@ -66,6 +68,23 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return df.select(m["file_path"].alias("path"), m["file_size"].alias("bytes"), m["file_modification_time"].alias("written"), "date").groupBy("path", "bytes", "written", "date").agg(F.count("*").alias("n"))
 
 
+MANIFEST = ("path", "bytes", "written", "date", "n")
+
+
+def append_manifest(spark: SparkSession, folder: str, target: str, since=None) -> DataFrame:
+    """Appends the files that the manifest at target doesn't list yet (all, without one), and returns the whole manifest. A manifest with other columns is refused. since: only dates from then on are looked at."""
+    found = manifest(spark, folder)
+    if since is not None:
+        found = found.where(F.col("date") >= F.lit(str(since)).cast("date"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        known = spark.read.parquet(target)
+        check_columns(known, MANIFEST)
+        found = found.join(known.select("path", "date", "written"), ["path", "date", "written"], "left_anti")
+    found.select(*MANIFEST).write.mode("append").parquet(target)
+    return spark.read.parquet(target)
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     """Union of shards of one schema version; versions aren't mixed by filling up nulls."""
     for p in parts[1:]:
