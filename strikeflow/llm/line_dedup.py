@@ -211,7 +211,7 @@ def near_pairs(classes: DataFrame, edits: int, bucket: int = BUCKET) -> DataFram
     ends = shared.small(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().checkpoint())
     met = classes.join(ends, "h", "left_semi").select("h", "first", "line", letter_counts(F.col("line")).alias("letters"))
     side = lambda name: met.select(*(F.col(c).alias(name if c == "h" else f"{c}_{name}") for c in met.columns))
-    told = pairs.join(side("a"), "a").join(side("b"), "b").where(F.when(counts_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * edits, within(F.col("line_a"), F.col("line_b"), edits)).otherwise(False))
+    told = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").where(F.when(counts_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * edits, within(F.col("line_a"), F.col("line_b"), edits)).otherwise(False))
     a_first = F.col("first_a") < F.col("first_b")
     return told.select(F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("later"), F.when(a_first, F.col("first_a")).otherwise(F.col("first_b")).alias("earlier"))
 
