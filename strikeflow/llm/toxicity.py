@@ -48,8 +48,8 @@ def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
     buf = tb.LOWER[buf]
     n = len(offs) - 1
     stops = np.flatnonzero(_STOP[buf]) + 1
-    starts = np.unique(np.concatenate([offs[:-1], stops[stops < len(buf)]])) if len(buf) else offs[:1]
-    inner = np.searchsorted(starts, offs[:-1])
+    begins = np.concatenate([offs[:-1], stops])
+    starts = np.unique(begins[begins < len(buf)]) if len(buf) else offs[:1]  # an empty text at the end begins past it
     doc = np.searchsorted(offs, starts, "right") - 1
     empty = np.flatnonzero(np.diff(offs) == 0)  # these share their start with the text after them
     word = ~_SPLIT[buf]
@@ -70,7 +70,6 @@ def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
     full = doc[: len(starts)] if len(buf) else np.zeros(0, np.int64)
     if not len(buf):
         starts = ends = np.zeros(0, np.int64)
-    del inner
     base = offs[:-1]
     doc = np.concatenate([full, empty])
     return np.concatenate(hashes), np.concatenate(where), doc, np.concatenate([starts - base[full] if len(full) else starts, np.zeros(len(empty), np.int64)]), np.concatenate([ends - base[full] if len(full) else ends, np.zeros(len(empty), np.int64)])
@@ -195,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, limit: int = SAMPLE) -> Mo
     """A model of docs (doc_id, text) and labels (doc_id, toxic), but for held-out rows."""
     labels = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(~F.coalesce(held_out, F.lit(False)) & F.col("text").isNotNull())
-    rows = shared.sample(docs.join(labels, "doc_id"), limit)
+    rows = shared.sample(docs, limit, labels=labels)
     return Model(rows.column("text"), np.array([x == "1" for x in rows.column("label").to_pylist()], bool))
 
 
