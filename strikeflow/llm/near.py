@@ -38,8 +38,8 @@ from strikeflow.llm import textbytes as tb
 WORDS = 5
 SIMILAR = (4, 5)
 RADIUS = 20
-#: Sets of a bucket up to which all pairs are taken at once, hubs of larger ones, and sets from which on they are stored as bit planes.
-FEW, HUBS, PLANES = 16, 8, 1024
+#: Sets of a bucket up to which all pairs are taken at once, rows of a block of distances, and sets from which on they are stored as bit planes.
+FEW, BLOCK, PLANES = 16, 256, 1024
 #: Keys of more than HOT sets come last in the order, the MOST most frequent at most; any choice gives the same links.
 HOT, MOST = 64, 1 << 16
 
@@ -139,16 +139,21 @@ def sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest(node: np.ndarray, fp: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of a large bucket, few links that connect most of it: each set with the nearest of HUBS sets spread over the bucket, and with its neighbour in the order of fingerprints."""
-    hubs = np.arange(HUBS) * len(node) // HUBS
-    away = np.bitwise_count(fp[:, None] ^ fp[None, hubs])
-    away = np.where(sized(size[:, None], size[None, hubs]) & (node[:, None] != node[None, hubs]), away, 65)
-    best = away.argmin(1)
-    own = np.flatnonzero(away[np.arange(len(node)), best] <= RADIUS)
-    order = np.argsort(fp, kind="stable")
-    left, right = order[:-1], order[1:]
-    ok = (np.bitwise_count(fp[left] ^ fp[right]) <= RADIUS) & sized(size[left], size[right])
-    return [(node[own], node[hubs[best[own]]]), (node[left[ok]], node[right[ok]])]
+    """Of a large bucket, few links that connect most of it: each set with its nearest one, and with the one that is nearest to all."""
+    n = len(node)
+    every, best, away, total = np.arange(n), np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+    for at in range(0, n, BLOCK):
+        own = every[at : at + BLOCK]
+        d = np.bitwise_count(fp[own, None] ^ fp[None]).astype(np.int16)
+        total[own] = np.minimum(d, 2 * RADIUS).sum(1)
+        d[~sized(size[own, None], size[None])] = 65
+        d[own - at, own] = 65
+        best[own] = d.argmin(1)
+        away[own] = d[own - at, best[own]]
+    middle = int(total.argmin())
+    near = np.flatnonzero(away <= RADIUS)
+    star = np.flatnonzero((np.bitwise_count(fp ^ fp[middle]) <= RADIUS) & sized(size, size[middle]) & (every != middle))
+    return [(node[near], node[best[near]]), (node[star], np.full(len(star), node[middle]))]
 
 
 def bucket_pairs(node: np.ndarray, fp: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -247,7 +252,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     top, of = SIMILAR
     side = lambda name: sets.select(F.col("node").alias(name), F.col("items").alias(f"items_{name}"))
     common = F.size(F.array_intersect("items_u", "items_v"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").where((top + of) * common >= top * (F.size("items_u") + F.size("items_v"))).select("u", "v")
+    return pairs.hint("merge").join(side("u"), "u").hint("merge").join(side("v"), "v").where((top + of) * common >= top * (F.size("items_u") + F.size("items_v"))).select("u", "v")
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
