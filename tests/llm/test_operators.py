@@ -268,6 +268,34 @@ def test_toxicity_learns_and_finds_sentences(spark, nothing):
     assert {r["score"] for r in toxicity.score(d, y.limit(0), toxicity.held_out()).collect()} == {0.0}
 
 
+def test_noisy_or_against_plain_python():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["red", "green", "stonework", "river"]) for _ in range(12)) + (". A vileword, vilewording! End" if i % 4 == 0 else ". End") for i in range(200)]
+    model = toxicity.Model(pa.chunked_array([texts]), np.array([i % 4 == 0 for i in range(200)]))
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+
+    def hashed(word, k=None):
+        own = np.frombuffer(word[:k], np.uint8)
+        return int(textbytes.hash_spans(own, np.array([0]), np.array([len(own)]))[0] ^ np.uint64(k or 0))
+
+    odd = [None, "", "...", "VILEWORD", "é vileword\nvilewords x", texts[0], texts[1], "a" * 5000, "", None]
+    score, start, end, worst = model(pa.array(odd))
+    for i, text in enumerate(odd):
+        raw = (text or "").lower().encode()
+        cuts = [0, *(m.end() for m in re.finditer(rb"[\n!.;?]", raw) if m.end() < len(raw)), len(raw)]
+        best, clean = -1.0, 1.0
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            z = model.bias
+            for w in re.findall(rb"[0-9a-z\x80-\xff]+", raw[a:b]):
+                z += sum(weight.get(hashed(w, k), 0.0) for k in (None, *(k for k in toxicity.PREFIXES if len(w) > k)))
+            p = 1 / (1 + math.exp(-z))
+            clean *= 1 - p
+            best = max(best, p)
+        assert score[i] == pytest.approx(1 - clean, abs=1e-9) and worst[i] == pytest.approx(best)
+        assert 0 <= start[i] <= end[i] <= len(raw)
+    assert score[3] > 10 * score[2]
+
+
 # 5
 
 

@@ -100,3 +100,98 @@ def test_near_stage_keeps_one_row_of_repeated_ones(spark):
     got = [(r["doc_id"], r["text"]) for r in got.collect()]
     assert {x for x in got if x[0] is not None} == {(1, one), (3, two), (3, four), (5, None)} and len(got) == 5
     assert len([x for x in got if x[0] is None]) == 1 and [x[1] for x in got if x[0] is None][0] in (three, three + " end")
+
+
+def _pipeline_docs():
+    import random
+
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(3000)}"
+    line = lambda n=14: " ".join(word() for _ in range(n))
+    rows, labels = [], []
+    footer = "this footer of more than forty characters stands in many documents"
+    for i in range(120):
+        text = "\n".join(line() for _ in range(4))
+        toxic = i % 6 == 0
+        if toxic:
+            text += f"\n{word()} vileword vileword {word()}."
+        if i % 5 == 1:
+            text += "\n" + footer
+        rows.append((i, text))
+        labels.append((i, 1, int(toxic)))
+    long = [word() for _ in range(300)]
+    near = list(long)
+    near[150] = "changed"
+    rows += [(200, " ".join(long)), (201, " ".join(near)), (202, rows[1][1]), (203, None), (204, ""), (205, f"write to me@mail.example.com {line()}"), (206, line(2500))]
+    rows += [(207, line()), (207, "another text with the same number " + line()), (207, "a repeated row " + line())]
+    rows += [rows[-1], (None, "no number " + line())]
+    return rows, labels
+
+
+def test_run_matches_brute_force(spark, tmp_path):
+    """Each stage by plain Python over the rows that its predecessor kept, but for the two trained ones, which are held against what was planted."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+    from strikeflow.llm import packing
+
+    rows, labels = _pipeline_docs()
+    docs = spark.createDataFrame([(*r, "s", 7, "x") for r in rows], "doc_id long, text string, source string, n_dropped int, __key string").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "line_dedup", "simhash_dedup", "pii", "best_fit_packing"]
+    read = lambda name: spark.read.parquet(str(tmp_path / name))
+    before = read("documents.parquet")
+    for name, stage in stages.items():
+        stage(spark, before, str(tmp_path)).write.parquet(str(tmp_path / name))
+        if name != "best_fit_packing":
+            assert read(name).columns == docs.columns and read(name).where("n_dropped <> 7 or __key <> 'x'").count() == 0
+        before = read(name)
+    rows_of = lambda name: sorted(((r["doc_id"], r["text"]) for r in read(name).collect()), key=str)
+    clean = rows_of("toxicity")
+    assert clean == sorted((r for r in rows if "vileword" not in (r[1] or "")), key=str)
+    # lines: the first of equal ones stays, in the order of the number and a hash of the text; equal rows count once
+    hashes = {r["text"]: r["h"] for r in read("toxicity").select("text", F.xxhash64("text").alias("h")).collect()}
+    first, kept = {}, {}
+    for doc, text in sorted({r for r in clean if r[0] is not None}, key=lambda r: (r[0], hashes[r[1]])):
+        out = []
+        for pos, x in enumerate((text or "").split("\n")):
+            if not x.strip() or first.setdefault(x, (doc, text, pos)) == (doc, text, pos):
+                out.append(x)
+        kept[doc, text] = text if text is None or len(out) == len(text.split("\n")) else "\n".join(out)
+    lines = [(d, t if d is None else kept[d, t]) for d, t in clean]
+    lines = sorted((r for r, was in zip(lines, clean, strict=True) if r[1] == was[1] or r[1].strip()), key=str)
+    assert rows_of("line_dedup") == lines
+    # near-duplicates: one row of each component
+    label = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if label[i] != label[j] and _jaccard(lines[i][1] or "", lines[j][1] or "") >= 0.8:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    groups = {}
+    for r, k in zip(lines, label, strict=True):
+        groups.setdefault(k, []).append(r)
+    left = rows_of("simhash_dedup")
+    assert len(left) == len(groups)
+    for own in groups.values():
+        ids = [d for d, _ in own if d is not None]
+        assert sum(r in own for r in left) >= 1 and all(r[0] == min(ids) for r in left if r in own and ids)
+    redacted = dict(r for r in rows_of("pii") if r[0] not in (None, 207))
+    assert redacted[205].startswith("write to [EMAIL] w") and all(redacted[d] == t for d, t in left if d not in (None, 205, 207))
+    pieces = read("best_fit_packing")
+    encode = packing.encoder(packing.vocabulary())
+    import pyarrow as pa
+
+    ids, bounds = encode(pa.array([t for _, t in rows_of("pii")], pa.string()))
+    assert pieces.agg(F.sum("length")).first()[0] == len(ids) + len(left)
+    over = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).where("n <> end or n > 1024")
+    assert over.count() == 0 and corpus_pipeline.run(spark, str(tmp_path)).count() == pieces.count()
+
+
+def test_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
