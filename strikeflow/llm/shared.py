@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strikeflow.session import checkpoint_dir, scratch
+
 
 def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
     """Spans of at most capacity; only the first may be shorter."""
@@ -19,16 +18,6 @@ def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def free(columns: list[str], name: str) -> str:
     """name, followed by as many underscores as it takes to be none of columns (which Spark compares without case)."""
     taken = {c.lower() for c in columns}
@@ -37,14 +26,6 @@ def free(columns: list[str], name: str) -> str:
     return name
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path under the shared one; it goes when the driver ends."""
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
-
-
 def written(rows: DataFrame) -> DataFrame:
     """rows, written as Parquet to the shared folder and read from there: like checkpoint(), but compressed and read by column."""
     folder = scratch(rows.sparkSession, "rows")
