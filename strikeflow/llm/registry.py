@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strikeflow.llm import language_id, line_dedup, lm_score, media, mixing, packing, pieces, pii, quality, simhash, toxicity
+from strikeflow.llm import alignment, language_id, line_dedup, lm_score, media, mixing, packing, pieces, pii, quality, simhash, spelling, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_mixing": mixing.op13_mixing,
 }
 ORACLE_SQL: dict[str, str] = {"op13_mixing": mixing.ORACLE}
