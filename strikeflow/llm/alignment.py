@@ -5,8 +5,8 @@ or both. A regular expression scans the labels for spans up to each both-label;
 group, and its labels tell how many tokens of A and of B it has and which of them overlap.
 
 Tokenizers and scan work on units: no token of either crosses a single space between
-characters that aren't white space, so texts are cut there, and equal units are
-solved once (units are compared by their bytes, and kept up to a bound of bytes).
+characters that aren't white space, so texts are cut there, and equal units of a batch
+are solved once, together (they are compared by their bytes).
 
 The number of documents that hold a pair of ids linked is a count over the whole corpus.
 Batches of documents (GROUP bytes of text, or one longer document) are written as a row
@@ -27,6 +27,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,6 @@ from strikeflow.llm import textbytes as tb
 
 #: Bytes of text in a batch.
 GROUP = 8 << 20
-#: Units of up to so many bytes are kept, for so many bytes in all.
-SHORT, KEPT = 256, 1 << 20
 MARK = "▁"
 #: A pair of ids as one number: the id of A times this, plus that of B.
 PAIR = 1 << 24
@@ -50,44 +50,48 @@ NONE, A_END, B_END, BOTH = b"0123"
 SPAN = re.compile(rb"[^3]*3")
 
 
-class Unit:
-    """What is known of a unit: its ids, groups (as text) and links (as pairs, one for each); text is None if its bytes aren't those of its tokens."""
+class Units(NamedTuple):
+    """What is known of distinct units, in an order of their own: rank of each as given; whether its bytes are those of its tokens (else there is nothing of it); tokens, groups and links of each; the links' pairs, one unit's after another's; the groups as text, each with ; behind."""
 
-    __slots__ = ("links", "n_a", "n_b", "n_groups", "text")
+    rank: np.ndarray
+    good: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    pairs: np.ndarray
+    texts: list[bytes]
 
-    def __init__(self, n_a: int, n_b: int, n_groups: int, links: list[int], text: bytes | None):
-        self.n_a, self.n_b, self.n_groups, self.links, self.text = n_a, n_b, n_groups, np.array(links, np.int64), text
 
+def labels(size: int, a_width: np.ndarray, b_width: np.ndarray) -> bytes:
+    """The label of each of size bytes that tokens of these widths cover."""
+    out = np.full(size, NONE, np.uint8)
+    out[np.cumsum(a_width) - 1] += A_END - NONE
+    out[np.cumsum(b_width) - 1] += B_END - NONE
+    return out.tobytes()
 
-def labels(size: int, a_ends: list[int], b_ends: list[int]) -> bytes:
-    """The label of each of size bytes."""
-    out = bytearray(bytes([NONE])) * size
-    for at in a_ends:
-        out[at - 1] = A_END
-    for at in b_ends:
-        out[at - 1] = BOTH if out[at - 1] == A_END else B_END
-    return bytes(out)
 
+def group_ends(told: bytes) -> np.ndarray:
+    """Where each span of labels up to a both-label ends."""
+    return np.fromiter((span.end() for span in SPAN.finditer(told)), np.int64)
 
-def groups(told: bytes, a: list[int], b: list[int]) -> Iterator[tuple[list[int], list[int], list[int]]]:
-    """(ids of A, ids of B, links) of each span of labels up to a both-label. Two tokens are linked if they overlap: with the first ones of the group, and from each further end on with the token that begins there."""
-    i = j = 0
-    for span in SPAN.finditer(told):
-        found = span.group()
-        n, m = found.count(A_END) + 1, found.count(B_END) + 1
-        links = [a[i] * PAIR + b[j]]
-        if n + m > 2:
-            x, y = i, j
-            for label in found:
-                if label == A_END:
-                    x += 1
-                elif label == B_END:
-                    y += 1
-                else:
-                    continue
-                links.append(a[x] * PAIR + b[y])
-        yield a[i : i + n], b[j : j + m], links
-        i, j = i + n, j + m
+
+def group_texts(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """a1,a2|b1; and so on for groups of so many ids of a and of b each, and where each id's text begins (in order; one more value for the end)."""
+    before_a, before_b = np.cumsum(in_a), np.cumsum(in_b)
+    at_a = np.arange(len(a)) + np.repeat(before_b - in_b, in_a)
+    at_b = np.arange(len(b)) + np.repeat(before_a, in_b)
+    ids, sign = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+    ids[at_a], ids[at_b] = a, b
+    sign[at_a[before_a - 1]], sign[at_b[before_b - 1]] = ord("|"), ord(";")
+    digits = 1 + sum((ids >= 10**k).astype(np.int64) for k in range(1, 8))
+    edge = np.concatenate([[0], np.cumsum(digits + 1)])
+    out = np.empty(edge[-1], np.uint8)
+    out[edge[1:] - 1] = sign
+    for k in range(int(digits.max(initial=0))):
+        has = np.flatnonzero(digits > k)
+        out[edge[1:][has] - 2 - k] = ord("0") + ids[has] // 10**k % 10
+    return out.tobytes(), edge
 
 
 class Aligner:
@@ -97,40 +101,57 @@ class Aligner:
         self.a = packing.encoder(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         one = lambda i: bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else self.b.id_to_piece(i).replace(MARK, " ").encode()
-        self.b_bytes = [one(i) for i in range(self.b.get_piece_size())]
+        found = [one(i) for i in range(self.b.get_piece_size())]
         # a cut in front of a space is safe if no piece holds one behind another character
-        if any(b" " in x.lstrip(b" ") for x in self.b_bytes):
+        if any(b" " in x.lstrip(b" ") for x in found):
             raise ValueError("pieces of B cross spaces")
-        self.known: dict[bytes, Unit] = {}
-        self.size = 0
-
-    def solve(self, unit: bytes, b: list[int]) -> Unit:
-        """A unit, which begins with a space, and its ids by B."""
-        a = self.a.bpe.encode_ordinary(unit.decode())
-        b_bytes = [self.b_bytes[i] for i in b]
-        if b"".join(b_bytes) != unit or b"".join(self.a.bpe.decode_tokens_bytes(a)) != unit:
-            return Unit(0, 0, 0, [], None)
-        told = labels(len(unit), np.cumsum(self.a.width[a]).tolist(), np.cumsum([len(x) for x in b_bytes]).tolist())
-        links, parts, n = [], [], 0
-        for own_a, own_b, own_links in groups(told, a, b):
-            links += own_links
-            parts.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-            n += 1
-        return Unit(len(a), len(b), n, links, ";".join(parts).encode())
-
-    def units(self, found: list[bytes]) -> list[Unit]:
-        """Those of distinct units."""
-        new = [u for u in found if u not in self.known]
+        self.b_width = np.array([len(x) for x in found])
+        self.b_pool = np.frombuffer(b"".join(found), np.uint8)
+
+    def encode_a(self, units: list[bytes], plain: int) -> np.ndarray:
+        """Ids of units, of which so many at the front have no white space at their ends but the first byte: no token crosses into the next of these."""
+        joined = self.a.bpe.encode_to_numpy(b"".join(units[:plain]).decode(), allowed_special=set(), disallowed_special=())
+        return np.concatenate([joined.astype(np.int64), *(np.array(self.a.bpe.encode_ordinary(u.decode()), np.int64) for u in units[plain:])])
+
+    def solve(self, found: list[bytes]) -> Units:
+        """Distinct units, each of which begins with a space."""
+        size = np.array([len(u) for u in found], np.int64)
+        buf = np.frombuffer(b"".join(found), np.uint8)
+        white = tb.SPACE[buf] | wide_space(buf)
+        ends = np.cumsum(size)
+        plain = (size > 1) & ~white[np.minimum(ends - size + 1, len(buf) - 1)] & ~white[ends - 1]
+        order = np.argsort(~plain, kind="stable")
+        units, size = [found[i] for i in order.tolist()], size[order]
+        rank = np.empty(len(found), np.int64)
+        rank[order] = np.arange(len(found))
+        buf, ends = np.frombuffer(b"".join(units), np.uint8), np.cumsum(size)
+        a = self.encode_a(units, int(plain.sum()))
+        n_a = np.diff(np.concatenate([[0], np.searchsorted(np.cumsum(self.a.width[a]), ends, "right")]))
         # B puts the space in front itself
-        solved = dict(zip(new, map(self.solve, new, self.b.encode([u[1:].decode() for u in new], num_threads=1)), strict=True)) if new else {}
-        out = [self.known[u] if u not in solved else solved[u] for u in found]
-        if self.size > KEPT:
-            self.known, self.size = {}, 0
-        for u, x in solved.items():
-            if len(u) <= SHORT:
-                self.known[u] = x
-                self.size += len(u)
-        return out
+        lists = self.b.encode([u[1:].decode() for u in units], num_threads=1)
+        n_b = np.fromiter(map(len, lists), np.int64, len(lists))
+        b = np.fromiter(chain.from_iterable(lists), np.int64, int(n_b.sum()))
+        told = np.concatenate([[0], np.cumsum(self.b_width[b])])
+        good = np.diff(told[np.concatenate([[0], np.cumsum(n_b)])]) == size
+        bytes_of = lambda ids: ragged(self.b_pool, self.b_width, ids)
+        if good.any():
+            same = bytes_of(ragged(b, n_b, np.flatnonzero(good))) == ragged(buf, size, np.flatnonzero(good))
+            good[np.flatnonzero(good)] = np.logical_and.reduceat(same, np.cumsum(size[good]) - size[good])
+        keep = np.flatnonzero(good)
+        a, b = ragged(a, n_a, keep), ragged(b, n_b, keep)
+        n_a, n_b, ends = n_a * good, n_b * good, np.cumsum(size * good)
+        text = labels(int(size[keep].sum()), self.a.width[a], self.b_width[b])
+        label = np.frombuffer(text, np.uint8) - NONE
+        is_a, is_b = (label & 1).astype(np.int64), (label >> 1).astype(np.int64)
+        all_a, all_b, all_ = (np.concatenate([[0], np.cumsum(x)]) for x in (is_a, is_b, label > 0))
+        stop = group_ends(text)
+        # two tokens that overlap do so up to a byte where one ends, and there they are the tokens at hand
+        at = np.flatnonzero(label)
+        pairs = a[all_a[at]] * PAIR + b[all_b[at]]
+        groups, edge = group_texts(a, b, np.diff(all_a[np.concatenate([[0], stop])]), np.diff(all_b[np.concatenate([[0], stop])]))
+        cut = edge[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        per = lambda values: np.diff(np.concatenate([[0], values]))
+        return Units(rank, good, n_a, n_b, per(np.searchsorted(stop, ends, "right")), per(all_[ends]), pairs, [groups[s:e] for s, e in zip(cut[:-1], cut[1:], strict=True)])
 
     def cut(self, column) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The distinct units of texts, a space in front of each text that has any byte; for each unit of the texts in order its place among them, and for each text the place of its first unit."""
@@ -218,18 +239,18 @@ def ragged(values: np.ndarray, lengths: np.ndarray, take: np.ndarray) -> np.ndar
 def align(rows: pa.RecordBatch, tool: Aligner, number: int) -> pa.RecordBatch:
     """One row of BATCH for rows (doc_id, text)."""
     found, place, bounds = tool.cut(rows.column("text"))
-    units = tool.units(found)
+    units = tool.solve(found)
+    place = units.rank[place]
     n = rows.num_rows
-    good = np.array([u.text is not None for u in units], bool)
-    bad = np.concatenate([[0], np.cumsum(~good[place])])
+    bad = np.concatenate([[0], np.cumsum(~units.good[place])])
     whole = (np.diff(bounds) > 0) & (np.diff(bad[bounds]) == 0)
-    sums = lambda of: np.where(whole, np.diff(np.concatenate([[0], np.cumsum(np.array([of(u) for u in units], np.int64)[place])])[bounds]), 0)
-    n_a, n_b, n_groups = (sums(of) for of in (lambda u: u.n_a, lambda u: u.n_b, lambda u: u.n_groups))
-    texts, where, edges = [u.text for u in units], place.tolist(), bounds.tolist()
-    sha = [hashlib.sha256(b";".join([texts[i] for i in where[s:e]])).hexdigest() if ok else "" for s, e, ok in zip(edges[:-1], edges[1:], whole.tolist(), strict=True)]
+    sums = lambda values: np.where(whole, np.diff(np.concatenate([[0], np.cumsum(values[place])])[bounds]), 0)
+    n_a, n_b, n_groups = sums(units.n_a), sums(units.n_b), sums(units.n_groups)
+    texts, where, edges = units.texts, place.tolist(), bounds.tolist()
+    sha = [hashlib.sha256(b"".join([texts[i] for i in where[s:e]])[:-1]).hexdigest() if ok else "" for s, e, ok in zip(edges[:-1], edges[1:], whole.tolist(), strict=True)]
     # the distinct pairs of each document, as numbers among those of the batch
-    lengths = np.array([len(u.links) for u in units], np.int64)
-    pair, number_of = np.unique(np.concatenate([np.zeros(0, np.int64), *(u.links for u in units)]), return_inverse=True)
+    lengths = units.n_links
+    pair, number_of = np.unique(units.pairs, return_inverse=True)
     doc = np.repeat(np.arange(n), np.diff(bounds))
     take = whole[doc] if n else np.zeros(0, bool)
     links = ragged(number_of, lengths, place[take])

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -100,12 +101,15 @@ def test_long_texts_ties_and_repeats(spark, tools):
     assert alignment.aligned(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).where("n_a + n_links = 0 and groups_sha256 = ''").count() == 2
 
 
-def test_units_solve_and_forget(tools):
+def test_units_are_solved_together(tools):
     tool = alignment.Aligner(packing.vocabulary(), pieces.model_path())
-    one = [b" word", b" other,thing", b"  \n x"]
-    first = tool.units(one)
-    assert [u.text for u in tool.units(one)] == [u.text for u in first] and tool.size == sum(map(len, one))
-    tool.size = alignment.KEPT + 1
-    assert [u.text for u in tool.units([*one, b" new"])][:3] == [u.text for u in first] and list(tool.known) == [b" new"]
-    labels = alignment.labels(5, [2, 5], [3, 5])
-    assert labels == b"01203" and [(a, b, len(x)) for a, b, x in alignment.groups(labels, [7, 8], [1, 2])] == [([7, 8], [1, 2], 3)]
+    one = [b" word", "  \n x".encode(), b" other,thing", " a▁b".encode(), b" x  "]
+    got = tool.solve(one)
+    for unit, k in zip(one, got.rank.tolist(), strict=True):
+        (n_a, n_b, n_groups, n_links, *_, sha), *_ = brute([unit[1:].decode()], tools)
+        assert (got.n_a[k], got.n_b[k], got.n_groups[k], got.n_links[k]) == (n_a, n_b, n_groups, n_links)
+        assert got.good[k] == (n_a > 0) and (not n_a or hashlib.sha256(got.texts[k][:-1]).hexdigest() == sha)
+    labels = alignment.labels(5, np.array([2, 3]), np.array([3, 2]))
+    assert labels == b"01203" and alignment.group_ends(labels + b"003").tolist() == [5, 8]
+    text, edge = alignment.group_texts(np.array([7, 10, 100]), np.array([1, 20000, 0]), np.array([2, 1]), np.array([1, 2]))
+    assert text == b"7,10|1;100|20000,0;" and edge.tolist() == [0, 2, 5, 7, 11, 17, 19]
