@@ -50,6 +50,6 @@ def problem(kind: str) -> Column:
 
 
 def require(df: DataFrame, kind: str) -> DataFrame:
-    """df, whose reading fails at the first row outside the domain."""
+    """df, whose reading fails at a row outside the domain, if there is one; of several, whichever task comes to one first."""
     text = F.concat(F.lit(f"{kind}: bad "), problem(kind), F.lit(" in "), F.to_json(F.struct("*")))
     return df.where(F.when(problem(kind).isNull(), True).otherwise(F.raise_error(text).cast("boolean")))

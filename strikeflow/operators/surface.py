@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,208 +15,89 @@ from strikeflow.constants import CALENDAR_DAYS, DIVIDEND
 from strikeflow.functions import bsm
 from strikeflow.functions import expressions as x
 from strikeflow.operators import chain as ops
+from strikeflow.operators import lanes
+from strikeflow.operators.lanes import MIN_POINTS, sabr_vol, svi_variance
 
 ACCEPT_RMSE = 1.0
-MIN_POINTS = {"svi": 5, "sabr": 4, "poly": 3}
+#: The most smiles that are fitted together.
+LANES = 256
 PARAMETERS = {"svi": ("a", "b", "rho", "m", "sigma"), "sabr": ("F", "alpha", "rho", "nu"), "poly": ("c0", "c1", "c2")}
 RECORD = "date date, expiry date, model_type string, converged boolean, n_points long, in_sample_rmse double, fit_time_ms long, forward double, t double, params map<string,double>, attempts array<struct<model_type:string,converged:boolean,rmse:double,error:string>>, error string"
 
 
-def simplex(f, start: np.ndarray, scale: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Nelder and Mead's minimisation."""
-    n = len(start)
-    points = [start, *(start + scale * np.eye(n)[i] for i in range(n))]
-    values = [f(p) for p in points]
-    for _ in range(steps):
-        order = np.argsort(values, kind="stable")
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if abs(values[-1] - values[0]) <= 1e-15 + 1e-10 * abs(values[0]) and max(np.abs(points[-1] - points[0])) < 1e-7:
-            break
-        centre = np.mean(points[:-1], axis=0)
-        for factor in (1.0, 2.0, -0.5, 0.5):
-            if factor == 1.0:
-                p = centre + (centre - points[-1])
-                v = f(p)
-                if values[0] <= v < values[-2]:
-                    points[-1], values[-1] = p, v
-                    break
-                reflected, at = p, v
-                if v >= values[-2]:
-                    continue
-            elif factor == 2.0:
-                if at >= values[0]:
-                    continue
-                p = centre + 2 * (centre - points[-1])
-                v = f(p)
-                points[-1], values[-1] = (p, v) if v < at else (reflected, at)
-                break
-            else:
-                if at < values[0] or (factor == 0.5) != (at < values[-1]):
-                    continue
-                p = centre + factor * (centre - points[-1])
-                v = f(p)
-                if v < min(at, values[-1]):
-                    points[-1], values[-1] = p, v
-                    break
-        else:
-            points = [points[0], *(points[0] + 0.5 * (p - points[0]) for p in points[1:])]
-            values = [values[0], *(f(p) for p in points[1:])]
-    i = int(np.argmin(values))
-    return points[i], values[i]
+def evaluate(model: str, params: dict, k: np.ndarray, t: float) -> np.ndarray:
+    if model == "svi":
+        with np.errstate(invalid="ignore"):
+            return np.sqrt(svi_variance(k, *(params[n] for n in PARAMETERS["svi"])) / t)
+    if model == "sabr":
+        return sabr_vol(params["F"], params["F"] * np.exp(k), t, params["alpha"], params["rho"], params["nu"])
+    return params["c0"] + params["c1"] * k + params["c2"] * k * k
 
 
-def svi_variance(k, a, b, rho, m, sigma):
-    return a + b * (rho * (k - m) + np.sqrt((k - m) ** 2 + sigma * sigma))
+def _single(name: str, found: np.ndarray, problems: list[str | None]) -> dict[str, float]:
+    if problems[0]:
+        raise ValueError(problems[0])
+    return dict(zip(PARAMETERS[name], found[0].tolist(), strict=True))
 
 
-def butterfly(k, a, b, rho, m, sigma):
-    root = np.sqrt((k - m) ** 2 + sigma * sigma)
-    w = svi_variance(k, a, b, rho, m, sigma)
-    w1, w2 = b * (rho + (k - m) / root), b * sigma * sigma / root**3
-    with np.errstate(all="ignore"):
-        return np.where(w > 0, (1 - k * w1 / (2 * w)) ** 2 - w1**2 / 4 * (1 / w + 0.25) + w2 / 2, -np.inf)
+def _enough(name: str, points: np.ndarray) -> None:
+    if len(points) < MIN_POINTS[name]:
+        raise ValueError("too few points")
 
 
 def fit_svi(k: np.ndarray, iv: np.ndarray, t: float, arbitrage_free: bool = True) -> dict[str, float]:
-    """Quasi-explicit: for given (m, sigma) total variance is linear in (a, d, c); a constrained least-squares inside, a simplex search outside."""
-    if len(k) < MIN_POINTS["svi"]:
-        raise ValueError("too few points")
-    w = iv * iv * t
-    cap = 4 / t
-
-    def admissible(p, sigma: float) -> bool:
-        a, d, c = p
-        if c <= 0 or abs(d) >= c:
-            return False
-        rho = d / c
-        return c / sigma * (1 + abs(rho)) <= cap and a + c * math.sqrt(1 - rho * rho) >= 0
-
-    def inner(p) -> tuple[float, tuple]:
-        m, sigma = p[0], math.exp(p[1])
-        if not 1e-4 <= sigma <= 5 or abs(m) > 2:
-            return 1e9, ()
-        y = (k - m) / sigma
-        z = np.sqrt(y * y + 1)
-        best = (1e9, ())
-        basis = np.stack([np.ones_like(y), y, z])
-        gram, rhs = basis @ basis.T, basis @ w
-        try:
-            full = np.linalg.solve(gram + 1e-14 * np.eye(3), rhs)
-        except np.linalg.LinAlgError:
-            return 1e9, ()
-        options = [full]
-        if not admissible(full, sigma):
-            # on the edges |d| = c and a = 0, where the free optimum breaks a bound
-            for s in (1, -1):
-                e = np.stack([np.ones_like(y), s * y + z])
-                u = np.linalg.lstsq(e.T, w, rcond=None)[0]
-                options.append(np.array([u[0], s * u[1] * 0.999, u[1]]))
-            u = np.linalg.lstsq(np.stack([y, z]).T, w, rcond=None)[0]
-            options.append(np.array([0.0, u[0], u[1]]))
-        for a, d, c in options:
-            if not admissible((a, d, c), sigma):
-                continue
-            b, rho = c / sigma, d / c
-            err = float(((a + d * y + c * z - w) ** 2).sum())
-            if err < best[0]:
-                best = (err, (a, b, rho, m, sigma))
-        return best
-
-    starts = [np.array([m, math.log(s)]) for m in {0.0, float(k[w.argmin()])} for s in (0.05, 0.4)]
-    found = None
-    for start in starts:
-        got = simplex(lambda p: inner(p)[0], start, np.array([0.05, 0.3]), 80)
-        found = got if found is None or got[1] < found[1] else found
-        if found[1] <= 1e-8 * float(w @ w):  # as good as the quotes are
-            break
-    err, params = inner(found[0])
-    if not params:
-        raise ValueError("no admissible fit")
-    if arbitrage_free and (butterfly(np.linspace(k.min(), k.max(), 101), *params) < -1e-9).any():
-        raise ValueError("butterfly arbitrage")
-    return dict(zip(PARAMETERS["svi"], params, strict=True))
-
-
-def sabr_vol(f, k, t, alpha, rho, nu):
-    z = nu / alpha * np.log(f / k)
-    near = np.abs(np.log(f / k)) < 1e-9
-    safe = np.where(near | (abs(nu) < 1e-12), 1e-6, z)
-    ratio = np.where(near | (abs(nu) < 1e-12), 1.0, safe / np.log((np.sqrt(1 - 2 * rho * safe + safe * safe) + safe - rho) / (1 - rho)))
-    return alpha * ratio * (1 + (rho * nu * alpha / 4 + (2 - 3 * rho * rho) * nu * nu / 24) * t)
+    """One smile by lanes.svi_lanes."""
+    _enough("svi", k)
+    return _single("svi", *lanes.svi_lanes(k[None], iv[None], np.ones((1, len(k)), bool), np.array([t]), arbitrage_free))
 
 
 def fit_sabr(f: float, strike: np.ndarray, iv: np.ndarray, t: float) -> dict[str, float]:
-    """Levenberg and Marquardt's method in log alpha, artanh rho and log nu."""
-    if len(strike) < MIN_POINTS["sabr"]:
-        raise ValueError("too few points")
-    unpack = lambda p: (math.exp(p[0]), math.tanh(p[1]) * 0.999, math.exp(p[2]))
-    residual = lambda p: sabr_vol(f, strike, t, *unpack(p)) - iv
-    best = None
-    for rho0, nu0 in ((-0.3, 0.5), (0.0, 1.5), (-0.6, 2.5)):
-        p, damp = np.array([math.log(max(float(np.median(iv)), 1e-3)), math.atanh(rho0), math.log(nu0)]), 1e-3
-        r = residual(p)
-        for _ in range(100):
-            jac = np.column_stack([(residual(p + 1e-6 * e) - r) / 1e-6 for e in np.eye(3)])
-            a, g = jac.T @ jac, jac.T @ r
-            try:
-                step = np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-12), -g)
-            except np.linalg.LinAlgError:
-                break
-            new = p + np.clip(step, -1, 1)
-            if not (abs(new[0]) < 8 and abs(new[1]) < 6 and abs(new[2]) < 5):
-                damp *= 10
-                if damp > 1e12:
-                    break
-                continue
-            r2 = residual(new)
-            if r2 @ r2 < r @ r:
-                small = r @ r - r2 @ r2 < 1e-16
-                p, r, damp = new, r2, damp / 5
-                if small:
-                    break
-            else:
-                damp *= 5
-                if damp > 1e12:
-                    break
-        if best is None or r @ r < best[0]:
-            best = (r @ r, p)
-    if not np.isfinite(best[0]):
-        raise ValueError("no finite fit")
-    return dict(zip(PARAMETERS["sabr"], (f, *unpack(best[1])), strict=True))
+    _enough("sabr", strike)
+    return _single("sabr", *lanes.sabr_lanes(np.array([f]), strike[None], iv[None], np.ones((1, len(strike)), bool), np.array([t])))
 
 
 def fit_poly(k: np.ndarray, iv: np.ndarray) -> dict[str, float]:
-    if len(k) < MIN_POINTS["poly"]:
-        raise ValueError("too few points")
-    c2, c1, c0 = np.polyfit(k, iv, 2)
-    return {"c0": float(c0), "c1": float(c1), "c2": float(c2)}
-
-
-def evaluate(model: str, params: dict, k: np.ndarray, t: float) -> np.ndarray:
-    if model == "svi":
-        with np.errstate(invalid="ignore"):
-            return np.sqrt(svi_variance(k, *(params[n] for n in PARAMETERS["svi"])) / t)
-    if model == "sabr":
-        return sabr_vol(params["F"], params["F"] * np.exp(k), t, params["alpha"], params["rho"], params["nu"])
-    return params["c0"] + params["c1"] * k + params["c2"] * k * k
+    _enough("poly", k)
+    return _single("poly", *lanes.poly_lanes(k[None], iv[None], np.ones((1, len(k)), bool)))
+
+
+def fit_many(strikes: list[np.ndarray], ivs: list[np.ndarray], forward: np.ndarray, t: np.ndarray, arbitrage_free: bool = True) -> list[dict]:
+    """For each smile SVI, then SABR, then a polynomial: the first that converges with an error below ACCEPT_RMSE. Each model is fitted to all smiles that are still open at once."""
+    n = len(strikes)
+    found: list[dict | None] = [None] * n
+    attempts: list[list[tuple]] = [[] for _ in range(n)]
+    strike, on = lanes.padded(strikes)
+    iv, _ = lanes.padded(ivs)
+    k = np.log(np.where(on, strike, forward[:, None]) / forward[:, None])
+    points = on.sum(1)
+    for model in ("svi", "sabr", "poly"):
+        open_ = np.array([i for i in range(n) if found[i] is None], int)
+        able = open_[points[open_] >= MIN_POINTS[model]]
+        for i in open_[points[open_] < MIN_POINTS[model]].tolist():
+            attempts[i].append((model, False, None, "too few points"))
+        if model == "svi":
+            got, problems = lanes.svi_lanes(k[able], iv[able], on[able], t[able], arbitrage_free)
+        elif model == "sabr":
+            got, problems = lanes.sabr_lanes(forward[able], strike[able], iv[able], on[able], t[able])
+        else:
+            got, problems = lanes.poly_lanes(k[able], iv[able], on[able])
+        for i, values, problem in zip(able.tolist(), got.tolist(), problems, strict=True):
+            if problem:
+                attempts[i].append((model, False, None, problem))
+                continue
+            params, own = dict(zip(PARAMETERS[model], values, strict=True)), on[i]
+            rmse = float(np.sqrt(np.mean((evaluate(model, params, k[i, own], float(t[i])) - iv[i, own]) ** 2)))
+            ok = math.isfinite(rmse) and rmse < ACCEPT_RMSE
+            attempts[i].append((model, ok, rmse if math.isfinite(rmse) else None, None))
+            if ok:
+                found[i] = {"model_type": model, "converged": True, "in_sample_rmse": rmse, "params": params, "error": None}
+    failed = lambda tried: {"model_type": "all_failed", "converged": False, "in_sample_rmse": None, "params": {}, "error": "; ".join(f"{m}: {e}" for m, _, _, e in tried if e)}
+    return [(x or failed(tried)) | {"attempts": tried} for x, tried in zip(found, attempts, strict=True)]
 
 
 def fit_with_fallback(strike: np.ndarray, iv: np.ndarray, forward: float, t: float, arbitrage_free: bool = True) -> dict:
-    """SVI, then SABR, then a polynomial: the first that converges with an error below ACCEPT_RMSE."""
-    k = np.log(strike / forward)
-    attempts = []
-    for model, fit in (("svi", lambda: fit_svi(k, iv, t, arbitrage_free)), ("sabr", lambda: fit_sabr(forward, strike, iv, t)), ("poly", lambda: fit_poly(k, iv))):
-        try:
-            params = fit()
-            rmse = float(np.sqrt(np.mean((evaluate(model, params, k, t) - iv) ** 2)))
-        except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
-            attempts.append((model, False, None, str(e)))
-            continue
-        ok = math.isfinite(rmse) and rmse < ACCEPT_RMSE
-        attempts.append((model, ok, rmse if math.isfinite(rmse) else None, None))
-        if ok:
-            return {"model_type": model, "converged": True, "in_sample_rmse": rmse, "params": params, "attempts": attempts, "error": None}
-    return {"model_type": "all_failed", "converged": False, "in_sample_rmse": None, "params": {}, "attempts": attempts, "error": "; ".join(f"{m}: {e}" for m, _, _, e in attempts if e)}
+    """fit_many of one smile."""
+    return fit_many([strike], [iv], np.array([forward]), np.array([t]), arbitrage_free)[0]
 
 
 def smiles(chain: DataFrame, forward: Column | None = None) -> DataFrame:
@@ -227,23 +109,27 @@ def smiles(chain: DataFrame, forward: Column | None = None) -> DataFrame:
 
 
 def fit_surface(chain: DataFrame, *, min_strikes: int = 5, arbitrage_free: bool = True, forward: Column | None = None) -> DataFrame:
-    """One record for each date and expiry; a smile that can't be fitted gives a record that says so, never an error."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        began = time.perf_counter()
-        n, t = len(pdf), float(pdf["dte"].iloc[0]) / CALENDAR_DAYS
-        level = float(pdf["forward"].iloc[0])
-        if n < min_strikes or t <= 0 or not math.isfinite(level) or level <= 0:
-            got = {"model_type": "insufficient_data", "converged": False, "in_sample_rmse": None, "params": {}, "attempts": [], "error": f"{n} usable strikes, t {t:.6f}"}
-        else:
-            got = fit_with_fallback(pdf["strike"].to_numpy(float), pdf["iv"].to_numpy(float), level, t, arbitrage_free)
-        attempts = [{"model_type": m, "converged": c, "rmse": r, "error": e} for m, c, r, e in got.pop("attempts")]
-        return pd.DataFrame([{"date": key[0], "expiry": key[1], "n_points": n, "fit_time_ms": int(1000 * (time.perf_counter() - began)), "forward": level, "t": t, "attempts": attempts, **got}])[[c.split()[0] for c in RECORD.split(", ")]]
-
-    own = smiles(chain, forward)
-    # few bytes but much work in each group: a fixed number of tasks, not one by size
+    """One record for each date and expiry; a smile that can't be fitted gives a record that says so, never an error. Smiles of a batch are fitted together, LANES at a time; fit_time_ms is a smile's share."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), LANES):
+                began, own = time.perf_counter(), batch.iloc[at : at + LANES].reset_index(drop=True)
+                strikes, ivs = ([np.asarray(v, float) for v in own[c]] for c in ("strikes", "ivs"))
+                n, t, level = np.array([len(v) for v in strikes]), own["dte"].to_numpy(float) / CALENDAR_DAYS, own["forward"].to_numpy(float)
+                able = np.flatnonzero((n >= min_strikes) & (t > 0) & np.isfinite(level) & (level > 0))
+                fitted = dict(zip(able.tolist(), fit_many([strikes[i] for i in able], [ivs[i] for i in able], level[able], t[able], arbitrage_free) if len(able) else [], strict=True))
+                none = lambda i: {"model_type": "insufficient_data", "converged": False, "in_sample_rmse": None, "params": {}, "attempts": [], "error": f"{n[i]} usable strikes, t {t[i]:.6f}"}  # noqa: B023, E731
+                found = [fitted.get(i) or none(i) for i in range(len(own))]
+                took = int(1000 * (time.perf_counter() - began) / len(own))
+                tried = [[{"model_type": m, "converged": c, "rmse": r, "error": e} for m, c, r, e in x.pop("attempts")] for x in found]
+                yield pd.DataFrame(found).assign(date=own["date"], expiry=own["expiry"], n_points=n, fit_time_ms=took, forward=level, t=t, attempts=tried)[[c.split()[0] for c in RECORD.split(", ")]]
+
+    points = smiles(chain, forward).groupBy("date", "expiry", "forward", "dte").agg(F.array_sort(F.collect_list(F.struct("strike", "iv"))).alias("points"))
+    own = points.select("date", "expiry", "forward", "dte", F.col("points.strike").alias("strikes"), F.col("points.iv").alias("ivs"))
+    # few bytes but much work in each row: a fixed number of tasks, not one by size
     tasks = max(4 * own.sparkSession.sparkContext.defaultParallelism, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return own.repartition(tasks, "date", "expiry").groupBy("date", "expiry").applyInPandas(run, RECORD)
+    return own.repartition(tasks, "date", "expiry").mapInPandas(run, RECORD)
 
 
 def poly_coefficients(chain: DataFrame) -> DataFrame:

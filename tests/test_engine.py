@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strikeflow.operators import chain as ops
-from strikeflow.operators import implied_vol, regime, surface
+from strikeflow.operators import implied_vol, lanes, regime, surface
 from strikeflow.operators import statistics as st
 from strikeflow.plans import simulation as sim
 from strikeflow.sources import bulletin, shards, synthetic
@@ -61,6 +61,49 @@ def test_fallback_goes_on_to_the_next_model():
     assert surface.fit_with_fallback(strike[:2], np.array([0.2, 0.19]), 17000.0, 0.1)["model_type"] == "all_failed"
 
 
+def test_smiles_are_fitted_together_as_alone():
+    rng = np.random.default_rng(4)
+    f, strikes, ivs, times = 17000.0, [], [], []
+    for i in range(60):
+        n, t = int(rng.integers(3, 30)), float(rng.choice([10, 30, 90])) / 365
+        k = np.sort(rng.uniform(-0.35, 0.35, n))
+        w = surface.svi_variance(k, rng.uniform(0, 0.03) * t, rng.uniform(0.02, 0.5) * t, rng.uniform(-0.8, 0.5), rng.uniform(-0.1, 0.1), rng.uniform(0.05, 0.4))
+        strikes.append(f * np.exp(k))
+        ivs.append(np.sqrt(w / t) * (1 + (i % 2) * 0.02 * rng.normal(size=n)))
+        times.append(t)
+    got = surface.fit_many(strikes, ivs, np.full(60, f), np.array(times), False)
+    alone = [surface.fit_with_fallback(s, v, f, t, False) for s, v, t in zip(strikes, ivs, times, strict=True)]
+    for i, (a, b, k, v, t) in enumerate(zip(got, alone, strikes, ivs, times, strict=True)):
+        assert a["model_type"] == b["model_type"] == ("svi" if len(k) > 4 else "sabr" if len(k) > 3 else "poly")
+        assert a["in_sample_rmse"] == pytest.approx(b["in_sample_rmse"], abs=1e-6)
+        p = a["params"]
+        if a["model_type"] == "svi":
+            assert p["b"] >= 0 and abs(p["rho"]) < 1 and p["sigma"] > 0 and p["b"] * (1 + abs(p["rho"])) <= 4 / t + 1e-9
+            assert p["a"] + p["b"] * p["sigma"] * math.sqrt(1 - p["rho"] ** 2) >= -1e-12
+            assert i % 2 or np.abs(surface.evaluate("svi", p, np.log(k / f), t) - v).max() < 1e-6
+    # smiles that break every bound still have admissible fits
+    w = np.array([[0.5, 0.1, 0.0, 0.1, 0.5], [1e-9, 0.0, 0.2, 0.0, 1e-9], [0.0, 0.0, 0.0, 0.0, 3.0]])
+    k = np.tile(np.linspace(-0.2, 0.2, 5), (3, 1))
+    found, problems = lanes.svi_lanes(k, np.sqrt(w / 0.1), np.ones((3, 5), bool), np.full(3, 0.1), False)
+    a, b, rho, m, sigma = found.T
+    assert problems == [None] * 3 and (b >= 0).all() and (b * (1 + np.abs(rho)) <= 40 + 1e-9).all() and (a + b * sigma * np.sqrt(1 - rho**2) >= -1e-12).all()
+    assert lanes.svi_lanes(k[:0], k[:0], k[:0] > 0, np.zeros(0))[1] == []
+
+
+def test_the_inner_problem_is_solved_exactly():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(40, 12)), rng.normal(size=(40, 12))
+    target = rng.normal(size=(40, 12)) * 2
+    dot = lambda a, b: (a * b).sum(1)
+    reach = rng.uniform(0.1, 1.5, 40)
+    d, c = lanes.in_polygon(dot(x, x), dot(x, y), dot(y, y), dot(x, target), dot(y, target), reach)
+    assert (np.abs(d) <= 0.999 * c + 1e-12).all() and (c + np.abs(d) <= reach + 1e-12).all()
+    error = lambda i, d, c: ((d * x[i] + c * y[i] - target[i]) ** 2).sum()
+    for i in range(40):
+        grid = [(u * v * reach[i], v * reach[i]) for u in np.linspace(-0.999, 0.999, 41) for v in np.linspace(0, 1, 41) if v + abs(u * v) <= 1]
+        assert error(i, d[i], c[i]) <= min(error(i, *p) for p in grid) + 1e-9
+
+
 def test_two_regimes_are_found():
     rng = np.random.default_rng(3)
     calm, wild = rng.normal(0, 0.005, 400), rng.normal(0, 0.03, 104)

@@ -258,8 +258,9 @@ def test_domains(spark):
     df = spark.createDataFrame([(1, "call", "buy", 0.0, 0.0), (0, "call", "buy", 0.0, 0.0), (1, "x", "buy", 0.0, 0.0), (1, "put", None, 0.0, 0.0), (1, "put", "sell", -1.0, 0.0)], "qty int, option_type string, side string, commission double, tax double")
     assert [r[0] for r in df.select(checks.problem("fill")).collect()] == [None, "qty", "option_type", "side", "commission"]
     assert checks.require(df.limit(1), "fill").count() == 1
-    with pytest.raises(Exception, match="fill: bad qty"):
-        checks.require(df, "fill").collect()
+    for kind, row in (("qty", "qty = 0"), ("option_type", "option_type = 'x'"), ("side", "side IS NULL"), ("commission", "commission < 0")):
+        with pytest.raises(Exception, match=f"fill: bad {kind}"):
+            checks.require(df.where(row), "fill").collect()
     signals = spark.createDataFrame([("hold", []), ("hold", [1]), ("open", []), ("open", [1]), ("wait", [1])], "action string, orders array<int>")
     assert [r[0] for r in signals.select(checks.problem("signal")).collect()] == [None, "orders", "orders", None, "action"]
     risk = spark.createDataFrame([(1.0, 1.0, 1, 1.0, 0.5), (1.0, 1.0, 1, 1.0, 1.0), (0.0, 1.0, 1, 1.0, 0.5)], "max_loss_per_trade_twd double, max_capital_at_risk_twd double, max_concurrent_positions int, stop_loss_multiple double, portfolio_loss_cap_pct double")
