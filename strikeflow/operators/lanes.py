@@ -17,8 +17,8 @@ import numpy as np
 MIN_POINTS = {"svi": 5, "sabr": 4, "poly": 3}
 #: Bounds of the SVI parameters: |rho|, sigma and |m|.
 MOST_RHO, SIGMA, MOST_M = 0.999, (1e-4, 5.0), 2.0
-#: Starting points: sigma of SVI (m at 0 and at the least variance), (rho, nu) of SABR.
-SVI_STARTS, SABR_STARTS = (0.05, 0.4), ((-0.3, 0.5), (0.0, 1.5), (-0.6, 2.5))
+#: Starting points: sigma of SVI (m at 0, in the middle and at the least variance), (rho, nu) of SABR.
+SVI_STARTS, SABR_STARTS = (0.02, 0.1, 0.4), ((-0.3, 0.5), (0.0, 1.5), (-0.6, 2.5))
 #: Where the density indicator is looked at, within the strikes of a smile; what counts as negative.
 GRID, TINY = 101, -1e-9
 
@@ -143,7 +143,7 @@ def svi_lanes(k: np.ndarray, iv: np.ndarray, on: np.ndarray, t: np.ndarray, arbi
     w = np.where(on, iv * iv * t[:, None], 0.0)
     k = np.where(on, k, 0.0)
     lowest = k[np.arange(n), np.where(on, w, np.inf).argmin(1)]
-    starts = [np.stack([m, np.full(n, math.log(s))], 1) for m in (np.zeros(n), lowest) for s in SVI_STARTS]
+    starts = [np.stack([m, np.full(n, math.log(s))], 1) for m in (np.zeros(n), (k * on).sum(1) / on.sum(1), lowest) for s in SVI_STARTS]
     many = len(starts)
     of = np.tile(np.arange(n), many)
 
