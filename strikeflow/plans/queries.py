@@ -329,11 +329,12 @@ for _expanding in (False, True):
 
 @query("J10_interval_join_folds", CH + f", {folds_sql('spot', 63, 21, 21)} SELECT fold_index, count(*) AS n, count(DISTINCT c.date) AS n_days FROM folds JOIN days w ON w.i >= c AND w.i <= e JOIN chain c ON c.date = w.date GROUP BY 1")
 def _(s, d):
-    from strikeflow.plans.simulation import fold_windows
+    from strikeflow.operators.intervals import bin_join
+    from strikeflow.plans.simulation import BIN_DAYS, fold_windows
 
     own = chain(s, d).groupBy("date").agg(F.count("*").alias("k"))
     folds = fold_windows(fixture.spot(s, d), 63, 21, 21)
-    return folds.join(own, F.col("date").between(F.col("test_start"), F.col("test_end"))).groupBy("fold_index").agg(F.sum("k").alias("n"), F.count("*").alias("n_days"))
+    return bin_join(own, folds, "date", "test_start", "test_end", BIN_DAYS).groupBy("fold_index").agg(F.sum("k").alias("n"), F.count("*").alias("n_days"))
 
 
 @query("J11_scenario_cross_join", CH + "SELECT scenario, count(*) AS n, round(sum(settle * f), 2) AS total FROM chain, (VALUES ('low', 0.5), ('high', 2.0)) v(scenario, f) GROUP BY 1")
@@ -971,6 +972,24 @@ def _(s, d):
     return simulated(s, d)
 
 
+@query("B01_B13_stream")
+def _(s, d):
+    from strikeflow.plans import simulation as sim
+    from strikeflow.session import scratch
+    from strikeflow.streaming.walk import Walk
+
+    own, folder = chain(s, d).withColumn("model_price", F.expr(MODEL)).checkpoint(), scratch(s, "walk")
+    folds = sim.fold_windows(own.select("date"), 252, 63, 63).checkpoint()
+    walk = Walk(s, f"{folder}/shards", own.schema, folder, [x for x in sim.scenarios() if x.gate == "none"], folds)
+    low, high = own.agg(F.min("date"), F.max("date")).first()
+    # three shards, one after another
+    for k in range(3):
+        third = F.floor(F.datediff("date", F.lit(low)) * 3 / (F.datediff(F.lit(high), F.lit(low)) + 1))
+        own.where(third == k).write.mode("append").parquet(f"{folder}/shards")
+        walk.step()
+    return walk.result()
+
+
 @query("B11_scenario_summary")
 def _(s, d):
     return st.scenario_summary(simulated(s, d), 1_000_000.0)

@@ -12,9 +12,12 @@ takes further ones by name, and a factory that sets a fold's scenario from its t
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from datetime import date
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -23,8 +26,11 @@ from pyspark.sql import functions as F
 
 from strikeflow.constants import MULTIPLIER
 from strikeflow.operators import chain as ops
+from strikeflow.operators.intervals import bin_join
 
 Key = tuple  # (expiry, strike, option_type)
+#: Bins in which dates meet the windows that hold them.
+BIN_DAYS = 32
 
 
 @dataclass(frozen=True)
@@ -272,78 +278,120 @@ def none_if_nan(v):
     return None if v is None or v != v else v
 
 
-def simulate(s: Scenario, fold: int, rows: pd.DataFrame, strategy: Strategy | None = None, fills: dict[str, Fill] | None = None) -> pd.DataFrame:
-    """Day, trade, reject and error rows of one scenario and fold. rows: quotes (row = 'q') and candidate legs (row = 'c') of all days; note: why legs are missing from a candidate."""
-    strategy = strategy or STRATEGIES[s.strategy]
-    book, out, before = Book(s, cash=s.capital, fills=fills or FILLS), [], 0.0
-
-    def emit(kind: str, **values) -> None:
-        out.append({"scenario": s.name, "fold_index": fold, "kind": kind, **values})
-
-    try:
-        for day, today in rows.sort_values("date", kind="stable").groupby("date", sort=True):
-            quotes, legs, risk, note = {}, [], 0.0, None
-            spot, active = float(today["underlying"].iloc[0]), bool(today["active"].iloc[0])
-            for r in today.itertuples(index=False):
-                if r.row == "d":
-                    continue
-                if r.row == "q":
-                    quotes.setdefault((r.expiry, r.strike, r.option_type), {"bid": none_if_nan(r.bid), "ask": none_if_nan(r.ask), "settle": none_if_nan(r.settle), "model_price": none_if_nan(r.model_price)})
+class Machine:
+    """The state machine of one scenario and fold, day by day. What it knows can be written down and read back between any two days."""
+
+    def __init__(self, s: Scenario, fold: int, strategy: Strategy | None = None, fills: dict[str, Fill] | None = None):
+        self.s, self.fold, self.strategy = s, fold, strategy or STRATEGIES[s.strategy]
+        self.book, self.before, self.failed = Book(s, cash=s.capital, fills=fills or FILLS), 0.0, False
+
+    def written(self) -> str:
+        """The state as JSON text."""
+        plain = lambda v: v.isoformat() if isinstance(v, date) else v
+        positions = [{k: plain(v) for k, v in vars(p).items() if k != "legs"} | {"legs": [{k: plain(v) for k, v in vars(leg).items()} for leg in p.legs]} for p in self.book.positions]
+        return json.dumps({"cash": self.book.cash, "realised": self.book.realised, "before": self.before, "failed": self.failed, "positions": positions})
+
+    def read(self, text: str) -> Machine:
+        """This machine, in a state that was written."""
+        state = json.loads(text)
+        day = lambda v: v if v is None else date.fromisoformat(v)
+        self.book.cash, self.book.realised, self.before, self.failed = (state[k] for k in ("cash", "realised", "before", "failed"))
+        self.book.positions = []
+        for p in state["positions"]:
+            legs = [Leg(**leg | {"expiry": day(leg["expiry"]), "entry_date": day(leg["entry_date"])}) for leg in p.pop("legs")]
+            # a position whose last leg is gone has none
+            position = Position(legs or [Leg(None, 0.0, "", 0, None, 0.0)], **p | {"opened": day(p["opened"]), "closed": day(p["closed"])})
+            position.legs = legs
+            self.book.positions.append(position)
+        return self
+
+    def days(self, rows: pd.DataFrame) -> list[dict]:
+        """Day, trade, reject and error rows of all days of rows, in order: quotes (row = 'q') and candidate legs (row = 'c'); note: why legs are missing from a candidate."""
+        out: list[dict] = []
+        if self.failed:
+            return out
+        try:
+            for day, today in rows.sort_values("date", kind="stable").groupby("date", sort=True):
+                self._day(day, today, out)
+        except Unmarkable as e:
+            self.failed = True
+            self._emit(out, "error", reason=str(e))
+        return out
+
+    def _emit(self, out: list[dict], kind: str, **values) -> None:
+        out.append({"scenario": self.s.name, "fold_index": self.fold, "kind": kind, **values})
+
+    def _day(self, day, today: pd.DataFrame, out: list[dict]) -> None:
+        book, strategy = self.book, self.strategy
+        emit = partial(self._emit, out)
+        quotes, legs, risk, note = {}, [], 0.0, None
+        spot, active = float(today["underlying"].iloc[0]), bool(today["active"].iloc[0])
+        for r in today.itertuples(index=False):
+            if r.row == "d":
+                continue
+            if r.row == "q":
+                quotes.setdefault((r.expiry, r.strike, r.option_type), {"bid": none_if_nan(r.bid), "ask": none_if_nan(r.ask), "settle": none_if_nan(r.settle), "model_price": none_if_nan(r.model_price)})
+            else:
+                legs.append((int(r.leg), (r.expiry, r.strike, r.option_type), int(r.qty)))
+                risk = float(none_if_nan(r.max_risk) or 0.0)
+                note = none_if_nan(getattr(r, "note", None))
+        audit: dict = {}
+        for p in book.positions:
+            if p.closed is None and strategy.should_close(book, p, day, quotes):
+                if book.settle_legs(p, p.legs, day, quotes, spot):
+                    p.closed = day
+                    emit("trade", date=day, open_date=p.opened, realised_pnl=p.realised, n_legs=len(p.legs), adjusted=p.adjusted)
                 else:
-                    legs.append((int(r.leg), (r.expiry, r.strike, r.option_type), int(r.qty)))
-                    risk = float(none_if_nan(r.max_risk) or 0.0)
-                    note = none_if_nan(getattr(r, "note", None))
-            audit: dict = {}
-            for p in book.positions:
-                if p.closed is None and strategy.should_close(book, p, day, quotes):
-                    if book.settle_legs(p, p.legs, day, quotes, spot):
+                    emit("reject", date=day, path="close", reason="not_executable")
+        for p in book.positions:
+            side = strategy.should_adjust(book, p, spot) if p.closed is None and strategy.should_adjust else None
+            if side:
+                gone = [leg for leg in p.legs if leg.kind == side]
+                if book.settle_legs(p, gone, day, quotes, spot):
+                    p.legs = [leg for leg in p.legs if leg.kind != side]
+                    p.adjusted = True
+                    if not p.legs:
                         p.closed = day
-                        emit("trade", date=day, open_date=p.opened, realised_pnl=p.realised, n_legs=len(p.legs), adjusted=p.adjusted)
-                    else:
-                        emit("reject", date=day, path="close", reason="not_executable")
-            for p in book.positions:
-                side = strategy.should_adjust(book, p, spot) if p.closed is None and strategy.should_adjust else None
-                if side:
-                    gone = [leg for leg in p.legs if leg.kind == side]
-                    if book.settle_legs(p, gone, day, quotes, spot):
-                        p.legs = [leg for leg in p.legs if leg.kind != side]
-                        p.adjusted = True
-                        if not p.legs:
-                            p.closed = day
-                            emit("trade", date=day, open_date=p.opened, realised_pnl=p.realised, n_legs=0, adjusted=True)
-                    else:
-                        emit("reject", date=day, path="adjust", reason="not_executable")
-            unrealised = book.unrealised(day, quotes, spot, audit)
-            if legs and active and all(p.closed is not None for p in book.positions):
-                legs.sort()
-                if note:
-                    emit("reject", date=day, path="hedge_attach", reason=note)
-                filled = [(key, qty, book.fill(quotes[key], "sell" if qty < 0 else "buy", abs(qty)) if key in quotes else None) for _, key, qty in legs]
-                problem = book.risk_problem(risk, unrealised)
-                if any(f is None for _, _, f in filled):
-                    emit("reject", date=day, path="open", reason="not_executable")
-                elif problem:
-                    emit("reject", date=day, path="open", reason=problem)
+                        emit("trade", date=day, open_date=p.opened, realised_pnl=p.realised, n_legs=0, adjusted=True)
                 else:
-                    own = [Leg(*key, qty, day, f[0]) for key, qty, f in filled]
-                    # the credit is that of the legs without their hedge; unknown if one of them has no mid
-                    mids = [(_mid(quotes[leg.key]), leg.qty) for leg in own[: strategy.credit_legs]]
-                    p = Position(own, day, math.nan if any(m is None for m, _ in mids) else -sum(q * m for m, q in mids), risk)
-                    cost = sum(f[1] for _, _, f in filled)
-                    book.cash += -sum(leg.qty * leg.entry_price for leg in own) * MULTIPLIER - cost
-                    book.realised -= cost
-                    p.realised -= cost
-                    book.positions.append(p)
-            unrealised = book.unrealised(day, quotes, spot, audit)
-            total = book.realised + unrealised
-            emit("day", date=day, daily_pnl=total - before, cum_pnl=total, n_open=sum(p.closed is None for p in book.positions), **audit)
-            before = total
-    except Unmarkable as e:
-        emit("error", reason=str(e))
+                    emit("reject", date=day, path="adjust", reason="not_executable")
+        unrealised = book.unrealised(day, quotes, spot, audit)
+        if legs and active and all(p.closed is not None for p in book.positions):
+            legs.sort()
+            if note:
+                emit("reject", date=day, path="hedge_attach", reason=note)
+            filled = [(key, qty, book.fill(quotes[key], "sell" if qty < 0 else "buy", abs(qty)) if key in quotes else None) for _, key, qty in legs]
+            problem = book.risk_problem(risk, unrealised)
+            if any(f is None for _, _, f in filled):
+                emit("reject", date=day, path="open", reason="not_executable")
+            elif problem:
+                emit("reject", date=day, path="open", reason=problem)
+            else:
+                own = [Leg(*key, qty, day, f[0]) for key, qty, f in filled]
+                # the credit is that of the legs without their hedge; unknown if one of them has no mid
+                mids = [(_mid(quotes[leg.key]), leg.qty) for leg in own[: strategy.credit_legs]]
+                p = Position(own, day, math.nan if any(m is None for m, _ in mids) else -sum(q * m for m, q in mids), risk)
+                cost = sum(f[1] for _, _, f in filled)
+                book.cash += -sum(leg.qty * leg.entry_price for leg in own) * MULTIPLIER - cost
+                book.realised -= cost
+                p.realised -= cost
+                book.positions.append(p)
+        unrealised = book.unrealised(day, quotes, spot, audit)
+        total = book.realised + unrealised
+        emit("day", date=day, daily_pnl=total - self.before, cum_pnl=total, n_open=sum(p.closed is None for p in book.positions), **audit)
+        self.before = total
+
+
+def framed(out: list[dict]) -> pd.DataFrame:
     frame = pd.DataFrame(out, columns=_COLUMNS).astype(object)
     return frame.where(frame.notna(), None)
 
 
+def simulate(s: Scenario, fold: int, rows: pd.DataFrame, strategy: Strategy | None = None, fills: dict[str, Fill] | None = None) -> pd.DataFrame:
+    """All days of one scenario and fold by Machine."""
+    return framed(Machine(s, fold, strategy, fills).days(rows))
+
+
 def _leg_rows(found: DataFrame, legs: list[tuple[str, int]], more: list) -> DataFrame:
     structs = F.array(*(F.struct(F.lit(i).alias("leg"), *(F.col(n)[c].alias(c) for c in ("expiry", "strike", "option_type")), F.lit(q).alias("qty"), F.col(n)["bid"].alias("bid"), F.col(n)["ask"].alias("ask")) for i, (n, q) in enumerate(legs)))
     return found.select("date", F.explode(structs).alias("l"), *more).select("date", "l.*", "max_risk", "note")
@@ -409,58 +457,76 @@ def fold_windows(dates: DataFrame, train: int, test: int, step: int, expanding:
     return out.select("fold_index", *ends)
 
 
-def walk_forward(spark: SparkSession, chain: DataFrame, todo: list[Scenario], folds: DataFrame, gates: DataFrame | None = None, *, strategies: dict[str, Strategy] | None = None, fills: dict[str, Fill] | None = None, factory: Callable[[Scenario, np.ndarray], Scenario] | None = None, returns: DataFrame | None = None) -> DataFrame:
-    """All scenarios over the test windows of all folds: rows as OUT. An error ends a group and is a row of it.
-
-    factory(scenario, training returns) makes a fold's own scenario from the returns (date, ret) of its training window;
-    it may change what the state machine reads, while candidates are those of the given scenario.
-    """
-    by_name = {s.name: s for s in todo}
-    if len(by_name) != len(todo):
+def by_name(todo: list[Scenario]) -> dict[str, Scenario]:
+    out = {s.name: s for s in todo}
+    if len(out) != len(todo):
         raise ValueError("scenario names must differ")
-    kinds = STRATEGIES | (strategies or {})
-    prices = FILLS | (fills or {})
-    chain = chain if "model_price" in chain.columns else chain.withColumn("model_price", F.lit(None).cast("double"))
-    windows = folds.select("fold_index", "test_start", "test_end")
-    # one row for each date of a fold
-    days = chain.groupBy("date").agg(F.first("underlying").alias("underlying")).join(windows, F.col("date").between(F.col("test_start"), F.col("test_end"))).select("fold_index", "date", "underlying")
+    return out
+
+
+def fold_days(chain: DataFrame, folds: DataFrame) -> DataFrame:
+    """(fold_index, date, underlying): one row for each date in a fold's test window."""
+    dates = chain.groupBy("date").agg(F.first("underlying").alias("underlying"))
+    return bin_join(dates, folds.select("fold_index", "test_start", "test_end"), "date", "test_start", "test_end", BIN_DAYS).select("fold_index", "date", "underlying")
+
+
+def candidate_legs(chain: DataFrame, todo: list[Scenario], days: DataFrame, kinds: dict[str, Strategy]) -> DataFrame:
+    """The candidate legs of all scenarios and folds by date. Each kind's candidates are found once, whatever the scenarios and folds that use them."""
     legs = None
     seen: dict[tuple, DataFrame] = {}
     for s in todo:
         kind = (s.strategy, s.short_delta, s.wing_delta, s.target_dte, s.gated)
-        # each kind's candidates are found once, whatever the scenarios and folds that use them
         if kind not in seen:
             seen[kind] = kinds[s.strategy].candidates(chain, s).checkpoint()
         own = seen[kind].withColumn("scenario", F.lit(s.name)).withColumn("gate", F.lit(s.gate))
         legs = own if legs is None else legs.unionByName(own)
-    legs = legs.join(days, "date").checkpoint()
-    key = ["expiry", "strike", "option_type"]
-    contracts = legs.select(*key).distinct()
+    return legs.join(days, "date").checkpoint()
+
+
+CONTRACT = ["expiry", "strike", "option_type"]
+HOLDER = ["scenario", "gate", "fold_index"]
+
+
+def day_rows(chain: DataFrame, todo: list[Scenario], days: DataFrame, legs: DataFrame, held: DataFrame, gates: DataFrame | None) -> DataFrame:
+    """What the state machines read: for each scenario and fold a row for each day, its candidate legs, and the quotes of the contracts that it may hold (held)."""
+    chain = chain if "model_price" in chain.columns else chain.withColumn("model_price", F.lit(None).cast("double"))
     # a contract's quotes are read once and then given to the folds that may hold it
-    quoted = chain.join(contracts, key, "left_semi").select("date", *key, "bid", "ask", "settle", "model_price")
-    held = legs.select("scenario", "gate", "fold_index", *key).distinct()
-    quotes = held.join(quoted, key).join(days, ["fold_index", "date"])
+    quoted = chain.join(held.select(*CONTRACT).distinct(), CONTRACT, "left_semi").select("date", *CONTRACT, "bid", "ask", "settle", "model_price")
+    quotes = held.select(*HOLDER, *CONTRACT).distinct().join(quoted, CONTRACT).join(days, ["fold_index", "date"])
     quotes = quotes.withColumns({"row": F.lit("q"), "leg": F.lit(None).cast("int"), "qty": F.lit(None).cast("int"), "max_risk": F.lit(None).cast("double"), "note": F.lit(None).cast("string")})
-    columns = ["scenario", "gate", "fold_index", "date", "underlying", "row", "leg", *key, "qty", "bid", "ask", "settle", "model_price", "max_risk", "note"]
+    columns = [*HOLDER, "date", "underlying", "row", "leg", *CONTRACT, "qty", "bid", "ask", "settle", "model_price", "max_risk", "note"]
     # a day without a candidate or a quote of a held contract is a day of the fold, too, for every scenario (a few rows)
-    names = spark.createDataFrame([(s.name, s.gate) for s in todo], "scenario string, gate string")
-    empty = days.join(F.broadcast(names), how="cross").withColumns({"row": F.lit("d")} | {c: F.lit(None).cast(quotes.schema[c].dataType) for c in columns if c not in ("scenario", "gate", "fold_index", "date", "underlying", "row")})
+    names = F.explode(F.array(*(F.struct(F.lit(s.name).alias("scenario"), F.lit(s.gate).alias("gate")) for s in todo)))
+    empty = days.withColumn("of", names).select("*", "of.*").withColumns({"row": F.lit("d")} | {c: F.lit(None).cast(quotes.schema[c].dataType) for c in columns if c not in (*HOLDER, "date", "underlying", "row")})
     rows = quotes.select(*columns).unionByName(legs.withColumns({"row": F.lit("c"), "settle": F.lit(None).cast("double"), "model_price": F.lit(None).cast("double")}).select(*columns)).unionByName(empty.select(*columns))
     if gates is not None:
         rows = rows.join(gates.select("date", "gate", "active"), ["date", "gate"], "left")
-        rows = rows.withColumn("active", F.coalesce("active", F.col("gate") == "none"))
-    else:
-        rows = rows.withColumn("active", F.col("gate") == "none")
+        return rows.withColumn("active", F.coalesce("active", F.col("gate") == "none"))
+    return rows.withColumn("active", F.col("gate") == "none")
+
+
+def walk_forward(spark: SparkSession, chain: DataFrame, todo: list[Scenario], folds: DataFrame, gates: DataFrame | None = None, *, strategies: dict[str, Strategy] | None = None, fills: dict[str, Fill] | None = None, factory: Callable[[Scenario, np.ndarray], Scenario] | None = None, returns: DataFrame | None = None) -> DataFrame:
+    """All scenarios over the test windows of all folds: rows as OUT. An error ends a group and is a row of it.
+
+    factory(scenario, training returns) makes a fold's own scenario from the returns (date, ret) of its training window;
+    it may change what the state machine reads, while candidates are those of the given scenario.
+    """
+    named = by_name(todo)
+    kinds = STRATEGIES | (strategies or {})
+    prices = FILLS | (fills or {})
+    days = fold_days(chain, folds)
+    legs = candidate_legs(chain, todo, days, kinds)
+    rows = day_rows(chain, todo, days, legs, legs, gates)
     if factory is not None:
         if returns is None:
             raise ValueError("a factory needs returns")
-        past = returns.join(folds.select("fold_index", "train_start", "train_end"), F.col("date").between(F.col("train_start"), F.col("train_end")))
+        past = bin_join(returns.select("date", "ret"), folds.select("fold_index", "train_start", "train_end"), "date", "train_start", "train_end", BIN_DAYS)
         past = past.groupBy("fold_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "ret"))), lambda r: r["ret"]).alias("train"))
         first = rows.groupBy("scenario", "fold_index").agg(F.min("date").alias("date")).join(past, "fold_index", "left")
         rows = rows.join(first.withColumn("row", F.lit("d")), ["scenario", "fold_index", "date", "row"], "left")
 
     def run(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s = by_name[key_[0]]
+        s = named[key_[0]]
         if factory is not None:
             found = pdf["train"].dropna()
             s = factory(s, np.array([], float) if found.empty else np.asarray(found.iloc[0], float))
