@@ -8,12 +8,12 @@ sum of table entries. The language with the shortest code wins.
 
 A tree is stored sparsely: the code lengths of the bytes that each node has seen, and what an
 escape from the node costs, so a model's size is in proportion to the distinct sequences of its training
-text, for each language alone. Sequences that any language has seen at full depth have one row with the code lengths of all
+text, for each language alone. Sequences that any language has seen at full depth (the commonest ones, KEPT numbers in all) have one row with the code lengths of all
 languages; others are looked up from node to node.
 
 ASCII is lower-cased; texts are taken to follow DEPTH line feeds.
 Training takes about SAMPLE labelled rows of about MAX_BYTES (see shared.sample), an even share for each language, so that rare languages
-are learned too. Results: `und`
+are learned too: the most frequent ones (shared.CLASSES) if there are more, and none that has empty texts only. Texts over a sixteenth of MAX_BYTES aren't learned from. Results: `und`
 and score 0 for a null text, one without a letter, or when there is nothing to
 learn from. Ties go to the first language in order. Repeated rows are predicted
 each; other columns are ignored. A null doc_id isn't held out.
@@ -36,6 +36,8 @@ DEPTH = 3
 SAMPLE, MAX_BYTES = 3000, 12 << 20
 START = 10
 SLOTS = 22
+#: The most code lengths (of sequences, by language) that are kept.
+KEPT = 1 << 24
 LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[97:123] = True
@@ -100,16 +102,19 @@ class Model:
         codes = sequences(buf, offs)
         owner = np.repeat(np.searchsorted(self.languages, labels), np.diff(offs))
         self.trees = [Tree(codes[owner == k]) for k in range(len(self.languages))]
-        self.keys = np.unique(np.concatenate([t.seen[DEPTH][0] for t in self.trees]))
-        self.bits = self.lengths(self.keys).astype(np.float32)
+        keys, times = np.unique(codes, return_counts=True)
+        # of many languages the commonest sequences only; the code lengths of others are computed where they occur
+        often = np.argsort(-times, kind="stable")[: max(1, KEPT // len(self.trees))]
+        self.keys = np.sort(keys[often])
+        self.bits = np.stack([self.lengths(k, self.keys).astype(np.float32) for k in range(len(self.trees))], 1)
         self.slot: np.ndarray | None = None
 
     def __getstate__(self):
         return self.__dict__ | {"slot": None}
 
-    def lengths(self, keys: np.ndarray) -> np.ndarray:
+    def lengths(self, language: int, keys: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore"):
-            return np.stack([-np.log2(t.probability(DEPTH, keys)) for t in self.trees], 1)
+            return -np.log2(self.trees[language].probability(DEPTH, keys))
 
     def code_lengths(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits by text and language; bytes; whether the text has an ASCII letter."""
@@ -126,10 +131,9 @@ class Model:
             index = self.slot[place(codes)]
             miss = np.flatnonzero(self.keys[index] != codes)
             rare, where = np.unique(codes[miss], return_inverse=True)
-            own = self.lengths(rare)
             for k in range(len(self.languages)):
                 bits = self.bits[:, k][index]
-                bits[miss] = own[where, k]
+                bits[miss] = self.lengths(k, rare)[where]
                 total[full, k] = np.add.reduceat(bits, offs[full], dtype=np.float64)
             letter[full] = np.logical_or.reduceat(_ASCII_LETTER[tb.LOWER[buf]], offs[full])
         return total, np.diff(offs), letter
@@ -159,9 +163,9 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 def identify(docs: DataFrame, held_out, *, limit: int = SAMPLE) -> DataFrame:
     """Languages of docs (doc_id, text, lang), learned from rows that aren't held out."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string").alias("label"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    rows = shared.sample(docs.where("not held_out and text is not null"), limit, MAX_BYTES, stratified=True)
+    rows = shared.sample(docs.where("not held_out and text <> ''"), limit, MAX_BYTES, stratified=True)
     every = docs.select("doc_id", "text", "held_out")
-    if not rows.num_rows or not any(rows.column("text").to_pylist()):
+    if not rows.num_rows:
         return every.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     model = docs.sparkSession.sparkContext.broadcast(Model(rows.column("text"), rows.column("label").to_pylist()))
     return every.mapInArrow(predict(model), SCHEMA)

@@ -58,7 +58,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _HIT = re.compile(r"[0-9@]")
-_CORE = re.compile(r"[(+]*[0-9A-Za-z](?:.*[0-9A-Za-z)])?", re.S)
+_ALNUM = re.compile(r"[0-9A-Za-z]")
+_END = re.compile(r"[0-9A-Za-z)]")
 
 
 def luhn(digits: str) -> bool:
@@ -124,8 +125,16 @@ def stretches(text: str) -> Iterator[Words]:
 
 
 def core(text: str, start: int, end: int) -> tuple[int, int]:
-    m = _CORE.search(text, start, end)
-    return m.span() if m else (start, end)
+    """From the first letter or digit, and brackets and plus signs right before it, to the last one, or closing bracket."""
+    m = _ALNUM.search(text, start, end)
+    if not m:
+        return start, end
+    begin = m.start()
+    while begin > start and text[begin - 1] in "(+":
+        begin -= 1
+    while end > m.end() and not _END.match(text, end - 1):
+        end -= 1
+    return begin, end
 
 
 _ZEROS = {48 + d: "0" for d in range(1, 10)}

@@ -42,17 +42,17 @@ def small(rows: DataFrame, limit: int = FEW) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= limit else rows
 
 
-#: The most classes that a sample is spread over.
+#: The most classes that a sample is spread over, the most frequent ones.
 CLASSES = 1000
 
 
-def sample(docs: DataFrame, limit: int, max_bytes: int = 128 << 20, *, labels: DataFrame | None = None, stratified: bool = False) -> pa.Table:
+def sample(docs: DataFrame, limit: int, max_bytes: int = 128 << 20, *, labels: DataFrame | None = None, stratified: bool = False, classes: int = CLASSES) -> pa.Table:
     """To the driver: about limit of the rows (doc_id, text, label), whole texts of about max_bytes in all. labels (doc_id, label), one for each doc_id, may stand in for the column.
 
     A bounded sample to fit a classifier on, spread over the whole table: a row is taken
     if a hash of its doc_id and text is under a threshold, so nothing is sorted, and
     the same rows are taken however they are partitioned. Equal rows count once. Stratified,
-    each of the (CLASSES at most) labels has its own threshold, so that rare ones get an even share.
+    each of the labels (the `classes` most frequent ones; rows of others are left out) has its own threshold, so that rare ones get an even share.
     Rows with a null label are left out, and texts of over max_bytes / 16, which no sample of that size can hold
     fairly. The table is ordered by the hash. Only lengths and hashes meet the labels before the threshold is known.
     """
@@ -62,16 +62,17 @@ def sample(docs: DataFrame, limit: int, max_bytes: int = 128 << 20, *, labels: D
     named = labels.select("doc_id", F.col("label").cast("string").alias("label")) if labels is not None else None
     put = lambda df: (df.join(named, "doc_id") if named is not None else df).where("label is not null")
     brief = put(own.select("doc_id", "h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), *([] if named is not None else ["label"])))
-    sizes = brief.groupBy(F.col("label") if stratified else F.lit("").alias("label")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).orderBy("label").limit(CLASSES + 1).collect()
-    if len(sizes) > CLASSES:
-        raise ValueError(f"more than {CLASSES} classes")
+    sizes = brief.groupBy(F.col("label") if stratified else F.lit("").alias("label")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).orderBy(F.desc("n"), "label").limit(classes).collect()
+    sizes.sort(key=lambda r: r["label"])
     share = shares([r["n"] for r in sizes], limit)
     size = [max(1, r["bytes"]) * s for r, s in zip(sizes, share, strict=True)]
     cut = [s * min(1.0, b / x) if x else s for s, x, b in zip(share, size, shares([int(x) for x in size], max_bytes, part=False), strict=True)]
-    least = F.lit(0.0)
-    for r, c in zip(sizes, cut, strict=True):
-        least = F.when(F.col("label") == r["label"], F.lit(c)).otherwise(least) if stratified else F.lit(c)
-    return put(own.where(F.col("h") < max([0.0, *cut]))).where(F.col("h") < least).select("doc_id", "text", "label", "h").distinct().toArrow().sort_by("h")
+    taken = put(own.where(F.col("h") < max([0.0, *cut])))
+    if stratified:
+        # a row for each class
+        least = docs.sparkSession.createDataFrame([(r["label"], float(c)) for r, c in zip(sizes, cut, strict=True)], "label string, least double")
+        taken = taken.join(F.broadcast(least), "label").where(F.col("h") < F.col("least"))
+    return taken.select("doc_id", "text", "label", "h").distinct().toArrow().sort_by("h")
 
 
 def shares(counts: list[int], limit: float, part: bool = True) -> list[float]:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -522,7 +523,21 @@ def test_code_lengths_are_of_distributions():
     m = language_id.Model(pa.chunked_array([["abracadabra banana", "the cat sat", "\xff".encode().decode() + "é"]]), ["x", "y", "y"])
     for context in (b"bra", b"the", b"zzz", b"at ", b"\n\n\n", bytes([3, 200, 255])):
         keys = np.arange(256, dtype=np.uint32) + np.uint32(int.from_bytes(context, "big") << 8)
-        assert np.abs(np.exp2(-m.lengths(keys)).sum(0) - 1).max() < 1e-9
+        assert max(abs(np.exp2(-m.lengths(k, keys)).sum() - 1) for k in range(len(m.trees))) < 1e-9
+
+
+def test_languages_of_empty_texts_and_many_languages(spark):
+    d = spark.createDataFrame([(1, "hello world", "en"), (2, "bonjour le monde", "fr"), (3, "", "xx"), (4, "hello you", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(d, F.lit(False)).collect()} == {1: "en", 2: "fr", 3: "und", 4: "en"}
+    many = [(k, f"text {k:04d} of its own", f"l{k:04d}") for k in range(2000)] + [(5000 + k, "often met words", "often") for k in range(5)]
+    d = spark.createDataFrame(many, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(d.where("doc_id < 60 or doc_id >= 1100"), F.lit(False)).where("doc_id < 60 or doc_id >= 5000").collect()}
+    assert len(got) == 65 and got[5000] == "often" and got[7] == "l0007"
+    # beyond what is kept, code lengths are the same
+    model = language_id.Model(pa.chunked_array([["hello world", "bonjour le monde"]]), ["en", "fr"])
+    whole = model.code_lengths(pa.array(["hello le monde 😀"]))[0]
+    model.keys, model.bits, model.slot = model.keys[::3], model.bits[::3], None
+    assert np.allclose(whole, model.code_lengths(pa.array(["hello le monde 😀"]))[0], rtol=1e-6)
 
 
 # 8
@@ -699,6 +714,19 @@ def test_a_long_table_of_numbers():
     assert len(base) >= 1 and most < 60e6 and time.perf_counter() - began < 120
 
 
+def test_cores_and_time_on_brackets():
+    old = re.compile(r"[(+]*[0-9A-Za-z](?:.*[0-9A-Za-z)])?", re.S)
+    for _ in range(3000):
+        text = "".join(R.choice("(+)a1 -") for _ in range(R.randrange(1, 12)))
+        m = old.search(text)
+        assert pii.core(text, 0, len(text)) == (m.span() if m else (0, len(text)))
+    field, began = pii.Field(), time.perf_counter()
+    field.weights[""] = np.zeros(len(pii.KINDS) + 1)
+    for text in ("(" * 1_000_000 + "@", "+" * 1_000_000 + "1", "(" * 500_000 + "@ " + "(" * 500_000 + "7"):
+        assert pii.find(text, field)[0] == []
+    assert time.perf_counter() - began < 30
+
+
 # 10
 
 
