@@ -40,7 +40,7 @@ from strikeflow.llm import packing, pieces, shared
 from strikeflow.llm import textbytes as tb
 
 #: Bytes of text in a batch.
-GROUP = 8 << 20
+GROUP = 4 << 20
 MARK = "▁"
 #: A pair of ids as one number: the id of A times this, plus that of B.
 PAIR = 1 << 24
