@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeflow.operators import chain as ops
+from strikeflow.operators.quantiles import quantiles
+from strikeflow.session import checkpoint_dir
 
 
 def expiries_per_day(chain: DataFrame, low: int = 21, high: int = 63) -> DataFrame:
     """One row: distinct expiries per date within a range of days to expiry, their distribution and the shares of dates with 2, 3, 4 and 5 or more."""
     n = ops.filter_by_dte(chain, low, high).groupBy("date").agg(F.countDistinct("expiry").alias("n"))
     share = lambda k: F.avg((F.col("n") >= k).cast("double")).alias(f"share_{k}")
-    return n.agg(F.avg("n").alias("mean_n"), F.median("n").alias("median_n"), F.percentile("n", F.lit(0.1)).alias("p10"), F.percentile("n", F.lit(0.9)).alias("p90"), F.max("n").alias("max_n"), *(share(k) for k in (2, 3, 4, 5)))
+    checkpoint_dir(chain.sparkSession)
+    n = n.checkpoint()
+    found = quantiles(n, F.col("n"), [0.5, 0.1, 0.9], names=["median_n", "p10", "p90"]).drop("n")
+    out = n.agg(F.avg("n").alias("mean_n"), F.max("n").alias("max_n"), *(share(k) for k in (2, 3, 4, 5))).crossJoin(F.broadcast(found))  # one row each
+    return out.select("mean_n", "median_n", "p10", "p90", "max_n", *(f"share_{k}" for k in (2, 3, 4, 5)))
 
 
 def sample_dates(dates: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -50,7 +56,10 @@ def premium_ratios(chain: DataFrame, low: int = 25, high: int = 35, back: tuple[
 def ratio_distribution(ratios: DataFrame) -> DataFrame:
     """(mode, n, median, mean, p10, p90) of the ratios of calendars and straddles."""
     long = ratios.select(F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.col(f"{m}_ratio").alias("ratio")) for m in ("calendar", "straddle")))).alias("r")).select("r.*")
-    return long.groupBy("mode").agg(F.count("ratio").alias("n"), F.median("ratio").alias("median"), F.avg("ratio").alias("mean"), F.percentile("ratio", F.lit(0.1)).alias("p10"), F.percentile("ratio", F.lit(0.9)).alias("p90"))
+    checkpoint_dir(ratios.sparkSession)
+    long = long.checkpoint()
+    found = quantiles(long, F.col("ratio"), [0.5, 0.1, 0.9], "mode", ["median", "p10", "p90"])
+    return found.join(long.groupBy("mode").agg(F.avg("ratio").alias("mean")), "mode").select("mode", "n", "median", "mean", "p10", "p90")
 
 
 def decision(expiries: DataFrame, ratios: DataFrame, coverage: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strikeflow.constants import COVERAGE_MINIMUM
+from strikeflow.operators.quantiles import quantiles
 
 
 def coverage(chain: DataFrame, least: float = COVERAGE_MINIMUM) -> DataFrame:
@@ -23,12 +24,13 @@ def require_coverage(chain: DataFrame, least: float = COVERAGE_MINIMUM) -> None:
 
 
 def drift(errors: DataFrame, share: float = 0.8) -> DataFrame:
-    """errors (date, rmse): medians over the first share of the dates and over the rest, and their ratio."""
+    """errors (date, rmse): medians over the first share of the dates and over the rest, and their ratio. The medians are found at once."""
     days = errors.select("date").distinct().withColumn("at", F.row_number().over(Window.orderBy("date")))
     n = days.agg(F.count("*").alias("n"))
     early = F.col("at") / F.col("n") <= share
     own = errors.join(days, "date").crossJoin(n)  # one row
-    out = own.agg(F.median(F.when(early, F.col("rmse"))).alias("early_rmse"), F.median(F.when(~early, F.col("rmse"))).alias("late_rmse"))
+    medians = {r["early"]: r["median"] for r in quantiles(own.withColumn("early", early), F.col("rmse"), [0.5], "early", ["median"]).collect()}
+    out = errors.sparkSession.createDataFrame([(medians.get(True), medians.get(False))], "early_rmse double, late_rmse double")
     return out.withColumn("ratio", F.col("late_rmse") / F.nullif("early_rmse", F.lit(0.0)))
 
 

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strikeflow.operators.quantiles import quantiles
+
 KEY = ("date", "expiry", "strike", "option_type")
+#: Parts of a group that are ranked apart.
+SLICES = 64
 
 
 def model_breakdown(records: DataFrame) -> DataFrame:
     """For each model of fit records: how many there are and converged, the share, and the median error."""
-    return records.groupBy("model_type").agg(F.count("*").alias("n"), F.count_if("converged").alias("n_converged"), F.median("in_sample_rmse").alias("median_rmse"), F.avg(F.col("converged").cast("double")).alias("rate"))
+    medians = quantiles(records, F.col("in_sample_rmse"), [0.5], "model_type", ["median_rmse"]).select(F.col("model_type").alias("of"), "median_rmse")
+    counts = records.groupBy("model_type").agg(F.count("*").alias("n"), F.count_if("converged").alias("n_converged"), F.avg(F.col("converged").cast("double")).alias("rate"))
+    return counts.join(F.broadcast(medians), F.col("model_type").eqNullSafe(F.col("of"))).select("model_type", "n", "n_converged", "median_rmse", "rate")
 
 
 def converged_error(records: DataFrame) -> DataFrame:
     """One row: the median error of converged records."""
-    return records.where("converged").agg(F.median("in_sample_rmse").alias("median_rmse"), F.count("*").alias("n"))
+    median = quantiles(records.where("converged"), F.col("in_sample_rmse"), [0.5], names=["median_rmse"]).drop("n")
+    return records.where("converged").agg(F.count("*").alias("n")).crossJoin(F.broadcast(median)).select("median_rmse", "n")  # one row each
 
 
 def fill_rates(chain: DataFrame) -> DataFrame:
@@ -50,11 +57,25 @@ def rejected(*results: DataFrame) -> DataFrame:
     return out.groupBy("scenario", "path", "reason").agg(F.count("*").alias("n"))
 
 
+def first_of(rows: DataFrame, by: list[str], order: Column, k: int, name: str) -> DataFrame:
+    """(by, name): for each group the k smallest values of order as a sorted array.
+
+    Lists are merged and cut at k in two steps: within slices of a group by a hash, each of which ranks its own rows and keeps k, and then over
+    what the slices kept, SLICES times k rows at most. So no task holds a group's rows, and a row beyond the k first of its slice goes no further.
+    """
+    slice_ = F.pmod(F.xxhash64(order), F.lit(SLICES)).alias("slice")
+    own = rows.select(*by, slice_, order.alias("o"))
+    w = Window.partitionBy(*by, "slice").orderBy("o")
+    kept = own.withColumn("at", F.row_number().over(w)).where(F.col("at") <= k)
+    return kept.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list("o")), 1, k).alias(name))
+
+
 def hedge_failures(result: DataFrame, sample: int = 5) -> DataFrame:
     """For each scenario how many positions opened without their hedge, and the reasons of the first ones. Scenarios without one are listed with 0."""
     hit = (F.col("kind") == "reject") & (F.col("path") == "hedge_attach")
-    first = F.transform(F.slice(F.array_sort(F.collect_list(F.when(hit, F.struct("date", "fold_index", "reason")))), 1, sample), lambda r: r["reason"])
-    return result.groupBy("scenario").agg(F.count_if(hit).alias("n_failed"), first.alias("reasons"))
+    first = first_of(result.where(hit), ["scenario"], F.struct("date", "fold_index", "reason"), sample, "first")
+    reasons = F.transform(F.coalesce("first", F.array().cast(first.schema["first"].dataType)), lambda r: r["reason"])
+    return result.groupBy("scenario").agg(F.count_if(hit).alias("n_failed")).join(first, "scenario", "left").select("scenario", "n_failed", reasons.alias("reasons"))
 
 
 def cost_comparison(free: DataFrame, paid: DataFrame, columns: tuple[str, ...] = ("sharpe", "max_drawdown", "calmar", "n_trades")) -> DataFrame:
