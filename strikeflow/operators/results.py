@@ -33,12 +33,12 @@ def fill_rates(chain: DataFrame) -> DataFrame:
 
 
 def force_missing(chain: DataFrame, share: float = 0.30, seed: int = 42) -> DataFrame:
-    """Takes both quotes from about this share of the rows that have both, by a hash of the row's key; can_buy and can_sell are set anew."""
+    """Takes both quotes from about this share of the rows that have both, by a hash of the row's key (its strike in hundredths); can_buy and can_sell are set anew."""
     from strikeflow.operators.chain import flags
 
     if not 0 <= share <= 1:
         raise ValueError(f"not a share: {share}")
-    gone = F.col("bid").isNotNull() & F.col("ask").isNotNull() & (F.shiftrightunsigned(F.xxhash64(*KEY, F.lit(seed)), 11) / float(1 << 53) < share)
+    gone = F.col("bid").isNotNull() & F.col("ask").isNotNull() & (F.conv(F.substring(F.md5(F.concat_ws("|", "date", "expiry", F.round(F.col("strike") * 100).cast("long"), "option_type", F.lit(seed))), 1, 8), 16, 10).cast("long") / float(1 << 32) < share)
     return flags(chain.withColumns({c: F.when(~gone, F.col(c)) for c in ("bid", "ask")}))
 
 

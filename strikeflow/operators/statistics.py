@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -67,41 +67,102 @@ def deflated_sharpe(observed: str, n_trials: int, periods: str, skew: float = 0.
 Statistic = str | Callable[[np.ndarray], float]
 
 
-def np_sharpe(v: np.ndarray) -> float:
-    dev = v.std(ddof=1) if len(v) > 1 else 0.0
-    return math.sqrt(TRADING_DAYS) * v.mean() / dev if dev else math.nan
+def np_sharpe(v: np.ndarray) -> np.ndarray:
+    """Of the last axis; NaN without a deviation."""
+    dev = v.std(-1, ddof=1) if v.shape[-1] > 1 else np.zeros(v.shape[:-1])
+    with np.errstate(all="ignore"):
+        return np.where(dev > 0, math.sqrt(TRADING_DAYS) * v.mean(-1) / dev, np.nan)
 
 
-_STATISTICS: dict[str, Callable] = {"sharpe": np_sharpe, "mean": lambda v: float(v.mean()), "total_return": lambda v: float(v.sum())}
+_STATISTICS: dict[str, Callable] = {"sharpe": np_sharpe, "mean": lambda v: v.mean(-1), "total_return": lambda v: v.sum(-1)}
+#: Multipliers of the counter-based generator.
+MIX, STEP, SEED = (0x85EBCA6B, 0xC2B2AE35), 0x85EBCA77, 0x9E3779B1
+#: Iterations of a group that one row asks for, and the most draws that are made at once.
+BLOCK, DRAWS = 50, 1 << 20
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """All bits of 32-bit numbers (held in 64 bits) mixed."""
+    low = np.uint64(0xFFFFFFFF)
+    h = h ^ (h >> np.uint64(16))
+    h = h * np.uint64(MIX[0]) & low
+    h = h ^ (h >> np.uint64(13))
+    h = h * np.uint64(MIX[1]) & low
+    return h ^ (h >> np.uint64(16))
+
+
+def draws(seed: int, iterations: np.ndarray, n: int) -> np.ndarray:
+    """Uniform 32-bit numbers: a row for each iteration, n each. A number depends on seed, iteration and place only."""
+    low = np.uint64(0xFFFFFFFF)
+    own = _mixed(iterations.astype(np.uint64) + np.uint64(seed * SEED & 0xFFFFFFFF) & low)
+    return _mixed(own[:, None] + np.arange(n, dtype=np.uint64) * np.uint64(STEP) & low)
+
+
+def draws_sql(seed: int, iteration: str, place: str, name: str) -> str:
+    """The same number in DuckDB, as select items the last of which is name."""
+    def mixed(x: str, k: str) -> str:
+        return f"xor({x}, {x} >> 16) AS {k}1, ({k}1 * {MIX[0]}::UBIGINT) % 4294967296 AS {k}2, xor({k}2, {k}2 >> 13) AS {k}3, ({k}3 * {MIX[1]}::UBIGINT) % 4294967296 AS {k}4"
+
+    start = f"(({iteration}::UBIGINT + {seed * SEED & 0xFFFFFFFF}::UBIGINT) % 4294967296)::UBIGINT AS {name}_s, {mixed(f'{name}_s', f'{name}_a')}, xor({name}_a4, {name}_a4 >> 16) AS {name}_h"
+    return f"{start}, (({name}_h + {place}::UBIGINT * {STEP}::UBIGINT) % 4294967296)::UBIGINT AS {name}_p, {mixed(f'{name}_p', f'{name}_b')}, xor({name}_b4, {name}_b4 >> 16) AS {name}"
 
 
 def resampled(df: DataFrame, by: list[str], *, pnl: str = "pnl", order: str = "date", statistic: Statistic = "sharpe", n_iter: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
-    """For each group the bootstrap interval of a statistic, and the sign-flip test's observed Sharpe ratio and p value."""
+    """For each group the bootstrap interval of a statistic, and the sign-flip test's observed Sharpe ratio and p value.
+
+    Rows are blocks of iterations, each with the group's values (its trading days) in order, so a group's iterations are spread over all tasks. Draws
+    come from a counter-based generator, so a result doesn't depend on how they are.
+    """
     if n_iter < 1 or not 0 < ci < 1:
         raise ValueError("n_iter must be positive and ci in (0, 1)")
-    f = _STATISTICS[statistic] if isinstance(statistic, str) else statistic
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by), "n_obs long, ci_low double, ci_high double, observed double, p_value double"])
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(order)[pnl].to_numpy(float)
-        n, low, high, observed, p = len(v), None, None, None, 1.0
-        if n >= 2:
-            rng = np.random.default_rng(seed)
-            got = np.array([f(v[rng.integers(0, n, n)]) for _ in range(n_iter)])
-            got = got[np.isfinite(got)]
-            if len(got):
-                low, high = (float(q) for q in np.percentile(got, [50 * (1 - ci), 50 * (1 + ci)]))
-            observed = np_sharpe(v)
-            if math.isfinite(observed):
-                rng = np.random.default_rng(seed)
-                null = np.array([np_sharpe(rng.choice([-1.0, 1.0], n) * v) for _ in range(n_iter)])
-                null = null[np.isfinite(null)]
-                p = (int((np.abs(null) >= abs(observed)).sum()) + 1) / (len(null) + 1)
-            else:
-                observed = None
-        return pd.DataFrame([[*key, n, low, high, observed, p]], columns=[*by, "n_obs", "ci_low", "ci_high", "observed", "p_value"])
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    f = _STATISTICS[statistic] if isinstance(statistic, str) else lambda v: np.array([statistic(x) for x in v])
+    keys = [F.col(c).alias(f"__{i}") for i, c in enumerate(by)]
+    names = [f"__{i}" for i in range(len(by))]
+    values = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(pnl).cast("double").alias("v")))), lambda r: r["v"]).alias("__v"))
+    asked = values.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1), F.lit(BLOCK))))
+    schema = ", ".join([*(f"`__{i}` {df.schema[c].dataType.simpleString()}" for i, c in enumerate(by)), "n long, observed double, boot double, `null` double"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                *key, v, k = row
+                v, n = np.asarray(v, float), len(v)
+                observed = float(np_sharpe(v)) if n >= 2 else math.nan
+                out = []
+                step = max(1, DRAWS // max(1, n))
+                for at in range(k, min(k + BLOCK, n_iter), step):
+                    its = np.arange(at, min(at + step, k + BLOCK, n_iter))
+                    if n < 2:
+                        out.append(np.full((len(its), 2), np.nan))
+                        continue
+                    boot = f(v[(draws(seed, its, n) * np.uint64(n) >> np.uint64(32)).astype(np.int64)])
+                    null = np_sharpe(np.where(draws(seed + 1, its, n) >> np.uint64(31), 1.0, -1.0) * v)
+                    out.append(np.stack([boot, null], 1))
+                told = np.concatenate(out)
+                yield pd.DataFrame({**{c: [x] * len(told) for c, x in zip(names, key, strict=True)}, "n": n, "observed": observed, "boot": told[:, 0], "null": told[:, 1]})
+
+    tasks = max(4 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    told = asked.repartition(tasks).mapInPandas(run, schema)
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != math.inf), F.col(c))
+    own = told.select(*names, "n", finite("observed").alias("observed"), finite("boot").alias("boot"), finite("null").alias("null"))
+    # as many values as iterations
+    out = own.groupBy(*names).agg(F.max("n").alias("n_obs"), F.percentile("boot", F.lit((1 - ci) / 2)).alias("ci_low"), F.percentile("boot", F.lit((1 + ci) / 2)).alias("ci_high"), F.max("observed").alias("observed"), F.count_if(F.abs("null") >= F.abs("observed")).alias("hits"), F.count("null").alias("tries"))
+    p = F.when(F.col("observed").isNull(), 1.0).otherwise((F.col("hits") + 1) / (F.col("tries") + 1))
+    return out.select(*(F.col(x).alias(c) for x, c in zip(names, by, strict=True)), "n_obs", "ci_low", "ci_high", "observed", p.alias("p_value"))
+
+
+def resampled_sql(source: str, by: str, n_iter: int = 1000, ci: float = 0.95, seed: int = 42) -> str:
+    """resampled of a relation (by, date, pnl) in DuckDB: a SELECT to follow WITH clauses."""
+    return f"""
+v AS (SELECT {by} AS g, pnl, row_number() OVER (PARTITION BY {by} ORDER BY date) - 1 AS j, count(*) OVER (PARTITION BY {by}) AS n FROM {source}),
+drawn AS (SELECT g, k, j, n, pnl, {draws_sql(seed, "k", "j", "u")}, {draws_sql(seed + 1, "k", "j", "w")} FROM v, (SELECT unnest(range(0, {n_iter})) AS k)),
+boot AS (SELECT d.g, d.k, sqrt({TRADING_DAYS}) * avg(v.pnl) / nullif(stddev_samp(v.pnl), 0) AS s FROM drawn d JOIN v ON v.g = d.g AND v.j = (d.u * d.n) >> 32 GROUP BY 1, 2),
+flipped AS (SELECT g, k, sqrt({TRADING_DAYS}) * avg(f) / nullif(stddev_samp(f), 0) AS s FROM (SELECT g, k, CASE WHEN w >> 31 = 1 THEN pnl ELSE -pnl END AS f FROM drawn) GROUP BY 1, 2),
+seen AS (SELECT g, count(*) AS n_obs, sqrt({TRADING_DAYS}) * avg(pnl) / nullif(stddev_samp(pnl), 0) AS observed FROM v GROUP BY 1),
+ends AS (SELECT g, quantile_cont(s, {(1 - ci) / 2}) AS ci_low, quantile_cont(s, {(1 + ci) / 2}) AS ci_high FROM boot GROUP BY 1),
+hits AS (SELECT f.g, count(*) FILTER (abs(f.s) >= abs(o.observed)) AS hits, count(f.s) AS tries FROM flipped f JOIN seen o ON o.g = f.g GROUP BY 1)
+SELECT seen.g AS {by}, n_obs, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(observed, 6) AS observed, round(CASE WHEN observed IS NULL THEN 1.0 ELSE (hits + 1) / (tries + 1) END, 6) AS p_value
+FROM seen JOIN ends ON ends.g = seen.g JOIN hits ON hits.g = seen.g"""
 
 
 def mark_audit(days: DataFrame, by: list[str]) -> DataFrame:

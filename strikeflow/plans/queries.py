@@ -203,14 +203,12 @@ for _mode in ("strict", "settle", "surface"):
         return ops.mark(own, mode).select(*KEY, F.round("mark", 9).alias("mark"), "basis")
 
 
-MISSING = "(CAST(strike AS BIGINT) // 100 * 7919 + dte * 104729) % 10 < 3"
+MISSING = "CAST('0x' || substr(md5(concat_ws('|', date, expiry, CAST(round(strike * 100) AS BIGINT), option_type, 42)), 1, 8) AS BIGINT) / 4294967296.0 < 0.3 AND bid IS NOT NULL AND ask IS NOT NULL"
 
 
-@query("P11_forced_missing", CH + f"SELECT date, count(*) FILTER ({MISSING} OR ask IS NULL) AS n_no_buy, count(*) FILTER ({MISSING} OR bid IS NULL) AS n_no_sell FROM chain GROUP BY 1")
+@query("P11_forced_missing", CH + f"SELECT date, count(*) FILTER (({MISSING}) OR ask IS NULL) AS n_no_buy, count(*) FILTER (({MISSING}) OR bid IS NULL) AS n_no_sell FROM chain GROUP BY 1")
 def _(s, d):
-    gone = (F.floor(F.col("strike") / 100).cast("long") * 7919 + F.col("dte") * 104729) % 10 < 3
-    own = chain(s, d).withColumns({"bid": F.when(~gone, F.col("bid")), "ask": F.when(~gone, F.col("ask"))})
-    return ops.flags(own).groupBy("date").agg(F.count_if(~F.col("can_buy")).alias("n_no_buy"), F.count_if(~F.col("can_sell")).alias("n_no_sell"))
+    return rs.force_missing(chain(s, d)).groupBy("date").agg(F.count_if(~F.col("can_buy")).alias("n_no_buy"), F.count_if(~F.col("can_sell")).alias("n_no_sell"))
 
 
 SHOCKS = [("vol_up", 0.10, 0.0), ("vol_down", -0.05, 0.0), ("crash", 0.15, -0.10), ("rally", -0.02, 0.05)]
@@ -350,12 +348,20 @@ def _(s, d):
     return later.groupBy("date", "front").agg(F.min_by("expiry", F.struct(F.abs(F.datediff("expiry", "front") - 30), "expiry")).alias("back"))
 
 
-@query("J13_cost_comparison", f"WITH {PNL}, w AS (SELECT scenario, sum(pnl) AS t FROM pnl GROUP BY 1), c AS (SELECT scenario, sum(pnl - 0.01 * abs(pnl)) AS t FROM pnl GROUP BY 1) SELECT w.scenario, round(c.t - w.t, 5) AS cost FROM w JOIN c ON w.scenario = c.scenario")
+def priced_summary(s, d, cost: float):
+    """A summary of the scenarios of pnl with a cost on each day's move."""
+    own = pnl(s, d).withColumn("pnl", F.col("pnl") - cost * F.abs("pnl"))
+    return own.groupBy("scenario").agg(st.plain_sharpe("pnl").alias("sharpe"), F.sum("pnl").alias("total"), F.count_if(F.col("pnl") > 0).alias("n_trades"))
+
+
+PRICED = "SELECT scenario, sqrt(252) * avg(p) / nullif(stddev_samp(p), 0) AS sharpe, sum(p) AS total, count(*) FILTER (p > 0) AS n_trades FROM (SELECT scenario, pnl - {cost} * abs(pnl) AS p FROM pnl) GROUP BY 1"
+
+
+@query("J13_cost_comparison", f"WITH {PNL}, w AS ({PRICED.format(cost='0.0')}), c AS ({PRICED.format(cost='0.01')}) SELECT w.scenario, round(w.sharpe, 6) AS sharpe_free, round(c.sharpe, 6) AS sharpe_paid, round(c.sharpe - w.sharpe, 6) AS sharpe_diff, round(w.total, 5) AS total_free, round(c.total, 5) AS total_paid, round(c.total - w.total, 5) AS total_diff, w.n_trades AS n_trades_free, c.n_trades AS n_trades_paid, c.n_trades - w.n_trades AS n_trades_diff FROM w JOIN c ON w.scenario = c.scenario")
 def _(s, d):
-    own = pnl(s, d)
-    free = own.groupBy("scenario").agg(F.sum("pnl").alias("free"))
-    paid = own.groupBy("scenario").agg(F.sum(F.col("pnl") - 0.01 * F.abs("pnl")).alias("paid"))
-    return free.join(paid, "scenario").select("scenario", F.round(F.col("paid") - F.col("free"), 5).alias("cost"))
+    out = rs.cost_comparison(priced_summary(s, d, 0.0), priced_summary(s, d, 0.01), ("sharpe", "total", "n_trades"))
+    sides = ("free", "paid", "diff")
+    return rounded(rounded(out, *(f"sharpe_{x}" for x in sides)), *(f"total_{x}" for x in sides), places=5)
 
 
 # aggregations
@@ -412,16 +418,30 @@ def _(s, d):
     return pnl(s, d).groupBy("scenario").agg(F.round(st.win_rate("pnl"), 9).alias("win_rate"))
 
 
-@query("A12_scenario_totals", "SELECT event_type AS scenario, count(*) AS n_trades, count(DISTINCT user_id) AS n_folds, count(DISTINCT user_id) FILTER (value < 1) AS n_failed FROM events GROUP BY 1")
+def event_runs(s, d):
+    """Events as rows of runs: by value trades, errors, rejects at opening or closing, and days; a user is a fold."""
+    kind = F.when(F.col("value") < 1, "error").when(F.col("value") < 20, "reject").when(F.col("value") > 80, "reject").when(F.col("value") > 50, "trade").otherwise("day")
+    path = F.when((F.col("value") >= 1) & (F.col("value") < 20), "open").when(F.col("value") > 80, "close")
+    return table(s, d, "events").select(F.col("event_type").alias("scenario"), kind.alias("kind"), F.col("user_id").alias("fold_index"), path.alias("path"), F.concat_ws(" ", F.lit("user"), F.col("user_id") % 3).alias("reason"))
+
+
+RUNS_SQL = "SELECT event_type AS scenario, CASE WHEN value < 1 THEN 'error' WHEN value < 20 OR value > 80 THEN 'reject' WHEN value > 50 THEN 'trade' ELSE 'day' END AS kind, user_id AS fold_index, CASE WHEN value >= 1 AND value < 20 THEN 'open' WHEN value > 80 THEN 'close' END AS path, 'user ' || (user_id % 3) AS reason FROM events"
+
+
+@query("A12_scenario_totals", f"SELECT scenario, count(*) FILTER (kind = 'trade') AS n_trades, count(DISTINCT fold_index) AS n_folds, count(DISTINCT fold_index) FILTER (kind = 'error') AS n_failed FROM ({RUNS_SQL}) GROUP BY 1")
 def _(s, d):
-    return table(s, d, "events").groupBy(F.col("event_type").alias("scenario")).agg(F.count("*").alias("n_trades"), F.countDistinct("user_id").alias("n_folds"), F.countDistinct(F.when(F.col("value") < 1, F.col("user_id"))).alias("n_failed"))
+    return rs.scenario_totals(event_runs(s, d))
+
+
+GATES = {"1": "vanilla", "2": "IV_percentile", "3": "HMM"}
 
 
-@query("A14_ablation_pivot", "SELECT o_orderstatus AS strategy, round(avg(CASE WHEN o_orderpriority LIKE '1%' THEN o_totalprice END), 4) AS urgent_sharpe, round(avg(CASE WHEN o_orderpriority LIKE '2%' THEN o_totalprice END), 4) AS high_sharpe FROM orders GROUP BY 1")
+@query("A14_ablation_pivot", "SELECT o_orderstatus AS strategy, " + ", ".join(f"round(avg(o_totalprice) FILTER (o_orderpriority LIKE '{k}%'), 4) AS {g}_sharpe, nullif(count(*) FILTER (o_orderpriority LIKE '{k}%'), 0) AS {g}_n_trades" for k, g in GATES.items()) + " FROM orders WHERE o_orderpriority < '4' GROUP BY 1")
 def _(s, d):
-    own = table(s, d, "orders").withColumn("gate", F.when(F.col("o_orderpriority").startswith("1"), "urgent").when(F.col("o_orderpriority").startswith("2"), "high"))
-    out = own.groupBy(F.col("o_orderstatus").alias("strategy")).pivot("gate", ["urgent", "high"]).agg(F.round(F.avg("o_totalprice"), 4))
-    return out.withColumnsRenamed({"urgent": "urgent_sharpe", "high": "high_sharpe"})
+    own = table(s, d, "orders").where("o_orderpriority < '4'")
+    gate = F.create_map(*(F.lit(x) for pair in GATES.items() for x in pair))[F.substring("o_orderpriority", 1, 1)]
+    summary = own.groupBy(F.concat_ws("_", "o_orderstatus", gate).alias("scenario")).agg(F.avg("o_totalprice").alias("sharpe"), F.count("*").alias("n_trades"))
+    return rounded(st.ablation(summary), *(f"{g}_sharpe" for g in GATES.values()), places=4)
 
 
 @query("A15_settle_pivot", CH + ", one AS (SELECT * FROM chain WHERE date = (SELECT min(date) FROM chain)), e AS (SELECT min(expiry) AS e FROM one) SELECT strike, max(CASE WHEN option_type = 'call' THEN settle END) AS call, max(CASE WHEN option_type = 'put' THEN settle END) AS put FROM one, e WHERE expiry = e GROUP BY 1")
@@ -468,18 +488,17 @@ def _(s, d):
     return g.select("date", F.round("delta", 5).alias("delta"), F.round("gamma", 8).alias("gamma"), F.round("theta", 1).alias("theta"), F.round("vega", 2).alias("vega"))
 
 
-@query("A21_rejected_reasons", "SELECT path, reason, count(*) AS n FROM (SELECT 'open' AS path, event_type AS reason FROM events WHERE value < 20 UNION ALL SELECT 'close' AS path, event_type AS reason FROM events WHERE value > 80) GROUP BY 1, 2")
+@query("A21_rejected_reasons", f"SELECT scenario, path, reason, count(*) AS n FROM ({RUNS_SQL}) WHERE kind = 'reject' GROUP BY 1, 2, 3")
 def _(s, d):
-    e = table(s, d, "events")
-    a = e.where("value < 20").select(F.lit("open").alias("path"), F.col("event_type").alias("reason"))
-    return a.unionByName(e.where("value > 80").select(F.lit("close").alias("path"), F.col("event_type").alias("reason"))).groupBy("path", "reason").agg(F.count("*").alias("n"))
+    own = event_runs(s, d)
+    return rs.rejected(own.where("path = 'open'"), own.where("path = 'close'"))
 
 
-@query("A22_sharpe_difference", f"WITH {PNL}, s AS (SELECT scenario, sqrt(252) * avg(pnl) / stddev_samp(pnl) AS v FROM (SELECT date, scenario, pnl + 5 AS pnl FROM pnl) GROUP BY 1) SELECT round(max(v) - min(v), 6) AS gap, (max(v) - min(v)) / max(abs(v)) < 0.30 AS passed FROM s")
+@query("A22_sharpe_difference", f"WITH {PNL}, s AS ({PRICED.format(cost='0.0')}), e AS (SELECT min(scenario) AS one, max(scenario) AS other FROM s), t AS (SELECT (SELECT sharpe FROM s, e WHERE scenario = one) AS one, (SELECT sharpe FROM s, e WHERE scenario = other) AS other) SELECT round(one, 6) AS one, round(other, 6) AS other, round(abs(one - other) / greatest(abs(one), abs(other)), 6) AS gap, abs(one - other) / greatest(abs(one), abs(other)) < 0.30 AS passed FROM t")
 def _(s, d):
-    v = pnl(s, d).withColumn("pnl", F.col("pnl") + 5).groupBy("scenario").agg(st.plain_sharpe("pnl").alias("v"))
-    gap = F.max("v") - F.min("v")
-    return v.agg(F.round(gap, 6).alias("gap"), (gap / F.max(F.abs("v")) < 0.30).alias("passed"))
+    summary = priced_summary(s, d, 0.0)
+    one, other = summary.agg(F.min("scenario"), F.max("scenario")).first()
+    return rounded(rs.sharpe_gap(summary, one, other), "one", "other", "gap")
 
 
 # windows
@@ -926,9 +945,9 @@ def _(s, d):
     return rounded(st.max_drawdown(pnl(s, d), ["scenario"], 10000.0), "max_drawdown", places=8)
 
 
-@query("Q03_Q04_resampling")
+@query("Q03_Q04_resampling", f"WITH {PNL}, {st.resampled_sql('pnl', 'scenario')}")
 def _(s, d):
-    return st.resampled(pnl(s, d), ["scenario"])
+    return rounded(st.resampled(pnl(s, d), ["scenario"]), "ci_low", "ci_high", "observed", "p_value")
 
 
 # fitted and stateful operators: checked by tests on known cases
