@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import csv
 import io
+import struct
 import time
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 from pathlib import Path
 
 import pandas as pd
@@ -108,25 +111,89 @@ def parse(spark: SparkSession, path: str) -> DataFrame:
     return typed(fields.where(F.coalesce(F.trim("f0") != title, F.lit(True))), names)
 
 
+MEMBERS = "archive string, member string, method int, crc long, size long, packed binary"
+#: Bytes of a member that are inflated at once, and the rows that leave together.
+CHUNK, ROWS = 1 << 20, 10_000
+
+
+def members_of(content: bytes) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(name, method, checksum, size, start, packed size) of an archive's CSV files, from its central directory and their local headers; nothing is inflated."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for info in sorted(z.infolist(), key=lambda i: i.filename):
+            if info.filename.lower().endswith(".csv"):
+                if info.flag_bits & 1 or info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+                    raise ValueError(f"{info.filename}: encrypted, or packed in another way")
+                name, extra = struct.unpack("<HH", content[info.header_offset + 26 : info.header_offset + 30])
+                yield info.filename, info.compress_type, info.CRC, info.file_size, info.header_offset + 30 + name + extra, info.compress_size
+
+
+class Inflated(io.RawIOBase):
+    """A member's bytes, inflated as they are read; its size and checksum are held against the directory at the end."""
+
+    def __init__(self, member: str, method: int, crc: int, size: int, packed: bytes):
+        self.member, self.crc, self.size, self.packed = member, crc, size, packed
+        self.inflate = zlib.decompressobj(-15) if method == zipfile.ZIP_DEFLATED else None
+        self.at = self.told = self.sum = 0
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, to) -> int:
+        out = b""
+        while not out:
+            if self.inflate is None:
+                out = self.packed[self.at : self.at + min(len(to), CHUNK)]
+                self.at += len(out)
+            else:
+                part = self.inflate.unconsumed_tail or self.packed[self.at : self.at + CHUNK]
+                self.at += 0 if self.inflate.unconsumed_tail else len(part)
+                out = self.inflate.decompress(part, len(to)) if not self.inflate.eof else b""
+                if not part and not out:
+                    break
+            if not out and (self.inflate is None or self.inflate.eof):
+                break
+        self.told, self.sum = self.told + len(out), zlib.crc32(out, self.sum)
+        if not out and (self.told != self.size or self.sum != self.crc):
+            raise ValueError(f"{self.member}: damaged")
+        to[: len(out)] = out
+        return len(out)
+
+
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each CSV file of archives, still packed, each in a partition of its own.
+
+    A first pass reads the directories only. The second slices the archives by the members' byte ranges and deals these out, so
+    what inflating and parsing cost is spread over as many tasks as there are members, whatever archive they are in.
+    """
+    archives = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def slices(batches: Iterator[pd.DataFrame], packed: bool) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for archive, content in zip(batch["path"], batch["content"], strict=True):
+                for name, method, crc, size, start, length in members_of(content):
+                    yield pd.DataFrame({"archive": [archive], "member": [name], "method": [method], "crc": [crc], "size": [size], "packed": [content[start : start + length] if packed else None]})
+
+    n = archives.mapInPandas(partial(slices, packed=False), MEMBERS).count()
+    return archives.mapInPandas(partial(slices, packed=True), MEMBERS).repartition(max(1, n))
+
+
 def parse_zip(spark: SparkSession, path: str) -> DataFrame:
-    """Raw rows of zipped files of one layout. An archive is read in one task; its lines leave in batches."""
-    archives = spark.read.format("binaryFile").load(path).select("content")
+    """Raw rows of zipped files of one layout. Each member is a task; its lines leave in batches."""
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f"f{i}" for i in range(WIDTH)]
         for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in sorted(n for n in z.namelist() if n.lower().endswith(".csv")):
-                        rows: list[list] = []
-                        for row in csv.reader(io.TextIOWrapper(z.open(name), "latin-1", newline="")):
-                            rows.append((row + [None] * WIDTH)[:WIDTH])
-                            if len(rows) >= 10_000:
-                                yield pd.DataFrame(rows, columns=[f"f{i}" for i in range(WIDTH)])
-                                rows = []
-                        if rows:
-                            yield pd.DataFrame(rows, columns=[f"f{i}" for i in range(WIDTH)])
-
-    fields = archives.mapInPandas(lines, ", ".join(f"f{i} string" for i in range(WIDTH)))
+            for r in batch.itertuples(index=False):
+                rows: list[list] = []
+                for row in csv.reader(io.TextIOWrapper(io.BufferedReader(Inflated(r.member, r.method, r.crc, r.size, r.packed)), "latin-1", newline="")):
+                    rows.append((row + [None] * WIDTH)[:WIDTH])
+                    if len(rows) >= ROWS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+    fields = zip_members(spark, path).mapInPandas(lines, ", ".join(f"f{i} string" for i in range(WIDTH)))
     title = as_read(next(iter(COLUMNS)))
     headers = fields.where(F.trim("f0") == title).distinct().limit(2).collect()
     if len(headers) != 1:
@@ -134,10 +201,20 @@ def parse_zip(spark: SparkSession, path: str) -> DataFrame:
     return typed(fields.where(F.coalesce(F.trim("f0") != title, F.lit(True))), version_of(decoded(list(headers[0])))[1])
 
 
-def strategy_view(raw: DataFrame, holidays: DataFrame | None = None, contract: str = "TXO") -> DataFrame:
-    """Monthly options of the regular session, ten columns. Expiry is the contract date, or the third Wednesday moved past holidays."""
+def strategy_view(raw: DataFrame, holidays: DataFrame | None = None, contract: str = "TXO", *, strict: bool = False) -> DataFrame:
+    """Monthly options of the regular session, ten columns. Expiry is the contract date, or the third Wednesday moved past holidays.
+
+    strict: raw rows without any of the contract, or without any of its monthly regular options, are refused; this runs a job.
+    """
     month = F.trim("contract_month_week")
-    own = raw.where((F.col("contract") == contract) & (F.col("trading_session") == "regular") & month.rlike(r"^\d{6}$") & F.col("strike").isNotNull())
+    is_own = F.col("contract") == contract
+    monthly = (F.col("trading_session") == "regular") & month.rlike(r"^\d{6}$") & F.col("strike").isNotNull()
+    own = raw.where(is_own & monthly)
+    if strict:
+        counted = raw.agg(F.count("*").alias("n"), F.count_if(is_own).alias("n_own"), F.count_if(is_own & monthly).alias("n_monthly")).first()
+        for n, what in zip(counted, ("no rows", f"no rows of {contract}", f"no monthly regular rows of {contract}"), strict=True):
+            if not n:
+                raise ValueError(what)
     if "contract_date" in raw.columns:
         own = own.withColumn("expiry", F.col("contract_date"))
     else:

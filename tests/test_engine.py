@@ -188,6 +188,30 @@ def test_bulletins(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "y.zip", "w") as z:
         z.write(tmp_path / "c.csv", "2024_opt_01.csv")
     assert bulletin.parse_zip(spark, str(tmp_path / "y.zip")).exceptAll(bulletin.parse(spark, str(tmp_path / "c.csv"))).count() == 0
+    # several archives: a task for each member, stored or deflated, and a damaged one is refused
+    for name, how, months in (("p", zipfile.ZIP_DEFLATED, 3), ("q", zipfile.ZIP_STORED, 2)):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", how) as z:
+            for m in range(months):
+                z.writestr(f"2024_opt_{m:02d}.CSV", ((tmp_path / "c.csv").read_bytes() + b"\r\n") * (1 + 3000 * m))
+            z.writestr("readme.txt", "no")
+    both = str(tmp_path / "[pq].zip")
+    packed = bulletin.zip_members(spark, both)
+    assert packed.rdd.getNumPartitions() == packed.count() == 5
+    assert bulletin.parse_zip(spark, both).count() == 5 * (1 + 3001 + 6001 + 1 + 3001)
+    assert bulletin.parse_zip(spark, both).distinct().exceptAll(bulletin.parse(spark, str(tmp_path / "c.csv"))).count() == 0
+    raw = bytearray((tmp_path / "q.zip").read_bytes())
+    raw[200] ^= 1
+    (tmp_path / "bad.zip").write_bytes(raw)
+    with pytest.raises(Exception, match="damaged"):
+        bulletin.parse_zip(spark, str(tmp_path / "bad.zip")).count()
+    whole = bulletin.parse(spark, str(tmp_path / "c.csv"))
+    assert bulletin.strategy_view(whole, strict=True).count() == 2
+    for part, what in (("false", "no rows"), ("contract = 'CAO'", "no rows of TXO"), ("trading_session = 'after_hours'", "no monthly regular rows of TXO")):
+        with pytest.raises(ValueError, match=what):
+            bulletin.strategy_view(whole.where(part), strict=True)
+    (tmp_path / "spot.csv").write_text("Date,open,close\n2024-01-02,1,17000.5\n2024-01-03,1,\n2024-01-04,1,17010\n")
+    assert [r["underlying"] for r in bulletin.spot(spark, str(tmp_path / "spot.csv")).orderBy("date").collect()] == [17000.5, None, 17010.0]
+    assert bulletin.spot(spark, str(tmp_path / "spot.csv"), "2024-01-03", "2024-01-04").count() == 2
     with pytest.raises(ValueError):
         bulletin.version_of([*HEADER, "別的"])
     with pytest.raises(ValueError):
