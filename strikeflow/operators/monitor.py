@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from strikeflow.constants import COVERAGE_MINIMUM
 from strikeflow.operators.quantiles import quantiles
 
+GREEKS = ("delta", "gamma", "vega", "theta")
+
 
 def coverage(chain: DataFrame, least: float = COVERAGE_MINIMUM) -> DataFrame:
     """One row: how many quotes lack a side and a model price, how many can't be marked at all, and whether model prices cover enough."""
@@ -59,12 +61,15 @@ def stop_loss(unrealised: Column, entry_credit: Column, multiple: float, multipl
 
 
 def stress(chain: DataFrame, condors: DataFrame, scenarios: DataFrame, multiplier: int = 50, stop_multiple: float = 2.0) -> DataFrame:
-    """(date, scenario, pnl, stopped): what each date's condor makes under each shock."""
+    """(date, scenario, pnl, delta_change, gamma_change, vega_change, theta_change, credit, stopped): what each date's condor makes under each shock, how far its Greeks move (per unit and per year), and whether its stop is hit."""
+    from strikeflow.functions import bsm
     from strikeflow.operators import chain as ops
 
     names = {"short_call": -1, "long_call": 1, "short_put": -1, "long_put": 1}
     legs = F.array(*(F.struct(F.col(n)["expiry"].alias("expiry"), F.col(n)["strike"].alias("strike"), F.col(n)["option_type"].alias("option_type"), F.lit(q).alias("qty")) for n, q in names.items()))
     own = condors.select("date", "settle_credit", F.explode(legs).alias("l")).select("date", "settle_credit", "l.*").join(chain, ["date", "expiry", "strike", "option_type"])
-    shocked = ops.shock(own.withColumn("entry", F.col("settle")), scenarios)
-    out = shocked.groupBy("date", "scenario").agg(F.sum(F.col("qty") * (F.col("settle") - F.col("entry")) * multiplier).alias("pnl"), F.first("settle_credit").alias("credit"))
+    own = bsm.greeks(own).withColumnsRenamed({g: f"base_{g}" for g in GREEKS}).drop("rho")
+    shocked = bsm.greeks(ops.shock(own.withColumn("entry", F.col("settle")), scenarios))
+    change = lambda g: (F.sum(F.col("qty") * (F.col(g) - F.col(f"base_{g}"))) * multiplier).alias(f"{g}_change")
+    out = shocked.groupBy("date", "scenario").agg(F.sum(F.col("qty") * (F.col("settle") - F.col("entry")) * multiplier).alias("pnl"), *(change(g) for g in GREEKS), F.first("settle_credit").alias("credit"))
     return out.withColumn("stopped", stop_loss(F.col("pnl"), F.col("credit"), stop_multiple, multiplier))

@@ -878,15 +878,22 @@ def _(s, d):
     return c.select("date", risk_problem(F.col("max_defined_risk"), max_loss=30000.0, at_risk=F.lit(10000.0), max_at_risk=35000.0, n_open=day % 4, max_open=3, pnl=(day - 15) * 20000.0, loss_cap=200000.0).alias("problem"))
 
 
+GREEK_SQL = ", ".join(f"{f} AS {n}" for n, f in {"delta": x.delta("t", x.num(DIVIDEND), "option_type", "d1"), "gamma": x.gamma("underlying", "t", x.num(DIVIDEND), "iv", "d1"), "vega": x.vega("underlying", "t", x.num(DIVIDEND), "d1"), "theta": x.theta("underlying", "strike", "t", RISK_FREE, x.num(DIVIDEND), "iv", "option_type", "d1", "d2")}.items())
+
+
 @query("K01_stress_pnl", CH + legs_sql(CONDOR_LEGS, 23, 37) + f""", l AS (SELECT date, expiry, strike, option_type, dte, underlying, iv, settle, -1 AS qty FROM short_call UNION ALL SELECT date, expiry, strike, option_type, dte, underlying, iv, settle, 1 FROM long_call UNION ALL SELECT date, expiry, strike, option_type, dte, underlying, iv, settle, -1 FROM short_put UNION ALL SELECT date, expiry, strike, option_type, dte, underlying, iv, settle, 1 FROM long_put),
- full_days AS (SELECT date FROM l GROUP BY 1 HAVING count(*) = 4), sc AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {v}::DOUBLE, {u}::DOUBLE)" for n, v, u in SHOCKS)}) v(scenario, vs, us)),
- b AS (SELECT l.date, expiry, strike, option_type, dte, settle, qty, scenario, underlying * (1 + us) AS underlying, greatest(iv + vs, 0.01) AS iv FROM l JOIN full_days USING (date), sc), {priced_sql('b')}
- SELECT date, scenario, round(sum(qty * (greatest(price, 0.01) - settle) * 50), 2) AS pnl FROM p GROUP BY 1, 2""")
+ full_days AS (SELECT date, sum(-qty * settle) AS credit FROM l GROUP BY 1 HAVING count(*) = 4), sc AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {v}::DOUBLE, {u}::DOUBLE)" for n, v, u in SHOCKS)}) v(scenario, vs, us)),
+ b AS (SELECT l.date, expiry, strike, option_type, dte, settle, qty, credit, scenario, underlying * (1 + us) AS underlying, greatest(iv + vs, 0.01) AS iv FROM l JOIN full_days USING (date), sc), {priced_sql('b')}, {priced_sql('l', out='o')},
+ g AS (SELECT *, {GREEK_SQL} FROM p), h AS (SELECT *, {GREEK_SQL} FROM o),
+ t AS (SELECT g.date, g.scenario, any_value(g.credit) AS credit, sum(g.qty * (greatest(g.price, 0.01) - g.settle) * 50) AS pnl, {', '.join(f"sum(g.qty * (g.{x} - h.{x})) * 50 AS {x}_change" for x in ('delta', 'gamma', 'vega', 'theta'))}
+   FROM g JOIN h ON g.date = h.date AND g.expiry = h.expiry AND g.strike = h.strike AND g.option_type = h.option_type AND g.qty = h.qty GROUP BY 1, 2)
+ SELECT date, scenario, round(pnl, 2) AS pnl, round(delta_change, 5) AS delta_change, round(gamma_change, 6) AS gamma_change, round(vega_change, 2) AS vega_change, round(theta_change, 2) AS theta_change, pnl <= -credit * 2 * 50 AS stopped FROM t""")
 def _(s, d):
     from strikeflow.operators.monitor import stress
 
     own = chain(s, d)
-    return rounded(stress(own, ops.iron_condors(own, 0.16, 0.08, 30), s.createDataFrame(SHOCKS, "scenario string, vol_shift double, spot_shift double")).select("date", "scenario", "pnl"), "pnl", places=2)
+    out = stress(own, ops.iron_condors(own, 0.16, 0.08, 30), s.createDataFrame(SHOCKS, "scenario string, vol_shift double, spot_shift double")).drop("credit")
+    return rounded(rounded(rounded(out, "pnl", "vega_change", "theta_change", places=2), "delta_change", places=5), "gamma_change")
 
 
 RATIOS = ", f AS (SELECT date, min(expiry) AS expiry FROM chain WHERE dte BETWEEN 25 AND 35 GROUP BY 1), fc AS (SELECT c.* FROM chain c JOIN f ON c.date = f.date AND c.expiry = f.expiry), sp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(delta - (-0.16)), strike) AS rn FROM fc WHERE option_type = 'put') WHERE rn = 1), wp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(delta - (-0.08)), strike) AS rn FROM fc WHERE option_type = 'put') WHERE rn = 1), sc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(delta - (0.16)), strike) AS rn FROM fc WHERE option_type = 'call') WHERE rn = 1), wc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(delta - (0.08)), strike) AS rn FROM fc WHERE option_type = 'call') WHERE rn = 1), cr AS (SELECT sp.date, sp.settle - wp.settle + sc.settle - wc.settle AS credit FROM sp JOIN wp ON sp.date = wp.date JOIN sc ON sp.date = sc.date JOIN wc ON sp.date = wc.date), atm AS (SELECT date, strike FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(strike - underlying), strike) AS rn FROM fc) WHERE rn = 1), nr AS (SELECT fc.date, max(CASE WHEN option_type = 'call' THEN settle END) AS call, max(CASE WHEN option_type = 'put' THEN settle END) AS put FROM fc JOIN atm ON fc.date = atm.date AND fc.strike = atm.strike GROUP BY 1), l AS (SELECT date, min(expiry) AS expiry FROM chain WHERE dte BETWEEN 55 AND 65 AND option_type = 'call' GROUP BY 1), bk AS (SELECT c.date, c.settle AS back FROM chain c JOIN l ON c.date = l.date AND c.expiry = l.expiry JOIN atm ON c.date = atm.date AND c.strike = atm.strike WHERE c.option_type = 'call'), ra AS (SELECT cr.date, credit, CASE WHEN call + put > 0 THEN (call + put) / credit END AS straddle_ratio, CASE WHEN back - call > 0 THEN (back - call) / credit END AS calendar_ratio FROM cr JOIN nr ON cr.date = nr.date LEFT JOIN bk ON cr.date = bk.date WHERE credit > 0)"
