@@ -6,7 +6,10 @@ most, which holds for all but about one in 10,000 pairs at this similarity, and
 Components are what links connect. No link is lost: in any common order of shingles, two such sets share one of the
 first size - ceil(size * similarity) + 1 of either (prefix filter), so sets that
 share such a key meet in a bucket, where their fingerprints are compared, in large buckets bit-sliced
-(see simhash), and pairs within the radius are verified on whole sets.
+(see simhash), and pairs within the radius are verified on whole sets. Before that, pairs of a large bucket are held
+against the sets' parities: a set's shingles are counted modulo two in bins, SPARSE bins a shingle, and two sets differ in
+at least as many shingles as their parities differ in bins. So this filter loses no pair, and of the sets of a template that
+are alike, but not similar, hardly a pair is left to verify.
 The order is by hash, but shingles that are frequent come last, so that a passage in many texts
 makes few candidates.
 
@@ -40,6 +43,8 @@ SIMILAR = (4, 5)
 RADIUS = 20
 #: Sets of a bucket up to which all pairs are taken at once, rows of a block of distances, and sets from which on they are stored as bit planes.
 FEW, BLOCK, PLANES = 16, 256, 1024
+#: Bins of a set's parities for each of its shingles, rounded up to a power of two, and the fewest and most of a set.
+SPARSE, BINS = 2.5, (512, 1 << 14)
 #: Keys of more than HOT sets come last in the order, the MOST most frequent at most; any choice gives the same links.
 HOT, MOST = 64, 1 << 16
 
@@ -64,6 +69,45 @@ def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def parities(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set a bit for each bin, 1 if an odd number of its shingles is in it."""
+    size = np.diff(bounds)
+    n = np.clip(1 << np.ceil(np.log2(np.maximum(SPARSE * size, 1))).astype(np.int64), *BINS)
+    begin = np.cumsum(n) - n
+    at = np.repeat(begin, size) + (hashes & np.repeat(n - 1, size).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=int(n.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [odd[b // 8 : (b + k) // 8] for b, k in zip(begin.tolist(), n.tolist(), strict=True)]
+
+
+class Parities:
+    """Those of the sets of a bucket, which can be halved in length to meet those of smaller sets."""
+
+    def __init__(self, odd: list[bytes], size: np.ndarray):
+        self.size, self.length = size, np.array([len(x) // 8 for x in odd])
+        self.rows: dict[int, np.ndarray] = {}
+        for n in np.unique(self.length).tolist():
+            own = np.zeros((len(odd), n), np.uint64)
+            for k in np.unique(self.length[self.length >= n]).tolist():
+                which = np.flatnonzero(self.length == k)
+                whole = np.frombuffer(b"".join([odd[i] for i in which]), np.uint64).reshape(len(which), k // n, n)
+                own[which] = np.bitwise_xor.reduce(whole, axis=1)
+            self.rows[n] = own
+
+    def may_be_similar(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether sets i and j differ in few enough bins to be similar."""
+        top, of = SIMILAR
+        out = np.zeros(len(i), bool)
+        length = np.minimum(self.length[i], self.length[j])
+        for n, rows in self.rows.items():
+            at = np.flatnonzero(length == n)
+            for k in range(0, len(at), 1 << 14):
+                a, b = i[at[k : k + (1 << 14)]], j[at[k : k + (1 << 14)]]
+                apart = np.bitwise_count(rows[a] ^ rows[b]).sum(1, dtype=np.int64)
+                # at this similarity sets of sizes s and t differ in (s + t) * (of - top) / (of + top) shingles at most
+                out[at[k : k + (1 << 14)]] = apart * (of + top) <= (of - top) * (self.size[a] + self.size[b])
+        return out
+
+
 def prefix(hashes: np.ndarray, bounds: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The prefix keys of sets, the set of each, and whether it is one of late (sorted), which come last."""
     top, of = SIMILAR
@@ -101,11 +145,11 @@ def unseen(nodes: np.ndarray, seen: set) -> np.ndarray:
     return out
 
 
-ROWS = "doc_id long, text_key long, node long, fp long, size long, keys array<long>, late array<long>"
+ROWS = "doc_id long, text_key long, node long, fp long, size long, keys array<long>, late array<long>, odd binary"
 
 
 def set_rows(late: np.ndarray, spark):
-    """Hashes of each text and of its set, the set's fingerprint and size, and for the first of equal sets in a partition its prefix."""
+    """Hashes of each text and of its set, the set's fingerprint and size, and for the first of equal sets in a partition its prefix and parities."""
     sent = spark.sparkContext.broadcast(late)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +159,11 @@ def set_rows(late: np.ndarray, spark):
                 hashes, bounds = shingle_sets(rows.column("text"))
                 node, n = digests(hashes, bounds), rows.num_rows
                 keys, owner, last = prefix(hashes, bounds, sent.value)
-                new = unseen(node, seen)[owner]
+                first = unseen(node, seen)
+                new = first[owner]
                 own = [lists(keys[m], np.bincount(owner[m], minlength=n)) for m in (new & ~last, new & last)]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), pa.array(node), pa.array(simhash.majority(hashes, bounds).view(np.int64)), pa.array(np.diff(bounds)), *own], names=["doc_id", "text_key", "node", "fp", "size", "keys", "late"])
+                own.append(pa.array([x if f else None for x, f in zip(parities(hashes, bounds), first.tolist(), strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), pa.array(node), pa.array(simhash.majority(hashes, bounds).view(np.int64)), pa.array(np.diff(bounds)), *own], names=["doc_id", "text_key", "node", "fp", "size", "keys", "late", "odd"])
 
     return run
 
@@ -156,8 +202,8 @@ def nearest(node: np.ndarray, fp: np.ndarray, size: np.ndarray) -> list[tuple[np
     return [(node[near], node[best[near]]), (node[star], np.full(len(star), node[middle]))]
 
 
-def bucket_pairs(node: np.ndarray, fp: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of a large bucket, all pairs within the radius that differ in label. Sets of the same side other than 2 aren't paired.
+def bucket_pairs(node: np.ndarray, fp: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.ndarray, odd: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of a large bucket, all pairs within the radius, and of parities near enough, that differ in label. Sets of the same side other than 2 aren't paired.
 
     Sets of the most frequent label needn't be compared with each other, so only the others are held against the bit planes.
     """
@@ -165,12 +211,15 @@ def bucket_pairs(node: np.ndarray, fp: np.ndarray, size: np.ndarray, label: np.n
     kinds, index, counts = np.unique(label, return_inverse=True, return_counts=True)
     last = index == counts.argmax()
     order = np.argsort(last, kind="stable")  # the most frequent label comes last
-    node, fp, size, label, side = (x[order] for x in (node, fp, size, label, side))
+    node, fp, size, label, side, odd = (x[order] for x in (node, fp, size, label, side, odd))
+    told = Parities(odd.tolist(), size)
     queries = len(fp) - int(last.sum())
 
     def put(i: np.ndarray, j: np.ndarray) -> None:
         ok = sized(size[j], size[i]) & (label[j] != label[i]) & ((side[j] != side[i]) | (side[i] == 2))
         if ok.any():
+            i, j = i[ok], j[ok]
+            ok = told.may_be_similar(i, j)
             out.append((node[j[ok]], node[i[ok]]))
 
     if len(fp) <= PLANES:  # too few for bit planes to pay
@@ -187,15 +236,15 @@ def bucket_pairs(node: np.ndarray, fp: np.ndarray, size: np.ndarray, label: np.n
 
 
 def compared(rows: DataFrame, labelled: bool) -> DataFrame:
-    """(u, v) of the buckets of rows (key, part, node, fp, size, label, side); without labels, also (key, null) for a bucket of more than FEW sets."""
-    names = ["key", "part", "node", "fp", "size", "label", "side"]
+    """(u, v) of the buckets of rows (key, part, node, fp, size; labelled, also label, side, odd); without labels, also (key, null) for a bucket of more than FEW sets."""
+    names = ["key", "part", "node", "fp", "size", *(["label", "side", "odd"] if labelled else [])]
 
     def told(cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(np.concatenate([[0], (cols["key"][1:] != cols["key"][:-1]) | (cols["part"][1:] != cols["part"][:-1])]))
         # a set that several partitions hold counts once
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (cols["node"][1:] != cols["node"][:-1])])
         group, cols = group[new], {k: v[new] for k, v in cols.items()}
-        node, fp, size, label, side = cols["node"], cols["fp"].view(np.uint64), cols["size"], cols["label"], cols["side"]
+        node, fp, size = cols["node"], cols["fp"].view(np.uint64), cols["size"]
         start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         n = np.diff(np.append(start, len(group)))
         little = np.repeat(n, n) <= FEW
@@ -207,12 +256,12 @@ def compared(rows: DataFrame, labelled: bool) -> DataFrame:
             j = i + d
             ok = (np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS) & sized(size[i], size[j])
             if labelled:
-                ok &= (label[i] != label[j]) & ((side[i] != side[j]) | (side[i] == 2))
+                ok &= (cols["label"][i] != cols["label"][j]) & ((cols["side"][i] != cols["side"][j]) | (cols["side"][i] == 2))
             pairs.append((node[i[ok]], node[j[ok]]))
         large = np.flatnonzero(n > FEW)
         for k in large.tolist():
             at = slice(start[k], start[k] + n[k])
-            pairs += bucket_pairs(node[at], fp[at], size[at], label[at], side[at]) if labelled else nearest(node[at], fp[at], size[at])
+            pairs += bucket_pairs(node[at], fp[at], size[at], *(cols[c][at] for c in ("label", "side", "odd"))) if labelled else nearest(node[at], fp[at], size[at])
         u, v = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in (0, 1))
         # the same pair meets under many keys
         u, v = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1) if len(u) else (u, v)
@@ -225,7 +274,7 @@ def compared(rows: DataFrame, labelled: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = {c: batch.column(c).to_numpy() for c in names}
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             # a bucket may go on in the next batch
             other = np.flatnonzero((new["key"] != new["key"][-1]) | (new["part"] != new["part"][-1]))
             cut = int(other[-1]) + 1 if len(other) else 0
@@ -274,8 +323,7 @@ def components(docs: DataFrame, *, hot: int = HOT, bucket: int = simhash.BUCKET)
     often = often.where(F.col("digits") >= least).select("key").toArrow()
     late = np.sort(often.column("key").to_numpy().astype(np.int64).view(np.uint64))
     rows = shared.written(docs.mapInArrow(set_rows(late, spark), ROWS))
-    plain = [F.lit(0).cast("long").alias(c) for c in ("label", "side")]
-    keyed = rows.select("node", "fp", "size", F.explode("keys").alias("key"), F.lit(0).cast("long").alias("part"), *plain)
+    keyed = rows.select("node", "fp", "size", F.explode("keys").alias("key"), F.lit(0).cast("long").alias("part"))
     # frequent keys that are in a prefix even so: MOST at most
     crowd = rows.select("node", "fp", "size", F.explode("late").alias("key")).distinct()
     parts = F.ceil(F.col("n") / bucket).cast("long")
@@ -283,7 +331,7 @@ def components(docs: DataFrame, *, hot: int = HOT, bucket: int = simhash.BUCKET)
     crowd = crowd.join(F.broadcast(counts), "key").checkpoint()
     chunk = lambda seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts"))
     # two ways to deal a key out connect its buckets with each other
-    twice = crowd.select("node", "fp", "size", "key", F.explode(F.when(F.col("parts") > 1, F.array(chunk(0), chunk(1) + F.col("parts"))).otherwise(F.array(F.lit(0).cast("long")))).alias("part"), *plain)
+    twice = crowd.select("node", "fp", "size", "key", F.explode(F.when(F.col("parts") > 1, F.array(chunk(0), chunk(1) + F.col("parts"))).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
     met = compared(keyed.unionByName(twice), False).distinct().checkpoint()
     pairs, large = met.where("v is not null"), met.where("v is null").select(F.col("u").alias("key"))
     edges = verified(pairs, sets_of(docs, pairs)).checkpoint()
@@ -292,11 +340,12 @@ def components(docs: DataFrame, *, hot: int = HOT, bucket: int = simhash.BUCKET)
         again = crowd.select("node", "fp", "size", "key", "parts").unionByName(keyed.join(shared.small(large), "key", "left_semi").select("node", "fp", "size", "key", F.lit(1).cast("long").alias("parts")).distinct())
         again = again.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).checkpoint()
         mixed = again.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first < last").select("key").checkpoint()
-        again = again.join(shared.small(mixed), "key", "left_semi")
+        odd = rows.where("odd is not null").groupBy("node").agg(F.any_value("odd").alias("odd"))
+        again = again.join(shared.small(mixed), "key", "left_semi").join(odd, "node")
         # part (a, b) of a key holds its chunks a and b, as sides 0 and 1; part (a, a) chunk a alone, as side 2
         own = chunk(0)
         places = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.struct((F.least(own, x) * F.col("parts") + F.greatest(own, x)).alias("part"), F.when(x == own, 2).otherwise((own > x).cast("int")).cast("long").alias("side")))
-        more = compared(again.select("node", "fp", "size", "key", "label", F.explode(places).alias("p")).select("node", "fp", "size", "key", "label", "p.part", "p.side"), True).distinct()
+        more = compared(again.select("node", "fp", "size", "key", "label", "odd", F.explode(places).alias("p")).select("node", "fp", "size", "key", "label", "odd", "p.part", "p.side"), True).distinct()
         more = more.join(pairs, ["u", "v"], "left_anti").checkpoint()
         edges = edges.unionAll(verified(more, sets_of(docs, more)).checkpoint())
     labels = simhash.components(edges)

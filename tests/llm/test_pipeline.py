@@ -30,7 +30,7 @@ def test_entry_lists_every_operator():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= names
 
 
@@ -89,6 +89,68 @@ def test_near_stage_matches_brute_force(spark):
     assert near.components(docs.limit(0)).count() == 0
 
 
+def test_parities_lose_no_similar_pair():
+    import numpy as np
+    from strikeflow.llm import near
+
+    rng = np.random.default_rng(3)
+    sets = []
+    for size in (0, 1, 7, 200, 210, 1000, 1200, 9000):
+        base = rng.integers(0, 2**63, size, dtype=np.uint64)
+        for share in (1.0, 0.9, 0.8, 0.5):
+            sets.append(np.unique(np.concatenate([base[: int(size * share)], rng.integers(0, 2**63, int(size * (1 - share) / 3), dtype=np.uint64)])))
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    odd = near.parities(np.concatenate(sets), bounds)
+    told = near.Parities(odd, np.diff(bounds))
+    i, j = np.triu_indices(len(sets), 1)
+    may = told.may_be_similar(i, j)
+    similar = np.array([5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    assert may[similar].all() and similar.sum() > 20 and may[~similar].mean() < 0.2
+
+
+def test_sets_of_a_template_are_not_paired(spark, monkeypatch):
+    import random
+
+    from strikeflow.llm import near
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    template, seen = [word() for _ in range(150)], []
+    count = near.verified
+    monkeypatch.setattr(near, "verified", lambda pairs, sets: seen.append(pairs.count()) or count(pairs, sets))
+    taken = []
+    for n in (250, 500):
+        docs = spark.createDataFrame([(k, " ".join(template + [word() for _ in range(60)])) for k in range(n)], "doc_id long, text string")
+        seen.clear()
+        assert near.components(docs).select("component").distinct().count() == n
+        taken.append(sum(seen))
+    assert taken[1] < 3 * taken[0]
+
+
+def test_near_stage_finds_pairs_at_the_bound(spark):
+    import random
+
+    from strikeflow.llm import near
+
+    # 100 shingles, 88 or more of them left: a similarity from 0.8 on; each pair stands alone
+    rng = random.Random(2)
+    word = lambda: f"{rng.randrange(10**9)}"
+    rows, linked = [], []
+    for k in range(400):
+        base = [word() for _ in range(rng.randint(80, 160))]
+        copy, n = list(base), len(base) - 4
+        at = rng.randrange(5, len(base) - 30)
+        for x in range(at, at + max(1, n // 9 - 4)):  # one run of changed words
+            copy[x] = word()
+        if _jaccard(" ".join(base), " ".join(copy)) >= 0.8:
+            linked.append(k)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["component"] for r in near.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[2 * k] == got[2 * k + 1] for k in linked)
+    assert len(linked) > 300 and found >= 0.99 * len(linked)
+    assert len(set(got.values())) == len(rows) - found
+
+
 def test_near_stage_keeps_one_row_of_repeated_ones(spark):
     import corpus_pipeline
 
