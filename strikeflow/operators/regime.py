@@ -108,9 +108,13 @@ def last_state(x: np.ndarray, m: dict) -> np.ndarray:
     return best.argmax(0)
 
 
-def high_vol_today(windows: list[np.ndarray], least: int = HMM_DAYS) -> np.ndarray:
-    """Of each history: whether its last least returns end in the state of higher variance. Closed (False) with too short or patchy a history, too few steps, or a failed fit."""
-    out = np.zeros(len(windows), bool)
+#: What became of a date's fit; all but the first two are closed gates.
+OK, SHORT, UNSTEADY, FAILED = "ok", "short", "unsteady", "failed"
+
+
+def regimes_today(windows: list[np.ndarray], least: int = HMM_DAYS) -> tuple[np.ndarray, np.ndarray]:
+    """Of each history: whether its last least returns end in the state of higher variance, and what became of the fit. Closed (False) with too short or patchy a history (short), too few steps (unsteady), or a fit that isn't finite (failed)."""
+    out, status = np.zeros(len(windows), bool), np.full(len(windows), SHORT, object)
     by_length: dict[int, list[int]] = {}
     kept = {}
     for i, history in enumerate(windows):
@@ -125,24 +129,35 @@ def high_vol_today(windows: list[np.ndarray], least: int = HMM_DAYS) -> np.ndarr
             m, steps = fit_hmm(x)
             state = last_state(x, m)
         whole = np.isfinite(m["var"]).all(1) & np.isfinite(m["move"]).all((1, 2))
+        status[rows] = np.where(whole, np.where(steps >= HMM_LEAST_STEPS, OK, UNSTEADY), FAILED)
         out[rows] = whole & (steps >= HMM_LEAST_STEPS) & (state == m["var"].argmax(1))
-    return out
+    return out, status
 
 
-def hmm_gate(returns: DataFrame, dates: DataFrame | None = None, days: int = HMM_DAYS) -> DataFrame:
-    """Active on dates whose most likely path ends in the state of higher variance. Each date's window is one row; a task fits all rows of a batch together."""
+def high_vol_today(windows: list[np.ndarray], least: int = HMM_DAYS) -> np.ndarray:
+    return regimes_today(windows, least)[0]
+
+
+def hmm_fits(returns: DataFrame, dates: DataFrame | None = None, days: int = HMM_DAYS) -> DataFrame:
+    """(date, gate, active, status): active on dates whose most likely path ends in the state of higher variance. Each date's window is one row; a task fits all rows of a batch together."""
     w = Window.orderBy("date").rowsBetween(-(days - 1), 0)
     # in a structure, so that a missing return keeps its place
     rows = returns.select("date", F.collect_list(F.struct("ret")).over(w)["ret"].alias("history"))
     if dates is not None:
         rows = rows.join(dates.select("date").distinct(), "date", "left_semi")
 
-    @F.pandas_udf("boolean")
-    def active(history: pd.Series) -> pd.Series:
-        return pd.Series(high_vol_today([np.array([np.nan if v is None else v for v in h], float) for h in history], days))
+    @F.pandas_udf("active boolean, status string")
+    def told(history: pd.Series) -> pd.DataFrame:
+        active, status = regimes_today([np.array([np.nan if v is None else v for v in h], float) for h in history], days)
+        return pd.DataFrame({"active": active, "status": status})
 
     spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "date")
-    return spread.select("date", F.lit("hmm").alias("gate"), active("history").alias("active"))
+    return spread.select("date", F.lit("hmm").alias("gate"), told("history").alias("t")).select("date", "gate", "t.active", "t.status")
+
+
+def hmm_gate(returns: DataFrame, dates: DataFrame | None = None, days: int = HMM_DAYS) -> DataFrame:
+    """The gates of hmm_fits alone."""
+    return hmm_fits(returns, dates, days).select("date", "gate", "active")
 
 
 def always(dates: DataFrame) -> DataFrame:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strikeflow.operators import results as rs
 from strikeflow.operators import statistics as st
 from strikeflow.operators.implied_vol import enrich
 from strikeflow.operators.monitor import require_coverage
-from strikeflow.operators.regime import hmm_gate, log_returns, vol_percentile_gate
+from strikeflow.operators.regime import FAILED, OK, UNSTEADY, hmm_fits, log_returns, vol_percentile_gate
 from strikeflow.operators.surface import add_model_price, fit_surface
 from strikeflow.plans import simulation as sim
 from strikeflow.sources import records as store
@@ -27,11 +28,43 @@ class Windows:
     step: int = 63
 
 
-def gates(spot: DataFrame) -> DataFrame:
-    """Both regime gates for all dates of spot (date, underlying)."""
+@dataclass(frozen=True)
+class Scope:
+    """What of a run is done: dates, scenarios by name, with or without costs. A smoke run has short windows, and only it may skip the test of coverage."""
+
+    start: str | None = None
+    end: str | None = None
+    scenarios: tuple[str, ...] | None = None
+    costs: bool = True
+    smoke: bool = False
+    skip_coverage: bool = False
+
+    def __post_init__(self):
+        if self.start and self.end and self.start > self.end:
+            raise ValueError(f"{self.start} is after {self.end}")
+        if self.skip_coverage and not self.smoke:
+            raise ValueError("only a smoke run may skip the test of coverage")
+
+    def dates(self, df: DataFrame, start: bool = True) -> DataFrame:
+        out = df.where(F.col("date") >= F.lit(self.start).cast("date")) if start and self.start else df
+        return out.where(F.col("date") <= F.lit(self.end).cast("date")) if self.end else out
+
+    def todo(self, scenarios: list[sim.Scenario]) -> list[sim.Scenario]:
+        if unknown := {*(self.scenarios or ())} - {s.name for s in scenarios}:
+            raise ValueError(f"no such scenarios: {sorted(unknown)}")
+        own = [s for s in scenarios if self.scenarios is None or s.name in self.scenarios]
+        return own if self.costs else [replace(s, slip_bps=0.0, commission=0.0, tax_bps=0.0) for s in own]
+
+
+#: Windows of a smoke run.
+SMOKE = Windows(63, 21, 21)
+
+
+def gates(spot: DataFrame, status: bool = False) -> DataFrame:
+    """Both regime gates for all dates of spot (date, underlying); status: with what became of the fits."""
     returns = log_returns(spot)
-    columns = ["date", "gate", "active"]
-    return vol_percentile_gate(returns).select(*columns).unionByName(hmm_gate(returns).select(*columns))
+    columns = ["date", "gate", "active", *(["status"] if status else [])]
+    return vol_percentile_gate(returns).withColumn("status", F.lit(OK)).select(*columns).unionByName(hmm_fits(returns).select(*columns))
 
 
 def mark_policy_scenarios(base: sim.Scenario) -> dict[str, tuple[sim.Scenario, bool]]:
@@ -63,22 +96,32 @@ def mark_policies(spark: SparkSession, chain: DataFrame, base: sim.Scenario | No
     return out.withColumns(void).withColumn("status", F.when(raised, "raised").otherwise("completed")).drop("n_failed_folds")
 
 
-def run(spark: SparkSession, view: DataFrame, spot: DataFrame, folder: str, todo: list[sim.Scenario], windows: Windows = Windows(), *, records: str | None = None, n_iter: int = 1000, coverage: float | None = 0.95) -> dict[str, DataFrame]:
+def run(spark: SparkSession, view: DataFrame, spot: DataFrame, folder: str, todo: list[sim.Scenario], windows: Windows = Windows(), *, records: str | None = None, n_iter: int = 1000, coverage: float | None = 0.95, scope: Scope | None = None, progress: Callable[[str, dict], None] | None = None) -> dict[str, DataFrame]:
     """Enriches a view, fits or loads its smiles, prices, simulates all scenarios and judges them. Tables go to folder (see sources.reports.run_tables).
 
     records: a folder of fit records, filled with the dates that it lacks. coverage: the least share of rows
-    with a model price, else the run fails; None doesn't check. The phases' seconds and the rows are in the table meta.
+    with a model price, else the run fails; None doesn't check. The phases' seconds, rows, shares of nulls and warnings are in the table meta; they are
+    observed while a phase's table is written, not counted afterwards. progress(phase, what was observed) is called after each.
     """
     folder, began, meta = folder.rstrip("/"), time.perf_counter(), []
+    scope = scope or Scope()
+    todo, windows, coverage = scope.todo(todo), SMOKE if scope.smoke else windows, None if scope.skip_coverage else coverage
+    view, spot = scope.dates(view), scope.dates(spot, start=False)  # gates look back beyond the first date
 
-    def phase(name: str, df: DataFrame | None, rows: int | None = None) -> DataFrame | None:
+    def phase(name: str, df: DataFrame | None, rows: int | None = None, warning: Column | None = None) -> DataFrame | None:
         nonlocal began
+        told: dict = {"rows": rows, "nulls": {}, "warnings": 0}
         if df is not None:
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
-            df = spark.read.parquet(f"{folder}/{name}")
-            rows = df.count()
-        meta.append((len(meta), name, rows, time.perf_counter() - began))
+            seen = Observation(name)
+            nulls = [F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in df.columns]
+            warned = F.count_if(F.coalesce(warning if warning is not None else F.lit(False), F.lit(False))).alias("warnings")
+            df.observe(seen, F.count(F.lit(1)).alias("rows"), warned, *nulls).write.mode("overwrite").parquet(f"{folder}/{name}")
+            df, found = spark.read.parquet(f"{folder}/{name}"), seen.get
+            told = {"rows": found["rows"], "warnings": found["warnings"], "nulls": {c[5:]: n / found["rows"] for c, n in found.items() if c.startswith("null ") and found["rows"] and n}}
+        meta.append((len(meta), name, told["rows"], time.perf_counter() - began, told["nulls"], told["warnings"]))
         began = time.perf_counter()
+        if progress is not None:
+            progress(name, told)
         return df
 
     enriched = phase("enriched", enrich(view, spot))
@@ -99,7 +142,7 @@ def run(spark: SparkSession, view: DataFrame, spot: DataFrame, folder: str, todo
     chain = phase("chain", add_model_price(enriched, fits))
     if coverage is not None:
         require_coverage(chain, coverage)
-    gate_rows = phase("gates", gates(spot))
+    gate_rows = phase("gates", gates(spot, status=True), warning=F.col("status").isin(UNSTEADY, FAILED))
     folds = phase("windows", sim.fold_windows(chain.select("date"), windows.train, windows.test, windows.step))
     result = phase("result", sim.walk_forward(spark, chain, todo, folds, gate_rows))
     capital = todo[0].capital
@@ -112,6 +155,6 @@ def run(spark: SparkSession, view: DataFrame, spot: DataFrame, folder: str, todo
     judged = summary.join(tested.drop("n_obs"), "scenario", "left").join(rs.scorecard(summary, tested), "scenario", "left").join(rs.hedge_failures(result), "scenario", "left")
     phase("scenarios", judged.join(sim.scenario_table(spark, todo).withColumnRenamed("name", "scenario"), "scenario", "left"))
     phase("meta", None, len(todo))
-    spark.createDataFrame(meta, "step int, phase string, n_rows long, seconds double").write.mode("overwrite").parquet(f"{folder}/meta")
+    spark.createDataFrame(meta, "step int, phase string, n_rows long, seconds double, nulls map<string,double>, n_warnings long").write.mode("overwrite").parquet(f"{folder}/meta")
     names = ("scenarios", "folds", "days", "trades", "rejects", "meta")
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}

@@ -163,13 +163,29 @@ def test_mark_policies(spark):
 def test_whole_run(spark, tmp_path):
     chain = small_chain(spark)
     spot = chain.groupBy("date").agg(F.first("underlying").alias("underlying"))
-    view = chain.select("date", "expiry", "strike", "option_type", "settle", "close", "bid", "ask", "volume", "open_interest")
+    view = chain.select("date", "expiry", "strike", "option_type", "settle", F.when(F.col("strike") != 15000, F.col("close")).alias("close"), "bid", "ask", "volume", "open_interest")
     todo = [v for v in sim.scenarios() if v.gate == "none"]
     out = runs.run(spark, view, spot, str(tmp_path / "run"), todo, runs.Windows(20, 10, 10), records=str(tmp_path / "fits"), n_iter=50)
     assert {r["scenario"] for r in out["scenarios"].collect()} == {"IC_vanilla", "Vertical_vanilla"}
     assert {r["phase"] for r in out["meta"].collect()} >= {"enriched", "chain", "gates", "result", "scenarios"}
     fits = records.load(spark, str(tmp_path / "fits"), "2026-01-05", "2026-12-31")
     assert fits.where("converged").count() > 0
+    meta = {r["phase"]: r for r in out["meta"].collect()}
+    enriched = spark.read.parquet(str(tmp_path / "run" / "enriched"))
+    assert meta["enriched"]["n_rows"] == enriched.count() and meta["days"]["n_rows"] == out["days"].count()
+    shares = enriched.agg(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in enriched.columns)).first().asDict()
+    assert meta["enriched"]["nulls"] == pytest.approx({c: v for c, v in shares.items() if v})
+    gate_rows = spark.read.parquet(str(tmp_path / "run" / "gates"))
+    assert meta["gates"]["n_warnings"] == gate_rows.where("status in ('unsteady', 'failed')").count()
+    told = []
+    scope = runs.Scope(start="2026-01-12", scenarios=("IC_vanilla",), costs=False)
+    small = runs.run(spark, view, spot, str(tmp_path / "small"), todo, runs.Windows(20, 10, 10), n_iter=20, scope=scope, progress=lambda phase, seen: told.append((phase, seen["rows"])))
+    assert [r["scenario"] for r in small["scenarios"].collect()] == ["IC_vanilla"] and told[0] == ("enriched", enriched.where("date >= '2026-01-12'").count())
+    for bad in ({"start": "2026-02-01", "end": "2026-01-01"}, {"skip_coverage": True}):
+        with pytest.raises(ValueError):
+            runs.Scope(**bad)
+    with pytest.raises(ValueError, match="no such scenarios"):
+        runs.Scope(scenarios=("other",)).todo(todo)
     again = runs.run(spark, view, spot, str(tmp_path / "again"), todo, runs.Windows(20, 10, 10), records=str(tmp_path / "fits"), n_iter=50)
     assert again["days"].exceptAll(out["days"]).count() == 0
     reports.write_json(out["scenarios"], str(tmp_path / "s.json"))
