@@ -967,14 +967,32 @@ def _(s, d):
     return fit_surface(chain(s, d))
 
 
-@query("P10_enrich_pipeline")
-def _(s, d):
+YIELDS = """q AS (SELECT date, c, p, -ln((c - p + strike * exp(-0.015 * (expiry - date) / 365.0)) / underlying) / ((expiry - date) / 365.0) AS q FROM atm),
+y AS (SELECT date, round(q, 7) AS q_pit, CASE WHEN q IS NULL THEN 'solve_failed' ELSE 'pcp' END AS q_pit_source, CASE WHEN c IS NULL OR p IS NULL THEN 'missing_quote' WHEN q IS NULL THEN 'pcp_invalid' WHEN q < 0 THEN 'negative_q' WHEN q > 0.15 THEN 'out_of_range' ELSE 'ok' END AS q_pit_audit_flags FROM q)"""
+
+
+def enriched(s, d):
     from strikeflow.operators.implied_vol import enrich
 
     view = chain(s, d).select("date", "expiry", "strike", "option_type", "settle", "close", "bid", "ask", "volume", "open_interest")
     return enrich(view, fixture.spot(s, d))
 
 
+@query("P10_enrich_checked", CH + f", {PAIRS}, {ATM}, {YIELDS} SELECT chain.date, expiry, strike, option_type, dte, round(underlying, 6) AS underlying, q_pit, q_pit_source, q_pit_audit_flags, ask IS NOT NULL AS can_buy, bid IS NOT NULL AS can_sell, CASE WHEN {EASY} THEN {PICKED} END AS iv_source, CASE WHEN {EASY} THEN true END AS iv_found, CASE WHEN {EASY} THEN true END AS delta_found FROM chain LEFT JOIN y ON y.date = chain.date")
+def _(s, d):
+    # the volatility and delta that the quotes were made from must come out again, where the price still tells them
+    true = chain(s, d).select(*KEY, F.col("iv").alias("true_iv"), F.col("delta").alias("true_delta"))
+    own = enriched(s, d).join(true, list(KEY)).withColumn("easy", F.expr(EASY))
+    close = lambda a, b, most: F.when(F.col("easy"), F.coalesce(F.abs(F.col(a) - F.col(b)) < most, F.lit(False)))
+    out = own.select(*KEY, "dte", F.round("underlying", 6).alias("underlying"), F.round("q_pit", 7).alias("q_pit"), "q_pit_source", "q_pit_audit_flags", "can_buy", "can_sell", F.when(F.col("easy"), F.col("iv_source")).alias("iv_source"), close("iv", "true_iv", 1e-3).alias("iv_found"), close("delta", "true_delta", 1e-3).alias("delta_found"))
+    return out
+
+
+@query("P10_enrich_pipeline")
+def _(s, d):
+    return enriched(s, d)
+
+
 @query("G02_hidden_markov_gate")
 def _(s, d):
     from strikeflow.operators.regime import hmm_gate
@@ -982,20 +1000,29 @@ def _(s, d):
     return hmm_gate(wide_returns(s, d))
 
 
-def simulated(s, d, todo=None):
-    """The published windows over all dates and all scenarios, both regime gates included."""
+#: Where a session has written the result of a walk-forward, by session, tables and scenarios.
+WALKS: dict[tuple, str] = {}
+
+
+def simulated(s, d, todo=None, anew=False):
+    """The published windows over all dates and all scenarios, both regime gates included; written once a session, and read by the queries that judge it."""
     from strikeflow.plans import runs
     from strikeflow.plans import simulation as sim
-    from strikeflow.session import checkpoint_dir
+    from strikeflow.session import scratch
 
-    checkpoint_dir(s)
-    own = chain(s, d).checkpoint()
-    return sim.walk_forward(s, own, todo or sim.scenarios(), sim.fold_windows(own.select("date"), 252, 63, 63), runs.gates(fixture.spot(s, d)))
+    todo = todo or sim.scenarios()
+    key = (s.sparkContext.applicationId, d, tuple(x.name for x in todo))
+    if anew or key not in WALKS:
+        folder = scratch(s, "walk")
+        own = chain(s, d).checkpoint()
+        sim.walk_forward(s, own, todo, sim.fold_windows(own.select("date"), 252, 63, 63), runs.gates(fixture.spot(s, d))).write.parquet(folder)
+        WALKS[key] = folder
+    return s.read.schema(sim.OUT).parquet(WALKS[key])
 
 
 @query("B01_B10_walk_forward")
 def _(s, d):
-    return simulated(s, d)
+    return simulated(s, d, anew=True)
 
 
 @query("B01_B13_stream")
@@ -1025,7 +1052,7 @@ def _(s, d):
 def _(s, d):
     from strikeflow.plans import simulation as sim
 
-    return simulated(s, d, sim.hedged_scenarios())
+    return simulated(s, d, sim.hedged_scenarios(), anew=True)
 
 
 @query("K12_hedge_failures")
@@ -1037,7 +1064,7 @@ def _(s, d):
 
 @query("A12_A21_run_totals")
 def _(s, d):
-    own = simulated(s, d).checkpoint()
+    own = simulated(s, d)
     return rs.scenario_totals(own).join(rs.rejected(own).groupBy("scenario").agg(F.sum("n").alias("n_rejected")), "scenario", "left")
 
 
@@ -1052,7 +1079,7 @@ def _(s, d):
 
 @query("K11_scorecard")
 def _(s, d):
-    own = simulated(s, d).checkpoint()
+    own = simulated(s, d)
     days = own.where("kind = 'day'").select("scenario", "date", F.col("daily_pnl").alias("pnl"))
     return rs.scorecard(st.scenario_summary(own, 1_000_000.0), st.resampled(days, ["scenario"]))
 

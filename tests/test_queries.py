@@ -29,14 +29,19 @@ def folder(tmp_path_factory):
     return str(to)
 
 
-@pytest.fixture(scope="module")
-def db(folder):
+def views(folder):
     con = duckdb.connect()
     for f in glob.glob(f"{folder}/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
     return con
 
 
+@pytest.fixture(scope="module")
+def sides(folder):
+    """By whether a query needs the chain or its dates: the tables and their views. The others have whole tables."""
+    return {True: (folder, views(folder)), False: (SF, views(SF))}
+
+
 def plain(column: pd.Series) -> pd.Series:
     """Values that both engines have alike: numbers, and all else as text; NaN and null are one."""
     if pd.api.types.is_bool_dtype(column) or pd.api.types.is_numeric_dtype(column):
@@ -50,8 +55,9 @@ def plain(column: pd.Series) -> pd.Series:
 
 
 @pytest.mark.parametrize("name", sorted(engine.ORACLE_SQL))
-def test_query(spark, db, folder, name):
-    got = engine.QUERIES[name](spark, folder)
+def test_query(spark, sides, name):
+    tables, db = sides["spot AS" in engine.ORACLE_SQL[name]]
+    got = engine.QUERIES[name](spark, tables)
     want = db.sql(engine.ORACLE_SQL[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
@@ -60,9 +66,31 @@ def test_query(spark, db, folder, name):
     pd.testing.assert_frame_equal(*frames, check_dtype=False, check_exact=True)
 
 
-def test_fitted_and_simulated(spark, folder):
+def test_fitted(spark, folder):
+    chain = engine.QUERIES["P10_enrich_pipeline"](spark, folder)
+    dates = chain.select("date").distinct().count()
+    assert chain.where("iv > 0").count() > 0.8 * chain.count() > 0
     assert engine.QUERIES["K05_mark_policies"](spark, folder).count() == 4
-    assert engine.QUERIES["M10_M15_surface_fit"](spark, folder).where("converged").count() > 0
+    fits = engine.QUERIES["M10_M15_surface_fit"](spark, folder)
+    assert fits.where("converged").count() > 0.9 * fits.count() > 0 and fits.select("date").distinct().count() == dates
+    gates = engine.QUERIES["G02_hidden_markov_gate"](spark, folder)
+    assert gates.count() == gates.select("date").distinct().count() > 0
+
+
+def test_simulated(spark):
     # windows of a year need more dates than the folder has
-    days = engine.QUERIES["B01_B10_walk_forward"](spark, SF)
-    assert days.select("scenario").distinct().count() == 6
+    run = lambda name: engine.QUERIES[name](spark, SF)
+    days = run("B01_B10_walk_forward")
+    names = {r[0] for r in days.select("scenario").distinct().collect()}
+    assert len(names) == 6
+    totals = {r["scenario"]: r for r in run("A12_A21_run_totals").collect()}
+    summary = {r["scenario"]: r for r in run("B11_scenario_summary").collect()}
+    assert totals.keys() == summary.keys() == names == {r["scenario"] for r in run("K11_scorecard").collect()}
+    for n in names:
+        own = days.where(days.scenario == n)
+        assert totals[n]["n_trades"] == summary[n]["n_trades"] == own.where("kind = 'trade'").count()
+        assert (totals[n]["n_rejected"] or 0) == own.where("kind = 'reject'").count() and summary[n]["n_obs"] == own.where("kind = 'day'").count()
+    hedged = run("X12_hedged_condor")
+    failures = {r["scenario"]: r for r in run("K12_hedge_failures").collect()}
+    for n, r in failures.items():
+        assert r["n_failed"] == hedged.where((hedged.scenario == n) & (hedged.path == "hedge_attach")).count() and len(r["reasons"]) == min(5, r["n_failed"])
