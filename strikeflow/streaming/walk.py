@@ -7,7 +7,7 @@ each group's book is a value of Spark's state store, read and written once a bat
 days before it. Both streams' checkpoints and the rows are in one shared folder, and a batch that was written
 isn't written again, so a step that broke off is taken up where it was.
 
-A day that arrives when a later one has been taken in can't change the books any more: its rows go to rejects, with
+A day that arrives when a book has seen a later one can't change the books any more: its rows go to rejects, with
 the batch they came in. Rows without a date do, too. Days must arrive whole. The days' watermark frees a
 book once its fold's test window has passed.
 """
@@ -147,5 +147,5 @@ class Walk:
         return self.spark.read.schema(sim.OUT).parquet(f"{self.folder}/result")
 
     def rejects(self) -> DataFrame:
-        """The rows that came too late or without a date, with the batch and the last day that had been taken in."""
+        """The rows that came too late or without a date, with the batch and the last day that a book had seen."""
         return self.spark.read.parquet(f"{self.folder}/rejects")
