@@ -3,7 +3,7 @@
 Two texts link if the Jaccard similarity of their sets of WORDS-word shingles is
 SIMILAR[0] / SIMILAR[1] or more and their fingerprints differ in RADIUS bits at
 most, which holds for all but about one in 10,000 pairs at this similarity, and fewer above it.
-Components are what links connect. No link is lost: in any common order of shingles, two such sets share one of the
+Components are what links connect. No other link is lost: in any common order of shingles, two such sets share one of the
 first size - ceil(size * similarity) + 1 of either (prefix filter), so sets that
 share such a key meet in a bucket, where their fingerprints are compared, in large buckets bit-sliced
 (see simhash), and pairs within the radius are verified on whole sets. Before that, pairs of a large bucket are held
