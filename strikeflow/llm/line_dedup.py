@@ -183,9 +183,9 @@ def last_pairs(rows: DataFrame) -> DataFrame:
 def candidates(classes: DataFrame, edits: int, bucket: int = BUCKET) -> DataFrame:
     """(a, b): hashes of classes (h, first, line) that may be within edits of each other."""
     keyed = classes.select("h", F.explode(F.array(*segment_keys(F.col("line"), F.length("line"), edits))).alias("k")).select("h", "k.*")
-    found = shared_keys(keyed)
+    found = shared.freed(shared_keys(keyed))
     out = [found.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).where("a <> b")]
-    members = keyed.join(shared.small(found.where("n > 2").select("key", "n")), "key").checkpoint()
+    members = shared.freed(keyed.join(shared.small(found.where("n > 2").select("key", "n")), "key").checkpoint())
     if edits > 1:
         return out[0].unionAll(paired(members))
     out.append(paired(members.where(F.col("n") <= bucket)))
@@ -208,6 +208,7 @@ def candidates(classes: DataFrame, edits: int, bucket: int = BUCKET) -> DataFram
 def near_pairs(classes: DataFrame, edits: int, bucket: int = BUCKET) -> DataFrame:
     """(later, earlier): hashes of classes within edits of each other, by their first occurrence; of those that equal-length lines of a template have, the earliest at least."""
     pairs = candidates(classes, edits, bucket).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    shared.freed(pairs)
     ends = shared.small(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().checkpoint())
     met = classes.join(ends, "h", "left_semi").select("h", "first", "line", letter_counts(F.col("line")).alias("letters"))
     side = lambda name: met.select(*(F.col(c).alias(name if c == "h" else f"{c}_{name}") for c in met.columns))
@@ -223,9 +224,10 @@ def dropped_lines(docs: DataFrame, *, edits: int = EDITS, min_chars: int | None
     """
     shared.checkpoint_dir(docs.sparkSession)
     lines = lines_of(docs, 1 if min_chars is None else min_chars)
-    classes = shared.written(classes_of(lines, MIN_CHARS if min_chars is None else min_chars))
+    classes = shared.freed(shared.written(classes_of(lines, MIN_CHARS if min_chars is None else min_chars)))
     near = near_pairs(classes.where("line is not null").select("h", "first", "line"), edits, bucket).groupBy(F.col("later").alias("h")).agg(F.min("earlier").alias("earlier"))
     told = classes.select("h", "first", "n").join(near, "h", "left").where("n > 1 or earlier is not null").select("h", "first", F.col("earlier").isNotNull().alias("near")).checkpoint()
+    shared.freed(told)
     # if shuffled, both sides of this join come straight from there, so that Spark can split a line that many documents share
     hit = lines.select("doc_id", "tie", "pos", "h").join(shared.small(told), "h")
     return hit.where(F.col("near") | (F.struct("doc_id", "tie", "pos") != F.col("first"))).select("doc_id", "tie", "pos", "near").distinct()

@@ -33,6 +33,12 @@ def written(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
+def freed(rows: DataFrame) -> DataFrame:
+    """rows (a checkpoint or a written table), once Spark may have dropped what they were made from: shuffle files go when the driver's JVM finds that nothing refers to them, which a driver with memory to spare seldom looks for."""
+    rows.sparkSession.sparkContext._jvm.System.gc()
+    return rows
+
+
 #: The most rows that are broadcast; beyond it both sides of a join are shuffled.
 FEW = 1 << 19
 
