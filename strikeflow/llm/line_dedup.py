@@ -185,7 +185,7 @@ def candidates(classes: DataFrame, edits: int, bucket: int = BUCKET) -> DataFram
     keyed = classes.select("h", F.explode(F.array(*segment_keys(F.col("line"), F.length("line"), edits))).alias("k")).select("h", "k.*")
     found = shared.freed(shared_keys(keyed))
     out = [found.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).where("a <> b")]
-    members = shared.freed(keyed.join(shared.small(found.where("n > 2").select("key", "n")), "key").checkpoint())
+    members = shared.freed(keyed.hint("merge").join(found.where("n > 2").select("key", "n"), "key").checkpoint())
     if edits > 1:
         return out[0].unionAll(paired(members))
     out.append(paired(members.where(F.col("n") <= bucket)))
@@ -193,7 +193,7 @@ def candidates(classes: DataFrame, edits: int, bucket: int = BUCKET) -> DataFram
     while rows.limit(1).count():
         # the open part of a crowded key in two: classes are dealt out by all but one half
         parts *= 2
-        lines = rows.distinct().join(classes.select("h", "first", "line"), "h")
+        lines = rows.repartition("h").distinct().join(classes.select("h", "first", "line"), "h")
         halves = F.explode(F.array(F.col("open") * 2, F.col("open") * 2 + 1))
         rows = lines.select("h", "first", "line", "own", "less", (F.length("line") - F.col("less")).alias("length"), F.lit(parts).alias("parts"), halves.alias("open"))
         rows = rows.withColumn("key", open_key(F.struct("line", "length", "less", "parts", "open"))).checkpoint()
@@ -209,7 +209,7 @@ def near_pairs(classes: DataFrame, edits: int, bucket: int = BUCKET) -> DataFram
     """(later, earlier): hashes of classes within edits of each other, by their first occurrence; of those that equal-length lines of a template have, the earliest at least."""
     pairs = candidates(classes, edits, bucket).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     shared.freed(pairs)
-    ends = shared.small(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().checkpoint())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     met = classes.join(ends, "h", "left_semi").select("h", "first", "line", letter_counts(F.col("line")).alias("letters"))
     side = lambda name: met.select(*(F.col(c).alias(name if c == "h" else f"{c}_{name}") for c in met.columns))
     told = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").where(F.when(counts_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * edits, within(F.col("line_a"), F.col("line_b"), edits)).otherwise(False))
@@ -222,14 +222,15 @@ def dropped_lines(docs: DataFrame, *, edits: int = EDITS, min_chars: int | None
 
     Lines under min_chars are kept; without it only blank ones are, and MIN_CHARS bounds the edit join.
     """
-    shared.checkpoint_dir(docs.sparkSession)
+    folder = shared.scratch(docs.sparkSession, "classes")
     lines = lines_of(docs, 1 if min_chars is None else min_chars)
-    classes = shared.freed(shared.written(classes_of(lines, MIN_CHARS if min_chars is None else min_chars)))
+    classes = shared.freed(shared.bucketed(classes_of(lines, MIN_CHARS if min_chars is None else min_chars), "h", folder))  # what joins them comes to their buckets, so their lines are shuffled once
     near = near_pairs(classes.where("line is not null").select("h", "first", "line"), edits, bucket).groupBy(F.col("later").alias("h")).agg(F.min("earlier").alias("earlier"))
     told = classes.select("h", "first", "n").join(near, "h", "left").where("n > 1 or earlier is not null").select("h", "first", F.col("earlier").isNotNull().alias("near")).checkpoint()
+    shared.removed(docs.sparkSession, folder)
     shared.freed(told)
-    # if shuffled, both sides of this join come straight from there, so that Spark can split a line that many documents share
-    hit = lines.select("doc_id", "tie", "pos", "h").join(shared.small(told), "h")
+    # both sides of this join come straight from a shuffle, so that Spark can split a line that many documents share
+    hit = lines.select("doc_id", "tie", "pos", "h").hint("merge").join(told, "h")
     return hit.where(F.col("near") | (F.struct("doc_id", "tie", "pos") != F.col("first"))).select("doc_id", "tie", "pos", "near").distinct()
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikeflow.session import checkpoint_dir, scratch
@@ -33,6 +35,22 @@ def written(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
+def bucketed(rows: DataFrame, key: str, folder: str) -> DataFrame:
+    """rows, written to a folder under the shared one in as many buckets of key as the session shuffles to, and read from there: joins and groups on key leave these rows where they are and shuffle the other side only. The table's name leaves the catalog at once, its files stay."""
+    spark, name = rows.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", folder).option("compression", "zstd").saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a scratch folder that no later step reads, not even to make up for a lost executor."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def freed(rows: DataFrame) -> DataFrame:
     """rows (a checkpoint or a written table), once Spark may have dropped what they were made from: shuffle files go when the driver's JVM finds that nothing refers to them, which a driver with memory to spare seldom looks for."""
     rows.sparkSession.sparkContext._jvm.System.gc()
