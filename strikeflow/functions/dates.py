@@ -14,6 +14,12 @@ def third_wednesday(first_of_month: Column) -> Column:
     return F.date_add(F.next_day(F.date_sub(first_of_month, 1), "WED"), 14)
 
 
+def monthly_calendar(span: DataFrame, first: str, last: str) -> DataFrame:
+    """(month, expiry): the third Wednesday of each month from that of one date of span to that of the other; a null date gives none."""
+    months = span.select(F.explode(F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
+    return months.select("month", third_wednesday(F.col("month")).alias("expiry"))
+
+
 def rolled(df: DataFrame, day: str, holidays: DataFrame, name: str = "expiry") -> DataFrame:
     """Moves day on to the next one that is neither a weekend nor in holidays (date); a null day stays null. Only days off are looked up."""
     off = holidays.select(F.col("date").alias("try")).where("try is not null").distinct()

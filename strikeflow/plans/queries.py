@@ -17,6 +17,7 @@ from strikeflow.functions import bsm, dates
 from strikeflow.functions import expressions as x
 from strikeflow.operators import chain as ops
 from strikeflow.operators import feasibility as fs
+from strikeflow.operators import lint
 from strikeflow.operators import results as rs
 from strikeflow.operators import statistics as st
 from strikeflow.operators.regime import log_returns, realised_vol, vol_percentile_gate
@@ -642,10 +643,10 @@ def _(s, d):
     return table(s, d, "orders").select("o_orderkey", dates.compact_date(number).alias("contract_date"))
 
 
-@query("H04_monthly_calendar", "WITH m AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2025-12-01', INTERVAL 1 MONTH)) AS DATE) AS f) SELECT f AS month, CAST(f + CAST((3 - dayofweek(f) + 7) % 7 + 14 AS INTEGER) AS DATE) AS expiry FROM m")
+@query("H04_monthly_calendar", "WITH span AS (SELECT CAST(date_trunc('month', min(o_orderdate)) AS TIMESTAMP) AS lo, CAST(date_trunc('month', max(o_orderdate)) AS TIMESTAMP) AS hi FROM orders), m AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS f FROM span) SELECT f AS month, CAST(f + CAST((3 - dayofweek(f) + 7) % 7 + 14 AS INTEGER) AS DATE) AS expiry FROM m")
 def _(s, d):
-    months = s.range(1).select(F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2025-12-01").cast("date"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
-    return months.select("month", dates.third_wednesday(F.col("month")).alias("expiry"))
+    span = table(s, d, "orders").agg(F.min("o_orderdate").cast("date").alias("lo"), F.max("o_orderdate").cast("date").alias("hi"))
+    return dates.monthly_calendar(span, "lo", "hi")
 
 
 @query("H05_iso_dates", "SELECT o_orderkey, o_orderkey % 3 <> 0 AS ok FROM orders")
@@ -677,10 +678,13 @@ def _(s, d):
 # mathematics
 
 
-@query("M01_normal_distribution", f"SELECT CAST(i AS DOUBLE) / 100 AS z, round({x.norm_cdf('(CAST(i AS DOUBLE) / 100)')}, 14) AS cdf, round({x.norm_pdf('(CAST(i AS DOUBLE) / 100)')}, 14) AS pdf FROM (SELECT unnest(range(-1000, 1001)) AS i)")
+_Z = "((CAST(l_extendedprice AS DOUBLE) - 5.0e4) / 1.0e4)"
+
+
+@query("M01_normal_distribution", f"SELECT l_orderkey, l_linenumber, round({x.norm_cdf(_Z)}, 10) AS cdf, round({x.norm_pdf(_Z)}, 10) AS pdf FROM lineitem")
 def _(s, d):
-    z = s.range(-1000, 1001).select((F.col("id").cast("double") / 100).alias("z"))
-    return z.select("z", F.round(F.expr(x.norm_cdf("z")), 14).alias("cdf"), F.round(F.expr(x.norm_pdf("z")), 14).alias("pdf"))
+    z = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_extendedprice").cast("double") - 50000) / 10000).alias("z"))
+    return z.select("l_orderkey", "l_linenumber", F.round(F.expr(x.norm_cdf("z")), 10).alias("cdf"), F.round(F.expr(x.norm_pdf("z")), 10).alias("pdf"))
 
 
 @query("M02_price", CH + f", {priced_sql('chain')} SELECT date, expiry, strike, option_type, round(price, 6) AS price FROM p")
@@ -1109,7 +1113,7 @@ def _(s, d):
 def _(s, d):
     from strikeflow.sources.synthetic import generate
 
-    return generate(s)
+    return generate(s, days=table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("date")))
 
 
 @query("STREAM_event_windows", "SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -1131,6 +1135,60 @@ def _(s, d):
     return store.load(s, folder, "1997-02-01", "1997-12-31").join(cached, "date", "left").select("date", "expiry", "model_type", F.round(first, 6).alias("first_parameter"), "cached")
 
 
+@query("S17_surface_day", CH + f", rec AS ({RECORDS}) SELECT expiry, model_type, CAST(dte AS DOUBLE) / 365 AS t, (SELECT count(DISTINCT date) FROM rec) AS n_dates, (SELECT max(date) FROM rec WHERE date < DATE '1997-03-04') AS before FROM rec WHERE date = DATE '1997-03-04'")
+def _(s, d):
+    from strikeflow.sources import records as store
+    from strikeflow.sources import reports, shards
+
+    folder = shards.scratch(s, "records")
+    store.save_all(records(s, d), folder)
+    days = reports.surface_dates(s, folder).agg(F.count("*").alias("n_dates"), F.max(F.when(F.col("date") < F.lit("1997-03-04").cast("date"), F.col("date"))).alias("before"))
+    return reports.surface_day(s, folder, "1997-03-04").select("expiry", "model_type", "t").crossJoin(F.broadcast(days))  # one row
+
+
+#: Rules for the texts of documents, and for the markup of pages.
+TEXT_RULES = (
+    lint.Rule("mail", "[a-z0-9]@[a-z0-9]"),
+    lint.Rule("marks", "[#*%&|]{3}", unless="^[A-Z][a-z]+ "),
+    lint.Rule("number", "[0-9]{7,}", unless="[+(]"),
+    lint.Rule("number_near_mail", "[0-9]{3}", text_has=("@", "[0-9]{3}"), text_lacks="[#*]{3}"),
+    lint.Rule("doubled_word", " (the|of|and) (the|of|and) ", where="lang = 'en'", warning=True),
+    lint.Rule("fragment", "^[^ ]{1,8}$", where="source <> 'src0'", warning=True),
+)
+PAGE_RULES = (
+    lint.Rule("script", "<script>", unless="track[(]0[)]"),
+    lint.Rule("advert", "<!-- ad [0-9]+ -->", where="url LIKE 'http:%'"),
+    lint.Rule("query_link", "href=\"/[^\"]*[.,]\"", text_has=("lang=\"en\"",), warning=True),
+)
+
+
+@query("H09_text_lint", """
+WITH texts AS (SELECT doc_id, lang, source, text, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, lang, source, text, unnest(range(1, len(parts) + 1)) AS line_no, regexp_replace(unnest(parts), chr(13) || '$', '') AS line FROM texts),
+hits AS (
+  SELECT doc_id, line_no, line, 'mail' AS category, false AS warning FROM lines WHERE regexp_matches(line, '[a-z0-9]@[a-z0-9]')
+  UNION ALL SELECT doc_id, line_no, line, 'marks', false FROM lines WHERE regexp_matches(line, '[#*%&|]{3}') AND NOT regexp_matches(line, '^[A-Z][a-z]+ ')
+  UNION ALL SELECT doc_id, line_no, line, 'number', false FROM lines WHERE regexp_matches(line, '[0-9]{7,}') AND NOT regexp_matches(line, '[+(]')
+  UNION ALL SELECT doc_id, line_no, line, 'number_near_mail', false FROM lines WHERE regexp_matches(line, '[0-9]{3}') AND contains(text, '@') AND NOT regexp_matches(text, '[#*]{3}')
+  UNION ALL SELECT doc_id, line_no, line, 'doubled_word', true FROM lines WHERE lang = 'en' AND regexp_matches(line, ' (the|of|and) (the|of|and) ')
+  UNION ALL SELECT doc_id, line_no, line, 'fragment', true FROM lines WHERE source <> 'src0' AND regexp_matches(line, '^[^ ]{1,8}$'))
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, category, warning, line FROM hits""")
+def _(s, d):
+    return lint.lint(table(s, d, "documents"), TEXT_RULES, "doc_id")
+
+
+@query("H09_page_lint_totals", """
+WITH texts AS (SELECT page_id, url, html, string_split(html, chr(10)) AS parts FROM pages),
+lines AS (SELECT page_id, url, html, unnest(parts) AS line FROM texts),
+hits AS (
+  SELECT page_id, 'script' AS category, false AS warning FROM lines WHERE contains(line, '<script>') AND NOT contains(line, 'track(0)')
+  UNION ALL SELECT page_id, 'advert', false FROM lines WHERE url LIKE 'http:%' AND regexp_matches(line, '<!-- ad [0-9]+ -->')
+  UNION ALL SELECT page_id, 'query_link', true FROM lines WHERE regexp_matches(line, 'href="/[^"]*[.,]"') AND contains(html, 'lang="en"'))
+SELECT category, warning, count(*) AS n_lines, count(DISTINCT page_id) AS n_texts FROM hits GROUP BY 1, 2""")
+def _(s, d):
+    return lint.totals(lint.lint(table(s, d, "pages"), PAGE_RULES, "page_id", text="html"), "page_id")
+
+
 @query("S18_inspect", CH + "SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(DISTINCT date) AS n_dates, count(*) AS n, min(date) AS first, max(date) AS last, round(count(*) FILTER (abs(strike / underlying - 1) <= 0.08 AND bid IS NOT NULL AND ask IS NOT NULL) / count(*) FILTER (abs(strike / underlying - 1) <= 0.08), 9) AS quoted_near FROM chain GROUP BY 1")
 def _(s, d):
     from strikeflow.sources import reports

@@ -73,6 +73,22 @@ def run_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in ("scenarios", "folds", "days", "trades", "rejects", "meta")}
 
 
+def surface_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """(date): the dates that fit records are stored for, from the names of their folders; a folder that isn't there has none."""
+    from strikeflow.sources import records
+
+    return records.cached_dates(spark, folder)
+
+
+def surface_day(spark: SparkSession, folder: str, date: str) -> DataFrame:
+    """The fit records of one ISO date; only its folder is read. A date without any is refused."""
+    from strikeflow.sources import records
+
+    if not records.is_cached(spark, folder, date):
+        raise ValueError(f"no records for {date}")
+    return records.load(spark, folder, date, date)
+
+
 def cumulative_days(days: DataFrame, scenarios: list[str] | None = None) -> DataFrame:
     """(scenario, date, pnl, cum, drawdown) over all folds in order."""
     from strikeflow.operators.statistics import cumulative

@@ -47,8 +47,15 @@ def load(spark: SparkSession, folder: str, start, end, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def dates(spark: SparkSession, folder: str) -> DataFrame:
-    """Cached dates, from folder names alone; names that aren't dates are skipped."""
+    """Cached dates, from folder names alone; names that aren't dates are skipped, and a folder that isn't there has none."""
+    if not exists(spark, folder):
+        return spark.range(0).select(F.col("id").cast("string").cast("date").alias("date"))
     return read(spark, folder).select(F.col("day").cast("string").try_cast("date").alias("date")).where("date is not null").distinct()
 
 
@@ -76,8 +83,7 @@ def append_manifest(spark: SparkSession, folder: str, target: str, since=None) -
     found = manifest(spark, folder)
     if since is not None:
         found = found.where(F.col("date") >= F.lit(str(since)).cast("date"))
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if exists(spark, target):
         known = spark.read.parquet(target)
         check_columns(known, MANIFEST)
         found = found.join(known.select("path", "date", "written"), ["path", "date", "written"], "left_anti")

@@ -32,21 +32,21 @@ def normal(seed: int, *key: str | Column) -> Column:
     return F.sqrt(-2 * F.log(uniform(seed, *key))) * F.cos(6.283185307179586 * uniform(seed + 1, *key))
 
 
-def spot_path(spark: SparkSession, c: Config) -> DataFrame:
-    """(date, underlying) on business days."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(c.start).cast("date"), F.lit(c.end).cast("date"))).alias("date")).where(F.dayofweek("date").between(2, 6))
+def spot_path(spark: SparkSession, c: Config, days: DataFrame | None = None) -> DataFrame:
+    """(date, underlying) on business days, or on the dates that days (date) has."""
+    days = days.select("date").where("date is not null").distinct() if days is not None else spark.range(1).select(F.explode(F.sequence(F.lit(c.start).cast("date"), F.lit(c.end).cast("date"))).alias("date")).where(F.dayofweek("date").between(2, 6))
     drift = (RISK_FREE - DIVIDEND - c.sigma**2 / 2) / TRADING_DAYS
     w = Window.orderBy("date")
     move = F.when(F.row_number().over(w) == 1, 0.0).otherwise(drift + c.sigma / TRADING_DAYS**0.5 * normal(c.seed, "date"))
     return days.withColumn("move", move).select("date", (c.spot * F.exp(F.sum("move").over(w))).alias("underlying"))
 
 
-def generate(spark: SparkSession, c: Config | None = None) -> DataFrame:
-    """25 columns of raw and derived values."""
+def generate(spark: SparkSession, c: Config | None = None, *, days: DataFrame | None = None) -> DataFrame:
+    """25 columns of raw and derived values, on business days from start to end, or on the dates that days (date) has."""
     c = c or Config()
     centre = round(c.spot / c.step) * c.step
     half = c.strikes // 2
-    base = spot_path(spark, c).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(c.max_dte // 28 + 1))))
+    base = spot_path(spark, c, days).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(c.max_dte // 28 + 1))))
     base = base.withColumn("expiry", dates.third_wednesday(F.add_months(F.trunc("date", "month"), F.col("m")))).withColumn("dte", F.datediff("expiry", "date")).where(F.col("dte").between(1, c.max_dte)).drop("m")
     base = base.withColumn("strike", F.explode(F.sequence(F.lit(centre - half * c.step), F.lit(centre + half * c.step), F.lit(c.step)))).withColumn("strike", F.col("strike").cast("double")).withColumn("option_type", F.explode(F.array(F.lit("call"), F.lit("put"))))
     base = bsm.greeks(bsm.price(base.withColumn("iv", F.lit(c.sigma)), name="settle")).drop("gamma", "vega", "theta", "rho")
