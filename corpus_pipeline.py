@@ -61,13 +61,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-duplicates (5-word shingles, Jaccard similarity of 0.8 or more): the smallest doc_id's, without doc_id only where none has one."""
     null, id_, key = (shared.free(docs.columns, f"__{x}") for x in ("null", "id", "key"))
-    rows = near.components(docs).groupBy("component", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key").agg(F.count("*").alias("n"))
-    keep = rows.groupBy("component").agg(F.min(F.struct("no_id", "id", "text_key", "n")).alias("best")).select(F.col("best.no_id").alias(null), F.col("best.id").alias(id_), F.col("best.text_key").alias(key), F.col("best.n").alias("n")).checkpoint()
-    keyed = docs.withColumns({null: F.col("doc_id").isNull(), id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), key: F.xxhash64(F.col("text").cast("string"))})
     name = [null, id_, key]
-    one = keyed.join(shared.small(keep.where("n = 1").drop("n")), name, "left_semi")
+    rows = near.components(docs).groupBy("component", F.col("doc_id").isNull().alias(null), F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("text_key").alias(key)).agg(F.count("*").alias("n")).checkpoint()
+    # most documents are alone in their component and meet nothing: only those of the others are named
+    best = rows.groupBy("component").agg(F.min(F.struct(*name)).alias("best"), F.count("*").alias("of")).where("of > 1").drop("of").checkpoint()
+    gone = rows.join(shared.small(best), "component").where(F.struct(*name) != F.col("best")).select(*name).checkpoint()
+    again = rows.where("n > 1").select(*name).checkpoint()
+    keyed = docs.withColumns({null: F.col("doc_id").isNull(), id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), key: F.xxhash64(F.col("text").cast("string"))})
+    kept = keyed.join(shared.small(gone), name, "left_anti")
     # only repeated rows have to meet
-    out = one.unionByName(keyed.join(shared.small(keep.where("n > 1").drop("n")), name, "left_semi").dropDuplicates(name))
+    repeated = shared.small(again)
+    out = kept.join(repeated, name, "left_anti").unionByName(kept.join(repeated, name, "left_semi").dropDuplicates(name))
     return out.select(*docs.columns)
 
 

@@ -168,14 +168,21 @@ def set_rows(late: np.ndarray, spark):
     return run
 
 
-def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set = set()
-    for batch in batches:
-        for rows in tb.pieces(batch, size=tb.SLICE):
-            hashes, bounds = shingle_sets(rows.column("text"))
-            node, size = digests(hashes, bounds), np.diff(bounds)
-            new = unseen(node, seen)
-            yield pa.RecordBatch.from_arrays([pa.array(node[new]), lists(hashes[np.repeat(new, size)], size[new])], names=["node", "items"])
+def whole_sets(wanted: np.ndarray, spark):
+    """The distinct sets of a partition whose node may be one of a bitmap's."""
+    sent = spark.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            for rows in tb.pieces(batch, size=tb.SLICE):
+                hashes, bounds = shingle_sets(rows.column("text"))
+                node, size = digests(hashes, bounds), np.diff(bounds)
+                new = shared.may_hold(sent.value, node)
+                new[new] = unseen(node[new], seen)
+                yield pa.RecordBatch.from_arrays([pa.array(node[new]), lists(hashes[np.repeat(new, size)], size[new])], names=["node", "items"])
+
+    return run
 
 
 def sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -306,8 +313,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, items): the whole sets of the ends of pairs."""
-    ends = shared.small(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().checkpoint())
-    return shared.written(docs.mapInArrow(whole_sets, "node long, items array<long>").join(ends, "node", "left_semi").groupBy("node").agg(F.any_value("items").alias("items")))
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().checkpoint()
+    sets = docs.mapInArrow(whole_sets(shared.bitmap(ends), docs.sparkSession), "node long, items array<long>")
+    return shared.written(sets.join(shared.small(ends), "node", "left_semi").groupBy("node").agg(F.any_value("items").alias("items")))
+
+
+def keys_of(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """(node, fp, size, key): the prefix keys of rows that are some (key, a checkpoint)."""
+    sent = rows.sparkSession.sparkContext.broadcast(shared.bitmap(some))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("keys")
+            at = own.value_parent_indices()
+            keys = own.flatten()
+            take = shared.may_hold(sent.value, keys.to_numpy(zero_copy_only=False))
+            of = at.filter(pa.array(take))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("node", "fp", "size")), keys.filter(pa.array(take))], names=["node", "fp", "size", "key"])
+
+    found = rows.where("keys is not null").select("node", "fp", "size", "keys").mapInArrow(run, "node long, fp long, size long, key long")
+    return found.join(shared.small(some), "key", "left_semi").select("node", "fp", "size", "key")
 
 
 def components(docs: DataFrame, *, hot: int = HOT, bucket: int = simhash.BUCKET) -> DataFrame:
@@ -337,7 +362,7 @@ def components(docs: DataFrame, *, hot: int = HOT, bucket: int = simhash.BUCKET)
     edges = verified(pairs, sets_of(docs, pairs)).checkpoint()
     if large.limit(1).count():
         labels = shared.small(simhash.components(edges).checkpoint())
-        again = crowd.select("node", "fp", "size", "key", "parts").unionByName(keyed.join(shared.small(large), "key", "left_semi").select("node", "fp", "size", "key", F.lit(1).cast("long").alias("parts")).distinct())
+        again = crowd.select("node", "fp", "size", "key", "parts").unionByName(keys_of(rows, large).withColumn("parts", F.lit(1).cast("long")).distinct())
         again = again.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).checkpoint()
         mixed = again.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first < last").select("key").checkpoint()
         odd = rows.where("odd is not null").groupBy("node").agg(F.any_value("odd").alias("odd"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,13 +58,35 @@ def freed(rows: DataFrame) -> DataFrame:
     return rows
 
 
-#: The most rows that are broadcast; beyond it both sides of a join are shuffled.
-FEW = 1 << 19
+#: The most rows that are broadcast; beyond it both sides of a join are shuffled. The driver takes about three times a broadcast table's size, beside its heap's floor.
+FEW = 1 << 16
+#: Bits of a bitmap for each of its keys, and the fewest and most of a bitmap: its words that aren't zero pass through the driver.
+SPREAD, BITS = 16, (1 << 12, 1 << 24)
 
 
-def small(rows: DataFrame, limit: int = FEW) -> DataFrame:
-    """rows (a checkpoint), to be broadcast where they are limit at most."""
-    return F.broadcast(rows) if rows.count() <= limit else rows
+def small(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """rows (a checkpoint), to be broadcast where they are limit (FEW) at most."""
+    return F.broadcast(rows) if rows.count() <= (FEW if limit is None else limit) else rows
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Of a checkpoint of distinct hashes (its one column), a bit for each value that they have in their low bits.
+
+    What has no bit is none of keys; so a table can be thinned out before it is joined with more keys than may be broadcast. With
+    more keys than the longest bitmap is made for, more rows are left, and no fewer.
+    """
+    n = min(max(1 << (SPREAD * keys.count()).bit_length(), BITS[0]), BITS[1])
+    low = F.col(keys.columns[0]).bitwiseAND(F.lit(n - 1))
+    words = keys.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(n >> 6, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of keys (64 bits) have their bit in a bitmap."""
+    low = keys.view(np.uint64) & np.uint64(64 * len(bits) - 1)
+    return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 #: The most classes that a sample is spread over, the most frequent ones.

@@ -164,6 +164,50 @@ def test_near_stage_keeps_one_row_of_repeated_ones(spark):
     assert len([x for x in got if x[0] is None]) == 1 and [x[1] for x in got if x[0] is None][0] in (three, three + " end")
 
 
+def test_near_stage_broadcasts_no_row_of_a_document_without_neighbours(spark, monkeypatch):
+    import corpus_pipeline
+    from strikeflow.llm import shared
+
+    own = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(60)]
+    rows = [*enumerate(own), (100, own[0] + " end"), (101, own[1]), (2, own[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes, small = [], shared.small
+    monkeypatch.setattr(shared, "small", lambda df, *limit: sizes.append(df.count()) or small(df, *limit))
+    want = [(i, own[i]) for i in range(60)]
+    assert sorted(map(tuple, corpus_pipeline.dedup_near(spark, docs, SF).collect())) == want
+    assert 0 < max(sizes) <= 4
+    # with all of these tables too large to be broadcast, and a bitmap that is full
+    monkeypatch.setattr(shared, "FEW", 0)
+    assert sorted(map(tuple, corpus_pipeline.dedup_near(spark, docs, SF).collect())) == want
+    monkeypatch.setattr(shared, "BITS", (64, 64))
+    assert sorted(map(tuple, corpus_pipeline.dedup_near(spark, docs, SF).collect())) == want
+
+
+def test_large_buckets_without_broadcasts(spark, monkeypatch):
+    from strikeflow.llm import near, shared
+
+    common = " ".join(f"c{j}" for j in range(60))
+    texts = [f"{common} own{i} and{i}" for i in range(30)] + [" ".join(f"z{i}y{j}" for j in range(20)) for i in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = lambda: {(r["component"], r["n"]) for r in near.components(docs).groupBy("component").agg({"*": "count"}).toDF("component", "n").collect()}
+    want = got()
+    assert sorted(n for _, n in want) == [1] * 10 + [30]
+    monkeypatch.setattr(shared, "FEW", 0)
+    assert got() == want
+
+
+def test_bitmap_loses_no_key(spark):
+    import numpy as np
+
+    from strikeflow.llm import shared
+
+    keys = np.random.default_rng(4).integers(-(1 << 63), 1 << 63, 5000)
+    bits = shared.bitmap(spark.createDataFrame([(int(x),) for x in keys[:1000]], "key long").checkpoint())
+    held = shared.may_hold(bits, keys)
+    assert held[:1000].all() and held[1000:].mean() < 0.15
+    assert not shared.may_hold(shared.bitmap(spark.createDataFrame([], "key long")), keys).any()
+
+
 def _pipeline_docs():
     import random
 
