@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from strikeflow.llm import packing, pieces, shared
 from strikeflow.llm import textbytes as tb
 
-#: Bytes of text in a batch.
-GROUP = 4 << 20
+#: Bytes of text in a batch, and of a row group of batches.
+GROUP, ROW_GROUP = 2 << 20, 4 << 20
 MARK = "▁"
 #: A pair of ids as one number: the id of A times this, plus that of B.
 PAIR = 1 << 24
@@ -315,7 +315,7 @@ def aligned(docs: DataFrame, *, a_path: str | None = None, b_path: str | None =
     """Digests of the groups and links of docs (doc_id, text) between tokenizers A (byte-level, a tokenizer file) and B (a piece model)."""
     shared.checkpoint_dir(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    batches = shared.written(rows.mapInArrow(align_rows(a_path or packing.vocabulary(), b_path or pieces.model_path(), size), BATCH))
+    batches = shared.written(rows.mapInArrow(align_rows(a_path or packing.vocabulary(), b_path or pieces.model_path(), size), BATCH), ROW_GROUP)
     asked = batches.select("batch", F.explode("pair").alias("pair"))
     told = asked.join(pair_counts(batches).hint("merge"), "pair").groupBy("batch").agg(F.collect_list(F.struct("pair", "count", "best")).alias("told"))
     return batches.join(told.hint("merge"), "batch", "left").mapInArrow(counted, RESULT)

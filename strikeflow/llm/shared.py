@@ -29,10 +29,10 @@ def free(columns: list[str], name: str) -> str:
     return name
 
 
-def written(rows: DataFrame) -> DataFrame:
-    """rows, written as Parquet to the shared folder and read from there: like checkpoint(), but compressed and read by column."""
+def written(rows: DataFrame, group: int | None = None) -> DataFrame:
+    """rows, written as Parquet to the shared folder and read from there: like checkpoint(), but compressed and read by column. For rows of megabytes, group: bytes of a row group, which tasks that write or read hold at once (Parquet else looks at their size after 100 rows only)."""
     folder = scratch(rows.sparkSession, "rows")
-    rows.write.parquet(folder)
+    rows.write.options(**{"parquet.block.size": group, "parquet.page.size.row.check.min": 1} if group else {}).parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 

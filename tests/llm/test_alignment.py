@@ -113,3 +113,21 @@ def test_units_are_solved_together(tools):
     assert labels == b"01203" and alignment.group_ends(labels + b"003").tolist() == [5, 8]
     text, edge = alignment.group_texts(np.array([7, 10, 100]), np.array([1, 20000, 0]), np.array([2, 1]), np.array([1, 2]))
     assert text == b"7,10|1;100|20000,0;" and edge.tolist() == [0, 2, 5, 7, 11, 17, 19]
+
+
+def test_batches_are_held_a_few_at_once(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from strikeflow.llm import shared
+
+    texts = [" ".join(f"{R.getrandbits(40):x}" for _ in range(20_000)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found, scratch = [], shared.scratch
+    monkeypatch.setattr(shared, "scratch", lambda *a: found.append(scratch(*a)) or found[-1])
+    monkeypatch.setattr(alignment, "ROW_GROUP", 1 << 20)
+    assert alignment.aligned(docs, size=200_000).where("n_groups > 0").count() == 30
+    groups = [m.row_group(k) for f in glob.glob(found[0].removeprefix("file:") + "/*.parquet") for m in [pq.ParquetFile(f).metadata] for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 30 and max(g.num_rows for g in groups) < 10
+    assert alignment.GROUP <= 2 << 20
