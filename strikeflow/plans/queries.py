@@ -713,7 +713,9 @@ def _(s, d):
 
     # where next to no time value is left, a price says nothing about volatility: there only what the solver says of itself is checked
     own = add_iv(chain(s, d).withColumnRenamed("iv", "true_iv")).withColumn("easy", F.expr(EASY))
-    sound = F.col("iv_source").isin("mid", "settle") == F.coalesce(F.col("iv") > 0, F.lit(False))
+    # a price at its lower bound (within 1e-10 for the solver) has volatility 0, no other has
+    at_bound = F.abs(F.coalesce((F.col("bid") + F.col("ask")) / 2, F.col("settle")) - F.expr(BOUND)) < 1e-9
+    sound = F.col("iv_source").isin("mid", "settle") == F.coalesce((F.col("iv") > 0) | ((F.col("iv") == 0) & at_bound), F.lit(False))
     return own.select(*KEY, F.when(F.col("easy"), F.col("iv_source")).alias("iv_source"), F.when(F.col("easy"), F.coalesce(F.abs(F.col("iv") - F.col("true_iv")) < 1e-3, F.lit(False))).alias("recovered"), sound.alias("sound"))
 
 

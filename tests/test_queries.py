@@ -10,7 +10,10 @@ import pandas as pd
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from strikeflow.operators import implied_vol
+from strikeflow.plans import fixture
 from strikeflow.plans import queries as engine
 
 SF = "/root/testdata/sf0.001"
@@ -66,6 +69,24 @@ def test_query(spark, sides, name):
     pd.testing.assert_frame_equal(*frames, check_dtype=False, check_exact=True)
 
 
+def test_prices_at_their_bound(spark, tmp_path):
+    # one order a date: its spot puts a price (calls and puts, mids and settles) within 1e-10 of its lower bound
+    totals = {datetime(1987, 11, 15): 268191.68, datetime(1989, 1, 17): 328359.22, datetime(1972, 2, 11): 76718.40, datetime(1985, 6, 15): 199621.31}
+    days = pd.Series(list(totals)).astype("datetime64[us]")
+    pd.DataFrame({"o_orderkey": range(len(days)), "o_orderdate": days, "o_totalprice": list(totals.values())}).to_parquet(tmp_path / "orders.parquet")
+    solved = implied_vol.add_iv(fixture.chain(spark, str(tmp_path))).select("date", "iv", "iv_source").collect()
+    assert {(r["date"], r["iv_source"]) for r in solved if r["iv"] == 0} == {(d.date(), "settle" if d.year in (1985, 1989) else "mid") for d in totals}
+    test_query(spark, {True: (str(tmp_path), views(tmp_path))}, "M03_M05_implied_volatility")
+
+
+def test_no_other_price_has_volatility_zero(spark, folder, monkeypatch):
+    add_iv = implied_vol.add_iv
+    monkeypatch.setattr(implied_vol, "add_iv", lambda chain: add_iv(chain).withColumn("iv", F.when(F.col("iv").isNotNull(), 0.0)))
+    own = engine.QUERIES["M03_M05_implied_volatility"](spark, folder).toPandas()
+    easy = own[own["iv_source"].isin(["mid", "settle"])]
+    assert len(easy) and not easy["sound"].any()
+
+
 def test_fitted(spark, folder):
     chain = engine.QUERIES["P10_enrich_pipeline"](spark, folder)
     dates = chain.select("date").distinct().count()
